@@ -51,21 +51,23 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     links has the columns a and b; direction and repetition do not matter, loops and nulls are ignored. Large-star and
     small-star rounds alternate until nothing changes; each keeps at most as many links as before, and a star's
-    centre is joined, never collected. Only two scalars a round reach the driver.
+    centre is joined, never collected. The minima are written before they are joined, so that both sides of a join are plain
+    exchanges and adaptive execution can split the partition of a hot centre. Only two scalars a round reach the driver.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialize(edges, "edges")
     seen = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low2, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = materialize(small, "edges")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(edges)
+        discard(edges, low, large, low2)
         edges = new
         if state == seen:
             break
