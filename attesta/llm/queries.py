@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, exact_dedup, langid, minhash, warc
+from attesta.llm import bpe, exact_dedup, langid, minhash, pii, toxicity, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_language_id": langid.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_minhash": minhash.op5_minhash,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
 }
