@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, exact_dedup, langid, minhash, mixing, pii, toxicity, warc
+from attesta.llm import bpe, exact_dedup, langid, media, minhash, mixing, pii, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_language_id": langid.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_image_copies": media.op4_image_copies,
     "op5_minhash": minhash.op5_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
