@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, exact_dedup, langid, media, minhash, mixing, pii, toxicity, warc
+from attesta.llm import bpe, exact_dedup, langid, media, minhash, mixing, pii, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_image_copies": media.op4_image_copies,
     "op5_minhash": minhash.op5_minhash,
+    "op6_repeats": suffixes.op6_repeats,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_byte_bpe": bpe.op9_byte_bpe,
