@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def folded(text: Column) -> Column:
@@ -15,7 +16,7 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def folded_nfkc(text: pd.Series) -> pd.Series:
     """As folded, after NFKC normalisation and Unicode case folding, which no built-in function offers."""
     import re
