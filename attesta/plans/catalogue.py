@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars, text as tx, urls
-from attesta.operators import admission, identity, merge, report, reviews, scoring, serving, similarity, workflow
+from attesta.operators import admission, extraction, identity, merge, models, report, reviews, scoring, serving, similarity, workflow
 from attesta.sources.tables import read_table
 
 
@@ -582,3 +582,44 @@ def url_platform(spark, d):
 @query("select page_id, sha256(html) as html_sha256, 'page:' || substr(sha256(url || html), 1, 16) as section_id from pages")
 def page_sections(spark, d):
     return read_table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("html_sha256"), tx.section_id(F.lit("page"), F.col("url"), F.col("html")).alias("section_id"))
+
+
+@query(None)
+def html_text_extract(spark, d):
+    return extraction.parsed(read_table(spark, d, "pages")).select("page_id", "title", F.length("body").alias("n_chars"), F.md5("body").alias("body_md5"), "links", "scripts", F.size("headings").alias("headings"))
+
+
+@query("""with t as (select doc_id, case when doc_id % 5 = 0 then 'Security check' when doc_id % 7 = 0 then 'Log in' else lang end as title, case when doc_id % 11 = 0 then '' else text end as body from documents)
+select doc_id, case when title = 'Security check' then 'BLOCKED' when title = 'Log in' and length(body) < 4000 then 'LOGIN_REQUIRED' when trim(body) = '' then 'EMPTY' else 'OK' end as access from t""")
+def access_wall(spark, d):
+    k = F.col("doc_id")
+    t = read_table(spark, d, "documents").withColumns({"title": F.when(k % 5 == 0, "Security check").when(k % 7 == 0, "Log in").otherwise(F.col("lang")), "body": F.when(k % 11 == 0, "").otherwise(F.col("text"))})
+    return t.select("doc_id", extraction.access(F.col("title"), F.col("body")).alias("access"))
+
+
+@query(None)
+def context_greedy_budget(spark, d):
+    sections = read_table(spark, d, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("pos"), (F.col("n_chars") % 7).alias("relevance"), "text")
+    return extraction.budgeted(sections, "page").groupBy("page").agg(F.count("*").alias("sections"), F.max("used").alias("used"))
+
+
+@query("select doc_id, contains(text, 'the ') or contains(lang, 'the ') as the_word, contains(text, substr(text, 20, 12)) and trim(substr(text, 20, 12)) <> '' as own_words from documents")
+def quote_support(spark, d):
+    fragments = F.array("text", "lang")
+    return read_table(spark, d, "documents").select("doc_id", extraction.quote_supported(F.lit("the "), fragments).alias("the_word"), extraction.quote_supported(F.substring("text", 20, 12), fragments).alias("own_words"))
+
+
+@query("""with b as (select c_custkey as id, c_name as name, case when c_custkey % 2 = 0 then c_mktsegment end as seg from customer), n as (select c_custkey as id, case when c_custkey % 3 = 0 then 'other' else c_name end as name, c_mktsegment as seg from customer where c_custkey % 4 <> 0)
+select b.id, b.name, case when n.id is not null and b.name = n.name and b.seg is null then n.seg else b.seg end as seg, case when n.id is not null and b.name = n.name and b.seg is null and n.seg is not null then 'candidate' else 'base' end as taken from b left join n using (id)""")
+def browser_gain(spark, d):
+    c, k = read_table(spark, d, "customer"), F.col("c_custkey")
+    base = c.select(k.alias("id"), F.col("c_name").alias("name"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("seg"))
+    new = c.where(k % 4 != 0).select(k.alias("id"), F.when(k % 3 == 0, "other").otherwise(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("seg"))
+    return extraction.better(base, new, "id", ["name", "seg"])
+
+
+@query("select l_orderkey as review_id, round(avg(1 + (case l_returnflag when 'A' then 1.1 when 'R' then 0.5 else 1.0 end::double - 1) * l_discount * 10), 6) as factor from lineitem group by l_orderkey")
+def media_review_factors(spark, d):
+    kind = F.when(F.col("l_returnflag") == "A", "SUPPORTS").when(F.col("l_returnflag") == "R", "CONTRADICTS").otherwise("CANNOT_DETERMINE")
+    found = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("review_id"), kind.alias("consistency"), (F.col("l_discount") * 10).alias("confidence"))
+    return models.media_factors(found).withColumn("factor", F.round("factor", 6))

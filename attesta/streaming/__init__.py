@@ -1 +1 @@
-
+"""Streaming counterparts of the batch operators."""
