@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars, text as tx, urls
-from attesta.operators import admission, extraction, identity, merge, models, report, reviews, scoring, serving, similarity, workflow
+from attesta.operators import admission, extraction, identity, merge, models, policy, report, reviews, scoring, serving, similarity, workflow
 from attesta.sources.tables import read_table
 
 
@@ -623,3 +623,79 @@ def media_review_factors(spark, d):
     kind = F.when(F.col("l_returnflag") == "A", "SUPPORTS").when(F.col("l_returnflag") == "R", "CONTRADICTS").otherwise("CANNOT_DETERMINE")
     found = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("review_id"), kind.alias("consistency"), (F.col("l_discount") * 10).alias("confidence"))
     return models.media_factors(found).withColumn("factor", F.round("factor", 6))
+
+
+# Policy and accounts ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""with f as (select doc_id, source as supplier, case doc_id % 6 when 0 then 'QUALITY' when 1 then 'DELIVERY' when 2 then 'AFTER_SALES' when 3 then 'PRODUCT_MISMATCH' when 4 then 'PACKAGING' else 'OTHER' end as category, case n_chars % 4 when 0 then 'NONE' when 1 then 'LOW' when 2 then 'MEDIUM' else 'HIGH' end as l, (n_chars % 10) / 10.0::double as confidence, n_chars % 3 as reviews from documents)
+select doc_id, supplier, case category when 'DELIVERY' then 'DELIVERY' when 'AFTER_SALES' then 'AFTER_SALES' else 'PRODUCT_QUALITY' end as dimension, case l when 'NONE' then 0.0 when 'LOW' then 25.0 when 'MEDIUM' then 55.0 else 80.0 end::double as severity,
+least(confidence, case when category = 'AFTER_SALES' then case when reviews <= 1 then 0.4 else 0.6 end else 1.0 end) as reliability from f where category <> 'OTHER'""")
+def review_score_inputs(spark, d):
+    k, n = F.col("doc_id"), F.col("n_chars")
+    category = F.element_at(F.array(*map(F.lit, ["QUALITY", "DELIVERY", "AFTER_SALES", "PRODUCT_MISMATCH", "PACKAGING", "OTHER"])), (k % 6 + 1).cast("int"))
+    label = F.element_at(F.array(*map(F.lit, ["NONE", "LOW", "MEDIUM", "HIGH"])), (n % 4 + 1).cast("int"))
+    f = read_table(spark, d, "documents").select("doc_id", F.col("source").alias("supplier"), category.alias("category"), label.alias("severity_label"), (n % 10 / 10).alias("confidence"), (n % 3).alias("reviews"))
+    return policy.score_inputs(f).select("doc_id", "supplier", "dimension", "severity", "reliability")
+
+
+@query(f"""with c as (select user_id as supplier, count(*) as n from events group by 1), b as (select distinct user_id as supplier from events where event_type = 'error' and value > 45)
+select supplier, 'REVIEW_MANIPULATION' as dimension, 35.0::double as severity, case when n >= 100 then 0.6 when n >= 30 then 0.45 else 0.4 end::double as confidence from c where n >= 10 and supplier not in (select supplier from b)""")
+def preliminary_credibility(spark, d):
+    e = read_table(spark, d, "events").withColumnRenamed("user_id", "supplier")
+    return policy.preliminary_credibility(e.groupBy("supplier").agg(F.count("*").alias("review_count")), e.where("event_type = 'error' and value > 45"))
+
+
+@query("""with t as (select doc_id, case doc_id % 5 when 0 then 'SUPPLIER_IDENTITY' when 1 then 'AFTER_SALES' when 2 then 'PRICING' else 'PRODUCT_QUALITY' end as dim, case n_chars % 3 when 0 then 'UNKNOWN' when 1 then 'HIGH' else 'LOW' end as sev, case when doc_id % 11 = 0 then [] else ['reviews', lang] end as fields, case when doc_id % 7 = 0 then ['reviews'] else ['reviews', lang] end as quoted, n_chars % 4 as reviews from documents)
+select doc_id, case when dim = 'SUPPLIER_IDENTITY' then 'skipped' when sev = 'UNKNOWN' then 'unknown severity' when len(fields) = 0 then 'no fields' when doc_id % 7 = 0 then 'fields are not quoted' when not list_has_any(fields, ['reviews', 'products']) then 'out of scope'
+when reviews < 2 and not (dim = 'AFTER_SALES' and sev in ('MEDIUM', 'HIGH')) then 'too few reviews' end as rejection from t""")
+def dimension_gates(spark, d):
+    k, n = F.col("doc_id"), F.col("n_chars")
+    dim = F.when(k % 5 == 0, "SUPPLIER_IDENTITY").when(k % 5 == 1, "AFTER_SALES").when(k % 5 == 2, "PRICING").otherwise("PRODUCT_QUALITY")
+    sev = F.when(n % 3 == 0, "UNKNOWN").when(n % 3 == 1, "HIGH").otherwise("LOW")
+    both = F.array(F.lit("reviews"), F.col("lang"))
+    fields, quoted = F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(both), F.when(k % 7 == 0, F.array(F.lit("reviews"))).otherwise(both)
+    return read_table(spark, d, "documents").select("doc_id", policy.gate(dim, sev, fields, quoted, F.array(F.lit("reviews"), F.lit("products")), n % 4).alias("rejection"))
+
+
+@query("select c_custkey, c_name from customer where contains(lower(c_name), '12') or contains(lower(c_mktsegment), '12') or contains(c_custkey::varchar, '12')")
+def history_search(spark, d):
+    return read_table(spark, d, "customer").where(policy.matches("12", F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey"))).select("c_custkey", "c_name")
+
+
+@query("""with e as (select o_custkey as user_id, o_orderpriority as entitlement, o_orderdate as starts_at, case when o_orderkey % 4 <> 0 then o_orderdate + interval 400 days end as expires_at, case when o_orderstatus = 'O' then 'ACTIVE' else 'ENDED' end as status from orders),
+a as (select *, status = 'ACTIVE' and starts_at <= timestamp '1998-01-01' and (expires_at is null or expires_at > timestamp '1998-01-01') as active from e), r as (select user_id, entitlement, active, row_number() over (partition by user_id order by active desc, starts_at desc, entitlement) as r from a),
+u as (select o_custkey as user_id, count(*) as used from orders group by 1)
+select c_custkey as user_id, entitlement, coalesce(active, false) as active, case when coalesce(active, false) then 40 else 20 end as "limit", coalesce(used, 0) as used, greatest(case when coalesce(active, false) then 40 else 20 end - coalesce(used, 0), 0) as remaining
+from customer left join r on r.user_id = c_custkey and r.r = 1 left join u on u.user_id = c_custkey""")
+def account_state(spark, d):
+    o = read_table(spark, d, "orders")
+    ent = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("entitlement"), F.col("o_orderdate").alias("starts_at"), F.when(F.col("o_orderkey") % 4 != 0, F.expr("o_orderdate + interval 400 days")).alias("expires_at"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("ENDED").alias("status"))
+    used = o.groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("used"))
+    users = read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return policy.account_state(users, ent, used, F.lit("1998-01-01").cast("timestamp_ntz"))
+
+
+@query("""with w as (select lang as k, count(*) as w from documents group by lang), p as (select lang as k, count(*) as p from documents where doc_id % 3 = 0 and lang <> 'es' group by lang) select k, w - coalesce(p, 0) as missing from w left join p using (k) where w > coalesce(p, 0)""")
+def multiset_difference(spark, d):
+    t = read_table(spark, d, "documents").select(F.col("lang").alias("k"), "doc_id")
+    return policy.missing_copies(t, t.where("doc_id % 3 = 0 and k <> 'es'"), "k")
+
+
+@query("select o_custkey as supplier, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as earliest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as latest from orders group by o_custkey")
+def earliest_and_latest_capture(spark, d):
+    at = F.struct("o_orderdate", "o_orderkey")
+    return read_table(spark, d, "orders").groupBy(F.col("o_custkey").alias("supplier")).agg(F.min_by("o_orderkey", at).alias("earliest"), F.max_by("o_orderkey", at).alias("latest"))
+
+
+@query("""select l_suppkey as supplier, l_orderkey as order_id, l_linenumber as line, l_linestatus as status from lineitem where l_shipdate <= timestamp '1995-06-17' and l_returnflag = 'R' order by l_shipdate, l_orderkey, l_linenumber, l_suppkey limit 10""")
+def expired_oldest_first(spark, d):
+    rows = read_table(spark, d, "lineitem").where((F.col("l_shipdate") <= F.lit("1995-06-17").cast("timestamp_ntz")) & (F.col("l_returnflag") == "R"))
+    return rows.orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey").limit(10).select(F.col("l_suppkey").alias("supplier"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("status"))
+
+
+@query(f"with {SIGNALS}, {RISKS}, {CONFIDENCES} select supplier, dimension, risk >= 55 and confidence >= 0.4 and dimension <> 'REVIEW_MANIPULATION' as material from risks join conf using (supplier, dimension)")
+def material_findings(spark, d):
+    signals = _signals(spark, d)
+    joined = scoring.dimension_risk(signals).join(_confidences(signals), ["supplier", "dimension"])
+    return joined.select("supplier", "dimension", policy.material(F.col("dimension"), F.col("risk"), F.col("confidence")).alias("material"))
