@@ -7,8 +7,8 @@ takes part in it. Runs grow from round to round (64 bytes, then 16 times as many
 the logarithm of the longest text that has a partner, and only texts that still share their whole prefix with another
 are read again.
 
-A round aggregates before it shuffles (one row per group and task) and joins the groups of two or more back. The group
-side has one row per group, so a hot group is a skewed left side of a sort-merge join, which adaptive execution splits.
+A round aggregates before it shuffles (one row per group and task), writes the groups of two or more and joins them back. Written
+groups make both sides of that join plain exchanges, so adaptive execution splits the partition of a hot group.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import materialize
+from attesta.llm.common import discard, materialize
 
 FIRST_RUN = 64
 GROWTH = 16
@@ -45,6 +45,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .agg(F.count("*").alias("n"), F.min(F.struct("id", "rid")).alias("first"), F.min("rid").alias("label"))
             .where("n > 1")
         )
+        groups = materialize(groups, "groups")
         joined = keyed.join(groups, ["grp", "run", "ended"], "left")
         open_ = F.col("n").isNotNull() & ~F.col("ended")
         step = joined.select(
@@ -60,6 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
         step = materialize(step, "radix")
         decided.append(step.where(~F.col("open")).select("id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")))
+        discard(groups)
         active = step.where("open").select("id", "rid", "grp", "rest", "sha")
         if active.isEmpty():
             break

@@ -157,25 +157,28 @@ def descriptors(images: DataFrame) -> DataFrame:
     return images.select("class_id", "image").mapInArrow(run, f"class_id bigint, {DESCRIPTOR}")
 
 
-def _tables(described: DataFrame) -> DataFrame:
-    """A row per descriptor and part, under the part's number and value."""
+def _tables(described: DataFrame, rid: str) -> DataFrame:
+    """(key, rid): a row per descriptor and part, the key made of the part's number and value."""
     bits = 256 // TABLES
     per = 64 // bits
-    parts = F.array(*(F.struct(F.lit(t).alias("part"), F.shiftrightunsigned(F.shiftleft(F.col(f"d{t // per}"), (t % per) * bits), 64 - bits).alias("value")) for t in range(TABLES)))
-    return described.withColumn("_p", F.explode(parts)).select("*", "_p.part", "_p.value").drop("_p")
+    keys = F.array(*(F.shiftleft(F.lit(t).cast("bigint"), bits).bitwiseOR(F.shiftrightunsigned(F.shiftleft(F.col(f"d{t // per}"), (t % per) * bits), 64 - bits)) for t in range(TABLES)))
+    return described.select(F.explode(keys).alias("key"), F.col("rid").alias(rid))
 
 
 def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inliers: int = INLIERS) -> DataFrame:
     """Pairs (query_class, class_id, inliers) of images (class_id, image) of which the query is a cropped or edited copy of the base image.
 
     Both sides hold one row per class. Every pair with `inliers` agreeing descriptors within `distance` bits that share a part is found.
+    The join over the parts carries keys and row numbers alone; descriptors are joined to the pairs of rows that it finds.
     """
-    q = materialize(_tables(descriptors(queries)).select(F.col("class_id").alias("query_class"), *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")), "part", "value"), "query_parts")
-    b = materialize(descriptors(base), "descriptors")
-    wanted = materialize(q.select("part", "value").distinct(), "wanted")
-    near = _tables(b).join(wanted, ["part", "value"]).join(q, ["part", "value"])
+    q = materialize(descriptors(queries).withColumn("rid", F.monotonically_increasing_id()), "query_descriptors")
+    b = materialize(descriptors(base).withColumn("rid", F.monotonically_increasing_id()), "descriptors")
+    q_keys, b_keys = materialize(_tables(q, "q_rid"), "query_keys"), _tables(b, "rid")
+    met = materialize(b_keys.join(q_keys, "key").select("rid", "q_rid").distinct(), "met")
+    named = q.select(F.col("rid").alias("q_rid"), F.col("class_id").alias("query_class"), *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")))
+    near = met.join(named, "q_rid").join(b, "rid")
     apart = sum((F.bit_count(F.col(f"d{j}").bitwiseXOR(F.col(f"q_d{j}"))) for j in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
-    near = near.where(apart <= distance).drop("part", "value", *(f"{p}d{j}" for p in ("", "q_") for j in range(4))).distinct()
+    near = near.where(apart <= distance)
     turn = F.col("q_angle") - F.col("angle")
     ratio = F.col("q_scale") / F.col("scale")
     moved_x = F.col("q_x") - ratio * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y"))

@@ -6,13 +6,16 @@ Coordinates of two sets agree with the probability of their similarity and with
 O(n + t log t) hashes where plain MinHash takes n t.
 
 Bands of `rows` coordinates make candidates. The number of bands follows from the threshold, so that a pair exactly at it is
-missed with a probability below `miss` (1e-6). Links come in rounds, none of which emits all pairs of a bucket:
+missed with a probability below `miss` (1e-6). Links come in rounds, none of which emits all pairs of a large bucket:
 
 1. documents of the same shingle set collapse to one;
-2. every set is verified against the smallest set that shares a bucket with it (one pair a set at most), links become components;
-3. what still shares a bucket across two components is verified against the first of the other component, components again;
-4. every pair left in a bucket across two components is verified. Pairs inside a component need no link more: they are
-   reachable already. Nothing is capped or dropped.
+2. every set is verified against the smallest set that shares a bucket with it (one pair a set at most); linked sets get a label in common;
+3. in buckets of LARGE sets or fewer every pair of two labels is verified: at most LARGE a set;
+4. the sets that share a larger bucket of several labels get a second sketch with bands so long that FINE_BANDS are needed for the same
+   probability of a miss; there the first sets of the labels are verified against each other, and then every pair left of two labels.
+   So a crowd of versions that are alike, but not enough, is told apart by many cheap bands instead of by its pairs.
+
+Pairs inside a component need no link more: they are reachable already. Nothing is capped or dropped.
 
 Verification is on the full sets, computed again from the texts of the candidates, not on sketches or hashes.
 """
@@ -31,6 +34,9 @@ from attesta.llm.common import connected_components, discard, materialize
 WORDS = 5
 ROWS = 6
 MISS = 1e-6
+#: Buckets of more sets are told apart by longer bands, of which there are FINE_BANDS at most.
+LARGE = 32
+FINE_BANDS = 700
 
 
 def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -38,6 +44,11 @@ def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
 
+def fine_rows(percent: int) -> int:
+    """The longest bands of which FINE_BANDS suffice."""
+    return max(r for r in range(1, 64) if band_count(percent, r) <= FINE_BANDS or r == 1)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ after A-Z become lower case; bytes.lower and bytes.split follow ASCII exactly so."""
     return (text or "").encode().lower().split()
@@ -167,11 +178,7 @@ def linked(a: list[bytes], b: list[bytes], percent: int, k: int = WORDS) -> bool
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of the pairs (a, b) of set keys those that are links. texts: set_key, doc_id, text_hash of one document of each set, and their documents."""
-    sets, docs = texts
-    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    named = wanted.join(sets.select("set_key", "doc_id", "text_hash"), "set_key")
-    held = materialize(docs.join(named, ["doc_id", "text_hash"]).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
+    """The pairs (a, b) of set keys with `ok`, whether they are links. texts: set_key and the text of one document of each set."""
 
     def run(batches):
         import pyarrow as pa
@@ -181,10 +188,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
             ok = [linked(held_words(x), words_of(y), percent, k) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    both = pairs.join(held.select(F.col("set_key").alias("b"), F.col("text").alias("text_b")), "b").join(held.select(F.col("set_key").alias("a"), F.col("text").alias("text_a")), "a")
-    links = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, ok boolean"), "links")
-    discard(held)
-    return links
+    both = pairs.join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a")), "a")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, ok boolean"), "links")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(set_key, label): sets of one label are connected, though not all that are connected need have one label yet.
+
+    A set takes its smallest neighbour and then twice the label of its label, which is all that a star needs.
+    """
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = materialize(both.groupBy(F.col("a").alias("set_key")).agg(F.least(F.min("b"), F.col("set_key")).alias("label")), "labels")
+    for _ in range(2):
+        far = labels.select(F.col("set_key").alias("label"), F.col("label").alias("far"))
+        labels = materialize(labels.join(far, "label", "left").select("set_key", F.coalesce("far", "label").alias("label")), "labels")
+    return labels
+
+
+def _mixed(live: DataFrame, done: DataFrame) -> DataFrame:
+    """The rows (bucket, set_key, n, label, low, members) of buckets with sets of more than one label; low is the smallest label there."""
+    labelled = live.join(_labels(done.where("ok")), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    mixed = materialize(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high").drop("high"), "mixed")
+    return materialize(labelled.select("bucket", "set_key", "n", "label").join(mixed, "bucket"), "open")
+
+
+def _heads(open_: DataFrame) -> DataFrame:
+    """In every bucket the first set of each label against the first set of the smallest one."""
+    heads = open_.groupBy("bucket", "low", "label").agg(F.min(F.struct("set_key", "n")).alias("head"))
+    low = heads.where("label = low").select("bucket", F.col("head.set_key").alias("x"), F.col("head.n").alias("n_a"))
+    return heads.where("label <> low").select("bucket", F.col("head.set_key").alias("y"), F.col("head.n").alias("n_b")).join(low, "bucket")
+
+
+def _across(open_: DataFrame) -> DataFrame:
+    """All pairs of sets of two labels in a bucket; pairs of one label are never made."""
+    ends = open_.select("bucket", "label").distinct()
+    ends = ends.select("bucket", F.col("label").alias("label_a")).join(ends.select("bucket", F.col("label").alias("label_b")), "bucket").where("label_a < label_b")
+    left = open_.select("bucket", F.col("label").alias("label_a"), F.col("set_key").alias("x"), F.col("n").alias("n_a"))
+    right = open_.select("bucket", F.col("label").alias("label_b"), F.col("set_key").alias("y"), F.col("n").alias("n_b"))
+    return ends.join(left, ["bucket", "label_a"]).join(right, ["bucket", "label_b"])
+
+
+def _fine_buckets(crowded: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """The buckets (bucket, set_key, n) of two or more that longer bands make of the sets in crowded ones."""
+    rows, bands = fine_rows(percent), band_count(percent, fine_rows(percent))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [shingle_hashes(words_of(t), k) for t in part.column("text").to_pylist()]
+                keys = [band_keys(sketch(h, bands * rows), rows) for h in sets]
+                offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
+                yield pa.RecordBatch.from_arrays([part.column("set_key"), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))], ["set_key", "n", "bands"])
+
+    found = texts.join(crowded, "set_key").select("set_key", "text").mapInArrow(run, "set_key binary, n bigint, bands array<bigint>")
+    buckets = materialize(found.select("set_key", "n", F.explode("bands").alias("bucket")), "fine_bands")
+    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"), "fine_shared")
+    return materialize(buckets.join(shared, "bucket"), "fine")
 
 
 def near_duplicates(docs: DataFrame, percent: int, k: int = WORDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,32 +266,28 @@ def near_duplicates(docs: DataFrame, percent: int, k: int = WORDS, rows: int = R
         "sets",
     )
     buckets = sets.select("set_key", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_key").alias("least")).where("members > 1")
-    live = materialize(buckets.join(shared.drop("members"), "bucket"), "buckets")
-    near = "100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(percent)  # no two sets can be more similar than their sizes
-    source = source.where("text is not null")
+    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_key").alias("least")).where("members > 1").drop("members"), "shared")
+    live = materialize(buckets.join(shared, "bucket"), "buckets")
+    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"  # no two sets can be more similar than their sizes
+
+    candidates = sets.join(live.select("set_key").distinct(), "set_key").select("set_key", "doc_id", "text_hash")
+    texts = materialize(source.where("text is not null").join(candidates, ["doc_id", "text_hash"]).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
+
+    def settle(done: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Verifies pairs that have not been verified yet."""
+        pairs = pairs.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        return done if pairs.isEmpty() else done.unionByName(_verified(pairs, texts, percent, k))
 
     first = live.where("set_key <> least").groupBy("set_key").agg(F.min("least").alias("a")).select("a", F.col("set_key").alias("b"))
-    done = _verified(materialize(first, "pairs"), (sets, source), percent, k)
-    for whole in (False, True):
-        components = connected_components(done.where("ok"))
-        labelled = live.join(components.withColumnRenamed("node", "set_key"), "set_key", "left").select("bucket", "set_key", "n", F.coalesce("component", "set_key").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "low")
-        open_ = materialize(labelled.join(mixed, "bucket"), "open")
-        if whole:
-            ends = open_.select("bucket", "label").distinct()
-            ends = ends.select("bucket", F.col("label").alias("label_a")).join(ends.select("bucket", F.col("label").alias("label_b")), "bucket").where("label_a < label_b")
-            left = open_.select("bucket", F.col("label").alias("label_a"), F.col("set_key").alias("x"), F.col("n").alias("n_a"))
-            right = open_.select("bucket", F.col("label").alias("label_b"), F.col("set_key").alias("y"), F.col("n").alias("n_b"))
-            pairs = ends.join(left, ["bucket", "label_a"]).join(right, ["bucket", "label_b"]).where(near)
-        else:
-            heads = open_.groupBy("bucket", "label").agg(F.min(F.struct("set_key", "n")).alias("head"))
-            low = mixed.join(heads, "bucket").where("label = low").select("bucket", F.col("low").alias("label_a"), F.col("head.set_key").alias("x"), F.col("head.n").alias("n_a"))
-            pairs = heads.select("bucket", "label", F.col("head.set_key").alias("y"), F.col("head.n").alias("n_b")).join(low, "bucket").where("label <> label_a").where(near)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            done = done.unionByName(_verified(pairs, (sets, source), percent, k))
+    done = _verified(first, texts, percent, k)
+    open_ = _mixed(live, done)
+    crowded = materialize(open_.where(F.col("members") > LARGE).select("set_key").distinct(), "crowded")
+    done = settle(done, _across(open_.where(F.col("members") <= LARGE)))
+    if not crowded.isEmpty():
+        fine = _fine_buckets(crowded, texts, percent, k)
+        done = settle(done, _heads(_mixed(fine, done)))
+        done = settle(done, _across(_mixed(fine, done)))
     repeated = with_set.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("high")).where("a <> high").select("doc_id", "a")
     repeated = with_set.join(repeated, "doc_id").select("a", F.col("set_key").alias("b"))
     components = connected_components(done.where("ok").select("a", "b").unionByName(repeated))

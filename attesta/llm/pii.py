@@ -45,15 +45,16 @@ _NAMES = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lam
 _TITLES = "|".join(sorted(TITLES, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<=(?i:token|secret|api[_-]?key|password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_+/=-]{8,}"
+SECRET = r"(?<=[:=\s\"'])(?=[A-Za-z0-9_+/=-]{8})(?<=(?i:token|secret|api[_-]?key|password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_+/=-]{8,}"
 PHONE = r"(?<![\w+])(?:\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:\d{1,3}[.-])?\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])"
 CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 PERSON = rf"(?<!\p{{L}})(?:{_NAMES})(?= \p{{Lu}}\p{{Ll}})"
-SURNAME = rf"(?<=(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? )\p{{Lu}}[\p{{L}}'’-]+"
-ANY = f"(?:(?=[\\d+(])(?:{PHONE}|{SSN}|{CARD}|{IP})|{EMAIL}|(?=[A-Za-z0-9_+/=-]){SECRET}|(?=\\p{{Lu}})(?:{IBAN}|{PERSON}|{SURNAME}))"
+SURNAME = rf"(?=\p{{Lu}})(?<=[\p{{Ll}}.] )(?<=\p{{Lu}}\p{{Ll}}{{1,11}}\.? )(?<=(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? )\p{{Lu}}[\p{{L}}'’-]+"
+#: Look-arounds that fail at once for nearly every place stand before those that try many lengths.
+ANY = f"(?:(?=[\\d+(])(?:{PHONE}|{SSN}|{CARD}|{IP})|{EMAIL}|{SECRET}|(?=\\p{{Lu}})(?:{IBAN}|{PERSON}|{SURNAME}))"
 
 
 def mentions(text: Column) -> Column:
