@@ -8,7 +8,8 @@ the logarithm of the longest text that has a partner, and only texts that still
 are read again.
 
 A round aggregates before it shuffles (one row per group and task), writes the groups of two or more and joins them back. Written
-groups make both sides of that join plain exchanges, so adaptive execution splits the partition of a hot group.
+groups make both sides of that join plain exchanges, so adaptive execution splits the partition of a hot group. The groups grow with the
+input, so they are merged and never broadcast, at any size.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .where("n > 1")
         )
         groups = materialize(groups, "groups")
-        joined = keyed.join(groups, ["grp", "run", "ended"], "left")
+        joined = keyed.join(groups.hint("merge"), ["grp", "run", "ended"], "left")
         open_ = F.col("n").isNotNull() & ~F.col("ended")
         step = joined.select(
             "id",
