@@ -4,7 +4,8 @@
    of a few dense text features in each domain. It predicts a distribution over the domains for every document, rounded to a grid of 1/GRID.
 2. Projected gradient descent fits document rates r with 0 <= r <= max_rate so that the expected tokens of every domain, the sum of
    tokens * posterior * r, match the targets in the least-squares sense of relative errors. Steps are taken in the metric of the documents' tokens,
-   so a rate moves by its posterior times the residuals of the domains. A document's rate depends on its posterior and the residuals so far
+   so a rate moves by its posterior times the residuals of the domains. Without a max_rate the residuals are scaled by the inverse of the domains'
+   shared tokens, by which domains that overlap settle as fast as others. A document's rate depends on its posterior and the residuals so far
    alone; hence documents of one posterior are summed to a cell first, each iteration is a job over cells, and only the residuals,
    one number a domain, reach the driver. Rates of documents are then an expression of their own columns: no join.
 """
@@ -12,8 +13,10 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from attesta.llm.common import materialize
 GRID = 256
 ITERATIONS = 80
 TOLERANCE = 1e-4
+RIDGE = 1e-3
+REPORTED_GAP = 0.01
 VARIANCE_FLOOR = 1e-3
 
 #: Words whose share tells abusive text from other text.
@@ -104,6 +109,18 @@ class Mixture:
     targets: list[float]
     residuals: list[list[float]]
     max_rate: float | None
+    achieved: list[float]
+
+    @property
+    def gap(self) -> float:
+        """The largest error of a domain's expected tokens, relative to its target; infinite where the target is 0 and tokens are left."""
+        return max((abs(a - t) / t if t else math.inf if a > 0 else 0.0 for a, t in zip(self.achieved, self.targets, strict=True)), default=0.0)
+
+    def report(self) -> None:
+        """Warns of expected tokens that miss their targets."""
+        if self.gap > REPORTED_GAP:
+            parts = (f"{d} {a:.0f} of {t:.0f}" for d, a, t in zip(self.model.domains, self.achieved, self.targets, strict=True))
+            warnings.warn(f"the mixture misses its targets, expected tokens: {', '.join(parts)}", stacklevel=2)
 
     def rated(self, docs: DataFrame) -> DataFrame:
         """Adds _p (posteriors) and _rate to measured documents."""
@@ -113,32 +130,39 @@ class Mixture:
 def fit_mixture(measured_docs: DataFrame, model: DomainModel, weights: dict[str, float], total_tokens: float | None = None, max_rate: float | None = 1.0, iterations: int = ITERATIONS) -> Mixture:
     """Fits rates for the target weights. measured_docs: _tokens, _x.
 
-    total_tokens defaults to the largest total that the weights allow without repeating a domain. Domains that no document is
+    total_tokens defaults to the documents' own tokens where rates have no bound, so that scarce domains are repeated and no other is thinned for
+    their sake; with a max_rate, to the largest total that the weights allow without repeating a domain. Domains that no document is
     expected to have are left out and the other weights made up to one. Without tokens every rate stays 1.
     """
     k = len(model.domains)
     cells = materialize(measured_docs.select("_tokens", model.posterior(F.col("_x")).alias("_p")).groupBy("_p").agg(F.sum("_tokens").cast("double").alias("_tokens")), "cells")
 
-    def expected(residuals: list[list[float]]) -> list[float]:
+    def expected(residuals: list[list[float]], more: tuple[Column, ...] = ()) -> list[float]:
         r = rate(F.col("_p"), residuals, max_rate)
-        sums = cells.select("_p", (F.col("_tokens") * r).alias("t")).agg(*(F.sum(F.col("_p")[j] * F.col("t")) for j in range(k))).first()
+        sums = cells.select("_p", "_tokens", (F.col("_tokens") * r).alias("t")).agg(*(F.sum(F.col("_p")[j] * F.col("t")) for j in range(k)), *more).first()
         return [float(s or 0.0) for s in sums]
 
-    have = expected([])
+    pairs = tuple(F.sum(F.col("_p")[i] * F.col("_p")[j] * F.col("_tokens")) for i in range(k) for j in range(k))
+    first = expected([], pairs)
+    have, shared = first[:k], np.array(first[k:]).reshape(k, k)
     wanted = [weights[d] if have[j] > 0 else 0.0 for j, d in enumerate(model.domains)]
     if not sum(wanted):
-        return Mixture(model, have, [], max_rate)
+        return Mixture(model, have, [], max_rate, have)
     wanted = [w / sum(wanted) for w in wanted]
-    total = total_tokens if total_tokens is not None else min(have[j] / w for j, w in enumerate(wanted) if w)
-    targets = [w * total for w in wanted]
+    if total_tokens is None:
+        total_tokens = sum(have) if max_rate is None else min(have[j] / w for j, w in enumerate(wanted) if w)
+    targets = [w * total_tokens for w in wanted]
+    metric = np.diag([h or 1.0 for h in have])
+    if max_rate is None:
+        metric = shared + RIDGE * metric
     residuals, now = [], have
     for _ in range(iterations):
         gap = [(now[j] - targets[j]) / have[j] if have[j] else 0.0 for j in range(k)]
         if max(map(abs, gap)) < TOLERANCE:
             break
-        residuals.append(gap)
+        residuals.append(np.linalg.solve(metric, np.subtract(now, targets)).tolist())
         now = expected(residuals)
-    return Mixture(model, targets, residuals, max_rate)
+    return Mixture(model, targets, residuals, max_rate, now)
 
 
 def uniform(id_col: str = "doc_id", seed: int = 17) -> Column:
@@ -146,6 +170,12 @@ def uniform(id_col: str = "doc_id", seed: int = 17) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
 
 
+def copies(rate: Column, id_col: str = "doc_id") -> Column:
+    """How often a document of a rate is taken: its whole part, and once more by the draw that takes the rest."""
+    whole = F.floor(rate)
+    return (whole + (uniform(id_col) < rate - whole).cast("int")).cast("int")
+
+
 def label_domains(labels: DataFrame) -> DataFrame:
     """One domain a document from the table of labels: toxic before low before good; rows without both marks teach nothing."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
@@ -163,9 +193,10 @@ def mixture_for(docs: DataFrame, labels: DataFrame, weights: dict[str, float] =
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, tokens, domain (of the largest posterior), p_<domain>, rate, kept (the draw that takes the rate)."""
+    """Per document: doc_id, tokens, domain (of the largest posterior), p_<domain>, rate, copies (how often the draw takes it), kept (once or more)."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    mixture, held = mixture_for(docs, labels)
+    mixture, held = mixture_for(docs, labels, max_rate=None)
+    mixture.report()
     domains = mixture.model.domains
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     return mixture.rated(held).select(
@@ -174,5 +205,6 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"),
         *(F.col("_p")[j].alias(f"p_{d}") for j, d in enumerate(domains)),
         F.col("_rate").alias("rate"),
-        (uniform() < F.col("_rate")).alias("kept"),
+        copies(F.col("_rate")).alias("copies"),
+        (copies(F.col("_rate")) > 0).alias("kept"),
     )

@@ -100,6 +100,26 @@ def test_mixture_equals_brute_force(spark):
     assert np.allclose(p.T @ (t * r), mixture.targets, rtol=0.01)
 
 
+def test_scarce_domain_thins_no_other(spark):
+    kinds = {"good": "plain words that go on and on without end or marks {}", "low": "## ## || || {} ## || ##", "toxic": "you idiot moron scum {} trash loser"}
+    pick = lambda k: "toxic" if k % 500 == 7 else "low" if k % 20 == 3 else "good"
+    docs = spark.createDataFrame([(k, " ".join(kinds[pick(k)].format(k * 7 + j) for j in range(1 + k % 3))) for k in range(2000)], "doc_id bigint, text string")
+    table = spark.createDataFrame([(k, int(pick(k) != "low"), int(pick(k) == "toxic")) for k in range(2000)], "doc_id bigint, quality int, toxic int")
+    mixture, held = mixing.mixture_for(docs, table, {"good": 0.93, "low": 0.05, "toxic": 0.02}, max_rate=None)
+    got = mixture.rated(held).withColumn("copies", mixing.copies(F.col("_rate"))).toPandas()
+    p, t, r = np.array(got["_p"].tolist()), got["_tokens"].to_numpy(float), got["_rate"].to_numpy()
+    assert mixture.gap < 0.01 and np.isclose(sum(mixture.targets), t.sum()) and np.allclose(p.T @ (t * r), mixture.achieved, rtol=1e-6)
+    kind = got.doc_id.map(pick)
+    assert abs((got.copies[kind == "good"] > 0).mean() - mixture.targets[0] / t[kind == "good"].sum()) < 0.03 and got.copies[kind == "toxic"].min() >= 4
+    assert abs((t * got.copies).sum() / t.sum() - 1) < 0.05 and ((got.copies == np.floor(r)) | (got.copies == np.floor(r) + 1)).all()
+
+
+def test_missed_targets_are_reported():
+    model = mixing.DomainModel(["a", "b"], [0.5, 0.5], [[0.0], [1.0]], [[1.0], [1.0]])
+    with pytest.warns(UserWarning, match="b 10 of 50"):
+        mixing.Mixture(model, [50.0, 50.0], [], None, [50.0, 10.0]).report()
+
+
 def test_mixture_of_odd_tables(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for frame, n in ((empty, 0), (docs, 17)):
