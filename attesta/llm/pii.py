@@ -1,8 +1,9 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions alone.
 
 Detected are e-mail addresses, phone, card, social-security and IBAN numbers, IPv4 addresses, values assigned to a token, key, secret or
-password, and personal names behind a title or a known given name. Equal entities get equal surrogates in all documents (coreference), unequal
-ones unequal surrogates (distinctness), and none gets the value of another real entity.
+password, and personal names behind a title or a known given name. A second step finds every other mention of a document's names, alone or in
+capitals. Equal entities get equal surrogates in all documents (coreference), unequal ones unequal surrogates (distinctness), and none gets the value of
+another real entity; given names alone are permuted, so their surrogates are others' given names.
 
 A surrogate is drawn from a keyed SHA-512 stream of (key, type, canonical form, attempt) and keeps type and format: digits stay digits and
 letters letters, case, separators and length stay; a card number passes the Luhn test exactly if the original does; an IBAN keeps its country and has
@@ -46,13 +47,18 @@ _TITLES = "|".join(sorted(TITLES, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?<=[:=\s\"'])(?=[A-Za-z0-9_+/=-]{8})(?<=(?i:token|secret|api[_-]?key|password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_+/=-]{8,}"
-PHONE = r"(?<![\w+])(?:\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:\d{1,3}[.-])?\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])"
+#: National numbers with spaces or none between their parts.
+NATIONAL = r"(?:[2-9]\d{2} \d{3} \d{4}|[2-9]\d{9}|0[1-9]\d{1,3}[ /]\d{3,4} ?\d{3,5}|0[1-9]\d{8,9}|0[1-9](?: \d{2}){4})"
+PHONE = rf"(?<![\w+])(?:\+?\d{{1,3}}[ .-]?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,5}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|(?:\d{{1,3}}[.-])?\d{{3}}[-.]\d{{3}}[-.]\d{{4}}|(?<!\d[.,]){NATIONAL}(?![.,]\d))(?![\w-])"
 CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 PERSON = rf"(?<!\p{{L}})(?:{_NAMES})(?= \p{{Lu}}\p{{Ll}})"
-SURNAME = rf"(?=\p{{Lu}})(?<=[\p{{Ll}}.] )(?<=\p{{Lu}}\p{{Ll}}{{1,11}}\.? )(?<=(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? )\p{{Lu}}[\p{{L}}'’-]+"
+_WORD = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))+"
+#: Java's look-behind repeats no groups: up to five words between a title and the word in question.
+_BETWEEN = "|".join(r"\p{Lu}[\p{L}'’-]{1,20} " * n for n in range(1, 6))
+SURNAME = rf"(?=\p{{Lu}})(?<=[\p{{L}}.] )(?:(?<=(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? )|(?<=(?<!\p{{L}})(?:{_TITLES})\.? (?:{_BETWEEN}))){_WORD}"
 #: Look-arounds that fail at once for nearly every place stand before those that try many lengths.
 ANY = f"(?:(?=[\\d+(])(?:{PHONE}|{SSN}|{CARD}|{IP})|{EMAIL}|{SECRET}|(?=\\p{{Lu}})(?:{IBAN}|{PERSON}|{SURNAME}))"
 
@@ -62,19 +68,29 @@ def mentions(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
+def mentions_with_lone_names(text: Column, found: Column) -> tuple[Column, Column]:
+    """The mentions, with those of the names among them (found) wherever they stand in the text, and the pattern that finds them."""
+    names = F.filter(found, lambda m: kind(m).isin("given", "surname") & ~m.rlike(r"[^\p{L}'’-]"))
+    every = F.array_distinct(F.concat(names, F.transform(names, F.upper)))
+    longest = F.array_join(F.transform(F.reverse(F.array_sort(F.transform(every, lambda m: F.struct(F.length(m).alias("n"), m.alias("m"))))), lambda x: x["m"]), "|")
+    pattern = F.when(F.size(every) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), longest, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ANY))
+    return F.regexp_extract_all(text, pattern, F.lit(0)), pattern
+
+
 def kind(mention: Column) -> Column:
     """The type of a mention; the bare mention has lost its context, so what fits no format is a secret."""
     fits = lambda p: mention.rlike(rf"^(?:{p})$")
     return (
         F.when(fits(EMAIL), "email").when(fits(SSN), "ssn").when(fits(PHONE), "phone").when(fits(CARD), "card").when(fits(IP), "ip").when(fits(IBAN), "iban")
-        .when(fits(_NAMES), "given").when(fits(r"\p{Lu}\p{L}*['’-]?[\p{L}'’-]*") & ~mention.rlike("^[A-Z0-9_+/=-]{16,}$"), "surname").otherwise("secret")
+        .when(fits(_NAMES) | fits(_NAMES.upper()), "given").when(fits(r"\p{Lu}\p{L}*['’-]?[\p{L}'’-]*") & ~mention.rlike("^[A-Z0-9_+/=-]{16,}$"), "surname").otherwise("secret")
     )
 
 
 def canonical(type_: Column, mention: Column) -> Column:
     """The form by which mentions corefer: digits of numbers, lower-case addresses and names, IBANs without spaces."""
+    given = F.create_map(*(F.lit(x) for names in GIVEN.values() for n in names for x in (n.upper(), n)))
     return (
-        F.when(type_.isin("phone", "card", "ssn"), F.regexp_replace(mention, r"\D", "")).when(type_.isin("email", "surname"), F.lower(mention))
+        F.when(type_ == "given", F.coalesce(given[F.upper(mention)], mention)).when(type_.isin("phone", "card", "ssn"), F.regexp_replace(mention, r"\D", "")).when(type_.isin("email", "surname"), F.lower(mention))
         .when(type_ == "iban", F.replace(mention, F.lit(" "))).otherwise(mention)
     )
 
@@ -202,7 +218,7 @@ def rendered(type_: Column, mention: Column, surrogate: Column) -> Column:
     cased = F.when(mention == F.upper(mention), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
     return (
         F.when(type_.isin("phone", "card", "ssn"), refill(r"\d")).when(type_ == "iban", refill("[A-Z0-9]")).when(type_ == "surname", cased)
-        .when((type_ == "email") & (mention == F.upper(mention)), F.upper(surrogate)).otherwise(surrogate)
+        .when(type_.isin("email", "given") & (mention == F.upper(mention)), F.upper(surrogate)).otherwise(surrogate)
     )
 
 
@@ -216,13 +232,15 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     found = docs.withColumn("_pii_m", mentions(F.col(text_col)))
     has = F.coalesce(F.size("_pii_m") > 0, F.lit(False))
     clean = docs.where(F.coalesce(F.size(mentions(F.col(text_col))) <= 0, F.lit(True))).withColumn("n_entities", F.lit(0).cast("bigint"))
-    hits = materialize(found.where(has).withColumn("_pii_row", F.monotonically_increasing_id()), "hits")
+    every, pattern = mentions_with_lone_names(F.col(text_col), F.col("_pii_m"))
+    hits = found.where(has).withColumns({"_pii_row": F.monotonically_increasing_id(), "_pii_re": pattern, "_pii_m": every})
+    hits = materialize(hits, "hits")
     parts = hits.select("_pii_row", F.posexplode("_pii_m").alias("pos", "mention")).withColumn("type", kind(F.col("mention")))
     parts = materialize(parts.withColumn("canonical", canonical(F.col("type"), F.col("mention"))), "mentions")
     table = materialize(surrogate_table(materialize(parts.select("type", "canonical").distinct(), "entities"), key), "surrogates")
     new = parts.join(table, ["type", "canonical"]).select("_pii_row", F.struct("pos", rendered(F.col("type"), F.col("mention"), F.col("surrogate")).alias("new")).alias("part"))
     lists = materialize(new.groupBy("_pii_row").agg(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["new"]).alias("_pii_new")), "lists")
-    gaps = F.split(F.col(text_col), ANY, -1)
+    gaps = F.split(F.col(text_col), F.col("_pii_re"), -1)
     text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_pii_new"), i), F.lit("")))), "")
     changed = hits.join(lists, "_pii_row").withColumn(text_col, text).withColumn("n_entities", F.size("_pii_new").cast("bigint"))
     return clean.unionByName(changed.select(*clean.columns))

@@ -96,3 +96,18 @@ def test_empty(spark):
 def test_given_names_are_permuted():
     table = pii._given_table("k")
     assert sorted(table) == sorted(table.values()) and all(a != b for a, b in table.items())
+
+
+def test_later_lone_names_and_all_words_behind_a_title(spark):
+    rows = [(1, "John Smith came. John said no, SMITH said yes; Smith's car, Smithson and Johnny not."), (2, "Mr. Miguel Torres wrote. Torres and Miguel left."), (3, "Smith alone, unknown here")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    m = re.fullmatch(r"(\w+) (\w+) came\. (\w+) said no, (\w+) said yes; (\w+)'s car, Smithson and Johnny not\.", got[1])
+    assert m[1] == m[3] != "John" and m[2] == m[5] != "Smith" and m[4] == m[2].upper()
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) wrote\. (\w+) and (\w+) left\.", got[2])
+    assert m[1] == m[4] != "Miguel" and m[2] == m[3] != "Torres" and got[3] == rows[2][1]
+
+
+@pytest.mark.parametrize("number", ["5551234567", "555 123 4567", "0151 23456789", "01512345678", "01 23 45 67 89"])
+def test_national_numbers(spark, number):
+    ((text, n),) = [(r["text"], r["n_entities"]) for r in pii.pseudonymize(spark.createDataFrame([(1, f"Call {number}, at 3.5551234567 or 1700000000")], "doc_id bigint, text string")).collect()]
+    assert n == 1 and f"Call {number}" not in text and re.sub(r"\d", "0", text) == re.sub(r"\d", "0", f"Call {number}, at 3.5551234567 or 1700000000") and text.endswith(", at 3.5551234567 or 1700000000")
