@@ -1,13 +1,17 @@
 """Mixing to target weights with soft domain membership, by DataFrame functions alone.
 
 1. A Gaussian naive Bayes classifier is fitted to a labelled table (doc_id, domain): one aggregate over its rows gives the means and variances
-   of a few dense text features in each domain. It predicts a distribution over the domains for every document, rounded to a grid of 1/GRID.
+   of a few dense text features in each domain. It predicts a distribution over the domains for every document.
 2. Projected gradient descent fits document rates r with 0 <= r <= max_rate so that the expected tokens of every domain, the sum of
    tokens * posterior * r, match the targets in the least-squares sense of relative errors. Steps are taken in the metric of the documents' tokens,
    so a rate moves by its posterior times the residuals of the domains. Without a max_rate the residuals are scaled by the inverse of the domains'
-   shared tokens, by which domains that overlap settle as fast as others. A document's rate depends on its posterior and the residuals so far
-   alone; hence documents of one posterior are summed to a cell first, each iteration is a job over cells, and only the residuals,
-   one number a domain, reach the driver. Rates of documents are then an expression of their own columns: no join.
+   shared tokens, by which domains that overlap settle as fast as others. A document's rate follows from the residuals so far and from
+   its posterior on a grid of 1/GRID; hence documents of one grid cell are summed first (their tokens by their exact posteriors), each
+   iteration is a job over cells, and only the residuals, one number a domain, reach the driver. Rates of documents are then an
+   expression of their own columns: no join.
+
+Every step of the model is a column of its own and the only lambda holds columns alone, so a plan grows with the domains and the iterations, never with their
+product, and the text is measured once, into a written table.
 """
 
 from __future__ import annotations
@@ -15,12 +19,14 @@ from __future__ import annotations
 import math
 import warnings
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import materialize
+from attesta.llm.common import discard, materialize
 
 GRID = 256
 ITERATIONS = 80
@@ -59,20 +65,21 @@ class DomainModel:
     means: list[list[float]]
     variances: list[list[float]]
 
-    def posterior(self, x: Column) -> Column:
-        """The distribution over the domains as an array of multiples of 1/GRID."""
-        logs = []
-        for prior, mean, var in zip(self.priors, self.means, self.variances, strict=True):
+    def rated(self, docs: DataFrame, x: str = "_x") -> DataFrame:
+        """Adds _p, the distribution over the domains, and _q, the same on the grid, both arrays. Each step is a projection of its own."""
+        k = range(len(self.domains))
+        logs = {}
+        for i, (prior, mean, var) in enumerate(zip(self.priors, self.means, self.variances, strict=True)):
             total = F.lit(math.log(prior) - sum(math.log(v) for v in var) / 2 if prior else -math.inf)
             for j, (m, v) in enumerate(zip(mean, var, strict=True)):
-                total = total - (x[j] - m) * (x[j] - m) / (2 * v)
-            logs.append(total)
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        mass = F.transform(F.array(*logs), lambda v: F.exp(v - top))
-        total = F.aggregate(mass, F.lit(0.0), lambda a, v: a + v)
-        cells = F.transform(mass, lambda v: F.rint(v / total * GRID))
-        whole = F.aggregate(cells, F.lit(0.0), lambda a, v: a + v)
-        return F.transform(cells, lambda v: v / whole)
+                total = total - (F.col(x)[j] - m) * (F.col(x)[j] - m) / (2 * v)
+            logs[f"_l{i}"] = total
+        out = docs.withColumns(logs).withColumn("_top", F.greatest(*logs) if len(logs) > 1 else F.col("_l0"))
+        out = out.withColumns({f"_m{i}": F.exp(F.col(f"_l{i}") - F.col("_top")) for i in k}).withColumn("_mass", reduce(add, (F.col(f"_m{i}") for i in k)))
+        out = out.withColumns({f"_p{i}": F.col(f"_m{i}") / F.col("_mass") for i in k}).withColumns({f"_c{i}": F.rint(F.col(f"_p{i}") * GRID) for i in k})
+        out = out.withColumn("_whole", reduce(add, (F.col(f"_c{i}") for i in k)))
+        out = out.withColumns({"_p": F.array(*(f"_p{i}" for i in k)), "_q": F.array(*(F.col(f"_c{i}") / F.col("_whole") for i in k))})
+        return out.drop("_top", "_mass", "_whole", *(f"_{n}{i}" for n in "lmpc" for i in k))
 
 
 def fit_domains(labelled: DataFrame, domains: list[str]) -> DomainModel:
@@ -91,11 +98,11 @@ def fit_domains(labelled: DataFrame, domains: list[str]) -> DomainModel:
     )
 
 
-def rate(p: Column, residuals: list[list[float]], max_rate: float | None) -> Column:
+def rate(q: Column, residuals: list[list[float]], max_rate: float | None) -> Column:
     """The rate that a posterior has after the gradient steps so far, each projected onto the allowed range; 1 before the first."""
 
     def step(r: Column, e: Column) -> Column:
-        moved = r - F.aggregate(F.zip_with(p, e, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        moved = r - reduce(add, (q[j] * e[j] for j in range(len(residuals[0]))))
         return F.greatest(F.lit(0.0), moved if max_rate is None else F.least(moved, F.lit(max_rate)))
 
     if not residuals:
@@ -123,8 +130,8 @@ class Mixture:
             warnings.warn(f"the mixture misses its targets, expected tokens: {', '.join(parts)}", stacklevel=2)
 
     def rated(self, docs: DataFrame) -> DataFrame:
-        """Adds _p (posteriors) and _rate to measured documents."""
-        return docs.withColumn("_p", self.model.posterior(F.col("_x"))).withColumn("_rate", rate(F.col("_p"), self.residuals, self.max_rate))
+        """Adds _p (posteriors), _q (on the grid) and _rate to measured documents."""
+        return self.model.rated(docs).withColumn("_rate", rate(F.col("_q"), self.residuals, self.max_rate))
 
 
 def fit_mixture(measured_docs: DataFrame, model: DomainModel, weights: dict[str, float], total_tokens: float | None = None, max_rate: float | None = 1.0, iterations: int = ITERATIONS) -> Mixture:
@@ -135,14 +142,16 @@ def fit_mixture(measured_docs: DataFrame, model: DomainModel, weights: dict[str,
     expected to have are left out and the other weights made up to one. Without tokens every rate stays 1.
     """
     k = len(model.domains)
-    cells = materialize(measured_docs.select("_tokens", model.posterior(F.col("_x")).alias("_p")).groupBy("_p").agg(F.sum("_tokens").cast("double").alias("_tokens")), "cells")
+    p, tokens = [F.col("_p")[j] for j in range(k)], F.col("_tokens").cast("double")
+    sums = [F.sum(p[j] * tokens).alias(f"t{j}") for j in range(k)] + [F.sum(p[i] * p[j] * tokens).alias(f"t{i}_{j}") for i in range(k) for j in range(k)]
+    cells = materialize(model.rated(measured_docs.select("_tokens", "_x")).groupBy("_q").agg(*sums), "cells")
 
     def expected(residuals: list[list[float]], more: tuple[Column, ...] = ()) -> list[float]:
-        r = rate(F.col("_p"), residuals, max_rate)
-        sums = cells.select("_p", "_tokens", (F.col("_tokens") * r).alias("t")).agg(*(F.sum(F.col("_p")[j] * F.col("t")) for j in range(k)), *more).first()
-        return [float(s or 0.0) for s in sums]
+        """The domains' expected tokens under the rates: exact sums, as all documents of a cell have one rate."""
+        rated = cells.withColumn("_r", rate(F.col("_q"), residuals, max_rate))
+        return [float(s or 0.0) for s in rated.agg(*(F.sum(F.col(f"t{j}") * F.col("_r")) for j in range(k)), *more).first()]
 
-    pairs = tuple(F.sum(F.col("_p")[i] * F.col("_p")[j] * F.col("_tokens")) for i in range(k) for j in range(k))
+    pairs = tuple(F.sum(f"t{i}_{j}") for i in range(k) for j in range(k))
     first = expected([], pairs)
     have, shared = first[:k], np.array(first[k:]).reshape(k, k)
     wanted = [weights[d] if have[j] > 0 else 0.0 for j, d in enumerate(model.domains)]
@@ -161,7 +170,10 @@ def fit_mixture(measured_docs: DataFrame, model: DomainModel, weights: dict[str,
         if max(map(abs, gap)) < TOLERANCE:
             break
         residuals.append(np.linalg.solve(metric, np.subtract(now, targets)).tolist())
-        now = expected(residuals)
+        before, now = now, expected(residuals)
+        if np.allclose(now, before, rtol=TOLERANCE / 100, atol=0):  # the targets are out of the rates' reach
+            break
+    discard(cells)
     return Mixture(model, targets, residuals, max_rate, now)
 
 
@@ -185,13 +197,29 @@ def label_domains(labels: DataFrame) -> DataFrame:
 WEIGHTS = {"good": 0.93, "low": 0.05, "toxic": 0.02}
 
 
-def mixture_for(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0) -> tuple[Mixture, DataFrame]:
-    """The fitted mixture and the measured documents (doc_id, _tokens, _x) it was fitted to."""
-    held = materialize(measured(docs.select("doc_id", "text")).drop("text"), "measured")
+def mixture_for(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0, keep: tuple[str, ...] = ()) -> tuple[Mixture, DataFrame]:
+    """The fitted mixture and the written table of measured documents (doc_id, the columns of `keep`, _tokens, _x) that it was fitted to, one row a document row.
+
+    Rows that repeat a doc_id are measured and rated each; rows without one are rated as well and teach nothing.
+    """
+    held = materialize(measured(docs.select("doc_id", "text", *keep)).drop("text"), "measured")
     labelled = held.join(label_domains(labels), "doc_id").select("domain", "_x")
     return fit_mixture(held, fit_domains(labelled, list(weights)), weights, max_rate=max_rate), held
 
 
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The documents as often as their fitted rates draw them, with the columns of docs, whatever their names.
+
+    A rate above 1 repeats its document, so the tokens stay as many and scarce domains thin no other. The documents travel
+    with their measurements in one written table: repeated or null ids need no join. An empty table gives no rows.
+    """
+    packed = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
+    mixture, held = mixture_for(packed, labels, weights, max_rate=None, keep=("_doc",))
+    mixture.report()
+    drawn = mixture.rated(held).withColumn("_copies", copies(F.col("_rate"))).where("_copies > 0")
+    return drawn.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """Per document: doc_id, tokens, domain (of the largest posterior), p_<domain>, rate, copies (how often the draw takes it), kept (once or more)."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
@@ -199,12 +227,13 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     mixture.report()
     domains = mixture.model.domains
     best = F.array_position("_p", F.array_max("_p")).cast("int")
-    return mixture.rated(held).select(
+    rated = mixture.rated(held).withColumn("copies", copies(F.col("_rate")))
+    return rated.select(
         "doc_id",
         F.col("_tokens").alias("tokens"),
         F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"),
         *(F.col("_p")[j].alias(f"p_{d}") for j, d in enumerate(domains)),
         F.col("_rate").alias("rate"),
-        copies(F.col("_rate")).alias("copies"),
-        (copies(F.col("_rate")) > 0).alias("kept"),
+        "copies",
+        (F.col("copies") > 0).alias("kept"),
     )

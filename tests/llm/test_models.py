@@ -88,18 +88,48 @@ def test_mixture_equals_brute_force(spark):
     table = spark.createDataFrame([*labels, (1, None, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     mixture, held = mixing.mixture_for(docs, table, {"good": 0.9, "low": 0.06, "toxic": 0.04})
     got = mixture.rated(held).toPandas()
-    p, t = np.array(got["_p"].tolist()), got["_tokens"].to_numpy(float)
-    assert len(got) == 302 and np.allclose(p.sum(1), 1)
+    p, q, t = np.array(got["_p"].tolist()), np.array(got["_q"].tolist()), got["_tokens"].to_numpy(float)
+    assert len(got) == 302 and np.allclose(p.sum(1), 1) and np.allclose(q.sum(1), 1) and np.abs(p - q).max() < 2 / mixing.GRID
     r, have = np.ones(len(got)), p.T @ t
     for _ in range(mixing.ITERATIONS):
         gap = (p.T @ (t * r) - mixture.targets) / have
         if np.abs(gap).max() < mixing.TOLERANCE:
             break
-        r = np.clip(r - p @ gap, 0, 1)
+        r = np.clip(r - q @ gap, 0, 1)
     assert np.allclose(r, got["_rate"], atol=1e-6)
     assert np.allclose(p.T @ (t * r), mixture.targets, rtol=0.01)
 
 
+def test_posteriors_equal_brute_force(spark, docs):
+    rng = np.random.default_rng(12)
+    model = mixing.DomainModel(["a", "b", "c"], [0.5, 0.5, 0.0], rng.normal(0, 1, (3, 6)).tolist(), rng.uniform(0.2, 2, (3, 6)).tolist())
+    held = mixing.measured(docs.drop("_tokens")).toPandas()
+    got = np.array(model.rated(mixing.measured(docs.drop("_tokens"))).toPandas()["_p"].tolist())
+    for x, p in zip(held["_x"], got, strict=True):
+        logs = [np.log(w) - sum(np.log(v) / 2 + (a - m) ** 2 / (2 * v) for a, m, v in zip(x, mean, var, strict=True)) if w else -np.inf for w, mean, var in zip(model.priors, model.means, model.variances, strict=True)]
+        e = np.exp(np.array(logs) - max(logs))
+        assert np.allclose(p, e / e.sum())
+
+
+def test_the_plan_grows_with_the_domains_and_steps_only(spark, tmp_path):
+    """The features are measured once a document whatever the number of steps, and no step is evaluated inside another."""
+    docs = spark.createDataFrame([(1, "some words")], "doc_id bigint, text string")
+    model = mixing.DomainModel(["a", "b"], [0.5, 0.5], [[0.0] * 6, [1.0] * 6], [[1.0] * 6] * 2)
+
+    def size(steps):
+        frame = mixing.Mixture(model, [1.0, 1.0], [[0.1, 0.2]] * steps, None, [1.0, 1.0]).rated(mixing.measured(docs))
+        return str(frame._jdf.queryExecution().optimizedPlan())
+
+    assert size(8).count("regexp_count") <= 4 and len(size(40)) < len(size(20)) + 40 * len(size(0)) / 20
+
+
+def test_mixed_keeps_repeats_nameless_rows_and_clashing_columns(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    twice = docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
+    got = mixing.mixed(twice.withColumn("_copies", F.lit("clash")), labels)
+    assert got.columns == [*docs.columns, "_copies"] and got.count() == 35 and got.where("doc_id is null").count() == 1
+
+
 def test_scarce_domain_thins_no_other(spark):
     kinds = {"good": "plain words that go on and on without end or marks {}", "low": "## ## || || {} ## || ##", "toxic": "you idiot moron scum {} trash loser"}
     pick = lambda k: "toxic" if k % 500 == 7 else "low" if k % 20 == 3 else "good"
