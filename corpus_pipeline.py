@@ -41,10 +41,7 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn by their fitted rates; a rate above 1 repeats its document, so the tokens stay as many and scarce domains thin no other."""
-    mixture, _ = mixing.mixture_for(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_rate=None)
-    mixture.report()
-    drawn = mixture.rated(mixing.measured(docs)).withColumn("_copies", mixing.copies(F.col("_rate"))).where("_copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
