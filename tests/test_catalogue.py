@@ -1,6 +1,5 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
-import math
 import os
 
 import duckdb
@@ -26,7 +25,7 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return None
         return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
