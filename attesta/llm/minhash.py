@@ -6,18 +6,19 @@ Coordinates of two sets agree with the probability of their similarity and with
 O(n + t log t) hashes where plain MinHash takes n t.
 
 Bands of `rows` coordinates make candidates. The number of bands follows from the threshold, so that a pair exactly at it is
-missed with a probability below `miss` (1e-6). Links come in rounds, none of which emits all pairs of a large bucket:
-
-1. documents of the same shingle set collapse to one;
-2. every set is verified against the smallest set that shares a bucket with it (one pair a set at most); linked sets get a label in common;
-3. in buckets of LARGE sets or fewer every pair of two labels is verified: at most LARGE a set;
-4. the sets that share a larger bucket of several labels get a second sketch with bands so long that FINE_BANDS are needed for the same
-   probability of a miss; there the first sets of the labels are verified against each other, and then every pair left of two labels.
-   So a crowd of versions that are alike, but not enough, is told apart by many cheap bands instead of by its pairs.
-
-Pairs inside a component need no link more: they are reachable already. Nothing is capped or dropped.
-
-Verification is on the full sets, computed again from the texts of the candidates, not on sketches or hashes.
+missed with a probability below `miss` (1e-6). The candidates are the pairs of sets that share a bucket. They are not emitted:
+
+1. documents of the same words collapse to one set of shingles;
+2. every set is verified against one set it shares a bucket with, the one whose buckets hold most members: in a group of versions that is the text that
+   the others are versions of. Sets linked so far get a label in common; a pair of one label needs no link more;
+3. sets in buckets of several labels are paired by an exact filter: put the shingles of all these sets in one order, rarest first. Two sets of sizes
+   a <= b can only be linked if they share ceil(t (a + b) / (1 + t)) shingles, so the first one they share stands so near the start of both that as many
+   can follow. Only such leading shingles are joined, by size classes, and only in groups of more than one label, those of other labels than
+   the most frequent one against all. A crowd of versions with changes of their own has nothing but unshared shingles there and gives no pairs.
+   The pairs that remain and share a band are verified.
+
+The filter is exact, whatever the size of a bucket or group; nothing is capped or dropped. Verification is on the full sets, computed again from the
+texts of the candidates, not on sketches or hashes.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ from attesta.llm.common import connected_components, discard, materialize
 WORDS = 5
 ROWS = 6
 MISS = 1e-6
-#: Buckets of more sets are told apart by longer bands, of which there are FINE_BANDS at most.
-LARGE = 32
-FINE_BANDS = 700
+#: Size classes for each factor of the threshold; more make the filter closer and its rows more.
+CLASSES = 4
 
 
 def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -44,11 +44,6 @@ def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
 
-def fine_rows(percent: int) -> int:
-    """The longest bands of which FINE_BANDS suffice."""
-    return max(r for r in range(1, 64) if band_count(percent, r) <= FINE_BANDS or r == 1)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ after A-Z become lower case; bytes.lower and bytes.split follow ASCII exactly so."""
     return (text or "").encode().lower().split()
@@ -132,7 +127,7 @@ def band_keys(coordinates, rows: int):
 
 
 def sketches(docs: DataFrame, percent: int, k: int = WORDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_key (16 bytes, equal for equal sets; null for the empty set), bands."""
+    """doc_id, text_hash, n_shingles, set_key (a digest of the words; null without any), bands."""
     bands = band_count(percent, rows)
 
     def run(batches):
@@ -142,9 +137,10 @@ def sketches(docs: DataFrame, percent: int, k: int = WORDS, rows: int = ROWS) ->
         for batch in batches:
             sizes, keys, found = [], [], []
             for text in batch.column("text").to_pylist():
-                h = shingle_hashes(words_of(text), k)
+                words = words_of(text)
+                h = shingle_hashes(words, k)
                 sizes.append(len(h))
-                keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(h) else None)
                 if len(h):
                     found.append(band_keys(sketch(h, bands * rows), rows))
             offsets = np.concatenate([[0], np.cumsum([bands if n else 0 for n in sizes])]).astype(np.int32)
@@ -178,7 +174,7 @@ def linked(a: list[bytes], b: list[bytes], percent: int, k: int = WORDS) -> bool
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) of set keys with `ok`, whether they are links. texts: set_key and the text of one document of each set."""
+    """The pairs (a, b) of sets with `ok`, whether they are links. texts: set and the text of one document of it."""
 
     def run(batches):
         import pyarrow as pa
@@ -188,49 +184,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
             ok = [linked(held_words(x), words_of(y), percent, k) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    both = pairs.join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, ok boolean"), "links")
-
+    both = pairs.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, ok boolean"), "links")
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(set_key, label): sets of one label are connected, though not all that are connected need have one label yet.
-
-    A set takes its smallest neighbour and then twice the label of its label, which is all that a star needs.
-    """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(both.groupBy(F.col("a").alias("set_key")).agg(F.least(F.min("b"), F.col("set_key")).alias("label")), "labels")
-    for _ in range(2):
-        far = labels.select(F.col("set_key").alias("label"), F.col("label").alias("far"))
-        labels = materialize(labels.join(far, "label", "left").select("set_key", F.coalesce("far", "label").alias("label")), "labels")
-    return labels
 
+def _stars(live: DataFrame) -> DataFrame:
+    """(a, b): every set b of a bucket (bucket, set, members) and the set a of its buckets that has most company, if that is another."""
+    company = materialize(live.groupBy("set").agg(F.sum("members").alias("company")), "company")
+    named = live.select("bucket", "set").join(company, "set")
+    centres = materialize(named.groupBy("bucket").agg(F.max(F.struct("company", F.col("set").alias("centre"))).alias("best")), "centres")
+    chosen = live.select("bucket", "set").join(centres, "bucket").groupBy("set").agg(F.max("best").alias("best"))
+    stars = materialize(chosen.select(F.col("best.centre").alias("a"), F.col("set").alias("b")).where("a <> b"), "stars")
+    discard(company, centres)
+    return stars
 
-def _mixed(live: DataFrame, done: DataFrame) -> DataFrame:
-    """The rows (bucket, set_key, n, label, low, members) of buckets with sets of more than one label; low is the smallest label there."""
-    labelled = live.join(_labels(done.where("ok")), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    mixed = materialize(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high").drop("high"), "mixed")
-    return materialize(labelled.select("bucket", "set_key", "n", "label").join(mixed, "bucket"), "open")
 
+def _open(live: DataFrame, done: DataFrame) -> DataFrame:
+    """(set, label) of the sets in buckets of several labels; sets of one label are connected by links."""
+    components = connected_components(done.where("ok"))
+    labels = materialize(live.select("set").distinct().join(components.select(F.col("node").alias("set"), "component"), "set", "left").select("set", F.coalesce("component", "set").alias("label")), "labels")
+    labelled = live.select("bucket", "set").join(labels, "set")
+    mixed = materialize(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "mixed")
+    open_ = materialize(live.join(mixed, "bucket").select("set").distinct().join(labels, "set"), "open")
+    discard(labels, mixed)
+    return open_
 
-def _heads(open_: DataFrame) -> DataFrame:
-    """In every bucket the first set of each label against the first set of the smallest one."""
-    heads = open_.groupBy("bucket", "low", "label").agg(F.min(F.struct("set_key", "n")).alias("head"))
-    low = heads.where("label = low").select("bucket", F.col("head.set_key").alias("x"), F.col("head.n").alias("n_a"))
-    return heads.where("label <> low").select("bucket", F.col("head.set_key").alias("y"), F.col("head.n").alias("n_b")).join(low, "bucket")
 
+def needed(a, b, percent: int):
+    """How many shingles two sets of sizes a and b must share to be linked; for integers and columns."""
+    return ((a + b) * percent + (99 + percent)) / (100 + percent)
 
-def _across(open_: DataFrame) -> DataFrame:
-    """All pairs of sets of two labels in a bucket; pairs of one label are never made."""
-    ends = open_.select("bucket", "label").distinct()
-    ends = ends.select("bucket", F.col("label").alias("label_a")).join(ends.select("bucket", F.col("label").alias("label_b")), "bucket").where("label_a < label_b")
-    left = open_.select("bucket", F.col("label").alias("label_a"), F.col("set_key").alias("x"), F.col("n").alias("n_a"))
-    right = open_.select("bucket", F.col("label").alias("label_b"), F.col("set_key").alias("y"), F.col("n").alias("n_b"))
-    return ends.join(left, ["bucket", "label_a"]).join(right, ["bucket", "label_b"])
 
+def _leading(open_: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """The leading shingles of open sets: (shingle, class, lesser, set, label, n, pos), pos from 1 in the order from rare to frequent.
 
-def _fine_buckets(crowded: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """The buckets (bucket, set_key, n) of two or more that longer bands make of the sets in crowded ones."""
-    rows, bands = fine_rows(percent), band_count(percent, fine_rows(percent))
+    A set stands under the class of its own size as the lesser of a pair, and under every class of size a lesser partner can have as the greater.
+    """
 
     def run(batches):
         import numpy as np
@@ -239,15 +228,46 @@ def _fine_buckets(crowded: DataFrame, texts: DataFrame, percent: int, k: int) ->
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sets = [shingle_hashes(words_of(t), k) for t in part.column("text").to_pylist()]
-                keys = [band_keys(sketch(h, bands * rows), rows) for h in sets]
-                offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([part.column("set_key"), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))], ["set_key", "n", "bands"])
-
-    found = texts.join(crowded, "set_key").select("set_key", "text").mapInArrow(run, "set_key binary, n bigint, bands array<bigint>")
-    buckets = materialize(found.select("set_key", "n", F.explode("bands").alias("bucket")), "fine_bands")
-    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"), "fine_shared")
-    return materialize(buckets.join(shared, "bucket"), "fine")
+                sets = [shingle_hashes(words_of(t), k).view(np.int64) for t in part.column("text").to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("set"), part.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["set", "label", "shingles"])
+
+    hashed = materialize(texts.join(open_, "set").select("set", "label", "text").mapInArrow(run, "set bigint, label bigint, shingles array<bigint>"), "shingles")
+    each = hashed.select("set", "label", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle"))
+    often = materialize(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    order = each.join(often, "shingle").groupBy("set", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    width = math.log(100 / percent) / CLASSES
+    class_of = lambda n: F.floor(F.log(n.cast("double")) / width)
+    n = F.col("n")
+    small = F.ceil(n * percent / 100)
+    roles = F.concat(
+        F.array(F.struct(class_of(n).alias("class"), F.lit(True).alias("lesser"), (n - F.floor(needed(n, n, percent)) + 1).alias("limit"))),
+        F.transform(
+            F.sequence(class_of(small), class_of(n)),
+            lambda c: F.struct(c.alias("class"), F.lit(False).alias("lesser"), (n - F.floor(needed(F.greatest(small, F.floor(F.exp(c * width)) - 1), n, percent)) + 1).alias("limit")),
+        ),
+    )
+    spots = order.select("set", "label", "n", (n - F.size("common")).alias("rare"), "common", F.explode(roles).alias("role")).where("role.limit > rare")
+    led = spots.select("set", "label", "n", "rare", "role", F.posexplode(F.slice("common", F.lit(1), (F.col("role.limit") - F.col("rare")).cast("int"))).alias("at", "spot"))
+    led = materialize(led.select(F.col("spot.shingle").alias("shingle"), F.col("role.class").alias("class"), F.col("role.lesser").alias("lesser"), "set", "label", "n", (F.col("rare") + F.col("at") + 1).alias("pos")), "leading")
+    discard(hashed, often)
+    return led
+
+
+def _pairs(led: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets of two labels that the leading shingles leave possible."""
+    key = ["shingle", "class"]
+    counts = led.groupBy(*key, "label").agg(F.count("*").alias("c"))
+    main = materialize(counts.groupBy(*key).agg(F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select(*key, F.col("main.label").alias("main")), "main")
+    rows = materialize(led.join(main, key), "contested")
+    few = rows.where("label <> main").select(*key, F.col("lesser").alias("x_lesser"), F.col("set").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"))
+    need = F.floor(needed(F.col("x_n"), F.col("n"), percent))
+    before = (F.col("x_n") < F.col("n")) | ((F.col("x_n") == F.col("n")) & (F.col("x") < F.col("set")))
+    met = few.join(rows, key).where((F.col("x_label") != F.col("label")) & (F.col("x_lesser") != F.col("lesser")) & (F.col("x_lesser") == before))
+    met = met.where((F.col("x_pos") <= F.col("x_n") - need + 1) & (F.col("pos") <= F.col("n") - need + 1) & (100 * F.least("x_n", "n") >= percent * F.greatest("x_n", "n")))
+    pairs = materialize(met.select(F.least("x", "set").alias("a"), F.greatest("x", "set").alias("b")).distinct(), "pairs")
+    discard(main, rows)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, percent: int, k: int = WORDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,40 +280,35 @@ def near_duplicates(docs: DataFrame, percent: int, k: int = WORDS, rows: int = R
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     rows_ = materialize(sketches(source, percent, k, rows), "sketches")
     with_set = rows_.where("set_key is not null and doc_id is not null")
-    sets = materialize(
-        with_set.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n"))
-        .select("set_key", "first.doc_id", "first.text_hash", "n", "bands"),
-        "sets",
-    )
-    buckets = sets.select("set_key", "n", F.explode("bands").alias("bucket"))
-    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_key").alias("least")).where("members > 1").drop("members"), "shared")
+    sets = with_set.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("bands").alias("bands"))
+    sets = materialize(sets.select("set_key", "first.doc_id", "first.text_hash", "bands", F.monotonically_increasing_id().alias("set")), "sets")
+    buckets = sets.select("set", F.explode("bands").alias("bucket"))
+    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     live = materialize(buckets.join(shared, "bucket"), "buckets")
-    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"  # no two sets can be more similar than their sizes
-
-    candidates = sets.join(live.select("set_key").distinct(), "set_key").select("set_key", "doc_id", "text_hash")
-    texts = materialize(source.where("text is not null").join(candidates, ["doc_id", "text_hash"]).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
-
-    def settle(done: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Verifies pairs that have not been verified yet."""
-        pairs = pairs.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        return done if pairs.isEmpty() else done.unionByName(_verified(pairs, texts, percent, k))
-
-    first = live.where("set_key <> least").groupBy("set_key").agg(F.min("least").alias("a")).select("a", F.col("set_key").alias("b"))
-    done = _verified(first, texts, percent, k)
-    open_ = _mixed(live, done)
-    crowded = materialize(open_.where(F.col("members") > LARGE).select("set_key").distinct(), "crowded")
-    done = settle(done, _across(open_.where(F.col("members") <= LARGE)))
-    if not crowded.isEmpty():
-        fine = _fine_buckets(crowded, texts, percent, k)
-        done = settle(done, _heads(_mixed(fine, done)))
-        done = settle(done, _across(_mixed(fine, done)))
-    repeated = with_set.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("high")).where("a <> high").select("doc_id", "a")
-    repeated = with_set.join(repeated, "doc_id").select("a", F.col("set_key").alias("b"))
-    components = connected_components(done.where("ok").select("a", "b").unionByName(repeated))
-    members = with_set.select("doc_id", "set_key").join(components.withColumnRenamed("node", "set_key"), "set_key", "left").select("doc_id", F.coalesce("component", "set_key").alias("label"))
-    members = materialize(members.distinct(), "members")
-    reached = members.join(members.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "component_id")
+    candidates = sets.join(live.select("set").distinct(), "set").select("set", "doc_id", "text_hash")
+    texts = materialize(source.where("text is not null").join(candidates, ["doc_id", "text_hash"]).select("set", "text").dropDuplicates(["set"]), "texts")
+
+    stars = _stars(live)
+    done = _verified(stars, texts, percent, k)
+    open_ = _open(live, done)
+    links = done
+    if not open_.isEmpty():
+        led = _leading(open_, texts, percent, k)
+        pairs = _pairs(led, percent).join(done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        bands = sets.select("set", "bands")
+        pairs = pairs.join(bands.select(F.col("set").alias("a"), F.col("bands").alias("bands_a")), "a").join(bands.select(F.col("set").alias("b"), F.col("bands").alias("bands_b")), "b")
+        pairs = materialize(pairs.where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b"), "pairs")
+        links = links.unionByName(_verified(pairs, texts, percent, k))
+        discard(led, pairs)
+    nodes = with_set.select("doc_id", "set_key").join(sets.select("set_key", "set"), "set_key").select("doc_id", "set")
+    nodes = materialize(nodes.distinct(), "nodes")
+    repeated = nodes.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("high")).where("a <> high").select("doc_id", "a")
+    repeated = nodes.join(repeated, "doc_id").select("a", F.col("set").alias("b"))
+    components = connected_components(links.where("ok").select("a", "b").unionByName(repeated))
+    members = materialize(nodes.join(components.withColumnRenamed("node", "set"), "set", "left").select("doc_id", F.coalesce("component", "set").alias("label")).distinct(), "members")
+    low = materialize(members.groupBy("label").agg(F.min("doc_id").alias("component_id")), "lows")
+    reached = materialize(members.join(low, "label").select("doc_id", "component_id"), "reached")
+    discard(sets, shared, live, texts, stars, open_, done, links, nodes, members, low, components)
     return (
         rows_.select("doc_id", "n_shingles").join(reached, "doc_id", "left")
         .select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

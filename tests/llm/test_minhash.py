@@ -39,18 +39,35 @@ def test_components_equal_brute_force(docs, rows, percent):
     assert found(minhash.near_duplicates(docs, percent)) == brute([r[:2] for r in rows], percent)
 
 
-def test_a_crowd_of_versions_goes_through_the_long_bands(spark, monkeypatch):
-    """With every bucket of three or more counted as large, pairs that only share such a bucket are found by the long bands."""
-    monkeypatch.setattr(minhash, "LARGE", 2)
-    r = random.Random(5)
+@pytest.mark.parametrize("percent", [80, 85])
+def test_crowds_of_versions_equal_brute_force(spark, percent):
+    """Versions of two texts with 0 to 9 changes, near the threshold on both sides, some of which build on each other; no text they derive from need be there."""
+    r = random.Random(percent)
+    rows = []
+    for base in (words(9, 150), words(10, 60)):
+        made = [base.split()]
+        for k in range(90):
+            w = list(made[r.randrange(len(made))] if k % 3 == 0 else made[0])
+            for _ in range(k % 10):
+                at = r.randrange(len(w))
+                w[at : at + r.randint(0, 2)] = [f"edit{r.random()}"]
+            made.append(w)
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(made[1:])]
+    assert found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent)) == brute(rows, percent)
+
+
+def test_a_crowd_makes_few_pairs(spark):
+    """Versions that differ from their text too much to be linked are told apart without pairing them."""
     base = words(9, 150).split()
     rows = []
-    for k in range(60):
+    for k in range(300):
         w = list(base)
-        for _ in range(k % 6):
-            w[r.randrange(len(w))] = f"edit{k}"
-        rows.append((k, " ".join(w)))
-    assert found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85)) == brute(rows, 85)
+        for j in range(6):
+            w[(37 * k + 23 * j) % 150] = f"edit{k}x{j}"
+        rows.append((k, k, " ".join(w)))
+    texts = spark.createDataFrame(rows, "set bigint, label bigint, text string")
+    pairs = minhash._pairs(minhash._leading(texts.select("set", "label"), texts.select("set", "text"), 85, 5), 85)
+    assert pairs.count() < 300
 
 
 def test_empty_nameless_and_repeated_rows(spark, empty):
