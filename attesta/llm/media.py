@@ -1,13 +1,18 @@
 """Cropped or edited copies of images by local descriptors.
 
-An image is a binary PGM (P5) column. Corners (Harris response, local maxima) are found at several scales; each gets an orientation
-from the intensity centroid of its patch and a descriptor of 256 binary tests turned by it. A descriptor is cut into TABLES parts of 256 / TABLES
-bits; two descriptors within TABLES - 1 bits of each other share a part whole, so an equality join over the parts (a table each)
-finds every such pair, and the full Hamming distance is checked after. A pair of images is a copy if enough descriptor pairs agree on one
-similarity transform (scale, rotation, shift), found by votes over the transform that each pair proposes.
-
-Equal images are one class: classes are described and joined once, so groups of identical images are never expanded into pairs.
-The number of corners kept an image (CORNERS) is a parameter of the descriptor, not a cap on partners or candidates.
+An image is a binary PGM (P5) column. Corners (Harris response, all local maxima that stand out) are found on every level of a pyramid whose levels
+shrink by the root of two; each gets an orientation from the intensity centroid of its patch and a descriptor of 256 binary tests turned by it.
+
+A descriptor is cut into TABLES parts of 256 / TABLES bits. Of two descriptors within DISTANCE bits one part differs in one bit at most, as
+DISTANCE < 2 TABLES; so the queries' parts and all their neighbours at one bit are the keys of an equality join that finds every such pair, and the full
+Hamming distance is checked after. Distinct descriptors are joined, not corners. A pair of images is a copy if enough descriptor
+pairs agree on one similarity transform (scale, rotation, shift), found by votes over the transform that each pair proposes, in
+bins that overlap.
+
+The keys of the queries are also set in a bitmap of SLOTS bits, of one size whatever the number of queries, that goes to the tasks which describe the base:
+descriptors without a key in it are dropped where they arise, so the base is neither written nor shuffled as a whole. With more
+queries the bitmap fills and lets more through; it loses none. Equal images are one class: classes are described and joined once, so groups of
+identical images are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -18,14 +23,17 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import materialize
+from attesta.llm.common import discard, materialize
 
-SCALES = (1.0, 1.5)
-CORNERS = 24
+LEVEL = math.sqrt(2)
 BORDER = 13
+#: Corners below this share of the strongest response of their level do not stand out.
+STANDS_OUT = 0.003
 TABLES = 8
-DISTANCE = 24
-INLIERS = 9
+DISTANCE = 2 * TABLES - 1
+INLIERS = 4
+TURNS = 90
+SLOTS = 1 << 27
 DESCRIPTOR = "x float, y float, scale float, angle float, d0 bigint, d1 bigint, d2 bigint, d3 bigint"
 
 
@@ -50,14 +58,14 @@ def pixels_of(image: bytes | None):
 
 @lru_cache(maxsize=1)
 def _patterns():
-    """The offsets of the 256 tests, turned by 30 steps of 12 degrees, and of the disc for the centroid."""
+    """The offsets of the 256 tests, turned by TURNS steps, and of the disc for the centroid."""
     import numpy as np
 
     rng = np.random.default_rng(20240)
     tests = np.clip(rng.normal(0, 4.2, (512, 2)), -9, 9)
     turned = []
-    for step in range(30):
-        a = 2 * math.pi * step / 30
+    for step in range(TURNS):
+        a = 2 * math.pi * step / TURNS
         turned.append(np.rint(tests @ np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]])).astype(np.int64))
     y, x = np.mgrid[-8:9, -8:9]
     inside = x * x + y * y <= 64
@@ -95,13 +103,13 @@ def describe(stack):
     import numpy as np
 
     turned, disc = _patterns()
-    parts = []
-    for scale in SCALES:
-        level = stack.astype(np.float32) if scale == 1.0 else _shrunk(stack.astype(np.float32), scale)
+    parts, scale, level = [], 1.0, stack.astype(np.float32)
+    while min(stack.shape[1:]) / scale > 2 * BORDER + 2:
+        if scale > 1:
+            level = _shrunk(_box(stack.astype(np.float32), 1 if scale < 3 else 2), scale)
         n, h, w = level.shape
-        if min(h, w) <= 2 * BORDER + 2:
-            continue
         smooth = _box(level, 1)
+        softer = _box(smooth, 1)
         gy, gx = np.zeros_like(smooth), np.zeros_like(smooth)
         gy[:, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
         gx[:, :, 1:-1] = smooth[:, :, 2:] - smooth[:, :, :-2]
@@ -114,36 +122,59 @@ def describe(stack):
                     near = r[:, dy : dy + peak.shape[1], dx : dx + peak.shape[2]]
                     beaten = near > r[:, 1:-1, 1:-1] if (dy, dx) > (1, 1) else near >= r[:, 1:-1, 1:-1]
                     peak[beaten] = 0
-        flat = peak.reshape(n, -1)
-        keep = min(CORNERS, flat.shape[1])
-        best = np.argpartition(-flat, keep - 1, axis=1)[:, :keep]
-        strength = np.take_along_axis(flat, best, 1)
-        image, slot = np.nonzero(strength > np.maximum(10.0, 0.001 * strength.max(1, keepdims=True)))
-        at = best[image, slot]
-        y, x = at // peak.shape[2] + BORDER + 1, at % peak.shape[2] + BORDER + 1
+        image, y, x = np.nonzero(peak > np.maximum(10.0, STANDS_OUT * peak.max((1, 2), keepdims=True)))
+        y, x = y + BORDER + 1, x + BORDER + 1
         around = level[image[:, None], y[:, None] + disc[:, 1], x[:, None] + disc[:, 0]]
         around = around - around.min(1, keepdims=True)
         angle = np.arctan2((around * disc[:, 1]).sum(1), (around * disc[:, 0]).sum(1))
-        offsets = turned[np.rint(angle / (2 * math.pi / 30)).astype(int) % 30]
-        values = smooth[image[:, None], y[:, None] + np.clip(offsets[:, :, 1], -BORDER, BORDER), x[:, None] + np.clip(offsets[:, :, 0], -BORDER, BORDER)]
+        offsets = turned[np.rint(angle / (2 * math.pi / TURNS)).astype(int) % TURNS]
+        values = softer[image[:, None], y[:, None] + np.clip(offsets[:, :, 1], -BORDER, BORDER), x[:, None] + np.clip(offsets[:, :, 0], -BORDER, BORDER)]
         bits = np.packbits(values[:, :256] < values[:, 256:], axis=1).view(">i8").astype(np.int64)
         parts.append((image, (x * scale).astype(np.float32), (y * scale).astype(np.float32), np.full(len(x), scale, np.float32), angle.astype(np.float32), bits))
+        scale *= LEVEL
     if not parts:
         empty = np.empty(0, np.float32)
         return np.empty(0, np.int64), empty, empty, empty, empty, np.empty((0, 4), np.int64)
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """One row per corner of the images (class_id, image); images that cannot be read or have no corner give none."""
+def part_keys(bits):
+    """(n, TABLES) keys of descriptors (n, 4): the part's number above its value."""
+    import numpy as np
+
+    width, per = 256 // TABLES, TABLES // 4
+    parts = [(bits[:, t // per].astype(np.int64).view(np.uint64) << np.uint64(t % per * width)) >> np.uint64(64 - width) for t in range(TABLES)]
+    return (np.stack(parts, 1) | (np.arange(TABLES, dtype=np.uint64) << np.uint64(width))).view(np.int64)
+
+
+def probes(keys):
+    """(n, TABLES * (width + 1)): the keys and all keys that differ from them in one bit of the value."""
+    import numpy as np
+
+    flips = np.concatenate([[0], 1 << np.arange(256 // TABLES, dtype=np.int64)])
+    return (keys[:, :, None] ^ flips).reshape(len(keys), -1)
+
+
+def _slot(keys):
+    import numpy as np
+
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).view(np.int64)
+
+
+def descriptors(images: DataFrame, bitmap=None) -> DataFrame:
+    """One row per corner of the images (class_id, image), with the keys of its parts; images that cannot be read or have no corner give none.
+
+    With a bitmap (a broadcast) only the keys set in it, and only corners that have one.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        names = ["class_id", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3", "keys"]
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 by_shape: dict[tuple, list] = {}
                 for key, image in zip(part.column("class_id").to_pylist(), part.column("image").to_pylist(), strict=True):
                     p = pixels_of(image)
@@ -151,44 +182,85 @@ def descriptors(images: DataFrame) -> DataFrame:
                         by_shape.setdefault(p.shape, []).append((key, p))
                 for group in by_shape.values():
                     n, x, y, s, a, bits = describe(np.stack([p for _, p in group]))
-                    keys = np.array([k for k, _ in group], np.int64)[n]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys, x, y, s, a, *(np.ascontiguousarray(bits[:, j]) for j in range(4)))], ["class_id", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"])
+                    found = part_keys(bits)
+                    ids = np.array([k for k, _ in group], np.int64)[n]
+                    held = np.ones(found.shape, bool)
+                    if bitmap is not None:
+                        slots = _slot(found)
+                        held = (bitmap.value[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    some = held.any(1)
+                    offsets = np.concatenate([[0], np.cumsum(held[some].sum(1))]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some][held[some]]))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v[some]) for v in (ids, x, y, s, a)), *(pa.array(np.ascontiguousarray(bits[some, j])) for j in range(4)), lists], names)
 
-    return images.select("class_id", "image").mapInArrow(run, f"class_id bigint, {DESCRIPTOR}")
+    return images.select("class_id", "image").mapInArrow(run, f"class_id bigint, {DESCRIPTOR}, keys array<bigint>")
 
 
-def _tables(described: DataFrame, rid: str) -> DataFrame:
-    """(key, rid): a row per descriptor and part, the key made of the part's number and value."""
-    bits = 256 // TABLES
-    per = 64 // bits
-    keys = F.array(*(F.shiftleft(F.lit(t).cast("bigint"), bits).bitwiseOR(F.shiftrightunsigned(F.shiftleft(F.col(f"d{t // per}"), (t % per) * bits), 64 - bits)) for t in range(TABLES)))
-    return described.select(F.explode(keys).alias("key"), F.col("rid").alias(rid))
+BITS = ("d0", "d1", "d2", "d3")
+
+
+def _probed(described: DataFrame) -> DataFrame:
+    """(q_d0 ... q_d3, key, word, bit): a row per distinct descriptor and probe, with the probe's place in the bitmap."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                bits = np.stack([np.asarray(part.column(f"q_{c}")) for c in BITS], 1)
+                keys = probes(part_keys(bits))
+                slots, each = _slot(keys.ravel()), keys.shape[1]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(bits[:, j], each)) for j in range(4)), pa.array(keys.ravel()), pa.array(slots >> 6), pa.array((slots & 63).astype(np.int32))], [*(f"q_{c}" for c in BITS), "key", "word", "bit"])
+
+    distinct = described.select(*(F.col(c).alias(f"q_{c}") for c in BITS)).distinct()
+    return distinct.mapInArrow(run, f"{', '.join(f'q_{c} bigint' for c in BITS)}, key bigint, word bigint, bit int")
+
+
+def _bitmap(probed: DataFrame):
+    """The words of the bitmap, SLOTS / 64 at most, on the driver and from there to the tasks."""
+    import numpy as np
+
+    words = np.zeros(SLOTS // 64, np.uint64)
+    rows = probed.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    words[np.asarray(rows.column("word"))] = np.asarray(rows.column("bits")).view(np.uint64)
+    return probed.sparkSession.sparkContext.broadcast(words)
+
+
+def met(described: DataFrame, probed: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(d0 ... d3, q_d0 ... q_d3): all pairs of distinct descriptors within `distance` bits, at most DISTANCE."""
+    values = described.groupBy(*BITS).agg(F.any_value("keys").alias("keys")).select(*BITS, F.explode("keys").alias("key"))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q_{c}"))) for c in BITS[1:]), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
+    return values.join(probed.select("key", *(f"q_{c}" for c in BITS)), "key").where(apart <= distance).select(*BITS, *(f"q_{c}" for c in BITS)).distinct()
 
 
 def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inliers: int = INLIERS) -> DataFrame:
     """Pairs (query_class, class_id, inliers) of images (class_id, image) of which the query is a cropped or edited copy of the base image.
 
-    Both sides hold one row per class. Every pair with `inliers` agreeing descriptors within `distance` bits that share a part is found.
-    The join over the parts carries keys and row numbers alone; descriptors are joined to the pairs of rows that it finds.
+    Both sides hold one row per class. Every pair with `inliers` agreeing corners whose descriptors are within `distance` bits is found. The transform of a pair
+    of images has a scale of any power of the root of two (others as far as descriptors bear them) and any rotation.
     """
-    q = materialize(descriptors(queries).withColumn("rid", F.monotonically_increasing_id()), "query_descriptors")
-    b = materialize(descriptors(base).withColumn("rid", F.monotonically_increasing_id()), "descriptors")
-    q_keys, b_keys = materialize(_tables(q, "q_rid"), "query_keys"), _tables(b, "rid")
-    met = materialize(b_keys.join(q_keys, "key").select("rid", "q_rid").distinct(), "met")
-    named = q.select(F.col("rid").alias("q_rid"), F.col("class_id").alias("query_class"), *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")))
-    near = met.join(named, "q_rid").join(b, "rid")
-    apart = sum((F.bit_count(F.col(f"d{j}").bitwiseXOR(F.col(f"q_d{j}"))) for j in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
-    near = near.where(apart <= distance)
+    q = materialize(descriptors(queries), "query_descriptors")
+    probed = materialize(_probed(q), "probes")
+    b = materialize(descriptors(base, _bitmap(probed)), "descriptors")
+    near = materialize(met(b, probed, distance), "met")
+    named = q.select(F.col("class_id").alias("query_class"), *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle", *BITS)))
+    pairs = near.join(named, [f"q_{c}" for c in BITS]).join(b.drop("keys"), list(BITS))
     turn = F.col("q_angle") - F.col("angle")
     ratio = F.col("q_scale") / F.col("scale")
     moved_x = F.col("q_x") - ratio * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y"))
     moved_y = F.col("q_y") - ratio * (F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y"))
-    votes = near.select(
-        "query_class", "class_id", "x", "y", F.rint(F.log2(ratio) * 2).cast("int").alias("zoom"), F.pmod(F.rint(turn / (math.pi / 6)), F.lit(12)).cast("int").alias("spin"),
-        F.explode(F.array(*(F.struct(F.floor((moved_x + dx) / 16).cast("int").alias("tx"), F.floor((moved_y + dy) / 16).cast("int").alias("ty"), F.lit(k).alias("grid")) for k, (dx, dy) in enumerate(((0, 0), (8, 0), (0, 8), (8, 8)))))).alias("cell"),
-    )
-    agreed = votes.groupBy("query_class", "class_id", "zoom", "spin", "cell").agg(F.count_distinct(F.round("x"), F.round("y")).alias("n")).where(F.col("n") >= inliers)
-    return agreed.groupBy("query_class", "class_id").agg(F.max("n").alias("inliers"))
+    twelfth = F.col("turn") / (math.pi / 6)
+    spins = [F.pmod(F.floor(twelfth + half), F.lit(12)).cast("int") for half in (0.0, 0.5)]
+    shifts = [(dx, dy) for dx in (0, 8) for dy in (0, 8)]
+    cells = [F.struct(spin.alias("spin"), F.floor((F.col("moved_x") + dx) / 16).cast("int").alias("tx"), F.floor((F.col("moved_y") + dy) / 16).cast("int").alias("ty"), F.lit(4 * i + j).alias("grid")) for i, spin in enumerate(spins) for j, (dx, dy) in enumerate(shifts)]
+    votes = pairs.select("query_class", "class_id", "x", "y", F.rint(F.log2(ratio) * 2).cast("int").alias("zoom"), turn.alias("turn"), moved_x.alias("moved_x"), moved_y.alias("moved_y"))
+    votes = votes.select("query_class", "class_id", "x", "y", "zoom", F.explode(F.array(*cells)).alias("cell"))
+    agreed = votes.groupBy("query_class", "class_id", "zoom", "cell").agg(F.count_distinct(F.round("x"), F.round("y")).alias("n")).where(F.col("n") >= inliers)
+    found = materialize(agreed.groupBy("query_class", "class_id").agg(F.max("n").alias("inliers")), "copies")
+    discard(q, probed, b, near)
+    return found
 
 
 def classes(images: DataFrame, id_col: str) -> DataFrame:
@@ -198,17 +270,19 @@ def classes(images: DataFrame, id_col: str) -> DataFrame:
     return keyed.join(named, F.coalesce(keyed.digest, F.lit("")) == F.coalesce(named.digest, F.lit(""))).select(id_col, "class_id", "class_size")
 
 
-def render(vector, cell: int = 12) -> bytes | None:
-    """A picture of a vector: a square grid of cells, as light as its values are high. Stands in for a media column in the test tables."""
+def render(vector, size: int = 96) -> bytes | None:
+    """A picture of a vector: its values are the weights of waves of all pairs of frequencies along both sides. Stands in for a media column in the test tables."""
     import numpy as np
 
     v = np.nan_to_num(np.asarray(vector if vector is not None else [], np.float32))
     side = int(math.isqrt(len(v)))
     if side < 2:
         return None
-    grid = v[: side * side].reshape(side, side)
-    scale = float(np.abs(grid).max()) or 1.0
-    return pgm(np.kron(np.clip(128 + 110 * grid / scale, 0, 255).astype(np.uint8), np.ones((cell, cell), np.uint8)))
+    wave = 1.0 + np.arange(side)[:, None]
+    basis = np.cos(2 * math.pi * (wave * np.arange(size) / size + wave * (math.sqrt(5) - 1) / 2)).astype(np.float32)
+    picture = basis.T @ v[: side * side].reshape(side, side) @ basis
+    scale = float(np.abs(picture).max()) or 1.0
+    return pgm(np.clip(128 + 110 * picture / scale, 0, 255).astype(np.uint8))
 
 
 def edited(image: bytes | None, seed: int) -> bytes | None:
@@ -241,17 +315,21 @@ def op4_image_copies(spark, sf_dir: str) -> DataFrame:
     """The rows of embeddings rendered as images are the base. Queries are cropped, darkened copies of every row whose id is divisible by 100.
 
     One row per row: vec_id, class_id (smallest id of equal images), class_size, is_query, n_matches, matches (class ids, in order, of
-    the images that the query was found to be a copy of; empty for rows that are no query).
+    the images that the query was found to be a copy of; empty for rows that are no query). Images are made where they are read, not stored. Rows that
+    repeat a vec_id stand for the first of their images; null vectors are one class without corners; rows without a vec_id are left out.
     """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").where("vec_id is not null")
-    base = materialize(_pictures(vectors, False), "pictures")
-    member = materialize(classes(base, "vec_id"), "members")
-    asked = materialize(_pictures(vectors.where("vec_id % 100 = 0"), True), "asked")
-    asked_class = materialize(classes(asked, "vec_id"), "asked_members")
-    one = lambda images, ids: images.join(ids.where("vec_id = class_id").select("vec_id").distinct(), "vec_id").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("class_id"), "image")
-    found = materialize(copies(one(asked, asked_class), one(base, member)), "copies")
+    asked_of = vectors.where("vec_id % 100 = 0")
+    member = materialize(classes(_pictures(vectors, False), "vec_id"), "members")
+    asked_class = materialize(classes(_pictures(asked_of, True), "vec_id"), "asked_members")
+
+    def one(rows: DataFrame, ids: DataFrame, change: bool) -> DataFrame:
+        first = rows.join(ids.where("vec_id = class_id").select("vec_id").distinct(), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        return _pictures(first, change).withColumnRenamed("vec_id", "class_id")
+
+    found = copies(one(asked_of, asked_class, True), one(vectors, member, False))
     lists = found.groupBy("query_class").agg(F.array_sort(F.collect_set("class_id")).alias("matches"))
-    of_query = asked_class.select("vec_id", F.col("class_id").alias("query_class")).distinct().join(lists, "query_class", "left").select("vec_id", "matches", F.lit(True).alias("q"))
+    of_query = asked_class.select("vec_id", F.col("class_id").alias("query_class")).distinct().join(lists, "query_class", "left").groupBy("vec_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("matches", F.array().cast("array<bigint>")))))).alias("matches"), F.lit(True).alias("q"))
     return member.join(of_query, "vec_id", "left").select(
         "vec_id", "class_id", "class_size", F.coalesce("q", F.lit(False)).alias("is_query"),
         F.coalesce(F.size("matches"), F.lit(0)).alias("n_matches"), F.coalesce("matches", F.array().cast("array<bigint>")).alias("matches"),

@@ -157,26 +157,73 @@ def test_mixture_of_odd_tables(spark, docs, empty):
         assert mixture.rated(held).where("_rate between 0 and 1").count() == n
 
 
+def turned(p, degrees):
+    """The picture turned about its centre, edges repeated."""
+    h, w = p.shape
+    y, x = np.mgrid[0:h, 0:w]
+    c, cy, cx = np.deg2rad(degrees), (h - 1) / 2, (w - 1) / 2
+    sx = np.clip(np.cos(c) * (x - cx) + np.sin(c) * (y - cy) + cx, 0, w - 1.001)
+    sy = np.clip(-np.sin(c) * (x - cx) + np.cos(c) * (y - cy) + cy, 0, h - 1.001)
+    x0, y0 = sx.astype(int), sy.astype(int)
+    fx, fy = sx - x0, sy - y0
+    return (p[y0, x0] * (1 - fx) * (1 - fy) + p[y0, x0 + 1] * fx * (1 - fy) + p[y0 + 1, x0] * (1 - fx) * fy + p[y0 + 1, x0 + 1] * fx * fy).astype(np.uint8)
+
+
 def test_copies_of_images(spark):
     rng = np.random.default_rng(4)
-    images = {k: media.render(rng.normal(0, 1, 64)) for k in range(12)}
-    base = spark.createDataFrame([*images.items(), (20, None), (21, b"junk"), (22, media.pgm(np.zeros((96, 96), np.uint8))), (23, media.pgm(np.zeros((3, 2), np.uint8)))], "class_id bigint, image binary")
-    turned = media.pgm(np.ascontiguousarray(np.rot90(media.pixels_of(images[5]))))
-    asked = spark.createDataFrame([(0, media.edited(images[0], 3)), (7, media.edited(images[7], 9)), (50, turned), (60, media.render(rng.normal(0, 1, 64))), (61, None)], "class_id bigint, image binary")
-    got = {(r["query_class"], r["class_id"]) for r in media.copies(asked, base).collect()}
-    assert got == {(0, 0), (7, 7), (50, 5)}
+    images = {k: media.render(rng.normal(0, 1, 64)) for k in range(24)}
+    junk = [(30, None), (31, b"junk"), (32, media.pgm(np.zeros((96, 96), np.uint8))), (33, media.pgm(np.zeros((3, 2), np.uint8)))]
+    base = spark.createDataFrame([*images.items(), *junk], "class_id bigint, image binary")
+    edits = {
+        "crop": lambda p, k: media.pixels_of(media.edited(media.pgm(p), k)),
+        "quarter": lambda p, k: p[k : k + 48, 40 - k : 88 - k],
+        "square": lambda p, k: np.rot90(p, k % 4),
+        "turn15": lambda p, k: turned(p, 15),
+        "turn45": lambda p, k: turned(p, 45),
+        "double": lambda p, k: media._shrunk(p[None].astype(np.float32), 0.5)[0].astype(np.uint8),
+        "noise": lambda p, k: np.clip(p + np.random.default_rng(k).normal(0, 4, p.shape), 0, 255).astype(np.uint8),
+        "blur": lambda p, k: media._box(p[None].astype(np.float32), 1)[0].astype(np.uint8),
+    }
+    asked, meant = [(9000, media.render(rng.normal(0, 1, 64))), (9001, None)], {}
+    for i, (name, edit) in enumerate(edits.items()):
+        for k in images:
+            asked.append((1000 * i + k, media.pgm(np.ascontiguousarray(edit(media.pixels_of(images[k]), k)))))
+            meant.setdefault(name, set()).add((1000 * i + k, k))
+    got = {(r["query_class"], r["class_id"]) for r in media.copies(spark.createDataFrame(asked, "class_id bigint, image binary"), base).collect()}
+    recall = {name: len(pairs & got) / len(pairs) for name, pairs in meant.items()}
+    assert not got - set().union(*meant.values()) and min(recall.values()) >= 0.9, recall
+
+
+def test_search_finds_every_pair_within_the_distance(spark):
+    """The keys, the bitmap and the join against brute force over all pairs of descriptors, from 0 bits apart to beyond the distance."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(1 << 63), 1 << 63, (60, 4), dtype=np.int64)
+    asked = []
+    for k in range(300):
+        bits = np.unpackbits(base[k % 60].astype(">i8").view(np.uint8))
+        bits[rng.choice(256, k % 20, replace=False)] ^= 1
+        asked.append(np.packbits(bits).view(">i8").astype(np.int64))
+    frame = lambda rows: spark.createDataFrame([(*map(int, d), list(map(int, media.part_keys(d[None])[0]))) for d in rows], "d0 bigint, d1 bigint, d2 bigint, d3 bigint, keys array<bigint>")
+    probed = media._probed(frame(asked))
+    words = media._bitmap(probed).value
+    slots = media._slot(media.probes(media.part_keys(np.array(asked))).ravel())
+    assert ((words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).all() and np.bitwise_count(words).sum() == len(set(slots.tolist()))
+    got = {(tuple(r[c] for c in media.BITS), tuple(r[f"q_{c}"] for c in media.BITS)) for r in media.met(frame(base), probed).collect()}
+    apart = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+    assert got == {(tuple(map(int, b)), tuple(map(int, a))) for a in asked for b in base if apart(a, b) <= media.DISTANCE} and len(got) >= 200
+
+
+def test_image_query_on_odd_tables(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 1, (4, 64)).tolist()
+    rows = [(0, v[0]), (1, v[0]), (100, v[1]), (200, None), (201, None), (300, v[2]), (300, v[2]), (5, []), (None, v[3])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/a/embeddings.parquet")
+    got = {r["vec_id"]: (r["class_id"], r["class_size"], r["is_query"], list(r["matches"])) for r in media.op4_image_copies(spark, f"{tmp_path}/a").collect()}
+    assert got == {0: (0, 2, True, [0]), 1: (0, 2, False, []), 100: (100, 1, True, [100]), 200: (5, 3, True, []), 201: (5, 3, False, []), 300: (300, 2, True, [300]), 5: (5, 3, False, [])}
+    spark.createDataFrame([], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/b/embeddings.parquet")
+    assert media.op4_image_copies(spark, f"{tmp_path}/b").count() == 0
 
 
 def test_classes_of_equal_images(spark):
     df = spark.createDataFrame([(3, b"a"), (1, b"a"), (2, b"b"), (4, None), (5, None), (None, b"a")], "vec_id bigint, image binary")
     assert {r["vec_id"]: (r["class_id"], r["class_size"]) for r in media.classes(df, "vec_id").collect()} == {3: (1, 2), 1: (1, 2), 2: (2, 1), 4: (4, 2), 5: (4, 2)}
-
-
-def test_tables_find_every_pair_within_reach():
-    rng = np.random.default_rng(8)
-    a = rng.integers(0, 2, 256)
-    for _ in range(50):
-        b = a.copy()
-        b[rng.choice(256, media.TABLES - 1, replace=False)] ^= 1
-        width = 256 // media.TABLES
-        assert any((a[i : i + width] == b[i : i + width]).all() for i in range(0, 256, width))
