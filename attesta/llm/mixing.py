@@ -216,8 +216,10 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     packed = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
     mixture, held = mixture_for(packed, labels, weights, max_rate=None, keep=("_doc",))
     mixture.report()
-    drawn = mixture.rated(held).withColumn("_copies", copies(F.col("_rate"))).where("_copies > 0")
-    return drawn.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
+    rated = mixture.rated(held).withColumn("_copies", copies(F.col("_rate")))
+    # a filter on _copies would be pushed below the model, with all its steps nested into one expression; one on what is generated stays above
+    drawn = rated.select("_doc", F.explode_outer(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_n")).where("_n is not null")
+    return drawn.select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
