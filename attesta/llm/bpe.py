@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 1 << 16
+#: Rows that a task holds encoded at a time.
+ROWS = 512
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -67,9 +69,11 @@ def _map_column(df: DataFrame, source: str, target: str, each) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            done = pa.array([each(x) for x in batch.column(source).to_pylist()], pa.binary())
             keep = [n for n in batch.schema.names if n != target]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), done], [*keep, target])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                done = pa.array((each(x.as_py()) for x in part.column(source)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), done], [*keep, target])
 
     return df.mapInArrow(run, schema)
 

@@ -53,7 +53,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
