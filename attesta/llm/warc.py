@@ -5,8 +5,9 @@ can be read by decompressing one frame. A skippable frame at the end holds the s
 compressed and decompressed size of every frame, then a footer of 9 bytes), so a reader needs no outside index to find frames. The
 write job also returns an index that maps every record identifier to (bundle, frame, offset in the frame, length).
 
-Spark partitions the rows; a task writes bundles of bounded size under a temporary name and renames them when whole. The names
-follow from the partition, so a task that runs again after a lost executor replaces its own files by the same content.
+Spark partitions the rows; a task writes bundles of bounded size, each under a name of its own that no other attempt of the task uses. The
+index is committed by Spark with the tasks that count, and readers open only the bundles that it names: what a lost, repeated or speculative attempt
+left behind is never read. Readers seek: they load the footer and one frame at a time, never a whole bundle.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    """A name that follows from the page alone, so repeated runs agree."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str = "") -> str:
+    """A name that follows from the page alone, so repeated runs agree; from the payload's digest where the page has no id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'payload:{digest}' if page_id is None else f'page:{page_id}')}>"
 
 
 def one_line(text: str | None) -> str:
@@ -47,16 +48,16 @@ def one_line(text: str | None) -> str:
     return "".join(c if c >= " " and c != "\x7f" else " " for c in text or "").strip()
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. A revisit carries no payload, but its length and digest stay in the header."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {one_line(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Page-ID: {page_id}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
@@ -87,31 +88,37 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(entries) + len(footer)) + entries + footer
 
 
-def frame_sizes(bundle: bytes) -> list[tuple[int, int]]:
-    """Compressed and decompressed size of every frame, from the footer."""
-    count, flags, magic = struct.unpack("<IBI", bundle[-9:])
+def frame_sizes(file) -> list[tuple[int, int]]:
+    """Compressed and decompressed size of every frame of a bundle, a seekable file, from its footer."""
+    end = file.seek(0, 2) and file.tell()
+    file.seek(max(0, end - 9))
+    count, flags, magic = struct.unpack("<IBI", file.read(9))
     if magic != SEEKABLE_MAGIC or flags:
         raise ValueError("no seek table")
-    table = bundle[-9 - 8 * count : -9]
-    return list(struct.iter_unpack("<II", table))
+    file.seek(end - 9 - 8 * count)
+    return list(struct.iter_unpack("<II", file.read(8 * count)))
 
 
-def read_frame(bundle: bytes, frame: int) -> bytes:
-    """One frame alone, found through the seek table."""
+def read_frames(file, frames: list[int] | None = None) -> Iterator[bytes]:
+    """Some frames of a bundle, or all, in order, found through the seek table; one is held at a time."""
     import zstandard
 
-    sizes = frame_sizes(bundle)
-    start = sum(s for s, _ in sizes[:frame])
-    return zstandard.ZstdDecompressor().decompress(bundle[start : start + sizes[frame][0]], max_output_size=max(1, sizes[frame][1]))
+    sizes, at = frame_sizes(file), 0
+    wanted = None if frames is None else set(frames)
+    for k, (packed, plain) in enumerate(sizes):
+        if wanted is None or k in wanted:
+            file.seek(at)
+            yield zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=max(1, plain))
+        at += packed
 
 
-def _write_bundles(rows: Iterator[tuple], folder: str, task: int, frame_bytes: int, bundle_bytes: int) -> Iterator[tuple]:
+def _write_bundles(rows: Iterator[tuple], folder: str, frame_bytes: int, bundle_bytes: int) -> Iterator[tuple]:
     import pyarrow.fs as pafs
     import zstandard
 
     fs, base = pafs.FileSystem.from_uri(folder)
     squeeze = zstandard.ZstdCompressor(level=3)
-    bundles, frames, sizes, buffer, index = 0, [], [], bytearray(), []
+    frames, sizes, buffer, index = [], [], bytearray(), []
 
     def close_frame():
         frames.append(squeeze.compress(bytes(buffer)))
@@ -119,24 +126,22 @@ def _write_bundles(rows: Iterator[tuple], folder: str, task: int, frame_bytes: i
         buffer.clear()
 
     def close_bundle():
-        nonlocal bundles, frames, sizes, index
+        nonlocal frames, sizes, index
         if buffer:
             close_frame()
         if not frames:
             return
-        name = f"bundle-{task:05d}-{bundles:05d}.warc.zst"
-        draft = f"{base}/.{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(draft) as out:
+        name = f"bundle-{uuid.uuid4().hex}.warc.zst"
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             for f in frames:
                 out.write(f)
             out.write(seek_table(sizes))
-        fs.move(draft, f"{base}/{name}")
         yield from ((p, r, name, f, o, n) for p, r, f, o, n in index)
-        bundles, frames, sizes, index = bundles + 1, [], [], []
+        frames, sizes, index = [], [], []
 
     for page_id, url, payload, digest, refers_to in rows:
         data = record(page_id, url, payload, digest, refers_to)
-        index.append((page_id, record_id(page_id), len(frames), len(buffer), len(data)))
+        index.append((page_id, record_id(page_id, digest), len(frames), len(buffer), len(data)))
         buffer += data
         if len(buffer) >= frame_bytes:
             close_frame()
@@ -164,13 +169,14 @@ def with_digests(pages: DataFrame) -> DataFrame:
             html = [(x or "").encode() for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(html, pa.binary()), pa.array(map(payload_digest, html), pa.string())], ["page_id", "url", "payload", "payload_digest"])
 
-    named = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).where("page_id is not null")
+    named = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = named.mapInArrow(run, "page_id bigint, url string, payload binary, payload_digest string")
     first = (
         named.select("page_id", "html").mapInArrow(_digest_only, "page_id bigint, payload_digest string")
         .groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
-    return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    later = F.coalesce(F.col("first_id") < F.col("page_id"), F.lit(True))  # a page without an id revisits the first that has one
+    return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(later, F.col("first_id")).alias("refers_to"))
 
 
 def _digest_only(batches):
@@ -183,19 +189,17 @@ def _digest_only(batches):
 def write_archives(pages: DataFrame, folder: str, frame_bytes: int = FRAME, bundle_bytes: int = BUNDLE) -> DataFrame:
     """Writes bundles of the pages (page_id, url, html) to the folder, a URI that driver and executors share. Returns the index, written beside them.
 
-    Null html is an empty payload; rows without a page_id cannot be named and are not archived; of rows that repeat a page_id with
-    the same payload all are responses or revisits alike, as their id says. Other columns are ignored. An empty table gives an empty index and no bundle.
+    Null html is an empty payload; rows without a page_id are archived under a name made of their payload and nothing refers to them; of rows that repeat
+    a page_id with the same payload all are responses or revisits alike, as their id says. Other columns are ignored. An empty table gives an empty index and no bundle.
     """
 
     def run(batches):
-        from pyspark import TaskContext
-
         def rows():
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to")), strict=True)
 
         out = []
-        for row in _write_bundles(rows(), folder, TaskContext.get().partitionId(), frame_bytes, bundle_bytes):
+        for row in _write_bundles(rows(), folder, frame_bytes, bundle_bytes):
             out.append(row)
             if len(out) >= 5000:
                 yield _table(out, INDEX)
@@ -210,42 +214,40 @@ def write_archives(pages: DataFrame, folder: str, frame_bytes: int = FRAME, bund
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the folder's bundles, read back frame by frame through the seek tables (see RECORD for the columns)."""
+def _read(bundles: DataFrame, folder: str) -> DataFrame:
+    """The records (see RECORD) of rows (bundle, places): of the places (frame, frame_offset, length) of a bundle, or all where places is null."""
+
+    def of(head, payload):
+        digest, refers, page = head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("X-Refers-To-Page-ID"), head["X-Page-ID"]
+        whole = head["WARC-Type"] == "revisit" or (payload_digest(payload) == digest and len(payload) == int(head["X-Payload-Length"]))
+        return (int(page) if page else None, head["WARC-Target-URI"], int(head["X-Payload-Length"]), digest, head["WARC-Type"], refers and int(refers), whole)
 
     def run(batches):
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for bundle in batch.column("content").to_pylist():
-                for k in range(len(frame_sizes(bundle))):
-                    out = []
-                    for head, payload in records(read_frame(bundle, k)):
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        refers = head.get("X-Refers-To-Page-ID")
-                        whole = head["WARC-Type"] == "revisit" or (payload_digest(payload) == digest and len(payload) == int(head["X-Payload-Length"]))
-                        out.append((int(head["X-Page-ID"]), head["WARC-Target-URI"], int(head["X-Payload-Length"]), digest, head["WARC-Type"], refers and int(refers), whole))
-                    yield _table(out, RECORD)
+            for bundle, places in zip(batch.column("bundle").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                with fs.open_input_file(f"{base}/{bundle}") as file:
+                    frames = None if places is None else sorted({p["frame"] for p in places})
+                    for k, data in enumerate(read_frames(file, frames)):
+                        parts = [data] if places is None else [data[p["frame_offset"] : p["frame_offset"] + p["length"]] for p in places if p["frame"] == frames[k]]
+                        yield _table([of(*r) for part in parts for r in records(part)], RECORD)
+
+    n = bundles.select("bundle").distinct().count()
+    return bundles.repartition(max(1, min(n, 1 << 14)), "bundle").mapInArrow(run, RECORD)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content").mapInArrow(run, RECORD)
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of the bundles that the folder's index names, read back frame by frame through the seek tables (see RECORD for the columns)."""
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    return _read(index.select("bundle", F.lit(None).cast("array<struct<frame:int,frame_offset:bigint,length:bigint>>").alias("places")).distinct(), folder)
 
 
 def lookup(spark: SparkSession, folder: str, page_ids: DataFrame) -> DataFrame:
-    """Records of some pages (column page_id): only the bundles and frames that the index names are decompressed."""
+    """Records of some pages (column page_id): only the frames that the index names are read and decompressed."""
     index = spark.read.schema(INDEX).parquet(f"{folder}/index").join(page_ids.select("page_id").distinct(), "page_id", "left_semi")
-    wanted = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("frame_offset", "length")).alias("places"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
-
-    def run(batches):
-        for batch in batches:
-            for content, frame, places in zip(*(batch.column(c).to_pylist() for c in ("content", "frame", "places")), strict=True):
-                data, out = read_frame(content, frame), []
-                for place in places:
-                    for head, payload in records(data[place["frame_offset"] : place["frame_offset"] + place["length"]]):
-                        refers = head.get("X-Refers-To-Page-ID")
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        out.append((int(head["X-Page-ID"]), head["WARC-Target-URI"], int(head["X-Payload-Length"]), digest, head["WARC-Type"], refers and int(refers), head["WARC-Type"] == "revisit" or payload_digest(payload) == digest))
-                yield _table(out, RECORD)
-
-    return files.join(wanted, "bundle").mapInArrow(run, RECORD)
+    return _read(index.groupBy("bundle").agg(F.collect_list(F.struct("frame", "frame_offset", "length")).alias("places")), folder)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import io
+
 import pytest
 
 from attesta.llm import warc
@@ -30,17 +32,30 @@ def test_frames_are_independent_and_bundles_plain_zstandard(spark, tmp_path, pag
     import zstandard
 
     rows = [(k, u, (h or "").encode(), warc.payload_digest((h or "").encode()), None) for k, u, h in pages]
-    index = list(warc._write_bundles(iter(rows), f"file://{tmp_path}", 0, 100, 1 << 20))
+    index = list(warc._write_bundles(iter(rows), f"file://{tmp_path}", 100, 1 << 20))
     data = (tmp_path / index[0][2]).read_bytes()
-    assert len(warc.frame_sizes(data)) > 2
+    assert len(warc.frame_sizes(io.BytesIO(data))) > 2
     for page, rid, _, frame, offset, length in index:
-        (head, payload), *_ = warc.records(warc.read_frame(data, frame)[offset : offset + length])
+        (head, payload), *_ = warc.records(next(warc.read_frames(io.BytesIO(data), [frame]))[offset : offset + length])
         assert head["WARC-Record-ID"] == rid and payload == dict((r[0], r[2]) for r in rows)[page]
     whole = b"".join(zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).readall() for _ in range(1))
     assert whole.count(b"WARC/1.1\r\nWARC-Type") == len(pages)
 
 
+def test_leftovers_of_other_attempts_are_not_read(spark, tmp_path, pages):
+    """A bundle that no committed task wrote, whole or torn, changes nothing."""
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(pages, "page_id bigint, url string, html string"), folder)
+    list(warc._write_bundles(iter([(1, "u", b"stale", warc.payload_digest(b"stale"), None)]), folder, 100, 100))
+    (tmp_path / "w" / "bundle-torn.warc.zst").write_bytes(b"torn")
+    got = warc.read_archives(spark, folder).collect()
+    assert len(got) == len(pages) and {r["page_id"]: r["payload_digest"] for r in got} == {k: v[1] for k, v in want(pages).items()}
+
+
 def test_empty_and_nameless(spark, tmp_path):
-    df = spark.createDataFrame([(None, "u", "x")], "page_id bigint, url string, html string")
-    assert warc.write_archives(df, f"file://{tmp_path}/e").count() == 0
+    df = spark.createDataFrame([(None, "u", "x"), (None, "v", "y"), (4, "u", "y")], "page_id bigint, url string, html string")
+    assert warc.write_archives(df, f"file://{tmp_path}/n").count() == 3
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, f"file://{tmp_path}/n").collect())
+    assert got == [(0, "response", None), (0, "revisit", 4), (4, "response", None)]
+    assert warc.write_archives(df.limit(0), f"file://{tmp_path}/e").count() == 0
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
