@@ -37,7 +37,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("id"), normalized(text_col).cast("binary").alias("rest")).withColumn("rid", F.monotonically_increasing_id())
     nameless = rows.where("id is null").select("id", F.lit(None).cast(docs.schema[id_col].dataType).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.sha2("rest", 256).alias("text_sha256"))
+    # the numbers of the rows are written before they are joined with themselves; the plain number of a scan would do only for plain scans
     active = rows.where("id is not null").select("id", "rid", F.lit(0).cast("bigint").alias("grp"), "rest", F.sha2("rest", 256).alias("sha"))
+    active = materialize(active, "numbered")
     decided, run = [], first_run
     while True:
         keyed = active.withColumns({"run": F.substring("rest", 1, run), "ended": F.octet_length("rest") <= run})
