@@ -174,7 +174,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         return docs.select("doc_id", F.lit(float(seen["bad"] or 0) / max(1, seen["n"])).alias("score"))
     lexicon = learn_lexicon(labelled.where("part < 4"))
     known = materialize(with_features(labelled, lexicon).join(F.broadcast(drawn), "doc_id"), "known")
-    known = known.where("part >= 4").withColumn("vector", array_to_vector("features")).withColumn("label", F.col("label").cast("double")).coalesce(4).cache()
+    known = known.where("part >= 4").withColumn("vector", array_to_vector("features")).withColumn("label", F.col("label").cast("double"))
+    known = materialize(known, "training")
     raw = F.element_at(vector_to_array("probability"), 2)
     trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, minInstancesPerNode=3, seed=3)
     both = {r["k"]: r["n"] for r in known.groupBy((F.col("part") % 2).alias("k")).agg(F.count_distinct("label").alias("n")).collect()}
@@ -185,7 +186,6 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     model = trees.fit(known)
     tuned = apart[0].unionByName(apart[1]) if apart else model.transform(known).select(raw.alias("raw"), "label")
     curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(tuned)
-    known.unpersist()
     scored = model.transform(with_features(docs, lexicon).withColumn("vector", array_to_vector("features"))).select("doc_id", raw.alias("raw"))
     level = F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))
     return curve.transform(scored).select("doc_id", (0.999 * level + 0.001 * F.col("raw")).alias("score"))
