@@ -25,11 +25,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/attesta-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads them back: a lineage cut that outlives executors."""
+    """Writes the rows as a table in the shared folder and reads them back: a lineage cut that outlives executors. The shuffles behind it are not kept."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._attesta_path = path
     return back
