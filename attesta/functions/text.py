@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -16,13 +17,18 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
+def fold(text: str) -> str:
+    """NFKC, case folding, runs of other characters than words' and Han ones a space, trimmed."""
+    return _OTHER.sub(" ", unicodedata.normalize("NFKC", text).casefold()).strip()
+
+
+_OTHER = re.compile("[^\\w\u3400-\u9fff]+")
+
+
 @pandas_udf(StringType())
 def folded_nfkc(text: pd.Series) -> pd.Series:
-    """As folded, after NFKC normalisation and Unicode case folding, which no built-in function offers."""
-    import re
-
-    other = re.compile(r"[^\w㐀-鿿]+")
-    return text.map(lambda x: None if x is None else other.sub(" ", unicodedata.normalize("NFKC", x).casefold()).strip())
+    """As fold, in Arrow batches: no built-in function offers NFKC or Unicode case folding."""
+    return text.map(lambda x: None if x is None else fold(x))
 
 
 def squeezed(text: Column) -> Column:
@@ -45,9 +51,10 @@ def bounded(text: Column, first: int = 4096, last: int = 2000) -> Column:
 
 
 def chunks(text: Column, size: int = 900, step: int = 700, limit: int = 6000) -> Column:
-    """Overlapping pieces of `size` characters, one every `step`, of the first `limit`; an empty array for empty text."""
+    """Overlapping pieces of `size` characters, one every `step` that starts within the first `limit`; pieces too short to say something go. An empty array for empty text."""
     n = F.least(F.length(text), F.lit(limit))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda at: F.substring(F.substring(text, 1, limit), at + 1, F.lit(size)))).when(n == 0, F.array().cast("array<string>"))
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda at: F.substring(text, at + 1, F.lit(size)))
+    return F.when(n > 0, F.filter(cut, lambda piece: F.length(piece) >= least_length(text))).when(n == 0, F.array().cast("array<string>"))
 
 
 def least_length(text: Column) -> Column:

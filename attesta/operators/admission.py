@@ -30,8 +30,9 @@ def two_level(requests: DataFrame, own_limit: int, all_limit: int, seconds: int,
     only if its subject has been admitted that often.
     """
     rows = admitted(requests, own_limit, seconds, [subject]).withColumnRenamed("place", "own_place")
-    survivors = rows.where("accepted").withColumn("all_place", F.row_number().over(Window.partitionBy("window_number").orderBy("ts", "request_id")))
+    # the bound on the place is a group limit: every task keeps all_limit rows of a window before they meet
+    survivors = rows.where("accepted").withColumn("all_place", F.row_number().over(Window.partitionBy("window_number").orderBy("ts", "request_id"))).where(F.col("all_place") <= all_limit)
     out = rows.drop("accepted").join(survivors.select("request_id", "all_place"), "request_id", "left")
-    out = out.withColumn("accepted", F.coalesce(F.col("all_place") <= all_limit, F.lit(False)))
+    out = out.withColumn("accepted", F.col("all_place").isNotNull())
     used = F.count_if("accepted").over(Window.partitionBy(subject, "window_number"))
     return out.withColumn("outcome", F.when(F.col("accepted"), "ACCEPTED").when(used < own_limit, "GLOBAL_LIMIT").otherwise("OWN_LIMIT"))

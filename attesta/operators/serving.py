@@ -14,8 +14,10 @@ def latest(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
 def history(analyses: DataFrame, snapshots: DataFrame, reports: DataFrame, user: int | None = None, limit: int = 50) -> DataFrame:
     """An account's analyses, newest first, with what is known of them; the limit is that of a page, between 1 and 100."""
     mine = analyses if user is None else analyses.where(F.col("user_id") == user)
-    joined = mine.join(snapshots, "analysis_id", "left").join(reports, "analysis_id", "left")
-    return joined.withColumn("report_available", F.col("report_id").isNotNull()).orderBy(F.desc("created_at"), F.desc("analysis_id")).limit(max(1, min(limit, 100)))
+    order = F.desc("created_at"), F.desc("analysis_id")
+    page = F.broadcast(mine.orderBy(*order).limit(max(1, min(limit, 100))))  # 100 rows at most meet the other tables
+    joined = snapshots.join(page, "analysis_id", "right").join(F.broadcast(page.select("analysis_id")).join(reports, "analysis_id"), "analysis_id", "left")
+    return joined.withColumn("report_available", F.col("report_id").isNotNull()).orderBy(*order)
 
 
 def watchlist(entries: DataFrame, analyses: DataFrame) -> DataFrame:

@@ -1,36 +1,77 @@
-"""Near-duplicate reviews by the cosine of their vectors, clusters of them, and what follows for reliability."""
+"""Near-duplicate reviews by the cosine of their vectors, clusters of them, and what follows for reliability.
+
+Equal vectors of a supplier are one representative with a number of copies. Representatives are dealt into blocks of some BLOCK vectors; every two
+blocks of a supplier meet in one row, wherever Spark puts it, and are multiplied as matrices. So a large supplier is many rows of bounded size, no
+task holds a supplier, and no pair below the threshold leaves a task. Pairs are those of representatives; `members` says who is one of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.functions import scalars
+from attesta.sources.scratch import cut
 
 THRESHOLD = 0.88
+BLOCK = 1024
+
+
+def members(vectors: DataFrame) -> DataFrame:
+    """supplier, id, rep (the smallest id with the same vector), copies. vectors: supplier, id, vector; null and empty vectors are left out."""
+    keyed = vectors.where(F.size("vector") > 0).select("supplier", "id", "vector", F.sha2(F.to_json("vector"), 256).alias("key"))
+    reps = keyed.groupBy("supplier", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    return keyed.select("supplier", "id", "key").join(reps, ["supplier", "key"]).select("supplier", "id", "rep", "copies")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs within a supplier with a cosine of at least the threshold: supplier, a, b (a < b), similarity. vectors: supplier, id, vector.
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Pairs within a supplier with a cosine of at least the threshold: supplier, a, b, similarity, weight.
 
-    All pairs of one supplier are compared, as the exact threshold asks; the equality on supplier splits the work, and norms are taken once.
+    a < b are representatives, or a = b for one that has copies; weight is the number of pairs of reviews that the row stands for. A vector of zeros is similar to none.
     """
-    unit = vectors.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    left = unit.select("supplier", F.col("id").alias("a"), F.col("vector").alias("va"), F.col("norm").alias("na"))
-    right = unit.select("supplier", F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("norm").alias("nb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    cosine = F.when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(scalars.clamp(dot / (F.col("na") * F.col("nb")), -1.0, 1.0))
-    return left.join(right, "supplier").where("a < b").withColumn("similarity", cosine).where(F.col("similarity") >= threshold).select("supplier", "a", "b", "similarity")
+    whole = members(vectors)
+    reps = whole.where("id = rep").dropDuplicates(["supplier", "id"])
+    sizes = reps.groupBy("supplier").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = vectors.join(reps, ["supplier", "id"]).dropDuplicates(["supplier", "id"]).join(sizes, "supplier")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = cut(dealt.groupBy("supplier", "blocks", "block").agg(F.collect_list(F.struct("id", "copies", F.transform("vector", lambda v: v.cast("double")).alias("v"))).alias("rows")))
+    left = packed.select("supplier", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("rows").alias("left"))
+    right = packed.select("supplier", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rows").alias("right"))
+    kind, number = vectors.schema["supplier"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def side(rows):
+            m = np.array([r["v"] for r in rows], np.float64)
+            norm = np.sqrt((m * m).sum(1, keepdims=True))
+            return [r["id"] for r in rows], np.array([r["copies"] for r in rows], np.int64), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+        for batch in batches:
+            for supplier, i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("supplier", "i", "j", "left", "right")), strict=True):
+                (ids, copies, m), (other, more, k) = side(x), side(y)
+                found = np.clip(m @ k.T, -1.0, 1.0)
+                out = []
+                for p, q in zip(*np.nonzero(found >= threshold), strict=True):
+                    if i != j or ids[p] < other[q]:
+                        out.append((supplier, min(ids[p], other[q]), max(ids[p], other[q]), float(found[p, q]), int(copies[p] * more[q])))
+                    elif ids[p] == other[q] and copies[p] > 1:
+                        out.append((supplier, ids[p], ids[p], 1.0, int(copies[p] * (copies[p] - 1) // 2)))
+                if out:
+                    columns = list(zip(*out, strict=True))
+                    types = [batch.schema.field("supplier").type, None, None, pa.float64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["supplier", "a", "b", "similarity", "weight"])
 
+    met = left.join(right, ["supplier", "i", "j"]).select("supplier", "i", "j", "left", "right")
+    return cut(met.mapInArrow(run, f"supplier {kind}, a {number}, b {number}, similarity double, weight bigint"))
 
-def clusters(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+
+def clusters(pairs: DataFrame, belonging: DataFrame | None = None, rounds: int = 40) -> DataFrame:
     """Transitive clusters by propagation of the smallest id: supplier, id, cluster (its smallest id). Nodes without a pair are in none.
 
-    Every round takes the least label among a node's neighbours and then that label's own label, so paths shrink by halves; the tables are
-    checkpointed where the session has a folder for it, and one count a round reaches the driver.
+    With `belonging` (members) the copies of a representative are in its cluster. Every round takes the least label among a node's neighbours and then that
+    label's own label, so paths shrink by halves; tables are checkpointed, and one count a round reaches the driver.
     """
-    spark = pairs.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.cache())
     both = cut(pairs.select("supplier", "a", "b").unionByName(pairs.select("supplier", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("supplier", F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("cluster")))
     for _ in range(rounds):
@@ -41,22 +82,38 @@ def clusters(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         changed = new.where("cluster <> old").limit(1).count()
         labels = new.select("supplier", "id", "cluster")
         if not changed:
-            return labels
-    raise RuntimeError("clusters did not settle")
+            break
+    else:
+        raise RuntimeError("clusters did not settle")
+    if belonging is None:
+        return labels
+    return belonging.select("supplier", "id", "rep").join(labels.withColumnRenamed("id", "rep"), ["supplier", "rep"]).select("supplier", "id", "cluster")
 
 
 def cluster_statistics(pairs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """supplier, cluster, members, min_similarity, avg_similarity, reliability, number (by first member, from 0)."""
-    inside = pairs.join(labels.withColumnRenamed("id", "a"), ["supplier", "a"])
-    stats = inside.groupBy("supplier", "cluster").agg(F.min("similarity").alias("min_similarity"), F.avg("similarity").alias("avg_similarity"))
+    """supplier, cluster, members, min_similarity, avg_similarity, reliability, number (by first member, from 0). Pairs count as often as they weigh."""
+    inside = pairs.join(labels.withColumnRenamed("id", "a").dropDuplicates(["supplier", "a"]), ["supplier", "a"])
+    stats = inside.groupBy("supplier", "cluster").agg(F.min("similarity").alias("min_similarity"), (F.sum(F.col("similarity") * F.col("weight")) / F.sum("weight")).alias("avg_similarity"))
     sizes = labels.groupBy("supplier", "cluster").agg(F.count("*").alias("members"))
     strength = F.least(F.lit(1.0), (F.col("avg_similarity") - threshold) / max(1 - threshold, 1e-9) * 0.25 + 0.75)
     number = F.dense_rank().over(Window.partitionBy("supplier").orderBy("cluster")) - 1
     return stats.join(sizes, ["supplier", "cluster"]).withColumns({"reliability": strength, "number": number})
 
 
+def combined_patterns(deterministic: DataFrame, statistics: DataFrame, counts: DataFrame) -> DataFrame:
+    """The deterministic patterns and one a cluster: supplier, kind, strength, reliability. A cluster is as strong as its share of the supplier's reviews."""
+    share = F.round(F.col("members") / F.greatest("review_count", F.lit(1)), 4)
+    near = statistics.join(counts, "supplier").select("supplier", F.lit("SEMANTIC_NEAR_DUPLICATE").alias("kind"), share.alias("strength"), F.round("reliability", 4).alias("reliability"))
+    return deterministic.select("supplier", "kind", "strength", "reliability").unionByName(near)
+
+
 def semantic_penalty(statistics: DataFrame, counts: DataFrame) -> DataFrame:
     """min(0.5, share of clustered reviews * mean reliability * 0.5): supplier, clustered, penalty. counts: supplier, review_count."""
     per = statistics.groupBy("supplier").agg(F.sum("members").alias("clustered"), F.avg("reliability").alias("mean"))
     joined = counts.join(per, "supplier", "left")
     return joined.select("supplier", F.coalesce("clustered", F.lit(0)).alias("clustered"), F.round(F.least(F.lit(0.5), F.coalesce(F.col("clustered") / F.col("review_count") * F.col("mean") * 0.5, F.lit(0.0))), 4).alias("penalty"))
+
+
+def reduced_reliability(reliability: DataFrame, penalties: DataFrame) -> DataFrame:
+    """A supplier's review reliability less the penalty's share of it: supplier, reliability."""
+    return reliability.join(penalties.select("supplier", "penalty"), "supplier", "left").select("supplier", F.round(F.col("reliability") * (1 - F.coalesce("penalty", F.lit(0.0))), 4).alias("reliability"))

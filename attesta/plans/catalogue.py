@@ -8,36 +8,17 @@ defaults are tested on literal rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import NamedTuple
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars, text as tx, urls
 from attesta.operators import admission, extraction, identity, merge, models, policy, report, reviews, scoring, serving, similarity, workflow
+from attesta.plans.registry import query
 from attesta.sources.tables import read_table
 
-
-class Query(NamedTuple):
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
-
-QUERIES: dict[str, Query] = {}
-
-
-def query(sql: str | None):
-    def add(run):
-        QUERIES[run.__name__] = Query(run, sql)
-        return run
-
-    return add
-
-
 #: Stand-in phrases by category, as the tables hold none of the real ones.
 STEMS = {"QUALITY": ["tion"], "DELIVERY": ["ción"], "AFTER_SALES": ["schen"], "PACKAGING": ["license"]}
-FOLDED = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'))"
+FOLDED = r"trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g'))"
 AS_OF = "2026-01-01 00:00:00"
 DIMENSIONS = list(scoring.WEIGHTS["v0.2.1"])
 
@@ -99,7 +80,7 @@ def json_path_project(spark, d):
     return read_table(spark, d, "events").select("event_id", k.alias("k"), F.nullif(k, F.lit("")).try_cast("double").alias("k_value"), F.get_json_object("props", "$.absent").alias("absent"))
 
 
-@query(f"select doc_id, {FOLDED} as folded from documents")
+@query(r"select doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) as folded from documents")
 def review_text_normalize(spark, d):
     return read_table(spark, d, "documents").select("doc_id", tx.folded(F.col("text")).alias("folded"))
 
@@ -110,8 +91,8 @@ def text_cleanup(spark, d):
     return read_table(spark, d, "documents").where(F.trim("text") != "").select("doc_id", F.length(tx.squeezed(t)).alias("squeezed_length"), tx.clean_to(t, 80).alias("head"), tx.bounded(t).alias("bounded"))
 
 
-@query("""with c as (select doc_id, substr(text, 1, 6000) as t from documents), i as (select doc_id, t, unnest(range(0, length(t), 700)) as p from c)
-select doc_id, (p / 700)::bigint as chunk_no, length(substr(t, p + 1, 900)) as n_chars, md5(substr(t, p + 1, 900)) as digest from i""")
+@query("""with i as (select doc_id, text as t, unnest(range(0, least(length(text), 6000), 700)) as p from documents)
+select doc_id, (p / 700)::bigint as chunk_no, length(substr(t, p + 1, 900)) as n_chars, md5(substr(t, p + 1, 900)) as digest from i where length(substr(t, p + 1, 900)) >= 16""")
 def context_chunks(spark, d):
     return read_table(spark, d, "documents").select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("chunk_no", "c")).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.length("c").cast("bigint").alias("n_chars"), F.md5("c").alias("digest"))
 
@@ -225,44 +206,53 @@ def missing_inputs(spark, d):
 
 # Similarity ---------------------------------------------------------------------------------------------------------------------------
 
-PAIRS = """p as (select a.label as supplier, a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id),
-pairs as (select * from p where similarity >= 0.3)"""
+PAIRS = """rep as (select label, embedding, min(vec_id) as vec_id, count(*) as copies from embeddings group by all), member as (select e.label as supplier, e.vec_id as id, rep.vec_id as rep from embeddings e join rep using (label, embedding)),
+p as (select a.label as supplier, a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity, a.copies * b.copies as weight from rep a join rep b on a.label = b.label and a.vec_id < b.vec_id),
+pairs as (select * from p where similarity >= 0.3 union all select label, vec_id, vec_id, 1.0, copies * (copies - 1) // 2 from rep where copies > 1)"""
 CLUSTERS = """edges as (select supplier, a as x, b as y from pairs union all select supplier, b, a from pairs), walk(supplier, id, seen) as (select distinct supplier, x, x from edges union select w.supplier, w.id, e.y from walk w join edges e on e.x = w.seen and e.supplier = w.supplier),
-clusters as (select supplier, id, min(seen) as cluster from walk group by all)"""
+found as (select supplier, id, min(seen) as cluster from walk group by all), clusters as (select m.supplier, m.id, f.cluster from member m join found f on f.supplier = m.supplier and f.id = m.rep)"""
+
+
+def _vectors(spark, d) -> DataFrame:
+    return read_table(spark, d, "embeddings").select(F.col("label").alias("supplier"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 def _pairs(spark, d) -> DataFrame:
-    vectors = read_table(spark, d, "embeddings").select(F.col("label").alias("supplier"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return similarity.similar_pairs(vectors, 0.3)
+    """Written once: the pairs are read by every step behind them."""
+    return similarity.similar_pairs(_vectors(spark, d), 0.3)
 
 
-@query(f"with {PAIRS} select supplier, a, b, round(similarity, 4) as similarity from pairs")
+def _clusters(spark, d, pairs: DataFrame) -> DataFrame:
+    return similarity.clusters(pairs, similarity.members(_vectors(spark, d)))
+
+
+@query(f"with {PAIRS} select supplier, a, b, round(similarity, 4) as similarity, weight::bigint as weight from pairs")
 def near_duplicate_pairs(spark, d):
     return _pairs(spark, d).withColumn("similarity", F.round("similarity", 4))
 
 
 @query(f"with recursive {PAIRS}, {CLUSTERS} select supplier, id, cluster from clusters")
 def near_duplicate_clusters(spark, d):
-    return similarity.clusters(_pairs(spark, d))
+    return _clusters(spark, d, _pairs(spark, d))
 
 
-@query(f"""with recursive {PAIRS}, {CLUSTERS}, st as (select p.supplier, c.cluster, min(similarity) as lo, avg(similarity) as mean from pairs p join clusters c on c.supplier = p.supplier and c.id = p.a group by all),
+@query(f"""with recursive {PAIRS}, {CLUSTERS}, st as (select p.supplier, c.cluster, min(similarity) as lo, sum(similarity * weight) / sum(weight) as mean from pairs p join clusters c on c.supplier = p.supplier and c.id = p.a group by all),
 sz as (select supplier, cluster, count(*) as members from clusters group by all)
 select st.supplier, st.cluster, members, round(lo, 4) as min_similarity, round(mean, 4) as avg_similarity, round(least(1.0, (mean - 0.3) / 0.7 * 0.25 + 0.75), 4) as reliability, (dense_rank() over (partition by st.supplier order by st.cluster) - 1)::int as number from st join sz using (supplier, cluster)""")
 def cluster_statistics(spark, d):
     pairs = _pairs(spark, d)
-    s = similarity.cluster_statistics(pairs, similarity.clusters(pairs), 0.3)
+    s = similarity.cluster_statistics(pairs, _clusters(spark, d, pairs), 0.3)
     return s.select("supplier", "cluster", "members", *(F.round(c, 4).alias(c) for c in ("min_similarity", "avg_similarity", "reliability")), "number")
 
 
-@query(f"""with recursive {PAIRS}, {CLUSTERS}, st as (select p.supplier, c.cluster, avg(similarity) as mean from pairs p join clusters c on c.supplier = p.supplier and c.id = p.a group by all),
+@query(f"""with recursive {PAIRS}, {CLUSTERS}, st as (select p.supplier, c.cluster, sum(similarity * weight) / sum(weight) as mean from pairs p join clusters c on c.supplier = p.supplier and c.id = p.a group by all),
 sz as (select supplier, cluster, count(*) as members from clusters group by all), q as (select supplier, sum(members) as clustered, avg(least(1.0, (mean - 0.3) / 0.7 * 0.25 + 0.75)) as rel from st join sz using (supplier, cluster) group by supplier),
 n as (select label as supplier, count(*) as n from embeddings group by all)
 select n.supplier, coalesce(clustered, 0)::bigint as clustered, round(least(0.5, coalesce(clustered / n::double * rel * 0.5, 0)), 4) as penalty from n left join q using (supplier)""")
 def semantic_penalty(spark, d):
     pairs = _pairs(spark, d)
     counts = read_table(spark, d, "embeddings").groupBy(F.col("label").alias("supplier")).agg(F.count("*").alias("review_count"))
-    out = similarity.semantic_penalty(similarity.cluster_statistics(pairs, similarity.clusters(pairs), 0.3), counts)
+    out = similarity.semantic_penalty(similarity.cluster_statistics(pairs, _clusters(spark, d, pairs), 0.3), counts)
     return out.withColumn("clustered", F.col("clustered").cast("bigint"))
 
 
@@ -330,7 +320,7 @@ def dimension_coverage(spark, d):
     return scoring.dimension_coverage(_signals(spark, d).where("severity > 90"), whole).withColumn("coverage", F.round("coverage", 4))
 
 
-IDENTITY = "ev as (select l_suppkey as supplier, case when l_returnflag = 'A' then 'FACTORY' when l_returnflag = 'R' then 'TRADER' else 'NEUTRAL' end as direction, l_quantity / 50 as strength, l_discount * 10 as reliability, case when l_linestatus = 'F' then 'SELF_CLAIM' else 'DOCUMENT' end as source_kind from lineitem where l_orderkey % 50 = l_suppkey % 50)"
+IDENTITY = "ev as (select l_suppkey as supplier, case when l_returnflag = 'A' then 'FACTORY' when l_returnflag = 'R' then 'TRADER' else 'NEUTRAL' end as direction, l_quantity / 50 as strength, l_discount * 10 as reliability, case when l_linestatus = 'F' then 'SELF_CLAIM' else 'DOCUMENT' end as source_kind from lineitem)"
 
 
 @query(f"""with {IDENTITY}, m as (select supplier, count(*) filter (direction <> 'NEUTRAL') as n, sum(case when direction = 'FACTORY' then strength * reliability else 0 end) as f, sum(case when direction = 'TRADER' then strength * reliability else 0 end) as t,
@@ -341,7 +331,7 @@ o as (select supplier, n, round(lf, 4) as factory_likelihood, round(1 - lf, 4) a
 select *, case when confidence < 0.4 then 'UNCERTAIN' when factory_likelihood >= 0.7 then 'FACTORY' when factory_likelihood <= 1 - 0.7::double then 'TRADER' else 'MIXED' end as classification from o""")
 def identity_class(spark, d):
     kind = F.when(F.col("l_returnflag") == "A", "FACTORY").when(F.col("l_returnflag") == "R", "TRADER").otherwise("NEUTRAL")
-    ev = read_table(spark, d, "lineitem").where("l_orderkey % 50 = l_suppkey % 50").select(F.col("l_suppkey").alias("supplier"), kind.alias("direction"), (F.col("l_quantity") / 50).alias("strength"), (F.col("l_discount") * 10).alias("reliability"), F.when(F.col("l_linestatus") == "F", "SELF_CLAIM").otherwise("DOCUMENT").alias("source_kind"))
+    ev = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), kind.alias("direction"), (F.col("l_quantity") / 50).alias("strength"), (F.col("l_discount") * 10).alias("reliability"), F.when(F.col("l_linestatus") == "F", "SELF_CLAIM").otherwise("DOCUMENT").alias("source_kind"))
     return identity.classified(identity.masses(ev))
 
 
@@ -390,9 +380,9 @@ def entitlement_semi(spark, d):
     return users.join(valid.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("""select o_orderkey, string_agg(l_linenumber || ':' || l_returnflag, ',' order by l_linenumber, l_returnflag) as items, count(*) as n from orders join lineitem on l_orderkey = o_orderkey where o_orderdate >= timestamp '1997-01-01' group by o_orderkey""")
+@query("""select o_orderkey, string_agg(l_linenumber || ':' || l_returnflag, ',' order by l_linenumber, l_returnflag) as items, count(*) as n from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
 def analysis_detail_events(spark, d):
-    o = read_table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).select("o_orderkey")
+    o = read_table(spark, d, "orders").select("o_orderkey")
     rows = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag").join(o, "o_orderkey")
     items = report.ordered_list(rows, "o_orderkey", "l_linenumber", "l_returnflag")
     return items.select("o_orderkey", F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["l_linenumber"], i["l_returnflag"])), ",").alias("items"), F.size("items").cast("bigint").alias("n"))
@@ -467,10 +457,10 @@ def keyed_merge(spark, d):
     return merge.keyed(old, new, ["owner", "item"])
 
 
-@query("""with o as (select substr(text, 1, 3) as k, count(*) as o from documents where doc_id % 3 <> 0 group by 1), n as (select substr(text, 1, 3) as k, count(*) as n from documents where doc_id % 3 <> 1 group by 1)
+@query("""with o as (select sha256(text) as k, count(*) as o from documents where doc_id % 3 <> 0 group by 1), n as (select sha256(text) as k, count(*) as n from documents where doc_id % 3 <> 1 group by 1)
 select coalesce(o.k, n.k) as k, greatest(coalesce(o, 0), coalesce(n, 0)) as copies from o full join n on o.k = n.k""")
 def multiset_merge(spark, d):
-    t = read_table(spark, d, "documents").select("doc_id", F.substring("text", 1, 3).alias("k"))
+    t = read_table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
     return merge.multiset(t.where("doc_id % 3 <> 0"), t.where("doc_id % 3 <> 1"), "k")
 
 
@@ -548,10 +538,10 @@ def claim_state(spark, d):
     return s.select("user_id", workflow.claim_outcome(status, F.expr("last + interval 5 minutes"), F.expr("last + interval 1 day"), F.col("n") % 7, now).alias("outcome"))
 
 
-@query("""select event_id, case when event_type = 'error' or event_id % 8 >= 5 then 'FAILED_FINAL' else 'FAILED_RETRYABLE' end as status, case when event_type = 'error' or event_id % 8 >= 5 then null else least(2.0::double * pow(2.0, event_id % 8 - 1), 60) end as delay_seconds from events where event_id % 8 > 0""")
+@query("""select event_id, case when event_type = 'error' or event_id % 8 + 1 >= 5 then 'FAILED_FINAL' else 'FAILED_RETRYABLE' end as status, case when event_type = 'error' or event_id % 8 + 1 >= 5 then null else least(2.0::double * pow(2.0, event_id % 8), 60) end as delay_seconds from events""")
 def retry_backoff(spark, d):
-    e = read_table(spark, d, "events").where("event_id % 8 > 0")
-    return e.select("event_id", workflow.failure(F.col("event_id") % 8, F.col("event_type") != "error", F.col("ts")).alias("f")).select("event_id", "f.status", "f.delay_seconds")
+    e = read_table(spark, d, "events")
+    return e.select("event_id", workflow.failure(F.col("event_id") % 8 + 1, F.col("event_type") != "error", F.col("ts")).alias("f")).select("event_id", "f.status", "f.delay_seconds")
 
 
 @query("select user_id, arg_max(event_type, event_id) as status, max(event_id) as event_id, count(*) as events from events group by user_id")
@@ -569,14 +559,38 @@ def url_canonicalize(spark, d):
     return read_table(spark, d, "pages").select("page_id", urls.canonical(u).alias("canonical"), urls.host(u).alias("host"))
 
 
-@query("""select page_id, case page_id % 4 when 0 then '1688' when 1 then 'TAOBAO' when 2 then 'ALIBABA' end as platform, case page_id % 4 when 0 then 'https://detail.1688.com/offer/' || (100000 + page_id) || '.html' when 1 then 'https://item.taobao.com/item.htm?id=' || (100000 + page_id)
-when 2 then 'https://shop' || page_id || '.en.alibaba.com/' end as normalized, case page_id % 4 when 0 then 'product' when 1 then 'product' when 2 then 'company' else 'unsupported' end as page_kind from pages""")
+#: Addresses made of the pages' ids, in forms that are accepted and forms that are not; the SQL parses them by rules of its own.
+ADDRESSES = {
+    0: ("https://detail.1688.com/offer/", ".html?spm=a"), 1: ("https://item.taobao.com/item.htm?x=2&id=", ""), 2: ("https://shop", ".world.taobao.com/category.htm?v=1"), 3: ("https://www.alibaba.com/product-detail/Some-thing_", ".html"),
+    4: ("https://co", ".en.alibaba.com/company_profile.html"), 5: ("https://m.1688.com/offer/", ".html"), 6: ("https://item.taobao.com/item.htm?id=1&id=", ""), 7: ("https://user@detail.1688.com/offer/", ".html"),
+    8: ("https://shop", ".1688.com/"), 9: ("https://www.1688.com/factory/m", ".html"), 10: ("https://co", ".m.en.alibaba.com/index.html"), 11: ("http://detail.1688.com/offer/", ".html"),
+}
+_ADDRESS = "case page_id % 12 " + " ".join(f"when {k} then '{a}' || (100000 + page_id) || '{b}'" for k, (a, b) in ADDRESSES.items()) + " end"
+
+
+def _addresses(spark, d) -> DataFrame:
+    u, k = F.lit(None).cast("string"), F.col("page_id")
+    for n, (a, b) in ADDRESSES.items():
+        u = F.when(k % 12 == n, F.concat(F.lit(a), (100000 + k).cast("string"), F.lit(b))).otherwise(u)
+    return read_table(spark, d, "pages").select("page_id", u.alias("u"))
+
+
+@query(rf"""with a as (select page_id, {_ADDRESS} as u from pages), s as (select page_id, u, split_part(u, '?', 1) as p, string_split(split_part(u, '?', 2), '&') as q from a),
+n as (select page_id, u, case when starts_with(p, 'https://detail.1688.com/offer/') then p when p = 'https://item.taobao.com/item.htm' and len(list_filter(q, lambda x: starts_with(x, 'id='))) = 1 then p || '?' || list_filter(q, lambda x: starts_with(x, 'id='))[1]
+when starts_with(p, 'https://shop') and p like '%.taobao.com/%' then p when starts_with(p, 'https://www.alibaba.com/product-detail/') then p when p like 'https://%.en.alibaba.com/company_profile.html' and p not like '%.m.en.%' then p end as normalized from s)
+select page_id, case when normalized like '%1688.com%' then '1688' when normalized like '%taobao.com%' then 'TAOBAO' when normalized is not null then 'ALIBABA' end as platform, normalized,
+case when u like '%taobao.com%' then 'paused' when normalized like '%/offer/%' or normalized like '%/product-detail/%' then 'product' when normalized like '%/company_profile.html' then 'profile' when u like 'https://shop%.1688.com/' or u like '%.m.en.alibaba.com/%' then 'company' when u like '%/factory/%' then 'factory' else 'unsupported' end as page_kind,
+case when u = normalized then u end as safe from n""")
 def url_platform(spark, d):
-    k = F.col("page_id")
-    n = (100000 + k).cast("string")
-    url = F.when(k % 4 == 0, F.concat(F.lit("https://m.1688.com/offer/"), n, F.lit(".html?a=1"))).when(k % 4 == 1, F.concat(F.lit("https://item.taobao.com/item.htm?x=2&id="), n)).when(k % 4 == 2, F.concat(F.lit("https://shop"), k.cast("string"), F.lit(".m.en.alibaba.com/company_profile.html"))).otherwise(F.col("url"))
-    p = read_table(spark, d, "pages").withColumn("u", url)
-    return p.select("page_id", urls.platform(F.col("u")).alias("platform"), urls.normalize(F.col("u")).alias("normalized"), urls.page_kind(F.col("u")).alias("page_kind"))
+    u = F.col("u")
+    return _addresses(spark, d).select("page_id", urls.platform(u).alias("platform"), urls.normalize(u).alias("normalized"), urls.page_kind(u).alias("page_kind"), urls.safe_source(u).alias("safe"))
+
+
+@query(rf"""with a as (select page_id, {_ADDRESS} as u from pages) select page_id, case when u like '%.en.alibaba.com/%' then 'https://co' || (100000 + page_id) || '.en.alibaba.com/' end as company, case when u like 'https://shop%.1688.com/' then u end as shop, case when u like '%/factory/%' then u end as factory,
+case when page_id % 12 = 1 then 'item:' || (100000 + page_id) when page_id % 12 = 2 then 'shop:' || (100000 + page_id) when page_id % 12 = 3 then 'product:' || (100000 + page_id) when page_id % 12 = 4 then 'profile:co' || (100000 + page_id) end as identity from a""")
+def url_identities(spark, d):
+    u = F.col("u")
+    return _addresses(spark, d).select("page_id", urls.company_alibaba(u).alias("company"), urls.shop_1688(u).alias("shop"), urls.factory_1688(u).alias("factory"), F.coalesce(urls.taobao_identity(u), urls.alibaba_identity(u)).alias("identity"))
 
 
 @query("select page_id, sha256(html) as html_sha256, 'page:' || substr(sha256(url || html), 1, 16) as section_id from pages")
@@ -589,24 +603,30 @@ def html_text_extract(spark, d):
     return extraction.parsed(read_table(spark, d, "pages")).select("page_id", "title", F.length("body").alias("n_chars"), F.md5("body").alias("body_md5"), "links", "scripts", F.size("headings").alias("headings"))
 
 
-@query("""with t as (select doc_id, case when doc_id % 5 = 0 then 'Security check' when doc_id % 7 = 0 then 'Log in' else lang end as title, case when doc_id % 11 = 0 then '' else text end as body from documents)
-select doc_id, case when title = 'Security check' then 'BLOCKED' when title = 'Log in' and length(body) < 4000 then 'LOGIN_REQUIRED' when trim(body) = '' then 'EMPTY' else 'OK' end as access from t""")
+@query("""with t as (select doc_id, case when doc_id % 5 = 0 then 'Security Verification' when doc_id % 7 = 0 then ' Sign in ' else lang end as title, case when doc_id % 11 = 0 then 'Please log in first' else text end as body, doc_id % 2 = 0 as evidence from documents)
+select doc_id, case when title = 'Security Verification' or contains(lower(substr(body, 1, 2000)), 'captcha') or contains(lower(substr(body, 1, 2000)), 'access denied') then 'BLOCKED' when trim(title) = 'Sign in' or (not evidence and contains(lower(substr(body, 1, 2000)), 'please log in')) then 'AUTH_REQUIRED' end as access from t""")
 def access_wall(spark, d):
     k = F.col("doc_id")
-    t = read_table(spark, d, "documents").withColumns({"title": F.when(k % 5 == 0, "Security check").when(k % 7 == 0, "Log in").otherwise(F.col("lang")), "body": F.when(k % 11 == 0, "").otherwise(F.col("text"))})
-    return t.select("doc_id", extraction.access(F.col("title"), F.col("body")).alias("access"))
+    t = read_table(spark, d, "documents").withColumns({"title": F.when(k % 5 == 0, "Security Verification").when(k % 7 == 0, " Sign in ").otherwise(F.col("lang")), "body": F.when(k % 11 == 0, "Please log in first").otherwise(F.col("text"))})
+    return t.select("doc_id", extraction.access(F.col("title"), F.col("body"), evidence=k % 2 == 0).alias("access"))
 
 
-@query(None)
+@query(r"""with recursive s as (select doc_id as page, p as pos, substr(text, p * 700 + 1, 900) as text from (select doc_id, text, unnest(range(0, (least(length(text), 6000) + 699) // 700)) as p from documents) where length(substr(text, p * 700 + 1, 900)) >= 16),
+i as (select page, pos, not regexp_matches(text, '(?i)refund|return|exchange|warranty|after.sales|certif|minimum.order|MOQ|payment|price') as late, text, md5(text) as section_id from s),
+u as (select page, section_id, min(late) as late, min(pos) as pos, any_value(strlen(json_object('section_id', section_id, 'text', text)::varchar)) + 3 as size from i group by page, section_id), o as (select *, row_number() over (partition by page order by late, pos) as n from u),
+f(page, n, used, kept, taken) as (select page, 0::bigint, 146::bigint, 0, null::bigint from (select distinct page from o) union all select f.page, o.n, case when f.kept < 24 and f.used + o.size + case when f.kept > 0 then 2 else 0 end <= 2500 then f.used + o.size + case when f.kept > 0 then 2 else 0 end else f.used end,
+case when f.kept < 24 and f.used + o.size + case when f.kept > 0 then 2 else 0 end <= 2500 then f.kept + 1 else f.kept end, case when f.kept < 24 and f.used + o.size + case when f.kept > 0 then 2 else 0 end <= 2500 then o.pos end from f join o on o.page = f.page and o.n = f.n + 1)
+select page, count(taken) as sections, max(used) as used, count(*) - 1 > count(taken) as truncated from f group by page having count(taken) > 0""")
 def context_greedy_budget(spark, d):
-    sections = read_table(spark, d, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("pos"), (F.col("n_chars") % 7).alias("relevance"), "text")
-    return extraction.budgeted(sections, "page").groupBy("page").agg(F.count("*").alias("sections"), F.max("used").alias("used"))
+    """A document is a page here and its chunks are the sections: a page's sections are bounded by the first 6000 characters that they start in."""
+    s = read_table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(tx.chunks(F.col("text"))).alias("pos", "text")).select("page", "pos", F.md5("text").alias("section_id"), "text")
+    return extraction.budgeted(s, "page", most=2500).groupBy("page").agg(F.count("*").alias("sections"), F.max("used").cast("bigint").alias("used"), F.bool_or("truncated").alias("truncated"))
 
 
-@query("select doc_id, contains(text, 'the ') or contains(lang, 'the ') as the_word, contains(text, substr(text, 20, 12)) and trim(substr(text, 20, 12)) <> '' as own_words from documents")
+@query("select doc_id, false as phrase, contains(text, substr(text, 20, 18)) and length(trim(substr(text, 20, 18))) >= 16 as own_words, false as short from documents")
 def quote_support(spark, d):
     fragments = F.array("text", "lang")
-    return read_table(spark, d, "documents").select("doc_id", extraction.quote_supported(F.lit("the "), fragments).alias("the_word"), extraction.quote_supported(F.substring("text", 20, 12), fragments).alias("own_words"))
+    return read_table(spark, d, "documents").select("doc_id", extraction.quote_supported(F.lit("and this is why"), fragments).alias("phrase"), extraction.quote_supported(F.substring("text", 20, 18), fragments).alias("own_words"), extraction.quote_supported(F.col("lang"), fragments).alias("short"))
 
 
 @query("""with b as (select c_custkey as id, c_name as name, case when c_custkey % 2 = 0 then c_mktsegment end as seg from customer), n as (select c_custkey as id, case when c_custkey % 3 = 0 then 'other' else c_name end as name, c_mktsegment as seg from customer where c_custkey % 4 <> 0)
@@ -628,34 +648,41 @@ def media_review_factors(spark, d):
 # Policy and accounts ------------------------------------------------------------------------------------------------------------------
 
 
-@query("""with f as (select doc_id, source as supplier, case doc_id % 6 when 0 then 'QUALITY' when 1 then 'DELIVERY' when 2 then 'AFTER_SALES' when 3 then 'PRODUCT_MISMATCH' when 4 then 'PACKAGING' else 'OTHER' end as category, case n_chars % 4 when 0 then 'NONE' when 1 then 'LOW' when 2 then 'MEDIUM' else 'HIGH' end as l, (n_chars % 10) / 10.0::double as confidence, n_chars % 3 as reviews from documents)
-select doc_id, supplier, case category when 'DELIVERY' then 'DELIVERY' when 'AFTER_SALES' then 'AFTER_SALES' else 'PRODUCT_QUALITY' end as dimension, case l when 'NONE' then 0.0 when 'LOW' then 25.0 when 'MEDIUM' then 55.0 else 80.0 end::double as severity,
-least(confidence, case when category = 'AFTER_SALES' then case when reviews <= 1 then 0.4 else 0.6 end else 1.0 end) as reliability from f where category <> 'OTHER'""")
+@query("""with f as (select doc_id, source as supplier, case doc_id % 6 when 0 then 'QUALITY' when 1 then 'DELIVERY' when 2 then 'AFTER_SALES' when 3 then 'PRODUCT_MISMATCH' when 4 then 'PACKAGING' else 'OTHER' end as category, case n_chars % 4 when 0 then 'NONE' when 1 then 'LOW' when 2 then 'MEDIUM' else 'HIGH' end as l, (n_chars % 10) / 10.0::double as confidence, n_chars % 3 as reviews, (doc_id % 5) / 4.0::double as rel, case doc_id % 4 when 0 then null when 1 then 0.5 else 1.1 end::double as media from documents)
+select doc_id, supplier, case category when 'DELIVERY' then 'DELIVERY' when 'AFTER_SALES' then 'AFTER_SALES' else 'PRODUCT_QUALITY' end as dimension, case l when 'LOW' then 25.0 when 'MEDIUM' then 55.0 else 80.0 end::double as severity,
+round(least(1.0, rel * confidence * coalesce(media, 1.0), case when category = 'AFTER_SALES' then case when reviews < 2 then 0.4 else 0.6 end else 1.0 end), 6) as reliability from f where category <> 'OTHER' and l <> 'NONE'""")
 def review_score_inputs(spark, d):
     k, n = F.col("doc_id"), F.col("n_chars")
     category = F.element_at(F.array(*map(F.lit, ["QUALITY", "DELIVERY", "AFTER_SALES", "PRODUCT_MISMATCH", "PACKAGING", "OTHER"])), (k % 6 + 1).cast("int"))
     label = F.element_at(F.array(*map(F.lit, ["NONE", "LOW", "MEDIUM", "HIGH"])), (n % 4 + 1).cast("int"))
-    f = read_table(spark, d, "documents").select("doc_id", F.col("source").alias("supplier"), category.alias("category"), label.alias("severity_label"), (n % 10 / 10).alias("confidence"), (n % 3).alias("reviews"))
-    return policy.score_inputs(f).select("doc_id", "supplier", "dimension", "severity", "reliability")
+    media = F.when(k % 4 == 1, 0.5).when(k % 4 > 1, 1.1)
+    f = read_table(spark, d, "documents").select("doc_id", F.col("source").alias("supplier"), category.alias("category"), label.alias("severity_label"), (n % 10 / 10).alias("confidence"), (k % 5 / 4).alias("review_reliability"), media.alias("media_factor"), (n % 3).alias("accessible_reviews"))
+    return policy.score_inputs(f).select("doc_id", "supplier", "dimension", "severity", F.round("reliability", 6).alias("reliability"))
 
 
-@query(f"""with c as (select user_id as supplier, count(*) as n from events group by 1), b as (select distinct user_id as supplier from events where event_type = 'error' and value > 45)
-select supplier, 'REVIEW_MANIPULATION' as dimension, 35.0::double as severity, case when n >= 100 then 0.6 when n >= 30 then 0.45 else 0.4 end::double as confidence from c where n >= 10 and supplier not in (select supplier from b)""")
+@query(f"""with c as (select user_id as supplier, count(*) as n, count(*) filter (value > 25) / count(*)::double as conf, user_id % 3 = 0 as no_t, user_id % 4 = 0 as no_r from events group by 1), b as (select distinct user_id as supplier from events where event_type = 'error' and value > 45)
+select supplier, 'review-sample:credibility' as evidence_id, 'REVIEW_MANIPULATION' as dimension, 35.0::double as severity, round(least(conf, 0.6, case when no_t then 0.45 else 1 end, case when no_r then 0.4 else 1 end), 6) as confidence from c where n >= 10 and supplier not in (select supplier from b)""")
 def preliminary_credibility(spark, d):
     e = read_table(spark, d, "events").withColumnRenamed("user_id", "supplier")
-    return policy.preliminary_credibility(e.groupBy("supplier").agg(F.count("*").alias("review_count")), e.where("event_type = 'error' and value > 45"))
+    counts = e.groupBy("supplier").agg(F.count("*").alias("review_count"), (F.count_if(F.col("value") > 25) / F.count("*")).alias("review_confidence")).withColumns({"no_timestamps": F.col("supplier") % 3 == 0, "no_ratings": F.col("supplier") % 4 == 0})
+    return policy.preliminary_credibility(counts, e.where("event_type = 'error' and value > 45")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("""with t as (select doc_id, case doc_id % 5 when 0 then 'SUPPLIER_IDENTITY' when 1 then 'AFTER_SALES' when 2 then 'PRICING' else 'PRODUCT_QUALITY' end as dim, case n_chars % 3 when 0 then 'UNKNOWN' when 1 then 'HIGH' else 'LOW' end as sev, case when doc_id % 11 = 0 then [] else ['reviews', lang] end as fields, case when doc_id % 7 = 0 then ['reviews'] else ['reviews', lang] end as quoted, n_chars % 4 as reviews from documents)
-select doc_id, case when dim = 'SUPPLIER_IDENTITY' then 'skipped' when sev = 'UNKNOWN' then 'unknown severity' when len(fields) = 0 then 'no fields' when doc_id % 7 = 0 then 'fields are not quoted' when not list_has_any(fields, ['reviews', 'products']) then 'out of scope'
-when reviews < 2 and not (dim = 'AFTER_SALES' and sev in ('MEDIUM', 'HIGH')) then 'too few reviews' end as rejection from t""")
+@query("""with t as (select doc_id, case doc_id % 5 when 0 then 'SUPPLIER_IDENTITY' when 1 then 'AFTER_SALES' when 2 then 'PRICING' else 'PRODUCT_QUALITY' end as dim, case n_chars % 3 when 0 then 'UNKNOWN' when 1 then 'HIGH' else 'LOW' end as sev,
+case when doc_id % 11 = 0 then 'none' when doc_id % 13 = 0 then 'unquoted' when doc_id % 2 = 0 then 'reviews' else 'page_context' end as f, n_chars % 4 as reviews, substr(text, 1, 40) as q, (n_chars % 10) / 10.0 as conf from documents)
+select doc_id, case when dim = 'SUPPLIER_IDENTITY' then 'skipped' when sev = 'UNKNOWN' then 'unknown severity' when f = 'none' then 'no fields' when f = 'unquoted' then 'fields are not quoted' when (dim = 'PRODUCT_QUALITY' and f = 'page_context') or (dim = 'PRICING' and f = 'reviews') then 'out of scope'
+when f = 'page_context' and length(trim(q)) < 16 then 'no such passage' when f = 'page_context' and dim = 'AFTER_SALES' and not regexp_matches(q, '(?i)refund|return|exchange|warranty|after.sales|dispute|compensation') then 'off topic'
+when f = 'page_context' and dim = 'PRICING' and not regexp_matches(q, '(?i)USD|CNY|RMB|price|MOQ|minimum|payment') then 'off topic' when f = 'reviews' and q = '' then 'quote not in the source' when f = 'reviews' and reviews < 2 and not (dim = 'AFTER_SALES' and sev = 'HIGH') then 'too few reviews' when conf <= 0 then 'no confidence' end as rejection from t""")
 def dimension_gates(spark, d):
-    k, n = F.col("doc_id"), F.col("n_chars")
+    k, n, none = F.col("doc_id"), F.col("n_chars"), F.array().cast("array<string>")
     dim = F.when(k % 5 == 0, "SUPPLIER_IDENTITY").when(k % 5 == 1, "AFTER_SALES").when(k % 5 == 2, "PRICING").otherwise("PRODUCT_QUALITY")
     sev = F.when(n % 3 == 0, "UNKNOWN").when(n % 3 == 1, "HIGH").otherwise("LOW")
-    both = F.array(F.lit("reviews"), F.col("lang"))
-    fields, quoted = F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(both), F.when(k % 7 == 0, F.array(F.lit("reviews"))).otherwise(both)
-    return read_table(spark, d, "documents").select("doc_id", policy.gate(dim, sev, fields, quoted, F.array(F.lit("reviews"), F.lit("products")), n % 4).alias("rejection"))
+    one = F.when(k % 2 == 0, "reviews").otherwise("page_context")
+    fields = F.when(k % 11 == 0, none).otherwise(F.array(one))
+    quotes = F.when(k % 13 == 0, F.create_map(F.lit("products"), F.lit("x"))).otherwise(F.create_map(one, F.substring("text", 1, 40)))
+    metrics = F.lit(None).cast("array<struct<label:string,value:string>>")
+    rows = read_table(spark, d, "documents").select("doc_id", "n_chars", "text", dim.alias("dim"), sev.alias("sev"), fields.alias("fields"), quotes.alias("quotes"), F.create_map(one, F.array("text")).alias("fragments"))
+    return rows.select("doc_id", policy.gate(F.col("dim"), F.col("sev"), F.col("fields"), F.col("quotes"), F.col("fragments"), metrics, n % 4, n % 10 / 10).alias("rejection"))
 
 
 @query("select c_custkey, c_name from customer where contains(lower(c_name), '12') or contains(lower(c_mktsegment), '12') or contains(c_custkey::varchar, '12')")

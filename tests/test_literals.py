@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars, text as tx, urls
-from attesta.operators import admission, identity, merge, reviews, scoring, serving, similarity, workflow
+from attesta.operators import admission, identity, merge, policy, reviews, scoring, serving, similarity, workflow
 
 
 def one(df):
@@ -51,11 +51,26 @@ def test_coercion_names_reviews_and_rejects_repeated_ids(spark):
         reviews.coerced(bad).collect()
 
 
-def test_clusters_are_transitive(spark):
-    v = rows(spark, [("s", 1, [1.0, 0.0]), ("s", 2, [0.95, 0.31]), ("s", 3, [0.81, 0.59]), ("s", 4, [0.0, -1.0]), ("s", 5, [0.0, 0.0])], "supplier string, id bigint, vector array<double>")
-    pairs = similarity.similar_pairs(v).cache()
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(1, 2), (2, 3)}
-    assert {r["id"]: r["cluster"] for r in similarity.clusters(pairs).collect()} == {1: 1, 2: 1, 3: 1}
+def test_clusters_are_transitive_and_hold_copies(spark):
+    data = [("s", 1, [1.0, 0.0]), ("s", 2, [0.95, 0.31]), ("s", 3, [0.81, 0.59]), ("s", 4, [0.0, -1.0]), ("s", 5, [0.0, 0.0]), ("s", 6, [0.0, 0.0]), ("s", 7, [1.0, 0.0]), ("s", 8, [0.0, -1.0]), ("t", 9, [1.0, 0.0]), ("s", 10, None)]
+    v = rows(spark, data, "supplier string, id bigint, vector array<double>")
+    for block in (1, 2, 1024):
+        pairs = similarity.similar_pairs(v, block=block)
+        assert {(r["a"], r["b"], r["weight"]) for r in pairs.collect()} == {(1, 2, 2), (2, 3, 1), (1, 1, 1), (4, 4, 1)}
+    got = similarity.clusters(pairs, similarity.members(v))
+    assert {r["id"]: r["cluster"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 4: 4, 8: 4}
+    stats = {r["cluster"]: r for r in similarity.cluster_statistics(pairs, got).collect()}
+    assert stats[1]["members"] == 4 and stats[4]["avg_similarity"] == 1.0 and stats[4]["number"] == 1
+
+
+def test_blocks_find_what_all_pairs_find(spark):
+    import numpy as np
+
+    m = np.random.default_rng(2).normal(0, 1, (120, 6))
+    v = rows(spark, [("s", k, x.tolist()) for k, x in enumerate(m)], "supplier string, id bigint, vector array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if u[a] @ u[b] >= 0.6}
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(v, 0.6, block=16).collect()} == want and len(want) > 100
 
 
 def test_a_chain_of_pairs_is_one_cluster(spark):
@@ -124,14 +139,30 @@ def test_upsert_and_replay(spark):
 @pytest.mark.parametrize(
     ("url", "want"),
     [
-        ("https://detail.1688.com/offer/1027322610455.html?spm=1", "https://detail.1688.com/offer/1027322610455.html"),
-        ("https://user@detail.1688.com/offer/1027322610455.html", None),
-        ("http://detail.1688.com/offer/1027322610455.html", None),
-        ("https://item.taobao.com/item.htm?id=1076425861755", "https://item.taobao.com/item.htm?id=1076425861755"),
-        ("https://item.taobao.com/item.htm?id=1076425861755&id=5", None),
-        ("https://www.alibaba.com/product-detail/Some-thing_1600147809763.html", "https://www.alibaba.com/product-detail/_1600147809763.html"),
-        ("https://gzlx.m.en.alibaba.com/company_profile.html", "https://gzlx.en.alibaba.com/"),
+        ("https://detail.1688.com/offer/700000000001.html?spm=1", "https://detail.1688.com/offer/700000000001.html"),
+        ("https://user@detail.1688.com/offer/700000000001.html", None),
+        ("https://detail.1688.com:443/offer/700000000001.html", None),
+        ("http://detail.1688.com/offer/700000000001.html", None),
+        ("https://m.1688.com/offer/700000000001.html", None),
+        ("https://detail.1688.com/offer/700000000001.html#x", None),
+        (" https://detail.1688.com/offer/700000000001.html", None),
+        ("https://detail.1688.com/offer/12345.html", None),
+        ("https://detail.1688.com/offer/700000000001.html?" + "x" * 2048, None),
+        ("https://item.taobao.com/item.htm?spm=2&id=7", "https://item.taobao.com/item.htm?id=7"),
+        ("https://item.taobao.com/item.htm?id=07", None),
+        ("https://item.taobao.com/item.htm?id=7&id=5", None),
+        ("https://item.taobao.com/item.htm?id=7&id", None),
+        ("https://item.taobao.com/item.htm", None),
+        ("https://detail.tmall.com/item.htm?id=7", None),
+        ("https://shop12.taobao.com/?a=1", "https://shop12.taobao.com/"),
+        ("https://shop12.world.taobao.com/index.htm", "https://shop12.world.taobao.com/index.htm"),
+        ("https://shop12.taobao.com/search.htm", None),
         ("https://login.taobao.com/", None),
+        ("https://www.alibaba.com/product-detail/Some-thing_1600000000001.html?x", "https://www.alibaba.com/product-detail/Some-thing_1600000000001.html"),
+        ("https://www.alibaba.com/product-detail/_1600000000001.html", None),
+        ("https://some-co.en.alibaba.com/company_profile.html", "https://some-co.en.alibaba.com/company_profile.html"),
+        ("https://some-co.m.en.alibaba.com/company_profile.html", None),
+        ("https://some-co.en.alibaba.com/company_profile.html#", None),
         ("", None),
         (None, None),
     ],
@@ -140,9 +171,50 @@ def test_addresses(spark, url, want):
     assert value(spark, urls.normalize(F.lit(url).cast("string"))) == want
 
 
+def test_linked_addresses(spark):
+    of = lambda f, *u: [value(spark, f(F.lit(x))) for x in u]
+    assert of(urls.company_alibaba, "https://co.m.en.alibaba.com/", "https://co.en.alibaba.com/index.html?a", "https://co.en.alibaba.com/x", "https://a.b.en.alibaba.com/") == ["https://co.en.alibaba.com/"] * 2 + [None] * 2
+    assert value(spark, urls.company_alibaba(F.lit("https://co.en.alibaba.com/"), profile=True)) is None
+    assert of(urls.shop_1688, "https://some.1688.com", "https://detail.1688.com/", "https://some.1688.com/page") == ["https://some.1688.com/", None, None]
+    card = "https://sale.1688.com/factory/card.html?memberId="
+    assert of(urls.factory_1688, "https://www.1688.com/factory/ab_c.html?x", card + "ab_c&facMemId=ab_c", card + "ab&facMemId=cd", card + "ab&memberId=ab", card + "A") == ["https://www.1688.com/factory/ab_c.html"] * 2 + [None] * 3
+    assert of(urls.page_kind, "https://item.taobao.com/item.htm?id=7", "https://detail.1688.com/offer/700000000001.html", "https://co.en.alibaba.com/", "https://example.com/") == ["paused", "product", "company", "unsupported"]
+    assert of(urls.source_label, "https://item.taobao.com/item.htm?id=7", "https://co.en.alibaba.com/company_profile.html", "x") == ["Taobao", "Alibaba", "1688"]
+
+
+def test_reviews_are_folded_by_nfkc(spark):
+    import unicodedata
+
+    texts = [unicodedata.normalize("NFD", "Chất lượng kém!"), "ＰＯＯＲ　ＱＵＡＬＩＴＹ", "poor quality", "fine"]
+    r = rows(spark, [("s", t) for t in texts], "supplier string, text string")
+    assert one(reviews.topics(r))["review_count"] == 3
+    assert one(reviews.exact_duplicates(r))["duplicate_reviews"] == 2
+
+
+def test_sample_credibility_and_claims(spark):
+    counts = rows(spark, [("a", 10, 0.9, False, False), ("b", 10, 0.9, True, False), ("c", 10, 0.9, True, True), ("d", 10, 0.3, True, True), ("e", 9, 0.9, False, False), ("f", 10, 0.9, False, False)], "supplier string, review_count int, review_confidence double, no_timestamps boolean, no_ratings boolean")
+    got = policy.preliminary_credibility(counts, rows(spark, [("f",)], "supplier string"))
+    assert {r["supplier"]: r["confidence"] for r in got.collect()} == {"a": 0.6, "b": 0.45, "c": 0.4, "d": 0.3}
+    schema = "dimension string, severity string, fields array<string>, quotes map<string,string>, fragments map<string,array<string>>, metrics array<struct<label:string,value:string>>, reviews int"
+    metric, q = [("Response rate", "95%")], "Refund within 7 days of delivery"
+    data = [
+        ("SUPPLIER_IDENTITY", "LOW", ["certifications"], {"certifications": "x"}, {"certifications": ["x"]}, None, 5), ("PRICING", "LOW", ["reviews"], {"reviews": "x"}, {"reviews": ["x"]}, None, 5),
+        ("AFTER_SALES", "LOW", ["page_context"], {"page_context": q}, {"page_context": [q]}, None, 5), ("PRICING", "LOW", ["page_context"], {"page_context": q}, {"page_context": [q]}, None, 5),
+        ("AFTER_SALES", "LOW", ["page_context"], {"page_context": "short"}, {"page_context": ["short"]}, None, 5), ("AFTER_SALES", "HIGH", ["products"], {"products": "full refund"}, {"products": ["full refund"]}, None, 5),
+        ("AFTER_SALES", "HIGH", ["products"], {"products": "no refunds, full refund denied"}, {"products": ["no refunds, full refund denied"]}, None, 5), ("COMMUNICATION", "LOW", ["transaction_signals"], {"transaction_signals": "Response rate 95%"}, {"transaction_signals": ["Response rate 95%"]}, metric, 5),
+        ("COMMUNICATION", "LOW", ["transaction_signals"], {"transaction_signals": "Response rate"}, {"transaction_signals": ["Response rate"]}, metric, 5), ("DELIVERY", "LOW", ["transaction_signals"], {"transaction_signals": "Store return rate 9%"}, {"transaction_signals": ["Store return rate 9%"]}, [("Store return rate", "9%")], 5),
+        ("DELIVERY", "LOW", ["reviews"], {"reviews": "late"}, {"reviews": ["it was late"]}, None, 1), ("AFTER_SALES", "HIGH", ["reviews"], {"reviews": "late"}, {"reviews": ["it was late"]}, None, 1), ("DELIVERY", "LOW", ["reviews"], {"reviews": "never"}, {"reviews": ["it was late"]}, None, 3),
+    ]
+    c = F.col
+    got = [r[0] for r in rows(spark, data, schema).coalesce(1).select(policy.gate(c("dimension"), c("severity"), c("fields"), c("quotes"), c("fragments"), c("metrics"), c("reviews"), F.lit(0.5))).collect()]
+    assert got == ["skipped", "out of scope", None, "off topic", "no such passage", "a promise is no concern", None, None, "no metric quoted", "ambiguous rate", "too few reviews", None, "quote not in the source"]
+    assert value(spark, policy.claim_confidence(F.lit("AFTER_SALES"), F.lit(0.9), F.lit(0.8), F.lit(True), F.lit(1))) == 0.4 and value(spark, policy.claim_confidence(F.lit("PRICING"), F.lit(0.9), F.lit(0.8), F.lit(False), F.lit(1))) == 0.7
+
+
 def test_text_functions(spark):
-    assert value(spark, F.size(tx.chunks(F.lit("x" * 1500)))) == 3
     assert value(spark, F.transform(tx.chunks(F.lit("x" * 1500)), F.length)) == [900, 800, 100]
+    assert value(spark, F.transform(tx.chunks(F.lit("x" * 7000)), F.length)) == [900] * 9
+    assert value(spark, F.size(tx.chunks(F.lit("x" * 710)))) == 1 and value(spark, F.size(tx.chunks(F.lit("质量" * 4)))) == 1 and value(spark, F.size(tx.chunks(F.lit("x" * 15)))) == 0
     assert value(spark, tx.folded_nfkc(F.lit("Straße ＡＢＣ!!"))) == "strasse abc"
     assert value(spark, tx.unfenced(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'
     assert value(spark, tx.claims_map(F.lit("a: 1; b: x:y"))) == {"a": "1", "b": "x:y"}
