@@ -4,15 +4,13 @@ An image is a binary PGM (P5) column. Corners (Harris response, all local maxima
 shrink by the root of two; each gets an orientation from the intensity centroid of its patch and a descriptor of 256 binary tests turned by it.
 
 A descriptor is cut into TABLES parts of 256 / TABLES bits. Of two descriptors within DISTANCE bits one part differs in one bit at most, as
-DISTANCE < 2 TABLES; so the queries' parts and all their neighbours at one bit are the keys of an equality join that finds every such pair, and the full
-Hamming distance is checked after. Distinct descriptors are joined, not corners. A pair of images is a copy if enough descriptor
-pairs agree on one similarity transform (scale, rotation, shift), found by votes over the transform that each pair proposes, in
-bins that overlap.
-
-The keys of the queries are also set in a bitmap of SLOTS bits, of one size whatever the number of queries, that goes to the tasks which describe the base:
-descriptors without a key in it are dropped where they arise, so the base is neither written nor shuffled as a whole. With more
-queries the bitmap fills and lets more through; it loses none. Equal images are one class: classes are described and joined once, so groups of
-identical images are never expanded into pairs.
+DISTANCE < 2 TABLES; so tables of the queries' parts and all their neighbours at one bit, joined by equality with the parts of the base, find every
+such pair, and the full Hamming distance is checked before a pair leaves the join. The stated queries meet all rows in blocks: each block holds some
+BLOCK distinct descriptors, goes to the tasks as a broadcast of that size, and is joined there with the base's written descriptors, which are not
+shuffled. Distinct descriptors are joined, not corners. A pair of images is a copy if enough descriptor pairs agree on one similarity
+transform (scale, rotation, shift), found by votes over the transform that each pair proposes, in bins that overlap.
+
+Equal images are one class: classes are described and joined once, so groups of identical images are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +31,8 @@ TABLES = 8
 DISTANCE = 2 * TABLES - 1
 INLIERS = 4
 TURNS = 90
-SLOTS = 1 << 27
+#: Distinct descriptors of queries that meet the base at a time: about 32 bytes each to broadcast, and tables of 264 keys each in a task.
+BLOCK = 1 << 14
 DESCRIPTOR = "x float, y float, scale float, angle float, d0 bigint, d1 bigint, d2 bigint, d3 bigint"
 
 
@@ -155,23 +154,14 @@ def probes(keys):
     return (keys[:, :, None] ^ flips).reshape(len(keys), -1)
 
 
-def _slot(keys):
-    import numpy as np
-
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).view(np.int64)
-
-
-def descriptors(images: DataFrame, bitmap=None) -> DataFrame:
-    """One row per corner of the images (class_id, image), with the keys of its parts; images that cannot be read or have no corner give none.
-
-    With a bitmap (a broadcast) only the keys set in it, and only corners that have one.
-    """
+def descriptors(images: DataFrame) -> DataFrame:
+    """One row per corner of the images (class_id, image); images that cannot be read or have no corner give none."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["class_id", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3", "keys"]
+        names = ["class_id", "x", "y", "scale", "angle", *BITS]
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
@@ -182,57 +172,81 @@ def descriptors(images: DataFrame, bitmap=None) -> DataFrame:
                         by_shape.setdefault(p.shape, []).append((key, p))
                 for group in by_shape.values():
                     n, x, y, s, a, bits = describe(np.stack([p for _, p in group]))
-                    found = part_keys(bits)
                     ids = np.array([k for k, _ in group], np.int64)[n]
-                    held = np.ones(found.shape, bool)
-                    if bitmap is not None:
-                        slots = _slot(found)
-                        held = (bitmap.value[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    some = held.any(1)
-                    offsets = np.concatenate([[0], np.cumsum(held[some].sum(1))]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some][held[some]]))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(v[some]) for v in (ids, x, y, s, a)), *(pa.array(np.ascontiguousarray(bits[some, j])) for j in range(4)), lists], names)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (ids, x, y, s, a)), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4))], names)
 
-    return images.select("class_id", "image").mapInArrow(run, f"class_id bigint, {DESCRIPTOR}, keys array<bigint>")
+    return images.select("class_id", "image").mapInArrow(run, f"class_id bigint, {DESCRIPTOR}")
 
 
 BITS = ("d0", "d1", "d2", "d3")
 
 
-def _probed(described: DataFrame) -> DataFrame:
-    """(q_d0 ... q_d3, key, word, bit): a row per distinct descriptor and probe, with the probe's place in the bitmap."""
+class Tables:
+    """The Hamming tables of some descriptors (n, 4): a sorted list of probes for each part."""
 
-    def run(batches):
+    def __init__(self, bits):
         import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                bits = np.stack([np.asarray(part.column(f"q_{c}")) for c in BITS], 1)
-                keys = probes(part_keys(bits))
-                slots, each = _slot(keys.ravel()), keys.shape[1]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(bits[:, j], each)) for j in range(4)), pa.array(keys.ravel()), pa.array(slots >> 6), pa.array((slots & 63).astype(np.int32))], [*(f"q_{c}" for c in BITS), "key", "word", "bit"])
 
-    distinct = described.select(*(F.col(c).alias(f"q_{c}") for c in BITS)).distinct()
-    return distinct.mapInArrow(run, f"{', '.join(f'q_{c} bigint' for c in BITS)}, key bigint, word bigint, bit int")
+        self.bits, self.parts = bits, []
+        keys, each = part_keys(bits), 256 // TABLES + 1
+        for t in range(TABLES):
+            near = probes(keys[:, t : t + 1]).ravel()
+            order = np.argsort(near, kind="stable")
+            self.parts.append((near[order], order // each))
 
+    def within(self, bits, distance: int):
+        """(row of bits, row of the tables) of all pairs within the distance, at most DISTANCE, each once."""
+        import numpy as np
 
-def _bitmap(probed: DataFrame):
-    """The words of the bitmap, SLOTS / 64 at most, on the driver and from there to the tasks."""
+        keys, found = part_keys(bits), []
+        for t, (near, row) in enumerate(self.parts):
+            low, high = np.searchsorted(near, keys[:, t], "left"), np.searchsorted(near, keys[:, t], "right")
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            found.append(np.repeat(np.arange(len(bits)), n) * len(self.bits) + row[at])
+        pairs = np.unique(np.concatenate(found))
+        mine, theirs = pairs // len(self.bits), pairs % len(self.bits)
+        apart = np.bitwise_count((bits[mine] ^ self.bits[theirs]).view(np.uint64)).sum(1)
+        return mine[apart <= distance], theirs[apart <= distance]
+
+
+def matches(described: DataFrame, asked: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """The rows of described with q_d0 ... q_d3, once for each distinct descriptor of asked within `distance` bits, at most DISTANCE."""
+    spark = described.sparkSession
+    distinct = asked.select(*BITS).distinct()
+    blocks = max(1, math.ceil(distinct.count() / block))
+    dealt = materialize(distinct.withColumn("block", F.pmod(F.xxhash64(*BITS), F.lit(blocks))), "asked")
+    kept = [c for c in described.columns if c not in BITS]
+    schema = ", ".join([*(f"{c} {described.schema[c].dataType.simpleString()}" for c in kept), *(f"q_{c} bigint" for c in BITS)])
+    out = None
+    for k in range(blocks):
+        rows = dealt.where(F.col("block") == k).select(*BITS).toArrow()  # about `block` rows of four numbers
+        held = spark.sparkContext.broadcast(_bits(rows))
+
+        def run(batches, held=held):
+            import numpy as np
+            import pyarrow as pa
+
+            tables = None
+            for batch in batches:
+                if len(held.value) and tables is None:
+                    tables = Tables(held.value)
+                for start in range(0, batch.num_rows if tables else 0, 2048):
+                    part = batch.slice(start, 2048)
+                    mine, theirs = tables.within(_bits(part), distance)
+                    chosen = pa.array(mine)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(chosen) for c in kept), *(pa.array(np.ascontiguousarray(tables.bits[theirs, j])) for j in range(4))], [*kept, *(f"q_{c}" for c in BITS)])
+
+        found = materialize(described.mapInArrow(run, schema), "matches")
+        out = found if out is None else out.unionByName(found)
+    discard(dealt)
+    return out
+
+
+def _bits(rows):
     import numpy as np
 
-    words = np.zeros(SLOTS // 64, np.uint64)
-    rows = probed.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    words[np.asarray(rows.column("word"))] = np.asarray(rows.column("bits")).view(np.uint64)
-    return probed.sparkSession.sparkContext.broadcast(words)
-
-
-def met(described: DataFrame, probed: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(d0 ... d3, q_d0 ... q_d3): all pairs of distinct descriptors within `distance` bits, at most DISTANCE."""
-    values = described.groupBy(*BITS).agg(F.any_value("keys").alias("keys")).select(*BITS, F.explode("keys").alias("key"))
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q_{c}"))) for c in BITS[1:]), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
-    return values.join(probed.select("key", *(f"q_{c}" for c in BITS)), "key").where(apart <= distance).select(*BITS, *(f"q_{c}" for c in BITS)).distinct()
+    return np.ascontiguousarray(np.stack([np.asarray(rows.column(c)) for c in BITS], 1)) if rows.num_rows else np.empty((0, 4), np.int64)
 
 
 def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inliers: int = INLIERS) -> DataFrame:
@@ -242,11 +256,10 @@ def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inlier
     of images has a scale of any power of the root of two (others as far as descriptors bear them) and any rotation.
     """
     q = materialize(descriptors(queries), "query_descriptors")
-    probed = materialize(_probed(q), "probes")
-    b = materialize(descriptors(base, _bitmap(probed)), "descriptors")
-    near = materialize(met(b, probed, distance), "met")
+    b = materialize(descriptors(base), "descriptors")
+    near = matches(b, q, distance)
     named = q.select(F.col("class_id").alias("query_class"), *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle", *BITS)))
-    pairs = near.join(named, [f"q_{c}" for c in BITS]).join(b.drop("keys"), list(BITS))
+    pairs = near.join(named, [f"q_{c}" for c in BITS])
     turn = F.col("q_angle") - F.col("angle")
     ratio = F.col("q_scale") / F.col("scale")
     moved_x = F.col("q_x") - ratio * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y"))
@@ -259,7 +272,7 @@ def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inlier
     votes = votes.select("query_class", "class_id", "x", "y", "zoom", F.explode(F.array(*cells)).alias("cell"))
     agreed = votes.groupBy("query_class", "class_id", "zoom", "cell").agg(F.count_distinct(F.round("x"), F.round("y")).alias("n")).where(F.col("n") >= inliers)
     found = materialize(agreed.groupBy("query_class", "class_id").agg(F.max("n").alias("inliers")), "copies")
-    discard(q, probed, b, near)
+    discard(q, b)
     return found
 
 

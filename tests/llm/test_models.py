@@ -196,7 +196,7 @@ def test_copies_of_images(spark):
 
 
 def test_search_finds_every_pair_within_the_distance(spark):
-    """The keys, the bitmap and the join against brute force over all pairs of descriptors, from 0 bits apart to beyond the distance."""
+    """The tables, in one block and in several, against brute force over all pairs of descriptors, from 0 bits apart to beyond the distance."""
     rng = np.random.default_rng(8)
     base = rng.integers(-(1 << 63), 1 << 63, (60, 4), dtype=np.int64)
     asked = []
@@ -204,14 +204,13 @@ def test_search_finds_every_pair_within_the_distance(spark):
         bits = np.unpackbits(base[k % 60].astype(">i8").view(np.uint8))
         bits[rng.choice(256, k % 20, replace=False)] ^= 1
         asked.append(np.packbits(bits).view(">i8").astype(np.int64))
-    frame = lambda rows: spark.createDataFrame([(*map(int, d), list(map(int, media.part_keys(d[None])[0]))) for d in rows], "d0 bigint, d1 bigint, d2 bigint, d3 bigint, keys array<bigint>")
-    probed = media._probed(frame(asked))
-    words = media._bitmap(probed).value
-    slots = media._slot(media.probes(media.part_keys(np.array(asked))).ravel())
-    assert ((words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).all() and np.bitwise_count(words).sum() == len(set(slots.tolist()))
-    got = {(tuple(r[c] for c in media.BITS), tuple(r[f"q_{c}"] for c in media.BITS)) for r in media.met(frame(base), probed).collect()}
+    frame = lambda rows: spark.createDataFrame([tuple(map(int, d)) for d in rows], "d0 bigint, d1 bigint, d2 bigint, d3 bigint")
+    named = frame(base).select("*", *(F.col(c).alias(f"b_{c}") for c in media.BITS))
     apart = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
-    assert got == {(tuple(map(int, b)), tuple(map(int, a))) for a in asked for b in base if apart(a, b) <= media.DISTANCE} and len(got) >= 200
+    want = {(tuple(map(int, b)), tuple(map(int, a))) for a in asked for b in base if apart(a, b) <= media.DISTANCE}
+    for block in (40, 1 << 14):
+        rows = media.matches(named, frame(asked), block=block).collect()
+        assert {(tuple(r[f"b_{c}"] for c in media.BITS), tuple(r[f"q_{c}"] for c in media.BITS)) for r in rows} == want and len(rows) == len(want) >= 200
 
 
 def test_image_query_on_odd_tables(spark, tmp_path):
