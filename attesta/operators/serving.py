@@ -56,3 +56,50 @@ def upserted(stored: DataFrame, arriving: DataFrame, keys: list[str], columns: l
     n = arriving.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in columns))
     pick = lambda c: F.coalesce(f"_n_{c}", f"_o_{c}") if refresh else F.coalesce(f"_o_{c}", f"_n_{c}")
     return o.join(n, keys, "full").select(*keys, *(pick(c).alias(c) for c in columns))
+
+
+def owned_report(reports: DataFrame, analyses: DataFrame, owner: str, value: Column | str | int, actor: str, since: Column | None = None) -> DataFrame:
+    """Completed reports of an owner (a customer's id or a guest's key) that may be shown; guests' only if they are recent enough."""
+    mine = analyses.where((F.col(owner) == value) & (F.col("actor_type") == actor) & (F.col("status") == "COMPLETED"))
+    if since is not None:
+        mine = mine.where(F.col("created_at") >= since)
+    return reports.join(mine.select("analysis_id"), "analysis_id")
+
+
+def watched_supplier(analyses: DataFrame, snapshots: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """The supplier that a customer's analysis is about: analysis_id, user_id, supplier_id."""
+    mine = analyses.where("actor_type = 'CUSTOMER'").select("analysis_id", "user_id", "snapshot_id")
+    return mine.join(snapshots.select("snapshot_id", "supplier_id"), "snapshot_id").join(suppliers.select("supplier_id"), "supplier_id").select("analysis_id", "user_id", "supplier_id")
+
+
+def renormalize_source(analyses: DataFrame, snapshots: DataFrame, suppliers: DataFrame, results: DataFrame) -> DataFrame:
+    """What a new analysis from kept fields starts with: a customer's analysis with its snapshot, supplier and result; without one of them there is nothing to start with."""
+    mine = analyses.where("actor_type = 'CUSTOMER'")
+    return mine.join(snapshots, "snapshot_id").join(suppliers, "supplier_id").join(results, "analysis_id")
+
+
+def assessment_snapshot(analyses: DataFrame, snapshots: DataFrame, token: str | None = None) -> DataFrame:
+    """The snapshot of each analysis, if both name each other, with whether the claim is current (status ASSESSING and, if given, the token)."""
+    both = analyses.join(snapshots, ["snapshot_id", "analysis_id"])
+    current = F.col("status") == "ASSESSING"
+    return both.withColumn("current", F.coalesce(current if token is None else current & (F.col("claim_token") == token), F.lit(False)))
+
+
+def unknown_reviews(media: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """Media that refer to a review that is not there, or is blank; sound input has none."""
+    told = reviews.where(F.trim("text") != "").select(key, F.col("evidence_id").alias("review_id"))
+    return media.join(told, [key, "review_id"], "left_anti")
+
+
+def kept_reviews(rows: DataFrame, key: str, order: str, size: str, most_bytes: int = 47_000) -> DataFrame:
+    """The leading reviews of a document whose sizes together stay within a budget: the tail goes first. Adds retained and captured counts."""
+    by = Window.partitionBy(key).orderBy(order)
+    whole = Window.partitionBy(key)
+    counted = rows.withColumns({"_sum": F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)), "captured": F.count("*").over(whole)})
+    kept = counted.where(F.col("_sum") <= most_bytes)
+    return kept.withColumn("retained", F.count("*").over(whole)).drop("_sum")
+
+
+def page_of(rows: DataFrame, number: int, *order: Column, size: int = 5) -> DataFrame:
+    """One page of a sorted list, from page 0."""
+    return rows.orderBy(*order).offset(number * size).limit(size)

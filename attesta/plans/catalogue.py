@@ -407,19 +407,13 @@ def array_subset_check(spark, d):
     return read_table(spark, d, "documents").select("doc_id", (F.size(F.array_except(tags, allowed)) == 0).alias("allowed"), F.size(F.array_intersect(tags, some)).cast("bigint").alias("overlap"))
 
 
-@query("""select l_orderkey as o_orderkey, count(*) filter (l_returnflag = 'R' and l_quantity >= 27.5) as key_risks, count(*) filter (l_returnflag = 'A') as positive, count(*) filter (not (l_returnflag = 'R' and l_quantity >= 27.5) and l_returnflag <> 'A') as other, max(l_quantity * 2) as max_severity from lineitem group by l_orderkey""")
+@query("""select l_orderkey as o_orderkey, count(*) filter (l_returnflag = 'R' or (l_returnflag = 'N' and l_linestatus = 'F')) as key_risks, count(*) filter (l_returnflag = 'A') as positive, count(*) filter (l_returnflag = 'N' and l_linestatus <> 'F') as other, max(l_quantity * 2) as max_severity from lineitem group by l_orderkey""")
 def findings_partition(spark, d):
-    kind = F.when(F.col("l_returnflag") == "R", "RISK").when(F.col("l_returnflag") == "A", "POSITIVE").otherwise("UNCERTAINTY")
-    f = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), kind.alias("finding_type"), (F.col("l_quantity") * 2).alias("severity"))
+    kind = F.when(F.col("l_returnflag") == "R", "SUPPLIER_RISK").when(F.col("l_returnflag") == "A", "SUPPLIER_POSITIVE").otherwise("MEDIA_CONSISTENCY")
+    f = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), kind.alias("finding_type"), (F.col("l_quantity") * 2).alias("severity"), F.when(F.col("l_linestatus") == "F", "CONTRADICTS").alias("consistency"))
     return report.parts(f, "o_orderkey")
 
 
-@query(f"""with {SIGNALS}, n as (select source as supplier, count(*) as reviews from documents group by source) select supplier, reviews, concat_ws(',', case when reviews % 10 / 10.0 < 0.45 then 'LOW_COVERAGE' end, case when reviews < 8 then 'FEW_REVIEWS' end, case when reviews % 60 >= 30 then 'STALE' end) as limitations from n""")
-def report_limitations(spark, d):
-    n = _reviews(spark, d).groupBy("supplier").agg(F.count("*").alias("reviews"))
-    return n.select("supplier", "reviews", report.limitations(F.col("reviews") % 10 / 10, F.col("reviews"), F.col("reviews") % 60).alias("limitations"))
-
-
 @query("select o_orderkey as analysis_id, case when o_totalprice > 200000 then 'HIGH' when o_totalprice > 100000 then 'MODERATE' else 'LOW' end as risk_label, round(o_custkey % 12 / 12.0::double, 4) as completeness from orders")
 def guest_preview(spark, d):
     p = F.col("o_totalprice")
