@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import claims
-from attesta.operators import findings, policy, report, serving, similarity, workflow
+from attesta.operators import findings, platforms, policy, report, serving, similarity, workflow
 from attesta.plans.registry import query
 from attesta.sources.tables import read_table
 
@@ -365,3 +365,57 @@ def combined_patterns(spark, d):
     counts = read_table(spark, d, "embeddings").groupBy(F.col("label").alias("supplier")).agg(F.count("*").alias("review_count"))
     clusters = counts.select("supplier", F.lit(3).alias("members"), F.lit(0.8).alias("reliability"))
     return similarity.combined_patterns(counts.select("supplier", F.lit("TIMING_BURST").alias("kind"), F.lit(0.5).alias("strength"), F.lit(1.0).alias("reliability")), clusters, counts)
+
+
+# Marketplaces: pages made of the test tables' rows, in the platforms' layouts ----------------------------------------------------------
+
+
+@query("""with p as (select page_id as k, 700000 + page_id as offer from pages), s as (select *, case when k % 11 = 0 then 'BLOCKED' when k % 7 = 0 then 'MALFORMED_PAGE' when k % 5 = 0 then 'OFFER_MISMATCH' when k % 13 = 0 then 'UNVERIFIED_OFFER' end as f from p)
+select k as page_id, case when f is null then offer::varchar end as offer_id, case when f is null then 'Maker ' || k end as supplier_name, case when f is null then 'Thing' end as product_title, case when f is null then (k % 50)::varchar end as price_minimum, case when f is null and k % 3 = 0 then k % 9 end as review_count,
+case when f is null and k % 2 = 0 then 4.5 end::double as rating, case when f is null then round((3 + (k % 3 = 0)::int + (k % 2 = 0)::int + (k % 4 = 0)::int + 1) / 12, 4) end as completeness, case when f = 'BLOCKED' then f when f is not null then 'PARSE_FAILED' else 'PARTIAL' end as status, case when f <> 'BLOCKED' then f end as reason from s""")
+def offers_1688(spark, d):
+    k = F.col("page_id")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    offer = 700000 + k
+    own = F.when(k % 13 == 0, "null").when(k % 5 == 0, (offer + 1).cast("string")).otherwise(offer.cast("string"))
+    tags = F.when(k % 3 == 0, text('[{"name": "全部", "count": ', k % 9, "}]")).otherwise("null")
+    model = text(
+        '{"result": {"data": {"productTitle": {"fields": {"title": "Thing", "shopInfo": {"companyName": "Maker ', k, '"}, "rateInfo": {"goodsGrade": ', F.when(k % 2 == 0, "4.5").otherwise("null"), ', "commonTagNodeList": ', tags,
+        '}}}, "mainPrice": {"fields": {"finalPriceModel": {"tradeWithoutPromotion": {"offerMinPrice": "', k % 50, '"}}}}, "Root": {"fields": {"dataJson": {"offerBaseInfo": {"offerId": ', own, F.when(k % 7 == 0, ', "offerId": 1').otherwise(""), "}}}}}}}",
+    )
+    review = F.when(k % 4 == 0, "<div class='x review-item'>good <b>thing</b></div>").otherwise("")
+    page = text("<title>", F.when(k % 11 == 0, "Access Denied").otherwise("offer"), "</title><body><script>(function(){})(window.contextPath, ", model, ");</script>", review, "</body>")
+    p = read_table(spark, d, "pages").select("page_id", text("https://detail.1688.com/offer/", offer, ".html").alias("source_url"), page.alias("html"))
+    return platforms.offers_1688(p).select("page_id", "offer_id", "supplier_name", "product_title", "price_minimum", "review_count", "rating", "completeness", "status", "reason")
+
+
+@query("""with p as (select page_id as k, case when page_id % 7 = 0 then 'x' when page_id % 5 = 0 then 'x' when page_id % 3 = 0 then 'x' end as f from pages) select k as page_id, case when f is null then (1000 + k)::varchar end as offer_id, case when f is null then 'Shop' end as supplier_name, case when f is null then '¥' || k end as price_text, case when f is null then round(4 / 12, 4) end as completeness, case when f is not null then 'PARSE_FAILED' else 'PARTIAL' end as status, case when f is not null then 'MALFORMED_PAGE' end as reason from p""")
+def items_taobao(spark, d):
+    k = F.col("page_id")
+    n = k.cast("string")
+    bound = F.when(k % 7 == 0, "1").otherwise((1000 + k).cast("string"))
+    model = F.concat(F.lit('{"loaderData": {"home": {"data": {"ssrItemId": "'), bound, F.lit('", "res": {"item": {"itemId": "'), (1000 + k).cast("string"), F.lit('", "title": "Thing", "vagueSellCount": "9+"}, "seller": {"shopName": " Shop ", "sellerType": "'), F.when(k % 5 == 0, "B").otherwise("C"), F.lit('"}, "componentsVO": {"priceVO": {"price": {"priceText": "¥'), n, F.lit('"}}}}}}}'), F.when(k % 3 == 0, "").otherwise("}"))
+    page = F.concat(F.lit("<title>t</title><script>!(function () {var a = window.__ICE_APP_CONTEXT__ || {};var b = "), model, F.lit(";for (var k in a) {b[k] = a[k]}window.__ICE_APP_CONTEXT__=b;})();</script>"))
+    p = read_table(spark, d, "pages").select("page_id", F.concat(F.lit("https://item.taobao.com/item.htm?id="), (1000 + k).cast("string")).alias("source_url"), page.alias("html"))
+    return platforms.items_taobao(p).select("page_id", "offer_id", "supplier_name", "price_text", "completeness", "status", "reason")
+
+
+@query("""with p as (select page_id as k, page_id % 7 = 0 or page_id % 5 = 0 as bad from pages) select k as page_id, case when not bad then (1000 + k)::varchar end as offer_id, case when not bad then 'Co' end as supplier_name, case when not bad then k % 20 end as years_active, case when not bad then 'A,B' end as categories, case when not bad then 1.5 end::double as price_minimum, case when not bad and k % 2 = 0 then 4.9 end::double as rating,
+case when bad then 'PARSE_FAILED' else 'PARTIAL' end as status, case when not bad then round((6 + (k % 2 = 0)::int) / 12, 4) end as completeness from p""")
+def products_alibaba(spark, d):
+    k = F.col("page_id")
+    own = F.when(k % 7 == 0, F.lit(1)).otherwise(1000 + k).cast("string")
+    model = F.concat(
+        F.lit('{"globalData": {"product": {"productId": '), own, F.lit(', "subject": "Thing", "moq": 5, "price": {"productRangePrices": {"dollarPriceRangeLow": 1.5, "dollarPriceRangeHigh": '), F.when(k % 5 == 0, "1").otherwise("3"),
+        F.lit('}}}, "seller": {"companyName": "Co", "companyJoinYears": "'), (k % 20).cast("string"), F.lit('"}, "seo": {"breadCrumb": {"pathList": [{"hrefObject": {"name": "A"}}, {"hrefObject": {"name": "B"}}, {"hrefObject": {"name": "A"}}]}}, "review": {"storeReview": {"averageStar": "'), F.when(k % 2 == 0, "4.9").otherwise("7"), F.lit('"}}}}'),
+    )
+    p = read_table(spark, d, "pages").select("page_id", F.concat(F.lit("https://www.alibaba.com/product-detail/Thing_"), (1000 + k).cast("string"), F.lit(".html")).alias("source_url"), F.concat(F.lit("<script>window.detailData = "), model, F.lit(";</script>")).alias("html"))
+    return platforms.products_alibaba(p).select("page_id", "offer_id", "supplier_name", "years_active", F.array_join("categories", ",").alias("categories"), "price_minimum", "rating", "status", "completeness")
+
+
+@query("""with p as (select page_id as k, page_id % 7 = 0 as bad from pages) select k as page_id, case when not bad then 'Shop' end as supplier_name, case when not bad and k % 2 = 0 then k % 30 end::int as years_active, case when not bad then 1 end::bigint as metrics, case when bad then 'PARSE_FAILED' else 'PARTIAL' end as status from p""")
+def shops_taobao(spark, d):
+    k = F.col("page_id")
+    model = F.concat(F.lit('{"seller": {"shopId": "'), F.when(k % 7 == 0, F.lit(1)).otherwise(1000 + k).cast("string"), F.lit('", "shopName": "Shop", "shopDuration": "'), (k % 30).cast("string"), F.when(k % 2 == 0, "年老店").otherwise("年"), F.lit('", "evaluates": [{"title": "Service", "score": "4.8"}, {"title": " ", "score": "1"}]}}'))
+    p = read_table(spark, d, "pages").select("page_id", F.concat(F.lit("https://shop"), (1000 + k).cast("string"), F.lit(".taobao.com/")).alias("source_url"), F.concat(F.lit("<script>window.g_config = "), model, F.lit(";</script>")).alias("html"))
+    return platforms.shops_taobao(p).select("page_id", "supplier_name", "years_active", F.when(F.col("metrics").isNotNull(), F.size("metrics")).cast("bigint").alias("metrics"), "status")
