@@ -1,13 +1,13 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions alone.
 
 Detected are e-mail addresses, phone, card, social-security and IBAN numbers, IPv4 addresses, values assigned to a token, key, secret or
-password, and personal names behind a title or a known given name. A second step finds every other mention of a document's names, alone or in
+password, and personal names behind a title, a known given name or words that introduce one. A second step finds every other mention of a document's names, alone or in
 capitals. Equal entities get equal surrogates in all documents (coreference), unequal ones unequal surrogates (distinctness), and none gets the value of
 another real entity; given names alone are permuted, so their surrogates are others' given names.
 
 A surrogate is drawn from a keyed SHA-512 stream of (key, type, canonical form, attempt) and keeps type and format: digits stay digits and
 letters letters, case, separators and length stay; a card number passes the Luhn test exactly if the original does; an IBAN keeps its country and has
-right check digits; e-mail addresses move to the reserved TLD `.example`; a given name becomes one of the same gender and
+right check digits; e-mail addresses move to the reserved TLD `.example`, those of one domain to one domain; a given name becomes one of the same gender and
 script; a surname is built from syllables of its script, with the gendered ending where the script has one. Mentions of one number in two
 formats share their digits and keep each its own format.
 
@@ -58,9 +58,14 @@ PERSON = rf"(?<!\p{{L}})(?:{_NAMES})(?= \p{{Lu}}\p{{Ll}})"
 _WORD = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))+"
 #: Java's look-behind repeats no groups: up to five words between a title and the word in question.
 _BETWEEN = "|".join(r"\p{Lu}[\p{L}'’-]{1,20} " * n for n in range(1, 6))
+#: Words that introduce a name of two words or more.
+INTRODUCTIONS = ["name is", "name's", "name:", "named", "signed", "signed,", "regards,", "sincerely,", "author:", "attn:", "heiße", "heißt", "Name ist", "m'appelle", "s'appelle", "nom:", "me llamo", "se llama", "nombre:"]
+_INTRO = "|".join(sorted(INTRODUCTIONS, key=lambda t: (-len(t), t)))
+_FEW = "|".join(r"\p{Lu}[\p{L}'’-]{1,20} " * n for n in range(1, 3))
+INTRODUCED = rf"(?=\p{{Lu}})(?<=[\p{{L}},:] )(?:(?<=(?<!\p{{L}})(?i:{_INTRO}) )(?={_WORD} \p{{Lu}}\p{{Ll}})|(?<=(?<!\p{{L}})(?i:{_INTRO}) (?:{_FEW}))){_WORD}"
 SURNAME = rf"(?=\p{{Lu}})(?<=[\p{{L}}.] )(?:(?<=(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? )|(?<=(?<!\p{{L}})(?:{_TITLES})\.? (?:{_BETWEEN}))){_WORD}"
 #: Look-arounds that fail at once for nearly every place stand before those that try many lengths.
-ANY = f"(?:(?=[\\d+(])(?:{PHONE}|{SSN}|{CARD}|{IP})|{EMAIL}|{SECRET}|(?=\\p{{Lu}})(?:{IBAN}|{PERSON}|{SURNAME}))"
+ANY = f"(?:(?=[\\d+(])(?:{PHONE}|{SSN}|{CARD}|{IP})|{EMAIL}|{SECRET}|(?=\\p{{Lu}})(?:{IBAN}|{PERSON}|{SURNAME}|{INTRODUCED}))"
 
 
 def mentions(text: Column) -> Column:
@@ -171,10 +176,10 @@ def candidate(key: str, type_: Column, text: Column, attempt: Column) -> Column:
     """The surrogate that one attempt draws for the canonical form of an entity."""
     stream = F.sha2(F.concat_ws("\1", F.lit(key), type_, text, attempt.cast("string")), 512)
     given = F.create_map(*(F.lit(x) for pair in _given_table(key).items() for x in pair))
-    local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
     octets = [(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]
     return (
-        F.when(type_ == "email", F.concat(_redrawn(local, stream), F.lit("@"), _redrawn(F.regexp_replace(domain, r"\.[^.]*$", ""), stream, 32), F.lit(".example")))
+        F.when(type_ == "email", F.concat(_redrawn(F.substring_index(text, "@", 1), stream), F.lit("@"), F.substring_index(text, "@", -1)))
+        .when(type_ == "domain", F.concat(_redrawn(F.regexp_replace(text, r"\.[^.]*$", ""), stream), F.lit(".example")))
         .when(type_ == "card", _card(text, stream)).when(type_ == "iban", _iban(text, stream)).when(type_ == "ip", F.concat_ws(".", *octets))
         .when(type_ == "phone", F.concat(F.substring(text, 1, 1), F.substring(_redrawn(text, stream), F.lit(2), F.length(text))))
         .when(type_ == "given", given[text]).when(type_ == "surname", _surname(text, stream, attempt)).otherwise(_redrawn(text, stream))
@@ -206,6 +211,20 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 40) -> Da
     raise RuntimeError("the space of surrogates is too small for the entities of a type")
 
 
+def with_domains(entities: DataFrame) -> DataFrame:
+    """The entities and the domains of the addresses among them, as entities of their own."""
+    domains = entities.where("type = 'email'").select(F.lit("domain").alias("type"), F.substring_index("canonical", "@", -1).alias("canonical"))
+    return entities.unionByName(domains.distinct())
+
+
+def moved(table: DataFrame) -> DataFrame:
+    """The surrogates with every address moved to its domain's surrogate; distinct addresses of one domain and distinct domains stay distinct."""
+    domains = table.where("type = 'domain'").select(F.col("canonical").alias("_domain"), F.col("surrogate").alias("_moved"))
+    mails = table.where("type = 'email'").withColumn("_domain", F.substring_index("canonical", "@", -1)).join(domains, "_domain")
+    mails = mails.select("type", "canonical", F.concat(F.substring_index("surrogate", "@", 1), F.lit("@"), "_moved").alias("surrogate"))
+    return table.where("type not in ('email', 'domain')").unionByName(mails)
+
+
 def rendered(type_: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate in the format of the mention."""
     chars, digits = _chars(mention), _chars(surrogate)
@@ -215,10 +234,11 @@ def rendered(type_: Column, mention: Column, surrogate: Column) -> Column:
         step = lambda a, c: F.when(c.rlike(test), F.struct(F.concat(a["out"], F.get(digits, a["k"])).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k")))
         return F.aggregate(chars, start, step)["out"]
 
+    by_letter = F.array_join(F.zip_with(chars, digits, lambda m, s: F.when(F.coalesce(m.rlike(r"\p{Lu}"), F.lit(False)), F.upper(s)).otherwise(s)), "")
     cased = F.when(mention == F.upper(mention), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
     return (
         F.when(type_.isin("phone", "card", "ssn"), refill(r"\d")).when(type_ == "iban", refill("[A-Z0-9]")).when(type_ == "surname", cased)
-        .when(type_.isin("email", "given") & (mention == F.upper(mention)), F.upper(surrogate)).otherwise(surrogate)
+        .when(type_.isin("email", "given") & (mention == F.upper(mention)), F.upper(surrogate)).when(type_ == "email", by_letter).otherwise(surrogate)
     )
 
 
@@ -237,7 +257,9 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     hits = materialize(hits, "hits")
     parts = hits.select("_pii_row", F.posexplode("_pii_m").alias("pos", "mention")).withColumn("type", kind(F.col("mention")))
     parts = materialize(parts.withColumn("canonical", canonical(F.col("type"), F.col("mention"))), "mentions")
-    table = materialize(surrogate_table(materialize(parts.select("type", "canonical").distinct(), "entities"), key), "surrogates")
+    entities = materialize(parts.select("type", "canonical").distinct(), "entities")
+    drawn = materialize(surrogate_table(materialize(with_domains(entities), "entities"), key), "drawn")
+    table = materialize(moved(drawn), "surrogates")
     new = parts.join(table, ["type", "canonical"]).select("_pii_row", F.struct("pos", rendered(F.col("type"), F.col("mention"), F.col("surrogate")).alias("new")).alias("part"))
     lists = materialize(new.groupBy("_pii_row").agg(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["new"]).alias("_pii_new")), "lists")
     gaps = F.split(F.col(text_col), F.col("_pii_re"), -1)
