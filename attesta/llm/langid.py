@@ -138,7 +138,8 @@ def fit(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> ByteConvNet:
     drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     raw = F.col("text").cast("binary")
     places = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring(raw, (1 + F.pmod(F.xxhash64(i, "doc_id"), F.greatest(F.octet_length("text") - WINDOW + 1, F.lit(1)))).cast("int"), F.lit(WINDOW)))
-    rows = drawn.select("doc_id", "lang", places.alias("windows")).limit(2 * per_lang * len(langs)).toPandas()
+    order = F.xxhash64(F.lit(11), "doc_id")  # the bound is twice what is drawn on average; should it bind, the same rows stay
+    rows = drawn.select("doc_id", "lang", places.alias("windows")).orderBy(order, "doc_id", "windows").limit(2 * per_lang * len(langs)).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     cut = [(langs.index(lang), bytes(w)) for lang, ws in zip(rows["lang"], rows["windows"], strict=True) for w in ws]
     windows = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for _, w in cut), np.uint8).reshape(-1, WINDOW)
