@@ -66,6 +66,17 @@ def test_toxicity_of_odd_tables(spark, docs, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_scores_every_row_and_rises_with_what_it_learned(spark):
+    """Repeated and nameless rows are scored each; equal texts get equal scores, and those of the learned kind the higher ones."""
+    kinds = ["plain words about the weather of day {}", "you idiot and moron number {}, you scum"]
+    rows = [(k, kinds[k % 2].format(k)) for k in range(120)] + [(3, kinds[1].format(3)), (None, kinds[1].format(3)), (None, None), (500, "")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id bigint, label int")
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).toPandas()
+    assert len(got) == len(rows) and got.score.between(0, 1).all()
+    held = got[got.doc_id.between(80, 119)]
+    assert held[held.doc_id % 2 == 1].score.min() > held[held.doc_id % 2 == 0].score.max() and got[got.doc_id == 3].score.nunique() == 1
+
+
 def test_features_see_insults_pronouns_and_disguise():
     at = {n: i for i, n in enumerate(toxicity.FEATURES)}
     known = toxicity._Words({})
