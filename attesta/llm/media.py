@@ -259,7 +259,10 @@ def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inlier
     b = materialize(descriptors(base), "descriptors")
     near = matches(b, q, distance)
     named = q.select(F.col("class_id").alias("query_class"), *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle", *BITS)))
-    pairs = near.join(named, [f"q_{c}" for c in BITS])
+    pairs = materialize(near.join(named, [f"q_{c}" for c in BITS]), "pairs")
+    # fewer corners than inliers cannot agree, whatever the transform: such pairs of images propose none
+    enough = pairs.groupBy("query_class", "class_id").agg(F.count_distinct(F.round("x"), F.round("y")).alias("n")).where(F.col("n") >= inliers)
+    pairs = pairs.join(materialize(enough.select("query_class", "class_id"), "enough"), ["query_class", "class_id"])
     turn = F.col("q_angle") - F.col("angle")
     ratio = F.col("q_scale") / F.col("scale")
     moved_x = F.col("q_x") - ratio * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y"))
