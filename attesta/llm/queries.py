@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, exact_dedup, langid, media, minhash, mixing, pii, suffixes, toxicity, warc
+from attesta.llm import bpe, exact_dedup, langid, media, minhash, mixing, pii, suffixes, toxicity, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
