@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, exact_dedup, langid, media, minhash, mixing, pii, suffixes, toxicity, warc, whitening
+from attesta.llm import anchors, bpe, exact_dedup, langid, media, minhash, mixing, pii, suffixes, toxicity, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
+    "op11_anchor_dedup": anchors.op11_anchor_dedup,
     "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op11_anchor_dedup": anchors.ORACLE,
 }
