@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import anchors, bpe, exact_dedup, langid, media, minhash, mixing, pii, suffixes, toxicity, warc, whitening
+from attesta.llm import anchors, bpe, collocations, exact_dedup, langid, media, minhash, mixing, pii, suffixes, toxicity, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
     "op11_anchor_dedup": anchors.op11_anchor_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op11_anchor_dedup": anchors.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
