@@ -370,23 +370,30 @@ def combined_patterns(spark, d):
 # Marketplaces: pages made of the test tables' rows, in the platforms' layouts ----------------------------------------------------------
 
 
-@query("""with p as (select page_id as k, 700000 + page_id as offer from pages), s as (select *, case when k % 11 = 0 then 'BLOCKED' when k % 7 = 0 then 'MALFORMED_PAGE' when k % 5 = 0 then 'OFFER_MISMATCH' when k % 13 = 0 then 'UNVERIFIED_OFFER' end as f from p)
-select k as page_id, case when f is null then offer::varchar end as offer_id, case when f is null then 'Maker ' || k end as supplier_name, case when f is null then 'Thing' end as product_title, case when f is null then (k % 50)::varchar end as price_minimum, case when f is null and k % 3 = 0 then k % 9 end as review_count,
-case when f is null and k % 2 = 0 then 4.5 end::double as rating, case when f is null then round((3 + (k % 3 = 0)::int + (k % 2 = 0)::int + (k % 4 = 0)::int + 1) / 12, 4) end as completeness, case when f = 'BLOCKED' then f when f is not null then 'PARSE_FAILED' else 'PARTIAL' end as status, case when f <> 'BLOCKED' then f end as reason from s""")
+@query("""with b as (select s_suppkey, s_name, round(s_acctbal, 1) as grade, case when s_acctbal < 0 then 'BLOCKED' when s_nationkey = 3 then 'OFFER_MISMATCH' when s_nationkey = 7 then 'UNVERIFIED_OFFER' when s_nationkey = 9 then 'MALFORMED_PAGE' end as f, s_nationkey from supplier),
+q as (select l_suppkey, l_partkey, count(*) as n, min(l_extendedprice) as low, max(l_extendedprice) as high from lineitem group by 1, 2), s as (select 1000000 + l_partkey as offer, q.*, b.*, p_name from q join b on s_suppkey = l_suppkey join part on p_partkey = l_partkey)
+select l_suppkey, l_partkey, case when f is null then offer::varchar end as offer_id, case when f is null then s_name end as supplier_name, case when f is null then p_name end as product_title, case when f is null then low end::double as low, case when f is null then high end::double as high, case when f is null and n > 1 then n end as review_count,
+case when f is null and s_nationkey % 2 = 0 then grade end::double as rating, case when f is null then round((4 + (n > 1)::int + (s_nationkey % 2 = 0)::int) / 12, 4) end as completeness, case when f = 'BLOCKED' then f when f is not null then 'PARSE_FAILED' else 'PARTIAL' end as status, case when f <> 'BLOCKED' then f end as reason from s""")
 def offers_1688(spark, d):
-    k = F.col("page_id")
+    """An offer page for what a supplier sells of a part, in the platform's layout: names, prices and counts are those of the tables."""
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    offer = 700000 + k
-    own = F.when(k % 13 == 0, "null").when(k % 5 == 0, (offer + 1).cast("string")).otherwise(offer.cast("string"))
-    tags = F.when(k % 3 == 0, text('[{"name": "全部", "count": ', k % 9, "}]")).otherwise("null")
-    model = text(
-        '{"result": {"data": {"productTitle": {"fields": {"title": "Thing", "shopInfo": {"companyName": "Maker ', k, '"}, "rateInfo": {"goodsGrade": ', F.when(k % 2 == 0, "4.5").otherwise("null"), ', "commonTagNodeList": ', tags,
-        '}}}, "mainPrice": {"fields": {"finalPriceModel": {"tradeWithoutPromotion": {"offerMinPrice": "', k % 50, '"}}}}, "Root": {"fields": {"dataJson": {"offerBaseInfo": {"offerId": ', own, F.when(k % 7 == 0, ', "offerId": 1').otherwise(""), "}}}}}}}",
+    sold = read_table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+    rows = sold.join(read_table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    offer, nation = 1000000 + F.col("l_partkey"), F.col("s_nationkey")
+    rate = F.struct(
+        F.when(nation == 9, "high").otherwise(F.when(nation % 2 == 0, F.lit("#"))).alias("goodsGrade"), F.when(F.col("n") > 1, F.array(F.struct(F.lit("全部").alias("name"), F.col("n").alias("count")))).alias("commonTagNodeList"),
     )
-    review = F.when(k % 4 == 0, "<div class='x review-item'>good <b>thing</b></div>").otherwise("")
-    page = text("<title>", F.when(k % 11 == 0, "Access Denied").otherwise("offer"), "</title><body><script>(function(){})(window.contextPath, ", model, ");</script>", review, "</body>")
-    p = read_table(spark, d, "pages").select("page_id", text("https://detail.1688.com/offer/", offer, ".html").alias("source_url"), page.alias("html"))
-    return platforms.offers_1688(p).select("page_id", "offer_id", "supplier_name", "product_title", "price_minimum", "review_count", "rating", "completeness", "status", "reason")
+    fields = F.struct(F.col("p_name").alias("title"), F.struct(F.col("s_name").alias("companyName")).alias("shopInfo"), rate.alias("rateInfo"))
+    price = F.struct(F.col("low").alias("offerMinPrice"), F.col("high").alias("offerMaxPrice"))
+    own = F.struct(F.when(nation != 7, offer).alias("offerId"))
+    path = lambda inner, *names: F.struct(inner.alias(names[-1])) if len(names) == 1 else F.struct(path(inner, *names[1:]).alias(names[0]))
+    data = F.struct(F.struct(fields.alias("fields")).alias("productTitle"), path(price, "fields", "finalPriceModel", "tradeWithoutPromotion").alias("mainPrice"), path(own, "fields", "dataJson", "offerBaseInfo").alias("Root"))
+    model = F.replace(F.to_json(path(data, "result", "data")), F.lit('"#"'), F.round("s_acctbal", 1).cast("string"))
+    model = F.when(nation == 3, F.replace(model, F.lit('"offerId":'), F.lit('"offerId":1,"offerId":2'))).otherwise(model)
+    page = text("<title>", F.when(F.col("s_acctbal") < 0, "Access Denied").otherwise("offer"), "</title><body><script>(function(){})(window.contextPath, ", model, ");</script></body>")
+    p = rows.select("l_suppkey", "l_partkey", text("https://detail.1688.com/offer/", offer, ".html").alias("source_url"), page.alias("html"))
+    out = platforms.offers_1688(p).withColumns({"low": F.col("price_minimum").cast("double"), "high": F.col("price_maximum").cast("double")})
+    return out.select("l_suppkey", "l_partkey", "offer_id", "supplier_name", "product_title", "low", "high", "review_count", "rating", "completeness", "status", "reason")
 
 
 @query("""with p as (select page_id as k, case when page_id % 7 = 0 then 'x' when page_id % 5 = 0 then 'x' when page_id % 3 = 0 then 'x' end as f from pages) select k as page_id, case when f is null then (1000 + k)::varchar end as offer_id, case when f is null then 'Shop' end as supplier_name, case when f is null then '¥' || k end as price_text, case when f is null then round(4 / 12, 4) end as completeness, case when f is not null then 'PARSE_FAILED' else 'PARTIAL' end as status, case when f is not null then 'MALFORMED_PAGE' end as reason from p""")
