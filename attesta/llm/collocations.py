@@ -5,8 +5,9 @@ them is a phrase of k words (the two overlap in k - 2), and pairs that are frequ
 no phrase is missed, and what is rare at a level never becomes a row of the next.
 
 Texts are cut into blocks of words. A block keeps its words as numbers of its own dictionary and gives one row for each distinct entry, with its count, so the
-counts are summed before they are shuffled; the entries that turn out frequent are joined back to their blocks, which replace
-them by their ids and write the next level's pairs. A block holds bounded text, and a hot pair has one row in each block at most.
+counts are summed before they are shuffled. One shuffle brings the blocks' rows of an entry together, which sums them and names the entry after its first
+place; the rows of frequent entries go back to their blocks, which replace them by their ids and write the next level's pairs. Pairs travel in one row for
+each block and first part, and those of a very frequent first part are dealt by the second as well. A block holds bounded text, and a hot pair is in each block once.
 
 An id's pair doubles as its parent pointers: first is the phrase without its last word, second the one without its first. The counts of all heads and tails
 that a cut needs come down these pointers with one join a level each, and a phrase inside a longer one of nearly its count is found by the pointers of the longer
@@ -15,7 +16,7 @@ one: counts only fall as phrases grow, so if any longer phrase covers it, one th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import discard, materialize
@@ -31,7 +32,11 @@ SEPARATORS = b".,;:!?\n\v\f\r"
 BLANKS = b" \t"
 
 WORD_ROWS = "block bigint, carry int, seq binary, idx int, lang string, word string, n bigint"
-PAIR_ROWS = "block bigint, carry int, seq binary, idx int, first bigint, second bigint, n bigint"
+PAIR_ROWS = "block bigint, carry int, seq binary, idx int, first bigint, salt int, seconds array<bigint>, counts array<int>"
+#: Bits of a place for the number of a block in its task, and for that of an entry in its block.
+BLOCK_BITS, ENTRY_BITS = 20, 22
+#: Occurrences of a phrase beyond which its pairs are dealt into twice as many parts, and four times those, and so on.
+HOT = 1 << 16
 
 
 def _tables():
@@ -114,7 +119,7 @@ def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 33
+        block = TaskContext.get().partitionId() << BLOCK_BITS
         for batch in batches:
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 rows = batch.column("raw").filter(pc.equal(batch.column("lang"), lang)).cast(pa.large_binary())
@@ -143,67 +148,90 @@ def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
 
 
 def _pair_rows(rows: DataFrame, named: DataFrame, k: int) -> DataFrame:
-    """PAIR_ROWS of the phrases of k words from the rows of the level below and the ids (of, entry, id) of those that are frequent there."""
+    """PAIR_ROWS of the phrases of k words from the rows of the level below and the frequent ones there (block, idx, id, f).
+
+    Pairs are numbered by first part, salt and second part, so those of a row have numbers from idx on.
+    """
 
     def run(key, blocks, names):
         import numpy as np
         import pyarrow as pa
 
-        schema = ["block", "carry", "seq", "idx", "first", "second", "n"]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        schema = ["block", "carry", "seq", "idx", "first", "salt", "seconds", "counts"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         empty = pa.Table.from_arrays([pa.array([], t) for t in kinds], schema)
         if not blocks.num_rows or not names.num_rows:
             return empty
         block, carry, seq = key[0].as_py(), blocks.column("carry")[0].as_py(), np.frombuffer(blocks.column("seq")[0].as_py(), np.int32)
         width = int(seq.max()) + 2
-        ids = np.full(width, -1, np.int64)  # the last stays for places without a phrase
-        ids[names.column("entry").to_numpy()] = names.column("id").to_numpy()
+        ids, parts = np.full(width, -1, np.int64), np.ones(width, np.int64)  # the last stays for places without a phrase
+        entry = names.column("idx").to_numpy()
+        ids[entry] = names.column("id").to_numpy()
+        parts[entry] = 1 << np.ceil(np.log2(np.maximum(1, names.column("f").to_numpy() / HOT))).astype(np.int64)
         frequent = ids[seq] >= 0
         at = np.flatnonzero(frequent[:-1] & frequent[1:])
         if not len(at):
             return empty
-        pairs, number = np.unique(seq[at].astype(np.int64) * width + seq[at + 1], return_inverse=True)
+        left, right = seq[at].astype(np.int64), seq[at + 1]
+        most = int(parts.max())
+        salt = (ids[right] ^ ids[right] >> ENTRY_BITS) % parts[left]
+        pairs, number = np.unique((left * most + salt) * width + right, return_inverse=True)
         now = np.full(len(seq) - 1, -1, np.int32)
         now[at] = number
-        counts = np.bincount(number[at + k - 1 >= carry], minlength=len(pairs))
-        n = len(pairs)
-        columns = [[block] + [block] * n, [carry] + [None] * n, [now.tobytes()] + [None] * n, [None, *range(n)]]
-        ends = [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x)]) for x in (ids[pairs // width], ids[pairs % width], counts)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds[:4], strict=True)] + ends, schema)
+        counts = np.bincount(number[at + k - 1 >= carry], minlength=len(pairs)).astype(np.int32)
+        first = pairs // width
+        start = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        ends = pa.array(np.append(start, len(pairs)).astype(np.int32))
+        n = len(start)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[pairs % width], counts)]
+        columns = [[block] + [block] * n, [carry] + [None] * n, [now.tobytes()] + [None] * n, [None, *start.tolist()], [None, *ids[first[start] // most].tolist()], [None, *(first[start] % most).tolist()]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds[:6], strict=True)] + [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in lists], schema)
 
     blocks = rows.where("seq is not null").select("block", "carry", "seq")
     return blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(run, PAIR_ROWS)
 
 
-def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The keys in `least` places or more, with their count f and an id."""
-    found = rows.where("idx is not null").groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return materialize(found.withColumn("id", F.monotonically_increasing_id()), "frequent")
+def _place() -> Column:
+    """A number for a row's block and entry together, which no other row has."""
+    return F.shiftleft("block", ENTRY_BITS).bitwiseOR(F.col("idx").cast("bigint"))
+
+
+def _named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The rows (block, idx, keys, n) of entries that occur `least` times or more, as written: of (the block), idx, place, keys, f (occurrences) and id (the entry's first place)."""
+    same = Window.partitionBy(*keys)
+    found = rows.withColumn("place", _place()).withColumns({"f": F.sum("n").over(same), "id": F.min("place").over(same)}).where(F.col("f") >= least)
+    return materialize(found.select(F.col("block").alias("of"), "idx", "place", *keys, "f", "id"), "named")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """PAIR_ROWS as one row a pair: block, idx, first, salt, second, n."""
+    dealt = rows.where("idx is not null").select("block", F.col("idx").alias("start"), "first", "salt", "seconds", "counts").repartition("first", "salt")
+    each = dealt.select("block", "start", "first", "salt", F.posexplode(F.arrays_zip("seconds", "counts")).alias("at", "p"))
+    return each.select("block", (F.col("start") + F.col("at")).alias("idx"), "first", "salt", F.col("p.seconds").alias("second"), F.col("p.counts").cast("bigint").alias("n"))
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_words: int = MOST_WORDS, least: int = LEAST_COUNT, block: int = BLOCK) -> list[DataFrame]:
     """Per length the frequent phrases: id, first, second (ids of the length below), f, lang, total (words of the lang), phrase, last, heads, tails (counts)."""
     source = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     rows = materialize(_word_rows(source, block, most_words), "words")
-    totals = rows.where("idx is not null").groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = materialize(totals, "totals")
-    frequent = _frequent(rows, ["lang", "word"], least)
-    none, keys = F.array().cast("array<bigint>"), ["lang", "word"]
-    link = F.lit(None).cast("bigint")
-    level = frequent.join(totals, "lang").select("id", link.alias("first"), link.alias("second"), "f", "lang", "total", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
+    words = rows.where("idx is not null")
+    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    named = _named(words.select("block", "idx", "lang", "word", "n"), ["lang", "word"], least)
+    none, link = F.array().cast("array<bigint>"), F.lit(None).cast("bigint")
+    level = named.where("place = id").join(totals, "lang")
+    level = level.select("id", link.alias("first"), link.alias("second"), "f", "lang", "total", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
     levels = [materialize(level, "phrases")]
     for k in range(2, most_words + 1):
-        named = rows.where("idx is not null").select("block", "idx", *keys).join(frequent.select("id", *keys), keys).select(F.col("block").alias("of"), F.col("idx").alias("entry"), "id")
-        fresh = materialize(_pair_rows(rows, named, k), "pairs")
-        discard(rows, frequent)
-        rows, keys = fresh, ["first", "second"]
-        frequent = _frequent(rows, keys, least)
+        fresh = materialize(_pair_rows(rows, named.select("of", "idx", "id", "f"), k), "pairs")
+        discard(rows, named)
+        rows = fresh
+        named = _named(_pairs(rows), ["first", "salt", "second"], least)
         below = levels[-1]
         left = below.select(F.col("id").alias("first"), "lang", "total", F.col("phrase").alias("head"), F.array_append("heads", F.col("f")).alias("heads"))
         right = below.select(F.col("id").alias("second"), "last", F.array_append("tails", F.col("f")).alias("tails"))
-        level = frequent.join(left, "first").join(right, "second")
+        level = named.where("place = id").select("id", "first", "second", "f").join(left, "first").join(right, "second")
         levels.append(materialize(level.select("id", "first", "second", "f", "lang", "total", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "heads", "tails"), "phrases"))
-    discard(rows, frequent, totals)
+    discard(rows, named, totals)
     return levels
 
 

@@ -64,6 +64,12 @@ def test_equals_brute_force(spark, mixed, block):
     assert found(collocations(frame(spark, mixed).repartition(3), least=4, block=block)) == brute(mixed, 4)
 
 
+def test_pairs_of_frequent_words_are_dealt_into_parts(spark, mixed, monkeypatch):
+    monkeypatch.setattr(c, "HOT", 8)
+    rows = mixed[:150]
+    assert found(collocations(frame(spark, rows).repartition(3), least=3, block=300)) == brute(rows, 3)
+
+
 def test_parameters_equal_brute_force(spark, mixed):
     rows = mixed[:120]
     assert found(collocations(frame(spark, rows), least=3, top=4, most_words=3, cover_percent=60)) == brute(rows, 3, 4, 3, 60)
