@@ -84,3 +84,14 @@ def claims_map(text: Column) -> Column:
 def has_secret(text: Column) -> Column:
     """Whether a text holds what looks like a credential."""
     return text.rlike(r"(?i)(?:password|passwd|cookie|authorization|token|secret|api[_-]?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9._-]{8,}")
+
+
+#: Names of credentials that stand before `:` or `=`, bearer tokens, and two cookies in a row.
+CREDENTIALS = r"password|passwd|cookie|set-cookie|access[_-]?token|refresh[_-]?token|session[_-]?(?:id|key|token)|session|sid|auth|csrf|xsrf|csrftoken|jwt|token|jsessionid|asp\.net_sessionid|phpsessid|_m_h5_tk|_tb_token_|x5sec"
+BEARER = r"\bbearer\s+[a-z0-9._~+/-]{8,}"
+COOKIES = r"\b[a-z0-9_.-]{2,64}=[^;\s]+;\s*[a-z0-9_.-]{2,64}="
+
+
+def page_state(text: Column) -> Column:
+    """Whether a text holds what looks like the state of a signed-in page: credentials by name, bearer tokens, cookies."""
+    return F.coalesce(text.rlike(rf"(?i)(?:\b(?:{CREDENTIALS})\b\s*[:=]|{BEARER})|{COOKIES}"), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import text as tx
+
 
 def keyed(old: DataFrame, new: DataFrame, keys: list[str], cap: int = 20) -> DataFrame:
     """Items by natural key: a new value wins over an old one, a missing one takes the other. Columns: owner, item, pos, payload.
@@ -29,6 +31,14 @@ def multiset(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return o.join(n, key, "full").select(key, F.greatest(F.coalesce("o", F.lit(0)), F.coalesce("n", F.lit(0))).alias("copies"))
 
 
+def cards(old: Column, new: Column, most: int = 20) -> Column:
+    """Review cards of two captures (arrays of texts): of each text as many as the capture that has more of it, the newer capture's first. Texts are told apart as review_key does."""
+    some = F.array().cast("array<string>")
+    a, b = F.coalesce(old, some), F.coalesce(new, some)
+    same = lambda among, x: F.size(F.filter(among, lambda y: tx.review_key(y) == tx.review_key(x)))
+    return F.slice(F.concat(b, F.filter(a, lambda x, i: same(F.slice(a, 1, i + 1), x) > same(b, x))), 1, most)
+
+
 def scalars(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Single values: the newer one, or the older where the newer is null; `<column>_from` names the side."""
     o = old.select(key, *(F.col(c).alias(f"old_{c}") for c in columns))
