@@ -7,7 +7,7 @@ no phrase is missed, and what is rare at a level never becomes a row of the next
 Texts are cut into blocks of words. A block keeps its words as numbers of its own dictionary and gives one row for each distinct entry, with its count, so the
 counts are summed before they are shuffled. One shuffle brings the blocks' rows of an entry together, which sums them and names the entry after its first
 place; the rows of frequent entries go back to their blocks, which replace them by their ids and write the next level's pairs. Pairs travel in one row for
-each block and first part, and those of a very frequent first part are dealt by the second as well. A block holds bounded text, and a hot pair is in each block once.
+each block and bucket of first parts, and those of a very frequent first part are dealt by the second as well. A block holds bounded text, and a hot pair is in each block once.
 
 An id's pair doubles as its parent pointers: first is the phrase without its last word, second the one without its first. The counts of all heads and tails
 that a cut needs come down these pointers with one join a level each, and a phrase inside a longer one of nearly its count is found by the pointers of the longer
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import discard, materialize
+from attesta.llm.common import discard, materialize, materialize_split
 
 MOST_WORDS = 5
 LEAST_COUNT = 100
@@ -32,9 +32,11 @@ SEPARATORS = b".,;:!?\n\v\f\r"
 BLANKS = b" \t"
 
 WORD_ROWS = "block bigint, carry int, seq binary, idx int, lang string, word string, n bigint"
-PAIR_ROWS = "block bigint, carry int, seq binary, idx int, first bigint, salt int, seconds array<bigint>, counts array<int>"
+PAIR_ROWS = "block bigint, carry int, seq binary, idx int, bucket int, firsts array<bigint>, seconds array<bigint>, counts array<int>"
 #: Bits of a place for the number of a block in its task, and for that of an entry in its block.
 BLOCK_BITS, ENTRY_BITS = 20, 22
+#: Buckets of pairs for each shuffle partition.
+BUCKETS_EACH = 4
 #: Occurrences of a phrase beyond which its pairs are dealt into twice as many parts, and four times those, and so on.
 HOT = 1 << 16
 
@@ -94,6 +96,19 @@ def words_of(raw, begins):
     return words, new, bool(len(start) and breaks[-1] != breaks[stop[-1] - 1])
 
 
+def packed(seq) -> bytes:
+    """Numbers from -1 on, as bytes in the order of their value, so that those of small numbers lie together and are compressed away."""
+    import numpy as np
+
+    return (seq + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(raw: bytes):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64) - 1
+
+
 def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
     """WORD_ROWS of documents (lang, raw): a row with carry and seq for each block, and a row for each word in it."""
 
@@ -109,7 +124,7 @@ def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
         names = WORD_ROWS.replace(",", "").split()[::2]
         one, many = [block], np.full(len(counts), block)
         none = lambda n, kind: pa.nulls(n, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array([carry], pa.int32()), pa.array([seq.tobytes()], pa.binary()), none(1, pa.int32()), none(1, pa.string()), none(1, pa.string()), none(1, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array([carry], pa.int32()), pa.array([packed(seq)], pa.binary()), none(1, pa.int32()), none(1, pa.string()), none(1, pa.string()), none(1, pa.int64())], names)
         n = len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(many), none(n, pa.int32()), none(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array([lang]).take(pa.array(np.zeros(n, np.int32))), coded.dictionary, pa.array(counts)], names)
 
@@ -147,22 +162,23 @@ def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
     return docs.mapInArrow(run, WORD_ROWS)
 
 
-def _pair_rows(rows: DataFrame, named: DataFrame, k: int) -> DataFrame:
-    """PAIR_ROWS of the phrases of k words from the rows of the level below and the frequent ones there (block, idx, id, f).
+def _pair_rows(blocks: DataFrame, named: DataFrame, k: int) -> DataFrame:
+    """PAIR_ROWS of the phrases of k words from the blocks of the level below (block, carry, seq) and the frequent phrases there (of, idx, id, f).
 
-    Pairs are numbered by first part, salt and second part, so those of a row have numbers from idx on.
+    Pairs are numbered by bucket, first and second part, so those of a row have numbers from idx on.
     """
+    buckets = BUCKETS_EACH * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(key, blocks, names):
         import numpy as np
         import pyarrow as pa
 
-        schema = ["block", "carry", "seq", "idx", "first", "salt", "seconds", "counts"]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        schema = ["block", "carry", "seq", "idx", "bucket", "firsts", "seconds", "counts"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         empty = pa.Table.from_arrays([pa.array([], t) for t in kinds], schema)
         if not blocks.num_rows or not names.num_rows:
             return empty
-        block, carry, seq = key[0].as_py(), blocks.column("carry")[0].as_py(), np.frombuffer(blocks.column("seq")[0].as_py(), np.int32)
+        block, carry, seq = key[0].as_py(), blocks.column("carry")[0].as_py(), unpacked(blocks.column("seq")[0].as_py())
         width = int(seq.max()) + 2
         ids, parts = np.full(width, -1, np.int64), np.ones(width, np.int64)  # the last stays for places without a phrase
         entry = names.column("idx").to_numpy()
@@ -172,22 +188,21 @@ def _pair_rows(rows: DataFrame, named: DataFrame, k: int) -> DataFrame:
         at = np.flatnonzero(frequent[:-1] & frequent[1:])
         if not len(at):
             return empty
-        left, right = seq[at].astype(np.int64), seq[at + 1]
-        most = int(parts.max())
+        left, right = seq[at], seq[at + 1]
         salt = (ids[right] ^ ids[right] >> ENTRY_BITS) % parts[left]
-        pairs, number = np.unique((left * most + salt) * width + right, return_inverse=True)
+        mixed = (ids[left] ^ ids[left] >> ENTRY_BITS) + salt * 0x9E3779B1
+        pairs, number = np.unique((mixed % buckets * width + left) * width + right, return_inverse=True)
         now = np.full(len(seq) - 1, -1, np.int32)
         now[at] = number
         counts = np.bincount(number[at + k - 1 >= carry], minlength=len(pairs)).astype(np.int32)
-        first = pairs // width
-        start = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        bucket = pairs // (width * width)
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = pa.array(np.append(start, len(pairs)).astype(np.int32))
         n = len(start)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[pairs % width], counts)]
-        columns = [[block] + [block] * n, [carry] + [None] * n, [now.tobytes()] + [None] * n, [None, *start.tolist()], [None, *ids[first[start] // most].tolist()], [None, *(first[start] % most).tolist()]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds[:6], strict=True)] + [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in lists], schema)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[pairs // width % width], ids[pairs % width], counts)]
+        columns = [[block] + [block] * n, [carry] + [None] * n, [packed(now)] + [None] * n, [None, *start.tolist()], [None, *bucket[start].tolist()]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds[:5], strict=True)] + [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in lists], schema)
 
-    blocks = rows.where("seq is not null").select("block", "carry", "seq")
     return blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(run, PAIR_ROWS)
 
 
@@ -204,34 +219,46 @@ def _named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """PAIR_ROWS as one row a pair: block, idx, first, salt, second, n."""
-    dealt = rows.where("idx is not null").select("block", F.col("idx").alias("start"), "first", "salt", "seconds", "counts").repartition("first", "salt")
-    each = dealt.select("block", "start", "first", "salt", F.posexplode(F.arrays_zip("seconds", "counts")).alias("at", "p"))
-    return each.select("block", (F.col("start") + F.col("at")).alias("idx"), "first", "salt", F.col("p.seconds").alias("second"), F.col("p.counts").cast("bigint").alias("n"))
+    """PAIR_ROWS as one row a pair: block, idx, bucket, first, second, n."""
+    dealt = rows.select("block", F.col("idx").alias("start"), "bucket", "firsts", "seconds", "counts").repartition("bucket")
+    each = dealt.select("block", "start", "bucket", F.posexplode(F.arrays_zip("firsts", "seconds", "counts")).alias("at", "p"))
+    return each.select("block", (F.col("start") + F.col("at")).alias("idx"), "bucket", F.col("p.firsts").alias("first"), F.col("p.seconds").alias("second"), F.col("p.counts").cast("bigint").alias("n"))
+
+
+def _split(rows: DataFrame, columns: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """The written blocks (block, carry, seq) and entries (block, idx and the columns)."""
+    blocks, entries = materialize_split(rows.withColumn("whole", F.col("seq").isNotNull()), name, "whole")
+    blocks, entries = (_same_table(x, x.select(*names)) for x, names in ((blocks, ["block", "carry", "seq"]), (entries, ["block", "idx", *columns])))
+    return blocks, entries
+
+
+def _same_table(table: DataFrame, view: DataFrame) -> DataFrame:
+    view._attesta_path = table._attesta_path
+    return view
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_words: int = MOST_WORDS, least: int = LEAST_COUNT, block: int = BLOCK) -> list[DataFrame]:
     """Per length the frequent phrases: id, first, second (ids of the length below), f, lang, total (words of the lang), phrase, last, heads, tails (counts)."""
     source = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    rows = materialize(_word_rows(source, block, most_words), "words")
-    words = rows.where("idx is not null")
-    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    named = _named(words.select("block", "idx", "lang", "word", "n"), ["lang", "word"], least)
+    blocks, entries = _split(_word_rows(source, block, most_words), ["lang", "word", "n"], "words")
+    totals = materialize(entries.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    named = _named(entries, ["lang", "word"], least)
+    discard(entries)
     none, link = F.array().cast("array<bigint>"), F.lit(None).cast("bigint")
     level = named.where("place = id").join(totals, "lang")
     level = level.select("id", link.alias("first"), link.alias("second"), "f", "lang", "total", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
     levels = [materialize(level, "phrases")]
     for k in range(2, most_words + 1):
-        fresh = materialize(_pair_rows(rows, named.select("of", "idx", "id", "f"), k), "pairs")
-        discard(rows, named)
-        rows = fresh
-        named = _named(_pairs(rows), ["first", "salt", "second"], least)
+        fresh, entries = _split(_pair_rows(blocks, named.select("of", "idx", "id", "f"), k), ["bucket", "firsts", "seconds", "counts"], "pairs")
+        discard(blocks, named)
+        blocks, named = fresh, _named(_pairs(entries), ["bucket", "first", "second"], least)
+        discard(entries)
         below = levels[-1]
         left = below.select(F.col("id").alias("first"), "lang", "total", F.col("phrase").alias("head"), F.array_append("heads", F.col("f")).alias("heads"))
         right = below.select(F.col("id").alias("second"), "last", F.array_append("tails", F.col("f")).alias("tails"))
         level = named.where("place = id").select("id", "first", "second", "f").join(left, "first").join(right, "second")
         levels.append(materialize(level.select("id", "first", "second", "f", "lang", "total", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "heads", "tails"), "phrases"))
-    discard(rows, named, totals)
+    discard(blocks, named, totals)
     return levels
 
 
