@@ -11,8 +11,8 @@ right check digits; e-mail addresses move to the reserved TLD `.example`, those
 script; a surname is built from syllables of its script, with the gendered ending where the script has one. Mentions of one number in two
 formats share their digits and keep each its own format.
 
-Candidates that collide are drawn again with the next attempt until every entity has a surrogate of its own; the entity table is distributed and
-never collected.
+Candidates that collide are drawn again with the next attempt until every entity has a surrogate of its own; mailboxes, domains and surnames grow by a letter or
+syllable with every fourth attempt, so short ones never run out. The entity table is distributed and never collected.
 """
 
 from __future__ import annotations
@@ -176,10 +176,11 @@ def candidate(key: str, type_: Column, text: Column, attempt: Column) -> Column:
     """The surrogate that one attempt draws for the canonical form of an entity."""
     stream = F.sha2(F.concat_ws("\1", F.lit(key), type_, text, attempt.cast("string")), 512)
     given = F.create_map(*(F.lit(x) for pair in _given_table(key).items() for x in pair))
+    longer = lambda name: F.concat(name, F.repeat(F.lit("a"), F.floor(attempt / 4).cast("int")))
     octets = [(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]
     return (
-        F.when(type_ == "email", F.concat(_redrawn(F.substring_index(text, "@", 1), stream), F.lit("@"), F.substring_index(text, "@", -1)))
-        .when(type_ == "domain", F.concat(_redrawn(F.regexp_replace(text, r"\.[^.]*$", ""), stream), F.lit(".example")))
+        F.when(type_ == "email", F.concat(_redrawn(longer(F.substring_index(text, "@", 1)), stream), F.lit("@"), F.substring_index(text, "@", -1)))
+        .when(type_ == "domain", F.concat(_redrawn(longer(F.regexp_replace(text, r"\.[^.]*$", "")), stream), F.lit(".example")))
         .when(type_ == "card", _card(text, stream)).when(type_ == "iban", _iban(text, stream)).when(type_ == "ip", F.concat_ws(".", *octets))
         .when(type_ == "phone", F.concat(F.substring(text, 1, 1), F.substring(_redrawn(text, stream), F.lit(2), F.length(text))))
         .when(type_ == "given", given[text]).when(type_ == "surname", _surname(text, stream, attempt)).otherwise(_redrawn(text, stream))
@@ -193,6 +194,7 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 40) -> Da
     """
     drawn = entities.withColumn("attempt", F.lit(0))
     settled: DataFrame | None = None
+    spent: list[DataFrame] = []
     for _ in range(max_attempts):
         tried = materialize(drawn.withColumn("surrogate", candidate(key, F.col("type"), F.col("canonical"), F.col("attempt"))), "tried")
         taken = entities.select("type", F.col("canonical").alias("surrogate"))
@@ -200,14 +202,18 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 40) -> Da
             taken = taken.unionByName(settled.select("type", "surrogate"))
         first = tried.groupBy("type", "surrogate").agg(F.min("canonical").alias("owner")).join(taken, ["type", "surrogate"], "left_anti")
         given = F.col("type") == "given"
-        judged = tried.join(materialize(first, "owners"), ["type", "surrogate"], "left").withColumn("ok", given | (F.coalesce(F.col("owner"), F.lit("")) == F.col("canonical")))
+        first = materialize(first, "owners")
+        judged = tried.join(first, ["type", "surrogate"], "left").withColumn("ok", given | (F.coalesce(F.col("owner"), F.lit("")) == F.col("canonical")))
         judged = materialize(judged, "judged")
         good = judged.where("ok").select("type", "canonical", "surrogate")
         settled = good if settled is None else settled.unionByName(good)
         drawn = judged.where("not ok").select("type", "canonical", (F.col("attempt") + 1).alias("attempt"))
-        discard(tried)
+        discard(tried, first)
+        spent.append(judged)
         if drawn.isEmpty():
-            return settled
+            done = materialize(settled, "drawn")
+            discard(*spent)
+            return done
     raise RuntimeError("the space of surrogates is too small for the entities of a type")
 
 
@@ -248,7 +254,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     Texts without personal data stay as they are, null stays null with 0 entities. Columns named n_entities or starting with `_pii_` are replaced.
     Only documents with mentions are shuffled; their mentions are bounded by their own length.
     """
-    docs = docs.drop("n_entities")
+    docs = docs.drop("n_entities", *(c for c in docs.columns if c.startswith("_pii_")))
     found = docs.withColumn("_pii_m", mentions(F.col(text_col)))
     has = F.coalesce(F.size("_pii_m") > 0, F.lit(False))
     clean = docs.where(F.coalesce(F.size(mentions(F.col(text_col))) <= 0, F.lit(True))).withColumn("n_entities", F.lit(0).cast("bigint"))
@@ -258,10 +264,12 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     parts = hits.select("_pii_row", F.posexplode("_pii_m").alias("pos", "mention")).withColumn("type", kind(F.col("mention")))
     parts = materialize(parts.withColumn("canonical", canonical(F.col("type"), F.col("mention"))), "mentions")
     entities = materialize(parts.select("type", "canonical").distinct(), "entities")
-    drawn = materialize(surrogate_table(materialize(with_domains(entities), "entities"), key), "drawn")
+    named = materialize(with_domains(entities), "entities")
+    drawn = surrogate_table(named, key)
     table = materialize(moved(drawn), "surrogates")
     new = parts.join(table, ["type", "canonical"]).select("_pii_row", F.struct("pos", rendered(F.col("type"), F.col("mention"), F.col("surrogate")).alias("new")).alias("part"))
     lists = materialize(new.groupBy("_pii_row").agg(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["new"]).alias("_pii_new")), "lists")
+    discard(parts, entities, named, drawn, table)
     gaps = F.split(F.col(text_col), F.col("_pii_re"), -1)
     text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_pii_new"), i), F.lit("")))), "")
     changed = hits.join(lists, "_pii_row").withColumn(text_col, text).withColumn("n_entities", F.size("_pii_new").cast("bigint"))

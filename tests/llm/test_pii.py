@@ -138,3 +138,28 @@ def test_distinctness_and_coreference_over_a_table(spark):
         for a, b in zip(re.findall(r"\S+@\S+|\+1 \(\d+\) \d+-\d+|10\.\S+", text), re.findall(r"\S+@\S+|\+\d \(\d+\) \d+-\d+|\d+\.\d+\.\d+\.\d+", got[k]), strict=True):
             assert seen.setdefault(a, b) == b
     assert len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
+
+
+def test_short_domains_and_mailboxes_never_run_out(spark):
+    """All one- and many two-letter domains under two TLDs, and all one-letter mailboxes of one domain: each gets a surrogate of its own, and coreference holds."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"x@{a}.{tld}" for a in letters for tld in ("com", "org")] + [f"x@{a}{b}.com" for a in letters[:12] for b in letters] + [f"{a}@big.com" for a in letters]
+    rows = [(i, f"write to {m} or to {m.upper()}") for i, m in enumerate(mails)]
+    out = {r["doc_id"]: re.findall(r"\S+@\S+", r["text"]) for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(a.upper() == b and a.endswith(".example") for a, b in out.values())
+    assert len({a for a, _ in out.values()}) == len(mails) and not {a for a, _ in out.values()} & set(mails)
+    domain = lambda m: m.split("@")[1]
+    moved = {domain(m): domain(out[i][0]) for i, m in enumerate(mails)}
+    assert len(set(moved.values())) == len(moved) and all(moved[domain(m)] == domain(out[i][0]) for i, m in enumerate(mails))
+
+
+def test_columns_of_its_own_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a@b.com", "x", 7, 1.5)], "doc_id bigint, text string, _pii_m string, _pii_row int, n_entities double")
+    got = pii.pseudonymize(df)
+    assert got.columns == ["doc_id", "text", "n_entities"] and got.first()["n_entities"] == 1
+
+
+def test_very_long_texts(spark):
+    text = "plain words here. " * 60_000 + "Call +1 (788) 555-0037 now. " + "x" * 300_000
+    got = pii.pseudonymize(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")).collect()
+    assert [r["n_entities"] for r in got] == [1, 1] and all(len(r["text"]) == len(text) and "555-0037" not in r["text"] for r in got)
