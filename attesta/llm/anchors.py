@@ -164,8 +164,8 @@ def anchor_hashes(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return texts.mapInArrow(run, "anchor bigint, doc bigint")
 
 
-def _bitmap(shared: DataFrame, n: int):
-    """A bitmap in which the hashes of `shared` are set, by their lower bits."""
+def bitmap(shared: DataFrame, n: int):
+    """A bitmap in which the n hashes of `shared` (anchor) are set, by their lower bits."""
     import numpy as np
 
     slots = max(1 << 10, min(MAX_SLOTS, 1 << (SLOTS_EACH * n).bit_length()))
@@ -177,6 +177,14 @@ def _bitmap(shared: DataFrame, n: int):
     return bits
 
 
+def is_set(bits, hashes):
+    """Whether hashes are set in a bitmap."""
+    import numpy as np
+
+    slot = hashes & (len(bits) * 64 - 1)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def _places(texts: DataFrame, bits, window: int) -> DataFrame:
     """(anchor, context, doc, th, pos) of the anchors in the bitmap, or of all without one."""
     held = texts.sparkSession.sparkContext.broadcast(bits)
@@ -189,8 +197,7 @@ def _places(texts: DataFrame, bits, window: int) -> DataFrame:
             for row, raw, bounds in documents(batch):
                 anchor, context, doc, pos = _anchors(raw, bounds, window)
                 if bits is not None:
-                    slot = anchor & (len(bits) * 64 - 1)
-                    there = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    there = is_set(bits, anchor)
                     anchor, context, doc, pos = anchor[there], context[there], doc[there], pos[there]
                 yield _record({"anchor": anchor, "context": context, "doc": docs[row + doc], "th": ths[row + doc], "pos": pos})
 
@@ -232,7 +239,7 @@ def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = materialize(shared, "shared")
     n = shared.count()
     if n <= MAX_SLOTS // 2:
-        places = materialize(_places(texts, _bitmap(shared, n), window), "places")
+        places = materialize(_places(texts, bitmap(shared, n), window), "places")
     else:
         places = materialize(_places(texts, None, window).join(shared.hint("merge"), "anchor", "left_semi"), "places")
     groups = materialize(places.groupBy("anchor", "context").agg(F.min("doc").alias("low"), F.max("doc").alias("high")), "contexts")

@@ -21,7 +21,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import fresh_path
+from attesta.llm.anchors import MAX_SLOTS, bitmap, is_set
+from attesta.llm.common import fresh_path, materialize
 
 FRAME = 1 << 18
 BUNDLE = 1 << 24
@@ -159,31 +160,42 @@ def _table(rows: list[tuple], ddl: str):
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def with_digests(pages: DataFrame) -> DataFrame:
-    """Adds to page_id and html: payload_digest, and refers_to: the smallest page of the same payload, null on that page itself."""
+def _digested(pages: DataFrame, bits=None, there: bool = True) -> DataFrame:
+    """page_id, url, payload, payload_digest and slot (a number made of the digest) of the pages whose slot is set in the bitmap, or is not; of all without one."""
+    named = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
+    held = pages.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             html = [(x or "").encode() for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(html, pa.binary()), pa.array(map(payload_digest, html), pa.string())], ["page_id", "url", "payload", "payload_digest"])
+            digests = [hashlib.sha1(h).digest() for h in html]
+            slots = np.array([int.from_bytes(d[:8], "little") >> 1 for d in digests], np.int64)
+            names = [base64.b32encode(d).decode() for d in digests]
+            whole = pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(html, pa.binary()), pa.array(names, pa.string()), pa.array(slots)], ["page_id", "url", "payload", "payload_digest", "slot"])
+            yield whole if held.value is None else whole.filter(pa.array(is_set(held.value, slots) == there))
 
-    named = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows = named.mapInArrow(run, "page_id bigint, url string, payload binary, payload_digest string")
-    first = (
-        named.select("page_id", "html").mapInArrow(_digest_only, "page_id bigint, payload_digest string")
-        .groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    )
-    later = F.coalesce(F.col("first_id") < F.col("page_id"), F.lit(True))  # a page without an id revisits the first that has one
-    return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(later, F.col("first_id")).alias("refers_to"))
+    return named.mapInArrow(run, "page_id bigint, url string, payload binary, payload_digest string, slot bigint")
 
 
-def _digest_only(batches):
-    import pyarrow as pa
+def with_digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_digest, and refers_to: the smallest page of the same payload, null on that page itself.
 
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array((payload_digest((x or "").encode()) for x in batch.column("html").to_pylist()), pa.string())], ["page_id", "payload_digest"])
+    The digests that several pages have are written before pages are joined to them, so both sides of that join are plain exchanges and a hot payload is split over
+    tasks. Pages whose digest no other page has do not take part: a bitmap of the repeated ones, sized by their number, lets nearly none of them through.
+    """
+    told = _digested(pages).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"), F.any_value("slot").alias("anchor")).where("n > 1").drop("n")
+    told = materialize(told, "repeated")
+    n = told.count()
+    bits = bitmap(told.select("anchor"), n) if n <= MAX_SLOTS // 2 else None
+    later = F.coalesce(F.col("first_id") < F.col("page_id"), F.lit(True))  # a page without an id revisits the first that has one
+    several = _digested(pages, bits).join(told.drop("anchor").hint("merge"), "payload_digest", "left")
+    several = several.select("page_id", "url", "payload", "payload_digest", F.when(later, F.col("first_id")).alias("refers_to"))
+    if bits is None:
+        return several
+    return several.unionByName(_digested(pages, bits, False).select("page_id", "url", "payload", "payload_digest", F.lit(None).cast("bigint").alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, folder: str, frame_bytes: int = FRAME, bundle_bytes: int = BUNDLE) -> DataFrame:

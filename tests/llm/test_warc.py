@@ -59,3 +59,27 @@ def test_empty_and_nameless(spark, tmp_path):
     assert got == [(0, "response", None), (0, "revisit", 4), (4, "response", None)]
     assert warc.write_archives(df.limit(0), f"file://{tmp_path}/e").count() == 0
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_hot_payloads_are_joined_as_plain_exchanges(spark, tmp_path, pages):
+    """Both sides of the join on the digest are exchanges, so adaptive execution can split a hot one; pages whose payload is alone take no part."""
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    plan = warc.with_digests(df)._jdf.queryExecution().executedPlan().toString()
+    lines = [x.strip(" +-:*(0123456789)") for x in plan.splitlines()]
+    at = next(i for i, x in enumerate(lines) if x.startswith("SortMergeJoin"))
+    below = [x.split()[0] for x in lines[at + 1 :] if x and not x.startswith("Union")]
+    assert below[:2] == ["Sort", "Exchange"] and "HashAggregate" not in below
+    got = {r["page_id"]: r["refers_to"] for r in warc.with_digests(df).collect()}
+    assert got == {k: w[3] for k, w in want(pages).items()}
+
+
+def test_repeated_and_nameless_pages(spark, tmp_path):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (None, "w", "same"), (None, "w", "alone"), (3, "x", "other"), (3, "x", "third")]
+    got = warc.read_archives(spark, (warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w") and None) or f"file://{tmp_path}/w").collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in got) == [(0, "response", 0), (0, "revisit", 1), (1, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0), (3, "response", 0)]
+
+
+def test_exact_join_beyond_the_bitmap(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_SLOTS", 0)
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["refers_to"] for r in warc.with_digests(df).collect()} == {k: w[3] for k, w in want(pages).items()}
