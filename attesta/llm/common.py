@@ -49,12 +49,15 @@ def materialize_split(df: DataFrame, name: str, part: str) -> tuple[DataFrame, D
     """As materialize, in two tables that are discarded each by itself: the rows where the boolean column `part` holds, and the others; without that column."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+    set_for_now = {CLEAN_UP: "true", "spark.sql.maxConcurrentOutputFileWriters": "2"}  # two writers at once, so rows are not sorted by the table they go to
+    before = {k: spark.conf.get(k, None) for k in set_for_now}
+    for k, v in set_for_now.items():
+        spark.conf.set(k, v)
     try:
-        df.write.partitionBy(part).parquet(path)
+        df.write.option("parquet.block.size", str(1 << 24)).partitionBy(part).parquet(path)
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     fields = StructType([f for f in df.schema.fields if f.name != part])
     tables = []
     for value in ("true", "false"):
