@@ -27,7 +27,7 @@ TOP = 2000
 COVER_PERCENT = 100
 UNKNOWN = "und"
 #: Bytes of text in a block; a longer text becomes several, cut between words.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 SEPARATORS = b".,;:!?\n\v\f\r"
 BLANKS = b" \t"
 
@@ -158,6 +158,7 @@ def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
                     yield from block_rows(block, int(places[carry]), words, places, lang)
                     block += 1
                     held, gaps, broken = words[-(most_words - 1) :] if most_words > 1 else None, new[-(most_words - 1) :], after
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, WORD_ROWS)
 
