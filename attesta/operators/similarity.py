@@ -1,12 +1,16 @@
 """Near-duplicate reviews by the cosine of their vectors, clusters of them, and what follows for reliability.
 
-Equal vectors of a supplier are one representative with a number of copies. Representatives are dealt into blocks of some BLOCK vectors; every two
-blocks of a supplier meet in one row, wherever Spark puts it, and are multiplied as matrices. So a large supplier is many rows of bounded size, no
-task holds a supplier, and no pair below the threshold leaves a task. Pairs are those of representatives; `members` says who is one of them.
+Equal vectors of a supplier are one representative with a number of copies. Representatives are dealt into blocks of some BLOCK vectors by their nearest pivot and
+their angle to it, and two blocks are multiplied as matrices only if they can hold a similar pair: the angle is a metric, so vectors whose angles to a pivot differ by more
+than the threshold's angle are never similar. Blocks in reach of each other are found by a join on the pivot and a band of angles, then held against all pivots. Any
+pivots give the same pairs; far-apart ones leave fewer blocks. A large supplier is many rows of bounded size, no task holds a supplier, and no pair below the
+threshold leaves a task. Pairs are those of representatives; `members` says who is one of them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from attesta.sources.scratch import cut
 
 THRESHOLD = 0.88
 BLOCK = 1024
+#: Pivots, the vectors they are chosen from, and the bands that the threshold's angle is cut into.
+PIVOTS, SAMPLE, BANDS = 16, 512, 2
 
 
 def members(vectors: DataFrame) -> DataFrame:
@@ -23,6 +29,66 @@ def members(vectors: DataFrame) -> DataFrame:
     return keyed.select("supplier", "id", "key").join(reps, ["supplier", "key"]).select("supplier", "id", "rep", "copies")
 
 
+def pivots(vectors: DataFrame, most: int = PIVOTS):
+    """Unit vectors far apart, chosen from SAMPLE of the vectors (by a hash of their ids, the same at every run): each next one is farthest from those before."""
+    import numpy as np
+
+    some = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()], np.float64)
+    if not len(some):
+        return some.reshape(0, 0)
+    some = some / np.sqrt((some * some).sum(1, keepdims=True))
+    chosen, near = [0], some @ some[0]
+    while len(chosen) < min(most, len(some)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, some @ some[chosen[-1]])
+    return some[chosen]
+
+
+def _angles(rows: DataFrame, far) -> DataFrame:
+    """Adds angles, those to the pivots."""
+    held = rows.sparkSession.sparkContext.broadcast(far)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("v")
+            m = np.asarray(lists.flatten()).reshape(len(lists), -1) if len(lists) else np.zeros((0, held.value.shape[1]))
+            found = np.arccos(np.clip(m @ held.value.T / np.sqrt((m * m).sum(1, keepdims=True)), -1.0, 1.0))
+            ends = pa.array(np.arange(len(m) + 1, dtype=np.int32) * found.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], [*batch.schema.names, "angles"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, angles array<double>")
+
+
+def blocks(rows: DataFrame, far, reach: float, size: int = BLOCK) -> DataFrame:
+    """supplier, block, own (pivot), low and high (angles to every pivot), rows: vectors of one nearest pivot and one band of angles to it, about `size` at most."""
+    band = max(reach / BANDS, 1e-3)
+    own = F.array_position("angles", F.array_min("angles")).cast("int") - 1
+    placed = _angles(rows, far).withColumn("own", own).withColumn("band", F.floor(F.get("angles", F.col("own")) / band))
+    cells = placed.groupBy("supplier", "own", "band").agg(F.ceil(F.count("*") / size).alias("parts"))
+    dealt = placed.join(cells, ["supplier", "own", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    each = range(len(far))
+    packed = dealt.groupBy("supplier", "own", "band", "part").agg(
+        F.array(*(F.min(F.get("angles", F.lit(p))) for p in each)).alias("low"), F.array(*(F.max(F.get("angles", F.lit(p))) for p in each)).alias("high"), F.collect_list(F.struct("id", "copies", "v")).alias("rows")
+    )
+    return cut(packed.select("supplier", F.monotonically_increasing_id().alias("block"), "own", "low", "high", "rows"))
+
+
+def reachable(packed: DataFrame, n: int, reach: float) -> DataFrame:
+    """supplier, i, j (i <= j): the pairs of blocks that may hold a pair within reach. A block looks around its own pivot, the others are listed under each pivot."""
+    band = max(reach / BANDS, 1e-3)
+    of = packed.select("supplier", "block", "own", "low", "high")
+    at = lambda angle: F.floor(angle / band)
+    mine = of.select("supplier", F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), F.col("own").alias("pivot"), F.explode(F.sequence(at(F.get("low", F.col("own")) - reach), at(F.get("high", F.col("own")) + reach))).alias("band"))
+    listed = of.select("supplier", F.col("block").alias("j"), "low", "high", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pivot"))
+    theirs = listed.withColumn("band", F.explode(F.sequence(at(F.get("low", F.col("pivot"))), at(F.get("high", F.col("pivot"))))))
+    apart = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: (F.get("low_i", p) - F.get("high", p) > reach) | (F.get("low", p) - F.get("high_i", p) > reach))
+    return mine.join(theirs, ["supplier", "pivot", "band"]).where((F.col("i") <= F.col("j")) & ~apart).select("supplier", "i", "j").distinct()
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Pairs within a supplier with a cosine of at least the threshold: supplier, a, b, similarity, weight.
 
@@ -30,13 +96,16 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     """
     whole = members(vectors)
     reps = whole.where("id = rep").dropDuplicates(["supplier", "id"])
-    sizes = reps.groupBy("supplier").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = vectors.join(reps, ["supplier", "id"]).dropDuplicates(["supplier", "id"]).join(sizes, "supplier")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    packed = cut(dealt.groupBy("supplier", "blocks", "block").agg(F.collect_list(F.struct("id", "copies", F.transform("vector", lambda v: v.cast("double")).alias("v"))).alias("rows")))
-    left = packed.select("supplier", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("rows").alias("left"))
-    right = packed.select("supplier", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rows").alias("right"))
     kind, number = vectors.schema["supplier"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    some = vectors.where(F.exists("vector", lambda x: x != 0)).withColumn("v", F.transform("vector", lambda x: x.cast("double")))
+    width = some.agg(F.max(F.size("vector"))).first()[0] or 0  # zeros behind a shorter supplier's vectors change none of their angles
+    some = some.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
+    rows = cut(some.join(reps.select("supplier", "id", "copies"), ["supplier", "id"]).dropDuplicates(["supplier", "id"]).select("supplier", "id", "copies", "v"))
+    far = pivots(rows)
+    if not len(far):
+        return vectors.sparkSession.createDataFrame([], f"supplier {kind}, a {number}, b {number}, similarity double, weight bigint")
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    packed = blocks(rows, far, reach, block)
 
     def run(batches):
         import numpy as np
@@ -44,8 +113,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
 
         def side(rows):
             m = np.array([r["v"] for r in rows], np.float64)
-            norm = np.sqrt((m * m).sum(1, keepdims=True))
-            return [r["id"] for r in rows], np.array([r["copies"] for r in rows], np.int64), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            return [r["id"] for r in rows], np.array([r["copies"] for r in rows], np.int64), m / np.sqrt((m * m).sum(1, keepdims=True))
 
         for batch in batches:
             for supplier, i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("supplier", "i", "j", "left", "right")), strict=True):
@@ -62,7 +130,9 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
                     types = [batch.schema.field("supplier").type, None, None, pa.float64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["supplier", "a", "b", "similarity", "weight"])
 
-    met = left.join(right, ["supplier", "i", "j"]).select("supplier", "i", "j", "left", "right")
+    left = packed.select("supplier", F.col("block").alias("i"), F.col("rows").alias("left"))
+    right = packed.select("supplier", F.col("block").alias("j"), F.col("rows").alias("right"))
+    met = reachable(packed, len(far), reach).join(left, ["supplier", "i"]).join(right, ["supplier", "j"]).select("supplier", "i", "j", "left", "right")
     return cut(met.mapInArrow(run, f"supplier {kind}, a {number}, b {number}, similarity double, weight bigint"))
 
 

@@ -7,9 +7,11 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators import lineage, linked
+from attesta.operators import lineage, linked, replay
 from attesta.plans.registry import query
+from attesta.sources.scratch import shared_path
 from attesta.sources.tables import read_table
+from attesta.streaming import fanout
 
 TODAY = datetime.date(1993, 1, 1)
 
@@ -79,3 +81,45 @@ def item_lineage(spark, d):
     few = read_table(spark, d, "orders").join(read_table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("page")).agg(F.count_distinct("l_partkey").alias("parts")).where("parts <= 20")
     done = lineage.folded(_captures(spark, d)).join(few, "page", "left_semi").select("page", F.explode(F.col("item_sources")["products"]).alias("product", "sources"))
     return done.select("page", "product", F.array_join("sources", ",").alias("source"))
+
+
+@query("""with p as (select p_partkey as k, p_name, p_brand, p_size, p_retailprice, 700000000000 + p_partkey as offer, case when p_size = 50 then 'UNEXPECTED_FIELD' when p_size = 49 then 'UNBOUND' when p_size = 48 then 'MISSING_FIELD' when p_size = 47 then 'REVISION' when p_size = 46 then 'PROVENANCE' end as f from part),
+l as (select l_partkey as k, count(*) as n, max(l_extendedprice) as high from lineitem group by 1)
+select p.k as snapshot_id, case when f is null then 'REPLAYED' else 'UNSUPPORTED' end as status, f as reason, case when f is null then p_brand end as supplier_name, case when f is null then p_name end as product_title, case when f is null and high is not null then high end::double as maximum, case when f is null then n end::bigint as review_count,
+case when f is null then p_size / 10 end::double as rating, case when f is null then round((5 + (n is not null)::int) / 12, 4) end as completeness from p left join l using (k)""")
+def replayed_fields(spark, d):
+    """What is kept of an offer for each part, read again: names, sizes and sums over its lines are the tables' own; some sizes stand for payloads that cannot be read."""
+    size, offer = F.col("p_size"), 700000000000 + F.col("p_partkey")
+    sold = read_table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.max("l_extendedprice").alias("high"))
+    rows = read_table(spark, d, "part").join(sold, F.col("l_partkey") == F.col("p_partkey"), "left")
+    url = _text("https://detail.1688.com/offer/", offer, ".html")
+    tags = F.when(F.col("n").isNotNull(), F.array(F.struct(F.lit("全部").alias("name"), F.col("n").alias("count"))))
+    rate = F.struct((size / 10).alias("goodsGrade"), tags.alias("commonTagNodeList"), F.when(size == 50, 1).alias("unknown"))
+    base = F.struct((offer + F.when(size == 49, 1).otherwise(0)).alias("offerId"))
+    shop = F.struct(F.col("p_brand").alias("companyName"))
+    none = F.array().cast("array<struct<text:string,source_url:string>>")
+    whole = [F.col("p_name").alias("title"), shop.alias("shop_info"), rate.alias("rate_info"), base.alias("offer_base"), none.alias("reviews")]
+    fields = F.when(size == 48, F.to_json(F.struct(*whole))).otherwise(F.to_json(F.struct(*whole, F.struct(F.col("high").alias("offerMaxPrice"), F.lit("1").alias("offerMinPrice")).alias("price"))))
+    at = "2026-10-01T00:00:00Z"
+    raw = _text('{"source_url": "', url, f'", "captured_at": "{at}", "html_sha256": "', F.when(size == 46, "x").otherwise(F.sha2("p_name", 256)), '", "public_fields": ', fields, "}")
+    version = F.when(size == 47, "1688-http.v9").otherwise("1688-http.v1")
+    done = replay.replayed(rows.select(F.col("p_partkey").alias("snapshot_id"), url.alias("source_url"), F.lit("PUBLIC_HTTP").alias("extraction_method"), F.lit("ACCOUNT_PUBLIC").alias("analysis_mode"), F.lit(at).alias("extracted_at"), version.alias("extractor_version"), raw.alias("raw")))
+    return done.select("snapshot_id", "status", "reason", "supplier_name", F.get("products", 0)["title"].alias("product_title"), F.col("price")["maximum"].cast("double").alias("maximum"), F.col("signals")["review_count"].cast("bigint").alias("review_count"), "rating", "completeness")
+
+
+@query("""with o as (select o_orderkey as k, o_orderstatus as s, o_totalprice as t from orders), n as (select l_orderkey as k, count(*) as n from lineitem group by 1)
+select k as analysis_id, case when s = 'F' then 0 else 1 end as batch, t as total, coalesce(n, 0) as lines, s = 'F' and k % 5 = 0 as conflict from o left join n using (k)""")
+def fanned_out(spark, d):
+    """Orders with their lines as two batches of results, the first one sent twice; the second brings some of the first again, a fifth of them changed."""
+    lines = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("lines"))
+    rows = read_table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("analysis_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.array_sort("lines").alias("lines"))
+    path = shared_path(spark, "fanout")
+    write = fanout.fan_out(path, "analysis_id", ["lines"])
+    first = rows.where("status = 'F'")
+    write(first, 0)
+    write(first, 0)
+    write(rows.withColumn("total", F.when((F.col("status") == "F") & (F.col("analysis_id") % 5 == 0), F.col("total") + 1).otherwise(F.col("total"))), 1)
+    counts = fanout.read(spark, path, "lines").groupBy("analysis_id").agg(F.count("*").alias("lines"))
+    bad = fanout.read(spark, path, fanout.CONFLICTS).where("reason = 'STORED_DIFFERS'").select("analysis_id", F.lit(True).alias("conflict"))
+    head = fanout.read(spark, path, fanout.HEAD).join(counts, "analysis_id", "left").join(bad, "analysis_id", "left")
+    return head.select("analysis_id", "batch", "total", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("conflict", F.lit(False)).alias("conflict"))

@@ -49,3 +49,49 @@ def test_sinks_replace_a_repeated_batch(spark, tmp_path, again):
     assert [r["k"] for r in spark.read.parquet(f"{tmp_path}/ok").collect()] == [1]
     assert [r["k"] for r in spark.read.parquet(f"{tmp_path}/dead").collect()] == [2]
     assert spark.read.parquet(f"{tmp_path}/all").count() == 2
+
+
+LISTS = "analysis_id string, label string, runs array<struct<kind:string>>, findings array<struct<finding_key:string,severity:string>>, evidence array<struct<evidence_id:string>>"
+
+
+def results(spark, *keys, label="LOW"):
+    return spark.createDataFrame([(k, label, [("SUPPLIER",), ("REVIEW",)], [("f1", "HIGH")] if k != "c" else None, []) for k in keys], LISTS)
+
+
+def test_fan_out_inserts_once_and_tells_conflicts(spark, tmp_path):
+    from attesta.streaming import fanout
+
+    path = f"file://{tmp_path}/out"
+    write = fanout.fan_out(path, "analysis_id", ["runs", "findings", "evidence"])
+    table = lambda name: sorted(tuple(r) for r in fanout.read(spark, path, name).drop("digest").collect())
+    write(results(spark, "a", "b"), 0)
+    before = table("head"), table("runs"), table("findings")
+    assert before == ([("a", "LOW", 0), ("b", "LOW", 0)], sorted((k, i, kind, 0) for k in "ab" for i, kind in enumerate(("SUPPLIER", "REVIEW"))), [("a", 0, "f1", "HIGH", 0), ("b", 0, "f1", "HIGH", 0)])
+    write(results(spark, "a", "b"), 0)
+    assert (table("head"), table("runs"), table("findings")) == before and fanout.read(spark, path, "conflicts").count() == 0
+    write(results(spark, "a", "b", label="HIGH").unionByName(results(spark, "z")), 0)
+    assert (table("head"), table("runs"), table("findings")) == before
+    assert sorted((r["analysis_id"], r["reason"]) for r in fanout.read(spark, path, "conflicts").collect()) == [("a", "STORED_DIFFERS"), ("b", "STORED_DIFFERS"), ("z", "NOT_STORED")]
+    write(results(spark, "a", "c").unionByName(results(spark, "b", label="HIGH")).unionByName(results(spark, "d")).unionByName(results(spark, "d", label="X")), 1)
+    assert [(k, b) for k, _, b in table("head")] == [("a", 0), ("b", 0), ("c", 1)] and [r for r in table("runs") if r[0] == "d"] == []
+    assert sorted((r["analysis_id"], r["reason"]) for r in fanout.read(spark, path, "conflicts").where("batch = 1").collect()) == [("b", "STORED_DIFFERS"), ("d", "REPEATED_KEY")]
+
+
+def test_readers_see_whole_batches_only(spark, tmp_path):
+    from attesta.streaming import fanout
+
+    path = f"file://{tmp_path}/out"
+    fanout.fan_out(path, "analysis_id", ["runs"])(results(spark, "a").select("analysis_id", "runs"), 0)
+    results(spark, "b").selectExpr("analysis_id", "0 as ordinal", "'SUPPLIER' as kind").write.parquet(f"{path}/runs/batch=7")
+    assert {r["analysis_id"] for r in fanout.read(spark, path, "runs").collect()} == {"a"}
+
+
+def test_fan_out_over_a_stream_that_starts_again(spark, tmp_path):
+    from attesta.streaming import fanout
+
+    path = f"file://{tmp_path}/out"
+    results(spark, "a", "b").coalesce(1).write.json(f"{tmp_path}/in")
+    for state in ("one", "two"):  # the second query has lost its checkpoint and sends everything again
+        live = spark.readStream.schema(LISTS).json(f"{tmp_path}/in")
+        live.writeStream.foreachBatch(fanout.fan_out(path, "analysis_id", ["runs", "findings", "evidence"])).option("checkpointLocation", f"{tmp_path}/{state}").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["analysis_id"] for r in fanout.read(spark, path, "head").collect()) == ["a", "b"] and fanout.read(spark, path, "runs").count() == 4
