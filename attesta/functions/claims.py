@@ -96,3 +96,13 @@ def media_fingerprint(data_url: Column) -> Column:
 def storable(text: Column) -> Column:
     """Whether a JSON text can be kept as evidence: well formed, no repeated keys, no NUL and no number that is none."""
     return F.coalesce(F.try_parse_json(text).isNotNull() & ~F.contains(text, F.lit("\\u0000")) & ~F.contains(text, F.lit("\u0000")) & ~text.rlike(r"(?<![\"\w])(?:NaN|-?Infinity)(?![\"\w])"), F.lit(False))
+
+
+def canonical_json(text: Column) -> Column:
+    """The one form of equal JSON: keys in order at every depth, no spaces, numbers without trailing zeros. Null for malformed texts and those with repeated keys. Stays in the JVM."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def json_digest(text: Column) -> Column:
+    """The digest by which replays are told from other content: that of the canonical form."""
+    return F.sha2(canonical_json(text), 256)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
+from attesta.sources.scratch import cut
 
 
 def keyed(old: DataFrame, new: DataFrame, keys: list[str], cap: int = 20) -> DataFrame:
@@ -18,10 +19,11 @@ def keyed(old: DataFrame, new: DataFrame, keys: list[str], cap: int = 20) -> Dat
     n = new.select(*keys, F.col("pos").alias("new_pos"), F.col("payload").alias("new_payload"))
     joined = n.join(o, keys, "full")
     lineage = F.array_join(F.array_compact(F.array(F.when(F.col("old_pos").isNotNull(), "old"), F.when(F.col("new_pos").isNotNull(), "new"))), ",")
-    place = Window.partitionBy(keys[0])
-    rank = F.row_number().over(place.orderBy(F.col("new_pos").isNull(), F.coalesce("new_pos", "old_pos"), *keys[1:]))
-    ranked = joined.select(*keys, F.coalesce("new_payload", "old_payload").alias("payload"), lineage.alias("lineage"), rank.alias("rank"), F.greatest(F.count("*").over(place) - cap, F.lit(0)).alias("omitted"))
-    return ranked.where(F.col("rank") <= cap)
+    rows = cut(joined.select(*keys, F.coalesce("new_payload", "old_payload").alias("payload"), lineage.alias("lineage"), F.col("new_pos").isNull().alias("_late"), F.coalesce("new_pos", "old_pos").alias("_pos")))
+    rank = F.row_number().over(Window.partitionBy(keys[0]).orderBy("_late", "_pos", *keys[1:]))
+    first = rows.withColumn("rank", rank).where(F.col("rank") <= cap).drop("_late", "_pos")  # the rank filter goes below the shuffle as a group limit
+    omitted = rows.groupBy(keys[0]).agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("omitted"))
+    return first.join(omitted.withColumnRenamed(keys[0], "_owner"), F.col(keys[0]).eqNullSafe(F.col("_owner"))).drop("_owner")
 
 
 def multiset(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

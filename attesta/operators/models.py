@@ -70,3 +70,69 @@ def media_factors(findings: DataFrame) -> DataFrame:
 def completed_media(media: DataFrame, findings: DataFrame) -> DataFrame:
     """Every accessible item has a finding: what the model left out is CANNOT_DETERMINE with confidence 0. Keys: review_id, media_id."""
     return media.where("accessible").select("review_id", "media_id").join(findings, ["review_id", "media_id"], "left").select("review_id", "media_id", F.coalesce("consistency", F.lit("CANNOT_DETERMINE")).alias("consistency"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+MOST_TEXTS, MOST_CHARACTERS = 64, 4000
+Embedder = Callable[[list[str]], list[tuple[int, list[float]]]]
+
+
+def embedded(texts: DataFrame, provider: Embedder, id_col: str = "id", text_col: str = "text", most_texts: int = MOST_TEXTS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Vectors of texts from an external model: the id, vector, error.
+
+    Trimmed texts are packed into calls of most_texts and most_bytes at most, across Arrow batches. A call answers (place in the call, vector) in any order; it is taken only if every
+    place is there once and all vectors have one dimension, the same for every call of a task, and finite entries. Otherwise, or if the call raises, its rows carry the reason.
+    Blank texts and those over MOST_CHARACTERS are not sent.
+    """
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import math
+
+        import pyarrow as pa
+
+        def checked(answer, n, dimension):
+            vectors = {int(i): [float(x) for x in v] for i, v in answer}
+            if len(answer) != n or sorted(vectors) != list(range(n)):
+                raise ValueError("incomplete answer")
+            sizes = {len(v) for v in vectors.values()} | ({dimension} if dimension else set())
+            if len(sizes) > 1 or 0 in sizes:
+                raise ValueError("unequal dimensions")
+            if not all(math.isfinite(x) for v in vectors.values() for x in v):
+                raise ValueError("numbers that are not finite")
+            return [vectors[i] for i in range(n)]
+
+        held, size, dimension, kinds = [], 0, None, None
+
+        def record(rows):
+            ids, vectors, errors = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kinds), pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())], [id_col, "vector", "error"])
+
+        def sent():
+            nonlocal held, size, dimension
+            rows, held, size = held, [], 0
+            try:
+                vectors = checked(provider([t for _, t in rows]), len(rows), dimension)
+                dimension = len(vectors[0])
+                return record([(i, v, None) for (i, _), v in zip(rows, vectors, strict=True)])
+            except Exception as failure:  # whatever a provider raises is the rows' error
+                return record([(i, None, str(failure)[:200] or type(failure).__name__) for i, _ in rows])
+
+        for batch in batches:
+            kinds = batch.column(0).type
+            refused = []
+            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = (text or "").strip()
+                n = len(text.encode())
+                if not text or len(text) > MOST_CHARACTERS or n > most_bytes:
+                    refused.append((owner, None, "text of no length" if not text else "text too long"))
+                    continue
+                if held and (len(held) == most_texts or size + n > most_bytes):
+                    yield sent()
+                held.append((owner, text))
+                size += n
+            if refused:
+                yield record(refused)
+        if held:
+            yield sent()
+
+    return texts.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, vector array<double>, error string")

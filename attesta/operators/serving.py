@@ -91,13 +91,26 @@ def unknown_reviews(media: DataFrame, reviews: DataFrame, key: str) -> DataFrame
     return media.join(told, [key, "review_id"], "left_anti")
 
 
-def kept_reviews(rows: DataFrame, key: str, order: str, size: str, most_bytes: int = 47_000) -> DataFrame:
-    """The leading reviews of a document whose sizes together stay within a budget: the tail goes first. Adds retained and captured counts."""
-    by = Window.partitionBy(key).orderBy(order)
-    whole = Window.partitionBy(key)
-    counted = rows.withColumns({"_sum": F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)), "captured": F.count("*").over(whole)})
-    kept = counted.where(F.col("_sum") <= most_bytes)
-    return kept.withColumn("retained", F.count("*").over(whole)).drop("_sum")
+def kept_reviews(documents: DataFrame, items: str = "reviews", most_bytes: int = 47_000) -> DataFrame:
+    """Documents whose reviews are cut from the tail until the document, written as JSON with spaces after separators, has most_bytes at most. Adds captured and retained.
+
+    `items` is an array of strings or structs. Sizes add up along a document's own array, so nothing is shuffled; without a review left the array is null. A document that is too
+    large without any review stays so.
+    """
+    pretty = lambda c: _spaced(F.to_json(c, {"ignoreNullFields": "false"}))
+    empty = F.array().cast(documents.schema[items].dataType)
+    own = F.coalesce(F.col(items), empty)
+    bare = F.octet_length(pretty(F.struct(*(empty.alias(items) if c == items else F.col(c).alias(c) for c in documents.columns))))
+    sizes = F.transform(own, lambda x: F.octet_length(pretty(F.struct(x.alias("x")))) - len('{"x": }'))
+    sums = F.aggregate(sizes, F.array(bare.cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x + F.when(F.size(a) > 1, 2).otherwise(0))))
+    rows = documents.withColumns({"_sums": sums, "captured": F.size(own)})
+    rows = rows.withColumn("retained", F.greatest(F.lit(0), F.size(F.filter("_sums", lambda x: x <= most_bytes)) - 1))
+    return rows.withColumn(items, F.when(F.col("retained") > 0, F.slice(items, F.lit(1), F.col("retained")))).drop("_sums")
+
+
+def _spaced(text: Column) -> Column:
+    """JSON with a space behind every separator outside strings."""
+    return F.regexp_replace(text, r'((?:"(?:[^"\\]|\\.)*+"|[^",:])*+[,:])', "$1 ")
 
 
 def page_of(rows: DataFrame, number: int, *order: Column, size: int = 5) -> DataFrame:

@@ -7,7 +7,8 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators import lineage, linked, replay
+from attesta.functions import claims
+from attesta.operators import containment, lineage, linked, models, replay
 from attesta.plans.registry import query
 from attesta.sources.scratch import shared_path
 from attesta.sources.tables import read_table
@@ -123,3 +124,44 @@ def fanned_out(spark, d):
     bad = fanout.read(spark, path, fanout.CONFLICTS).where("reason = 'STORED_DIFFERS'").select("analysis_id", F.lit(True).alias("conflict"))
     head = fanout.read(spark, path, fanout.HEAD).join(counts, "analysis_id", "left").join(bad, "analysis_id", "left")
     return head.select("analysis_id", "batch", "total", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
+@query("""with d as (select event_id, props, json_extract_string(props, '$.k') as k, event_type, user_id from events), f as (select event_id, '{"event":"' || event_type || '","props":{"k":' || k || ',"user":[' || user_id || ',null,1.5]}}' as form from d)
+select event_id, form as canonical, sha256(form) as digest, event_id % 2 = 0 as replay from f""")
+def canonical_digests(spark, d):
+    """Events written as JSON in two ways, with keys, spaces and zeros as they come: equal content has one digest."""
+    e = read_table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    one = _text('{"props": {"user": [', F.col("user_id"), ', null, 1.50], "k": ', F.col("k"), '}, "event": "', F.col("event_type"), '"}')
+    two = _text('{"event":"', F.col("event_type"), '", "props":{"k":', F.col("k"), ',\n"user":[', F.col("user_id"), ",null,1.5]}}")
+    sent = F.when(F.col("event_id") % 2 == 0, two).otherwise(_text('{"props": {"k": ', F.col("k"), "}}"))
+    return e.select("event_id", claims.canonical_json(one).alias("canonical"), claims.json_digest(one).alias("digest"), (claims.json_digest(one) == claims.json_digest(sent)).alias("replay"))
+
+
+@query("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
+def passages_contained(spark, d):
+    """The documents that hold a passage of the benchmark, word for word."""
+    texts, passages = read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "benchmark").select("item_id", "text")
+    return containment.contained(texts, passages, "doc_id", "item_id").select("item_id", "doc_id")
+
+
+@query("""with q as (select doc_id, source, substr(text, 30, 60) as quote from documents where length(text) > 120), s as (select doc_id as section, source, text from documents)
+select q.doc_id, count(*) as sections from q join s on q.source = s.source and contains(s.text, q.quote) group by 1""")
+def quotes_located(spark, d):
+    """How many texts of its source hold a quote of each document: its own and the copies."""
+    docs = read_table(spark, d, "documents").select("doc_id", "source", "text")
+    quotes = docs.where(F.length("text") > 120).select("doc_id", "source", F.substring("text", 30, 60).alias("text"))
+    found = containment.contained(docs.withColumnRenamed("doc_id", "section"), quotes, "section", "doc_id", ["source"])
+    return found.groupBy("doc_id").agg(F.count("*").alias("sections"))
+
+
+def _measured(texts: list[str]) -> list[tuple[int, list[float]]]:
+    """A stand-in for a model: answers in reverse order with what can be counted."""
+    return [(i, [float(len(t)), float(t.count("e")), float(t.count("a"))]) for i, t in reversed(list(enumerate(texts)))]
+
+
+@query(r"""with t as (select conv_id * 1000 + turn as id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') as t from conversations) select id, case when length(t) between 1 and 4000 then length(t) end::double as size, case when length(t) between 1 and 4000 then length(t) - length(replace(t, 'e', '')) end::double as e,
+case when t = '' then 'text of no length' when length(t) > 4000 then 'text too long' end as error from t""")
+def provider_batches(spark, d):
+    """Turns sent to an injected model in calls of bounded size; the answers come back in another order."""
+    texts = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return models.embedded(texts, _measured).select("id", F.get("vector", F.lit(0)).alias("size"), F.get("vector", F.lit(1)).alias("e"), "error")

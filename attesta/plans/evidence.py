@@ -285,9 +285,11 @@ def media_references(spark, d):
     return serving.unknown_reviews(l, reviews, "k")
 
 
-@query("""with w as (select source, doc_id, sum(n_chars) over (partition by source order by doc_id) as s, count(*) over (partition by source) as captured from documents), k as (select * from w where s <= 47000) select source, doc_id, captured, count(*) over (partition by source) as retained from k""")
+@query("""with t as (select conv_id, turn, strlen(to_json(text)) as n, row_number() over (partition by conv_id order by turn) as p from conversations), w as (select *, strlen('{"conv_id": ' || conv_id || ', "reviews": []}') + sum(n) over (partition by conv_id order by turn) + 2 * (p - 1) as s from t)
+select conv_id, count(*)::int as captured, (count(*) filter (s <= 600))::int as retained from w group by 1""")
 def kept_reviews(spark, d):
-    return serving.kept_reviews(read_table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars").drop("n_chars")
+    turns = read_table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("reviews"))
+    return serving.kept_reviews(turns, most_bytes=600).select("conv_id", "captured", "retained")
 
 
 @query("select c_custkey, c_name from customer order by c_acctbal desc, c_custkey limit 5 offset 10")
@@ -353,11 +355,13 @@ def cited_union(spark, d):
     return lists.groupBy("source").agg(union.alias("ids")).select("source", F.array_join("ids", ",").alias("cited"), F.size("ids").cast("bigint").alias("n"))
 
 
-@query("""with r as (select source as supplier, doc_id, row_number() over (partition by source order by doc_id) - 1 as pos, trim(coalesce(lang, '')) as t, n_chars from documents) select supplier, 'review:' || pos as evidence_id, t as text, case when supplier <> 'src1' then 5 end::bigint as aggregate_count from r where t <> '' and t <> 'de'""")
+@query("""with r as (select conv_id as supplier, turn, row_number() over (partition by conv_id order by turn) - 1 as pos, case when role = 'assistant' then ' ' else text end as t, conv_id % 3 as c from conversations) select supplier, 'review:' || pos as evidence_id, t as text, case when c > 0 then c end::bigint as aggregate_count from r where trim(t) <> ''""")
 def adapted_reviews(spark, d):
-    text = F.when(F.col("lang") == "de", " ").otherwise(F.trim("lang"))
-    lists = read_table(spark, d, "documents").select(F.col("source").alias("supplier"), F.struct("doc_id", text.alias("text")).alias("r")).groupBy("supplier").agg(F.array_sort(F.collect_list("r")).alias("reviews"))
-    return findings.adapted_reviews(lists.withColumn("transaction_review_count", F.when(F.col("supplier") == "src1", -1).otherwise(5).cast("bigint")))
+    """The turns of a conversation as the reviews of a stored document; what the assistant says is left blank."""
+    text = F.when(F.col("role") == "assistant", " ").otherwise(F.col("text"))
+    lists = read_table(spark, d, "conversations").groupBy(F.col("conv_id").alias("supplier")).agg(F.array_sort(F.collect_list(F.struct("turn", text.alias("text")))).alias("reviews"))
+    total = F.col("supplier") % 3
+    return findings.adapted_reviews(lists.withColumn("transaction_review_count", F.when(total == 0, -1).otherwise(total)))
 
 
 @query("""with c as (select label as supplier, count(*) as n from embeddings group by 1) select supplier, 'SEMANTIC_NEAR_DUPLICATE' as kind, round(3 / n::double, 4) as strength, 0.8::double as reliability from c union all select supplier, 'TIMING_BURST', 0.5, 1.0 from c""")
