@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Texts longer than PIECE characters are cut before encoding, only where the split pattern must begin a new match anyway:
-before a space that follows a non-space and precedes a non-space. No alternative of the pattern has white space after
-another kind of character, and no look-ahead reaches over such a place, so the ids of the pieces, put in
-a row, are those of the whole text. A text without such a place is encoded whole.
+Texts longer than PIECE characters are cut before encoding, only where the split pattern must begin a new match anyway. No alternative of the pattern has white space after
+another kind of character, none holds letters and digits, and none holds other characters beside either, but for an apostrophe before letters. So a text may be cut before
+white space that follows anything else, and where letters, digits and other characters meet, but not behind an apostrophe. No look-ahead reaches over such a
+place: the ids of the pieces, put in a row, are those of the whole text. Cut are only places between characters of ASCII and common Han and CJK punctuation, whose kinds no
+version of Unicode changes. What has no such place is one run of letters or of white space, which the pattern matches as one: it is encoded whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ PIECE = 1 << 16
 #: Rows that a task holds encoded at a time.
 ROWS = 512
 RANKS = "byte_bpe_multi_50k.tiktoken"
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
+_LETTER, _DIGIT, _OTHER = "A-Za-z\u4e00-\u9fff", "0-9", "!-/:-@\\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+_OPEN = _OTHER.replace("!-/", "!-&(-/")  #: the other characters without the apostrophe
+_BREAK = re.compile(f"(?<=\\S)(?=[ \\t\\r\\n])|(?<=[{_LETTER}])(?=[{_DIGIT}{_OTHER}])|(?<=[{_DIGIT}])(?=[{_LETTER}{_OTHER}])|(?<=[{_OPEN}])(?=[{_LETTER}{_DIGIT}])")
 
 
 @lru_cache(maxsize=2)
