@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import discard, materialize, materialize_split
+from attesta.llm.common import discard, materialize
 
 MOST_WORDS = 5
 LEAST_COUNT = 100
@@ -27,12 +27,13 @@ TOP = 2000
 COVER_PERCENT = 100
 UNKNOWN = "und"
 #: Bytes of text in a block; a longer text becomes several, cut between words.
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 SEPARATORS = b".,;:!?\n\v\f\r"
 BLANKS = b" \t"
 
 WORD_ROWS = "block bigint, carry int, seq binary, idx int, lang string, word string, n bigint"
-PAIR_ROWS = "block bigint, carry int, seq binary, idx int, bucket int, firsts array<bigint>, seconds array<bigint>, counts array<int>"
+BLOCKS = "block bigint, carry int, seq binary"
+PAIR_ROWS = "block bigint, idx int, bucket int, firsts array<bigint>, seconds array<bigint>, counts array<int>"
 #: Bits of a place for the number of a block in its task, and for that of an entry in its block.
 BLOCK_BITS, ENTRY_BITS = 20, 22
 #: Buckets of pairs for each shuffle partition.
@@ -163,10 +164,11 @@ def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
     return docs.mapInArrow(run, WORD_ROWS)
 
 
-def _pair_rows(blocks: DataFrame, named: DataFrame, k: int) -> DataFrame:
-    """PAIR_ROWS of the phrases of k words from the blocks of the level below (block, carry, seq) and the frequent phrases there (of, idx, id, f).
+def _next(blocks: DataFrame, named: DataFrame, k: int, pairs: bool) -> DataFrame:
+    """From the blocks of the level below and the frequent phrases there (of, idx, id, f): the pairs of k words (PAIR_ROWS), or the blocks with their numbers (BLOCKS).
 
-    Pairs are numbered by bucket, first and second part, so those of a row have numbers from idx on.
+    Pairs are numbered by bucket, first and second part, so those of a row have numbers from idx on. The numbers follow from a block and its frequent
+    phrases alone, so the two kinds agree, and pairs need not be written: they go straight to the shuffle that sums them.
     """
     buckets = BUCKETS_EACH * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -174,9 +176,10 @@ def _pair_rows(blocks: DataFrame, named: DataFrame, k: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        schema = ["block", "carry", "seq", "idx", "bucket", "firsts", "seconds", "counts"]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        empty = pa.Table.from_arrays([pa.array([], t) for t in kinds], schema)
+        names_of = (PAIR_ROWS if pairs else BLOCKS).replace(",", "").split()[::2]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32())] if pairs else [pa.int64(), pa.int32(), pa.binary()]
+        table = lambda columns: pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names_of)
+        empty = table([[] for _ in kinds])
         if not blocks.num_rows or not names.num_rows:
             return empty
         block, carry, seq = key[0].as_py(), blocks.column("carry")[0].as_py(), unpacked(blocks.column("seq")[0].as_py())
@@ -192,19 +195,19 @@ def _pair_rows(blocks: DataFrame, named: DataFrame, k: int) -> DataFrame:
         left, right = seq[at], seq[at + 1]
         salt = (ids[right] ^ ids[right] >> ENTRY_BITS) % parts[left]
         mixed = (ids[left] ^ ids[left] >> ENTRY_BITS) + salt * 0x9E3779B1
-        pairs, number = np.unique((mixed % buckets * width + left) * width + right, return_inverse=True)
-        now = np.full(len(seq) - 1, -1, np.int32)
-        now[at] = number
-        counts = np.bincount(number[at + k - 1 >= carry], minlength=len(pairs)).astype(np.int32)
-        bucket = pairs // (width * width)
+        found, number = np.unique((mixed % buckets * width + left) * width + right, return_inverse=True)
+        if not pairs:
+            now = np.full(len(seq) - 1, -1, np.int32)
+            now[at] = number
+            return table([[block], [carry], [packed(now)]])
+        counts = np.bincount(number[at + k - 1 >= carry], minlength=len(found)).astype(np.int32)
+        bucket = found // (width * width)
         start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = pa.array(np.append(start, len(pairs)).astype(np.int32))
-        n = len(start)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[pairs // width % width], ids[pairs % width], counts)]
-        columns = [[block] + [block] * n, [carry] + [None] * n, [packed(now)] + [None] * n, [None, *start.tolist()], [None, *bucket[start].tolist()]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds[:5], strict=True)] + [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in lists], schema)
+        ends = pa.array(np.append(start, len(found)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[found // width % width], ids[found % width], counts)]
+        return table([np.full(len(start), block), start, bucket[start], *lists])
 
-    return blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(run, PAIR_ROWS)
+    return blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(run, PAIR_ROWS if pairs else BLOCKS)
 
 
 def _place() -> Column:
@@ -226,34 +229,25 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return each.select("block", (F.col("start") + F.col("at")).alias("idx"), "bucket", F.col("p.firsts").alias("first"), F.col("p.seconds").alias("second"), F.col("p.counts").cast("bigint").alias("n"))
 
 
-def _split(rows: DataFrame, columns: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """The written blocks (block, carry, seq) and entries (block, idx and the columns)."""
-    blocks, entries = materialize_split(rows.withColumn("whole", F.col("seq").isNotNull()), name, "whole")
-    blocks, entries = (_same_table(x, x.select(*names)) for x, names in ((blocks, ["block", "carry", "seq"]), (entries, ["block", "idx", *columns])))
-    return blocks, entries
-
-
-def _same_table(table: DataFrame, view: DataFrame) -> DataFrame:
-    view._attesta_path = table._attesta_path
-    return view
-
-
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_words: int = MOST_WORDS, least: int = LEAST_COUNT, block: int = BLOCK) -> list[DataFrame]:
     """Per length the frequent phrases: id, first, second (ids of the length below), f, lang, total (words of the lang), phrase, last, heads, tails (counts)."""
     source = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    blocks, entries = _split(_word_rows(source, block, most_words), ["lang", "word", "n"], "words")
+    words = materialize(_word_rows(source, block, most_words), "words")
+    entries = words.where("idx is not null").select("block", "idx", "lang", "word", "n")
     totals = materialize(entries.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     named = _named(entries, ["lang", "word"], least)
-    discard(entries)
+    blocks = materialize(words.where("seq is not null").select("block", "carry", "seq"), "blocks")
+    discard(words)
     none, link = F.array().cast("array<bigint>"), F.lit(None).cast("bigint")
     level = named.where("place = id").join(totals, "lang")
     level = level.select("id", link.alias("first"), link.alias("second"), "f", "lang", "total", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
     levels = [materialize(level, "phrases")]
     for k in range(2, most_words + 1):
-        fresh, entries = _split(_pair_rows(blocks, named.select("of", "idx", "id", "f"), k), ["bucket", "firsts", "seconds", "counts"], "pairs")
+        below_ids = named.select("of", "idx", "id", "f")
+        fresh = materialize(_next(blocks, below_ids, k, False), "blocks") if k < most_words else None
+        now = _named(_pairs(_next(blocks, below_ids, k, True)), ["bucket", "first", "second"], least)
         discard(blocks, named)
-        blocks, named = fresh, _named(_pairs(entries), ["bucket", "first", "second"], least)
-        discard(entries)
+        blocks, named = fresh, now
         below = levels[-1]
         left = below.select(F.col("id").alias("first"), "lang", "total", F.col("phrase").alias("head"), F.array_append("heads", F.col("f")).alias("heads"))
         right = below.select(F.col("id").alias("second"), "last", F.array_append("tails", F.col("f")).alias("tails"))

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 _OWN_DIR: list[str] = []
 
@@ -45,30 +44,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def materialize_split(df: DataFrame, name: str, part: str) -> tuple[DataFrame, DataFrame]:
-    """As materialize, in two tables that are discarded each by itself: the rows where the boolean column `part` holds, and the others; without that column."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    set_for_now = {CLEAN_UP: "true", "spark.sql.maxConcurrentOutputFileWriters": "2"}  # two writers at once, so rows are not sorted by the table they go to
-    before = {k: spark.conf.get(k, None) for k in set_for_now}
-    for k, v in set_for_now.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.option("parquet.block.size", str(1 << 24)).partitionBy(part).parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    fields = StructType([f for f in df.schema.fields if f.name != part])
-    tables = []
-    for value in ("true", "false"):
-        folder = f"{path}/{part}={value}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        tables.append(spark.read.schema(fields).parquet(folder) if there else spark.createDataFrame([], fields))
-        tables[-1]._attesta_path = folder if there else None
-    return tables[0], tables[1]
-
-
 def discard(*frames: DataFrame | None) -> None:
     """Deletes the tables that materialize() wrote for these frames, once nothing reads them any more."""
     for df in frames:
