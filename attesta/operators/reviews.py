@@ -61,6 +61,38 @@ def exact_duplicates(reviews: DataFrame) -> DataFrame:
     return per.where("duplicate_groups > 0").withColumn("strength", F.round(F.least(F.lit(1.0), F.col("duplicate_reviews") / F.col("review_count")), 4))
 
 
+def duplicate_members(reviews: DataFrame) -> DataFrame:
+    """The reviews of duplicate groups, a row each: supplier, evidence_id, copies, first_id (the group's smallest id). The largest groups with the smallest ids come first in a report.
+
+    Groups are joined by the digest of their folded text, none is collected.
+    """
+    keyed = folded(reviews.select("supplier", "evidence_id", "text")).where(F.length("folded") >= MIN_DUPLICATE_LENGTH).select("supplier", "evidence_id", F.sha2("folded", 256).alias("key"))
+    groups = keyed.groupBy("supplier", "key").agg(F.count("*").alias("copies"), F.min("evidence_id").alias("first_id")).where("copies >= 2")
+    return keyed.join(groups, ["supplier", "key"]).select("supplier", "evidence_id", "copies", "first_id")
+
+
+def burst_members(reviews: DataFrame, bursts: DataFrame, hours: int = 24) -> DataFrame:
+    """The reviews (supplier, evidence_id, ts) within the burst of their supplier: supplier, evidence_id."""
+    at = F.col("ts").cast("timestamp")
+    inside = (at >= F.col("burst_start")) & (at <= F.col("burst_start") + F.make_interval(hours=F.lit(hours)))
+    return reviews.join(bursts.select("supplier", "burst_start"), "supplier").where(inside).select("supplier", "evidence_id")
+
+
+def mismatch_members(reviews: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """High ratings on complaints, of suppliers with two at least: supplier, evidence_id."""
+    bad = folded(reviews).where((scalars.rating(F.col("rating")) >= HIGH_RATING) & (F.size(categories(F.col("folded"), lexicon)) > 0)).select("supplier", "evidence_id")
+    several = bad.groupBy("supplier").agg(F.count("*").alias("n")).where("n >= 2")
+    return bad.join(several, "supplier", "left_semi")
+
+
+def signal_evidence(reviews: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """Which reviews each suspicious pattern rests on, a row each: supplier, kind, evidence_id. reviews: supplier, evidence_id, text, rating, ts."""
+    bursts = timing_bursts(reviews.select("supplier", "ts"), ["supplier"])
+    kinds = {"EXACT_DUPLICATE_TEXT": duplicate_members(reviews), "TIMING_BURST": burst_members(reviews, bursts), "RATING_TEXT_MISMATCH": mismatch_members(reviews, lexicon)}
+    parts = [rows.select("supplier", F.lit(kind).alias("kind"), "evidence_id") for kind, rows in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def timing_bursts(events: DataFrame, keys: list[str], hours: int = 24, least: int = 3, min_ratio: float = 0.6) -> DataFrame:
     """The fullest inclusive window of `hours` for each key: keys, burst_start, burst_count, timed, strength.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import claims
-from attesta.operators import containment, lineage, linked, models, replay
+from attesta.operators import containment, extraction, lineage, linked, models, replay
 from attesta.plans.registry import query
 from attesta.sources.scratch import shared_path
 from attesta.sources.tables import read_table
@@ -165,3 +165,20 @@ def provider_batches(spark, d):
     """Turns sent to an injected model in calls of bounded size; the answers come back in another order."""
     texts = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return models.embedded(texts, _measured).select("id", F.get("vector", F.lit(0)).alias("size"), F.get("vector", F.lit(1)).alias("e"), "error")
+
+
+@query("""with p as (select p_partkey + 1 as k, trim(p_name) as title, p_brand, p_size as n, case when p_size = 50 then 'IDENTITY_MISMATCH' when p_size = 49 then 'IDENTITY_MISMATCH' when p_size = 48 then 'MALFORMED' when p_size = 47 then 'OVER_THE_LIMITS' when p_size = 46 then 'UNAUDITED_FIELDS' when p_size = 45 then 'SENSITIVE_STATE' end as f from part)
+select k as id, f as reason, case when f is null then k::varchar end as offer_id, case when f is null then p_brand end as supplier_name, case when f is null then title end as product_title, case when f is null and n % 2 = 0 then '平均' || n || '小时发货' end as shipping, case when f is null then round((3 + (n % 2 = 0)::int) / 12, 4) end as completeness,
+case when f is null then 'PARTIAL' else 'INVALID' end as status from p""")
+def taobao_selections(spark, d):
+    """Parts as selections of item pages; some sizes stand for selections that contradict themselves or hold what they may not."""
+    k, n = F.col("p_partkey") + 1, F.col("p_size")
+    url = lambda i: _text("https://item.taobao.com/item.htm?id=", i)
+    metric = F.when(n % 2 == 0, _text("平均", n, "小时发货")).otherwise(_text("评分", n))
+    metrics = F.when(n == 47, F.array_repeat(metric, 11)).otherwise(F.array(metric))
+    products = F.when(n == 46, F.array(F.struct(url(k).alias("source_url"))))
+    name = F.when(n == 45, "sid=abc; auth=xyz").otherwise(F.col("p_brand"))
+    fields = F.struct(name.alias("supplier_name"), F.col("p_name").alias("product_title"), metrics.alias("shop_metrics"), products.alias("products"), F.when(n == 48, 1).alias("unknown"))
+    whole = F.struct(url(k).alias("source_url"), F.when(n == 49, url(k + 1)).alias("canonical_url"), F.lit("item").alias("source_kind"), (k + F.when(n == 50, 1).otherwise(0)).cast("string").alias("source_id"), fields.alias("fields"))
+    done = extraction.selections_taobao(read_table(spark, d, "part").select(k.alias("id"), F.to_json(whole).alias("payload")))
+    return done.select("id", "reason", "offer_id", "supplier_name", F.get("products", F.lit(0))["title"].alias("product_title"), F.get("shipping", F.lit(0)).alias("shipping"), "completeness", "status")

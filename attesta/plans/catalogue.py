@@ -154,6 +154,21 @@ def review_exact_duplicates_by_source(spark, d):
     return reviews.exact_duplicates(_reviews(spark, d))
 
 
+@query(f"""with k as (select lang as supplier, doc_id as evidence_id, {FOLDED} as key from documents), g as (select supplier, key, count(*) as copies, min(evidence_id) as first_id from k where length(key) >= 8 group by all having count(*) >= 2)
+select supplier, evidence_id, copies, first_id from k join g using (supplier, key)""")
+def duplicate_members(spark, d):
+    docs = read_table(spark, d, "documents").select(F.col("lang").alias("supplier"), F.col("doc_id").alias("evidence_id"), "text")
+    return reviews.duplicate_members(docs)
+
+
+@query("""with w as (select user_id, event_id, ts, count(*) over (partition by user_id order by ts range between current row and interval 24 hours following) as n from events),
+b as (select user_id, max(n) as n, count(*) as timed, arg_max(ts, (n, -epoch_us(ts))) as burst_start from w group by all)
+select user_id as supplier, event_id as evidence_id from events join b using (user_id) where n >= 3 and n / timed::double >= 0.05 and ts between burst_start and burst_start + interval 24 hours""")
+def burst_members(spark, d):
+    events = read_table(spark, d, "events").select(F.col("user_id").alias("supplier"), F.col("event_id").alias("evidence_id"), "ts")
+    return reviews.burst_members(events, reviews.timing_bursts(events, ["supplier"], min_ratio=0.05))
+
+
 def _bad(stems: dict[str, list[str]]) -> str:
     return "list_filter([" + ", ".join(f"case when {' or '.join(f'contains({FOLDED}, {p!r})' for p in ps)} then {c!r} end" for c, ps in stems.items()) + "], lambda x: x is not null)"
 

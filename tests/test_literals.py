@@ -222,3 +222,13 @@ def test_text_functions(spark):
     assert value(spark, scalars.rating(F.lit("4.5"))) == 4.5
     assert value(spark, scalars.instant(F.lit("2026-10-0700"))) is None
     assert value(spark, merge.maps(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3")))) == {"a": "1", "b": "3"}
+
+
+def test_signals_name_the_reviews_they_rest_on(spark):
+    from attesta.operators import reviews as rv
+
+    r = [("s", "a", "BAD QUALITY!!!", 5.0, "2026-10-01T00:00:00Z"), ("s", "b", "bad   quality", 4.0, "2026-10-01T12:00:00Z"), ("s", "c", "fine thing here", 5.0, "2026-10-02T00:00:00Z"), ("s", "d", "short", 1.0, "2026-10-02T00:00:01Z"), ("s", "e", "short", None, None), ("t", "f", "poor quality", 5.0, None)]
+    df = rows(spark, r, "supplier string, evidence_id string, text string, rating double, t string").withColumn("ts", scalars.instant(F.col("t")))
+    got = {(x["supplier"], x["kind"], x["evidence_id"]) for x in rv.signal_evidence(df).collect()}
+    assert got == {("s", "EXACT_DUPLICATE_TEXT", i) for i in "ab"} | {("s", "TIMING_BURST", i) for i in "abc"} | {("s", "RATING_TEXT_MISMATCH", i) for i in "ab"}
+    assert {(x["evidence_id"], x["copies"], x["first_id"]) for x in rv.duplicate_members(df).collect()} == {("a", 2, "a"), ("b", 2, "a")}
