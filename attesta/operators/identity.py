@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTRADICTION, UNCERTAIN, CLEAR = 0.35, 0.4, 0.7
+LOW_RELIABILITY = 0.5
 
 #: Strengths of numeric profile fields, all with reliability 0.7.
 FIELD_STRENGTH = {"factory_area_sqm": 0.75, "production_line_count": 0.9, "qc_staff_count": 0.55, "rd_team_count": 0.45, "employee_count": 0.3, "equipment_count": 0.6}
@@ -43,5 +44,16 @@ def classified(totals: DataFrame) -> DataFrame:
     return out.withColumn("classification", kind(F.col("confidence"), F.col("factory_likelihood")))
 
 
+def uncertainty(totals: DataFrame) -> DataFrame:
+    """Why an identity is uncertain, from the masses: supplier, reasons (array, in a fixed order; empty for none)."""
+    n, own = F.col("n"), F.col("claims_only")
+    contradictory = (F.col("top_factory") >= CONTRADICTION) & (F.col("top_trader") >= CONTRADICTION)
+    reasons = [
+        F.when(n == 0, "NO_DIRECTIONAL_EVIDENCE"), F.when(own, "SELF_CLAIM_ONLY"), F.when(contradictory, "CONTRADICTORY_EVIDENCE"), F.when((n > 0) & (n < 2), "LIMITED_EVIDENCE"),
+        F.when((F.col("independent") < LOW_RELIABILITY) & (n > 0) & ~own, "LOW_INDEPENDENT_RELIABILITY"),
+    ]
+    return totals.select("supplier", F.array_compact(F.array(*reasons)).alias("reasons"))
+
+
 def kind(confidence: Column, factory: Column) -> Column:
     return F.when(confidence < UNCERTAIN, "UNCERTAIN").when(factory >= CLEAR, "FACTORY").when(factory <= 1 - CLEAR, "TRADER").otherwise("MIXED")

@@ -350,6 +350,16 @@ def identity_class(spark, d):
     return identity.classified(identity.masses(ev))
 
 
+@query(f"""with {IDENTITY.replace('l_suppkey as supplier', 'l_orderkey as supplier')}, m as (select supplier, count(*) filter (direction <> 'NEUTRAL') as n, coalesce(max(strength * reliability) filter (direction = 'FACTORY'), 0) as tf, coalesce(max(strength * reliability) filter (direction = 'TRADER'), 0) as tt,
+coalesce(max(reliability) filter (direction <> 'NEUTRAL' and source_kind <> 'SELF_CLAIM'), 0) as ind, coalesce(bool_and(source_kind = 'SELF_CLAIM') filter (direction <> 'NEUTRAL'), false) as claims from ev group by supplier)
+select supplier, concat_ws(',', case when n = 0 then 'NO_DIRECTIONAL_EVIDENCE' end, case when claims then 'SELF_CLAIM_ONLY' end, case when tf >= 0.35 and tt >= 0.35 then 'CONTRADICTORY_EVIDENCE' end, case when n = 1 then 'LIMITED_EVIDENCE' end, case when ind < 0.5 and n > 0 and not claims then 'LOW_INDEPENDENT_RELIABILITY' end) as reasons from m""")
+def identity_uncertainty(spark, d):
+    """Orders in the place of suppliers, as they have few lines each."""
+    kind = F.when(F.col("l_returnflag") == "A", "FACTORY").when(F.col("l_returnflag") == "R", "TRADER").otherwise("NEUTRAL")
+    ev = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("supplier"), kind.alias("direction"), (F.col("l_quantity") / 50).alias("strength"), (F.col("l_discount") * 10).alias("reliability"), F.when(F.col("l_linestatus") == "F", "SELF_CLAIM").otherwise("DOCUMENT").alias("source_kind"))
+    return identity.uncertainty(identity.masses(ev)).select("supplier", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("""with p as (select p_partkey as supplier, p_size as factory_area_sqm, p_partkey % 4 as production_line_count, p_size % 3 as employee_count from part)
 select supplier, 'factory_area_sqm' as source_field, factory_area_sqm::double as value, 0.75::double as strength from p where factory_area_sqm > 0 union all select supplier, 'production_line_count', production_line_count, 0.9 from p where production_line_count > 0
 union all select supplier, 'employee_count', employee_count, 0.3 from p where employee_count > 0""")
