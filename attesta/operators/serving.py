@@ -110,7 +110,7 @@ def kept_reviews(documents: DataFrame, items: str = "reviews", most_bytes: int =
 
 def _spaced(text: Column) -> Column:
     """JSON with a space behind every separator outside strings."""
-    return F.regexp_replace(text, r'((?:"(?:[^"\\]|\\.)*+"|[^",:])*+[,:])', "$1 ")
+    return F.regexp_replace(text, r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:])*+[,:])', "$1 ")
 
 
 def page_of(rows: DataFrame, number: int, *order: Column, size: int = 5) -> DataFrame:
