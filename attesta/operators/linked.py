@@ -22,15 +22,17 @@ MOST_CLAIMS, MOST_ATTRIBUTES, MOST_CARDS = 32, 100, 20
 #: What a sanitised snapshot may not hold, and the attributes it may.
 FORBIDDEN = frozenset("script style iframe form input textarea select button object embed svg img video audio source canvas template noscript".split())
 ATTRIBUTES = frozenset("id class href rel charset".split())
+#: What the ids of elements that the capturing tool adds begin with; they are known here as `own-` and the rest.
+MARK = "capture"
 #: Regions of the pages, by element id, and the most characters of their texts.
 TEXTS = {
     "description": 800, "productPackInfo": 800, "sizeChart": 800, "productWarning": 800, "officialInspection": 800, "mainServices": 800, "pcMainCompanyNameV2": 240, "pcV2SellerTagYear": 240, "pcV2MainCateLabel": 240,
-    "pcV2ServiceScoreLabel": 240, "pcV2ServiceScoreValue": 240, "vct-alibaba-title": 500, "vct-alibaba-supplier": 2000, "vct-alibaba-price": 1200, "vct-alibaba-review-summary": 180, "vct-alibaba-policy": 1800,
-    "vct-alibaba-company-name": 240, "vct-alibaba-introduction": 1600, "vct-alibaba-shop-claims": 1600,
+    "pcV2ServiceScoreLabel": 240, "pcV2ServiceScoreValue": 240, "own-alibaba-title": 500, "own-alibaba-supplier": 2000, "own-alibaba-price": 1200, "own-alibaba-review-summary": 180, "own-alibaba-policy": 1800,
+    "own-alibaba-company-name": 240, "own-alibaba-introduction": 1600, "own-alibaba-shop-claims": 1600,
 }
 LINKS = {"shopNavigation": "shop-company-name", "bd_2_container_0": None, "pc_card_baseinfo": None}
-OWN_LINKS = ("vct-alibaba-shop-link", "vct-alibaba-own-shop")
-LISTS = ("vct-alibaba-attributes", "vct-alibaba-company-claims")
+OWN_LINKS = ("own-alibaba-shop-link", "own-alibaba-own-shop")
+LISTS = ("own-alibaba-attributes", "own-alibaba-company-claims")
 CREDIT_PAGE, SHOWROOM = "page/creditdetail.html", "工厂展厅"
 #: Labels of a company overview that are kept.
 COMPANY_LABELS = [
@@ -43,13 +45,14 @@ REGIONS = """bytes bigint, elements int, forbidden boolean, attributes_fit boole
 links array<struct<region:string,href:string>>, pairs array<struct<region:string,name:string,value:string>>, ragged boolean, cards array<string>, introduction string, showroom string"""
 
 
-def regions(page: reader.Page) -> tuple:
+def regions(page: reader.Page, mark: str = MARK) -> tuple:
     """What a parsed page holds in the known regions, in the order of REGIONS without its size."""
     nodes = page.nodes
     named = {}
     for n in nodes:
-        if n.attrs.get("id"):
-            named.setdefault(n.attrs["id"], []).append(n)
+        name = n.attrs.get("id")
+        if name:
+            named.setdefault(f"own-{name.removeprefix(f'{mark}-')}" if name.startswith(f"{mark}-") else name, []).append(n)
     texts = {k: page.text_of(named[k][0], most) for k, most in TEXTS.items() if k in named}
     links, pairs, ragged = [], [], False
     for region, kind in LINKS.items():
@@ -72,7 +75,7 @@ def regions(page: reader.Page) -> tuple:
                 pairs.append((region, page.text_of(names[0]), page.text_of(values[0])))
             else:
                 ragged = True
-    cards = [t for top in named.get("vct-review-bodies", []) for n in page.within(top) if "review-item" in n.classes and (t := page.text_of(n, 2000))][:MOST_CARDS]
+    cards = [t for top in named.get("own-review-bodies", []) for n in page.within(top) if "review-item" in n.classes and (t := page.text_of(n, 2000))][:MOST_CARDS]
     credit = next((n for top in named.get("bd_2_container_0", []) for n in page.within(top) if n.tag == "a" and (n.attrs.get("href") or "").endswith("/" + CREDIT_PAGE)), None)
     module = None if credit is None else next((m for m in [credit, *_above(nodes, credit)] if "module-wrapper" in m.classes), None)
     room = next((n for top in named.get("pc_card_exhibition", []) for n in page.within(top) if n.tag == "div" and page.text_of(n) == SHOWROOM), None)
@@ -92,7 +95,7 @@ def _above(nodes, node, top=None):
         yield node
 
 
-def snapshots(pages: DataFrame) -> DataFrame:
+def snapshots(pages: DataFrame, mark: str = MARK) -> DataFrame:
     """job_id, page, source_url and REGIONS of pages (job_id, page, source_url, html); pages beyond MOST_BYTES are not parsed, null ones are empty."""
     kind = pages.schema["job_id"].dataType.simpleString()
 
@@ -109,7 +112,7 @@ def snapshots(pages: DataFrame) -> DataFrame:
             out = []
             for source in batch.column("html").to_pylist():
                 size = len((source or "").encode())
-                found = list(regions(reader.read(source if size <= MOST_BYTES else "", tree=True)))
+                found = list(regions(reader.read(source if size <= MOST_BYTES else "", tree=True), mark))
                 found[6], found[8] = list(found[6].items()), [dict(zip(("region", "href"), x, strict=True)) for x in found[8]]
                 found[9] = [dict(zip(("region", "name", "value"), x, strict=True)) for x in found[9]]
                 found[1] = found[1] or re.search(r"(?i)<(?:template|noscript)[\s>]", source or "") is not None
@@ -164,12 +167,12 @@ def _one(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.any_value(F.struct(*inner)).alias(name), F.count("*").alias(f"{name}_n"))
 
 
-def joined(products: DataFrame, shops: DataFrame, factories: DataFrame, outcomes: DataFrame, pages: DataFrame) -> DataFrame:
+def joined(products: DataFrame, shops: DataFrame, factories: DataFrame, outcomes: DataFrame, pages: DataFrame, mark: str = MARK) -> DataFrame:
     """One row for each product: p, shop, factory (structs or null), states (map of page to outcome), product_page, shop_page, factory_page (snapshots), several: whether a part is there twice."""
     out = _one(products, "p").join(_one(shops, "shop"), "job_id", "left").join(_one(factories, "factory"), "job_id", "left")
     told = outcomes.groupBy("job_id", "page").agg(F.any_value("status").alias("status"), F.count("*").alias("n"))
     told = told.groupBy("job_id").agg(*(F.max(F.when(F.col("page") == p, F.col("status"))).alias(f"told_{p}") for p in ("SHOP", "FACTORY")), F.max("n").alias("told_n"), F.count("*").alias("told"), F.count_if(~F.col("page").isin("SHOP", "FACTORY") | ~F.col("status").isin(*STATES)).alias("odd"))
-    whole = snapshots(pages)
+    whole = snapshots(pages, mark)
     inner = F.struct(*(c for c in whole.columns if c not in ("job_id", "page")))
     read = whole.groupBy("job_id").agg(*(F.any_value(F.when(F.col("page") == p.upper(), inner), True).alias(f"{p}_page") for p in ("product", "shop", "factory")), F.count("*").alias("read"), F.count_distinct("page").alias("kinds"))
     out = out.join(told, "job_id", "left").join(read, "job_id", "left")
@@ -208,14 +211,14 @@ def _founded(text: Column) -> Column:
     return F.try_to_date(F.when(text.rlike(r"^[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}$"), text), "yyyy.M.d")
 
 
-def bundles_1688(products: DataFrame, shops: DataFrame, factories: DataFrame, outcomes: DataFrame, pages: DataFrame, today: Column) -> DataFrame:
+def bundles_1688(products: DataFrame, shops: DataFrame, factories: DataFrame, outcomes: DataFrame, pages: DataFrame, today: Column, mark: str = MARK) -> DataFrame:
     """Bundles of the first platform, one row for each product: job_id, status LINKED or REJECTED, reason, and the document's fields.
 
     products: job_id, source_url, offer_id, supplier_name, product_title, reviews (array<string>), attributes (array of name, value), shop_url, guided (the user opened the
     pages). shops: job_id, source_url, credit_url, company_name, factory_url. factories: job_id, source_url, canonical_url, shop_url, claims (array of name, value),
     description. outcomes: job_id, page, status. pages: job_id, page, source_url, html. Pages without a product are no bundle.
     """
-    rows = joined(products, shops, factories, outcomes, pages)
+    rows = joined(products, shops, factories, outcomes, pages, mark)
     p, shop, factory = F.col("p"), F.col("shop"), F.col("factory")
     here, made = shop.isNotNull(), factory.isNotNull()
     rows = rows.withColumns({"_shop": urls.shop_1688(p["shop_url"]), "_profile": urls.factory_1688(factory["source_url"]), "_source": urls.normalize_1688(p["source_url"])})
@@ -262,13 +265,13 @@ def bundles_1688(products: DataFrame, shops: DataFrame, factories: DataFrame, ou
     return _document(rows.withColumn("_reason", reason), "1688", fields, held)
 
 
-def bundles_alibaba(products: DataFrame, shops: DataFrame, factories: DataFrame, outcomes: DataFrame, pages: DataFrame, today: Column) -> DataFrame:
+def bundles_alibaba(products: DataFrame, shops: DataFrame, factories: DataFrame, outcomes: DataFrame, pages: DataFrame, today: Column, mark: str = MARK) -> DataFrame:
     """Bundles of the other platform, whose every part has to be repeated by its snapshot: one row for each product, as bundles_1688.
 
     products: besides job_id, source_url, offer_id, supplier_name, product_title, reviews, attributes, shop_url, guided also canonical_url, price_text, rating, review_count, metrics (array of
     name, value). factories: also company_name, its claims with COMPANY_LABELS. The product's snapshot is needed.
     """
-    rows = joined(products, shops, factories, outcomes, pages)
+    rows = joined(products, shops, factories, outcomes, pages, mark)
     p, shop, factory = F.col("p"), F.col("shop"), F.col("factory")
     here, made = shop.isNotNull(), factory.isNotNull()
     rows = rows.withColumns({"_shop": urls.company_alibaba(p["shop_url"]), "_source": urls.normalize_alibaba(p["source_url"])})
@@ -281,19 +284,19 @@ def bundles_alibaba(products: DataFrame, shops: DataFrame, factories: DataFrame,
     allowed = F.array_compact(F.array(source, own, profile))
     text = lambda s, k: F.nullif(s["texts"][k], F.lit(""))
     given = factory["claims"]
-    shown = pairs(fp, "vct-alibaba-company-claims")
+    shown = pairs(fp, "own-alibaba-company-claims")
     year = _value(given, "Year established")
-    summary = F.coalesce(text(pp, "vct-alibaba-review-summary"), F.lit(""))
+    summary = F.coalesce(text(pp, "own-alibaba-review-summary"), F.lit(""))
     stars = F.nullif(F.regexp_extract(summary, r"^([0-5](?:\.[0-9]+)?)\b", 1), F.lit("")).cast("double")
     total = F.nullif(F.replace(F.regexp_extract(summary, r"(?i)Based on ([0-9,]+) reviews", 1), F.lit(",")), F.lit("")).try_cast("bigint")
-    supplier_text = F.coalesce(text(pp, "vct-alibaba-supplier"), F.lit(""))
+    supplier_text = F.coalesce(text(pp, "own-alibaba-supplier"), F.lit(""))
     bodies = F.transform(pp["cards"], tx.squeezed)
     squeezed = F.transform(p["reviews"], tx.squeezed)
     gone = F.exists(squeezed, lambda t: F.size(F.filter(squeezed, lambda o: o == t)) > F.size(F.filter(bodies, lambda o: o == t)))
-    sections = ("vct-alibaba-title", "vct-alibaba-supplier", "vct-alibaba-price", "vct-alibaba-review-summary", "vct-alibaba-policy")
-    company = ("vct-alibaba-company-name", "vct-alibaba-introduction", "vct-alibaba-shop-claims")
-    page_named = lambda s, who: no(text(s, "vct-alibaba-company-name"), who)
-    back = lambda s: no(F.transform(F.filter(s["links"], lambda x: x["region"] == "vct-alibaba-own-shop"), lambda x: x["href"]), F.array(own))
+    sections = ("own-alibaba-title", "own-alibaba-supplier", "own-alibaba-price", "own-alibaba-review-summary", "own-alibaba-policy")
+    company = ("own-alibaba-company-name", "own-alibaba-introduction", "own-alibaba-shop-claims")
+    page_named = lambda s, who: no(text(s, "own-alibaba-company-name"), who)
+    back = lambda s: no(F.transform(F.filter(s["links"], lambda x: x["region"] == "own-alibaba-own-shop"), lambda x: x["href"]), F.array(own))
     several = lambda s, names: F.arrays_overlap(s["several"], F.array(*map(F.lit, names)))
     selected = F.to_json(F.struct(p, shop, factory))
     reason = _first(
@@ -306,11 +309,11 @@ def bundles_alibaba(products: DataFrame, shops: DataFrame, factories: DataFrame,
         (made & (F.exists(given, lambda x: ~F.coalesce(x["name"].isin(COMPANY_LABELS), F.lit(False)) | F.coalesce(x["value"] == "-", F.lit(True))) | conflicting(given)), "UNSUPPORTED_CLAIM"), (made & (F.coalesce(F.size(given), F.lit(0)) == 0), "NO_CLAIMS"),
         (made & year.isNotNull() & (~year.rlike("^(?:19|20)[0-9]{2}$") | (year.try_cast("int") > F.year(today))), "FOUNDING_DATE"), (pp.isNull(), "NO_PRODUCT_HTML"), (sp.isNotNull() & ~here | fp.isNotNull() & ~made, "HTML_WITHOUT_PAGE"),
         (no(pp["source_url"], source) | sp.isNotNull() & no(sp["source_url"], own) | fp.isNotNull() & no(fp["source_url"], profile), "HTML_NOT_LINKED"), (here & sp.isNull() | made & fp.isNull(), "PAGE_WITHOUT_HTML"),
-        (F.coalesce(*(snapshot_fault(s, allowed) for s in (pp, sp, fp))).isNotNull(), "HTML_FAULT"), (several(pp, sections) | several(sp, company) | several(fp, company), "AMBIGUOUS_REGION"), (no(text(pp, "vct-alibaba-title"), p["product_title"]), "HTML_TITLE_CONFLICT"),
-        (own.isNotNull() & no(F.transform(F.filter(pp["links"], lambda x: x["region"] == "vct-alibaba-shop-link"), lambda x: x["href"]), F.array(own)), "HTML_SHOP_CONFLICT"),
+        (F.coalesce(*(snapshot_fault(s, allowed) for s in (pp, sp, fp))).isNotNull(), "HTML_FAULT"), (several(pp, sections) | several(sp, company) | several(fp, company), "AMBIGUOUS_REGION"), (no(text(pp, "own-alibaba-title"), p["product_title"]), "HTML_TITLE_CONFLICT"),
+        (own.isNotNull() & no(F.transform(F.filter(pp["links"], lambda x: x["region"] == "own-alibaba-shop-link"), lambda x: x["href"]), F.array(own)), "HTML_SHOP_CONFLICT"),
         ((~blank(p["supplier_name"]) & ~F.contains(supplier_text, p["supplier_name"])) | F.coalesce(F.exists(p["metrics"], lambda x: ~F.contains(supplier_text, x["value"])), F.lit(False)), "HTML_SUPPLIER_CONFLICT"),
-        (~blank(p["price_text"]) & no(text(pp, "vct-alibaba-price"), p["price_text"]), "HTML_PRICE_CONFLICT"), (p["rating"].isNotNull() & no(stars, p["rating"]) | p["review_count"].isNotNull() & no(total, p["review_count"]), "HTML_TOTALS_CONFLICT"),
-        (gone, "HTML_REVIEWS_CONFLICT"), (pp["ragged"] | F.coalesce(fp["ragged"], F.lit(False)), "RAGGED_LIST"), (F.size(F.array_except(p["attributes"], pairs(pp, "vct-alibaba-attributes"))) > 0, "HTML_ATTRIBUTES_CONFLICT"),
+        (~blank(p["price_text"]) & no(text(pp, "own-alibaba-price"), p["price_text"]), "HTML_PRICE_CONFLICT"), (p["rating"].isNotNull() & no(stars, p["rating"]) | p["review_count"].isNotNull() & no(total, p["review_count"]), "HTML_TOTALS_CONFLICT"),
+        (gone, "HTML_REVIEWS_CONFLICT"), (pp["ragged"] | F.coalesce(fp["ragged"], F.lit(False)), "RAGGED_LIST"), (F.size(F.array_except(p["attributes"], pairs(pp, "own-alibaba-attributes"))) > 0, "HTML_ATTRIBUTES_CONFLICT"),
         (sp.isNotNull() & page_named(sp, shop["company_name"]) | fp.isNotNull() & page_named(fp, factory["company_name"]), "HTML_NAME_CONFLICT"), (sp.isNotNull() & back(sp) | fp.isNotNull() & back(fp), "HTML_NO_BACKLINK"),
         (made & (conflicting(shown) | (F.size(F.array_except(F.array_distinct(given), shown)) > 0) | (F.size(F.array_except(shown, given)) > 0)), "HTML_CLAIMS_CONFLICT"), (_outcomes_differ(here, made), "OUTCOMES_DIFFER"),
     )
@@ -321,7 +324,7 @@ def bundles_alibaba(products: DataFrame, shops: DataFrame, factories: DataFrame,
     fields = {
         "source_url": source, "shop_url": own, "factory_url": F.when(made, profile), "supplier_name": F.coalesce(F.nullif(F.trim(p["supplier_name"]), F.lit("")), linked_name), "product_title": p["product_title"], "price_text": p["price_text"], "minimum_order": least,
         "rating": p["rating"], "review_count": p["review_count"], "claims": all_claims, "business_type": all_claims["Business type"], "location": all_claims["Country / Region"], "employees": count("Total employees"), "production_lines": count("No. of Production Lines"),
-        "year_established": all_claims["Year established"], "main_products": all_claims["Main Products"], "services": text(pp, "vct-alibaba-policy"), "introduction": F.coalesce(text(sp, "vct-alibaba-introduction"), text(fp, "vct-alibaba-introduction"), factory["description"]),
+        "year_established": all_claims["Year established"], "main_products": all_claims["Main Products"], "services": text(pp, "own-alibaba-policy"), "introduction": F.coalesce(text(sp, "own-alibaba-introduction"), text(fp, "own-alibaba-introduction"), factory["description"]),
         "reviews": reviews, "pages": _states({"PRODUCT": (F.lit(True), source, pp), "SHOP": (here, own, sp), "FACTORY": (made, profile, fp)}),
     }
     there = lambda n: F.nullif(fields[n], F.lit("")).isNotNull()

@@ -54,7 +54,7 @@ def page(kind, url, body):
 
 SHOP_BODY = f"<div class='module-wrapper'>We make <div id='bd_2_container_0'><a href='{SHOP}page/creditdetail.html'>credit</a></div></div><h1 id='pcMainCompanyNameV2'>Acme Ltd</h1>"
 FACTORY_BODY = f"<div id='pc_card_baseinfo'><a href='{SHOP}'>shop</a></div><div id='pc_card_exhibition'><div>工厂展厅</div><div>a hall</div><div class='ability_info'><p class='ability_key'>工厂面积</p><p class='ability_value'>3600m²</p></div></div>"
-PRODUCT_BODY = f"<div id='shopNavigation'><a class='shop-company-name' href='{SHOP}'>x</a></div><div id='description'>Soft <b>cotton</b></div><div id='vct-review-bodies'><p class='review-item'>Good fabric</p><p class='review-item'>new one</p></div><table id='productAttributes'><tr><th class='ant-descriptions-item-label'>Size</th><td class='ant-descriptions-item-content'>XL</td></tr></table>"
+PRODUCT_BODY = f"<div id='shopNavigation'><a class='shop-company-name' href='{SHOP}'>x</a></div><div id='description'>Soft <b>cotton</b></div><div id='capture-review-bodies'><p class='review-item'>Good fabric</p><p class='review-item'>new one</p></div><table id='productAttributes'><tr><th class='ant-descriptions-item-label'>Size</th><td class='ant-descriptions-item-content'>XL</td></tr></table>"
 
 
 def with_pages(*pages, **changes):
@@ -120,9 +120,9 @@ A_SCHEMAS = SCHEMAS | {
     "factories": f"job_id int, source_url string, canonical_url string, shop_url string, company_name string, claims {PAIR}, description string",
 }
 A_BODY = {
-    "PRODUCT": f"<h1 id='vct-alibaba-title'>Shirt</h1><a id='vct-alibaba-shop-link' href='{A_SHOP}'>s</a><p id='vct-alibaba-supplier'>Acme Co 5 yrs</p><p id='vct-alibaba-price'>50 - 99 pieces $2</p><p id='vct-alibaba-review-summary'>4.5 Based on 1,234 reviews</p><div id='vct-alibaba-policy'>refund</div><div id='vct-review-bodies'><p class='review-item'>fine</p></div><div id='vct-alibaba-attributes'><dl><dt>Fit</dt><dd>slim</dd></dl></div>",
-    "SHOP": f"<p id='vct-alibaba-company-name'>Acme Co</p><a id='vct-alibaba-own-shop' href='{A_SHOP}'>o</a><p id='vct-alibaba-introduction'>We sew</p>",
-    "FACTORY": f"<p id='vct-alibaba-company-name'>Acme Co</p><a id='vct-alibaba-own-shop' href='{A_SHOP}'>o</a><div id='vct-alibaba-company-claims'><dl><dt>Year established</dt><dd>2011</dd></dl><dl><dt>Total employees</dt><dd>120</dd></dl></div>",
+    "PRODUCT": f"<h1 id='capture-alibaba-title'>Shirt</h1><a id='capture-alibaba-shop-link' href='{A_SHOP}'>s</a><p id='capture-alibaba-supplier'>Acme Co 5 yrs</p><p id='capture-alibaba-price'>50 - 99 pieces $2</p><p id='capture-alibaba-review-summary'>4.5 Based on 1,234 reviews</p><div id='capture-alibaba-policy'>refund</div><div id='capture-review-bodies'><p class='review-item'>fine</p></div><div id='capture-alibaba-attributes'><dl><dt>Fit</dt><dd>slim</dd></dl></div>",
+    "SHOP": f"<p id='capture-alibaba-company-name'>Acme Co</p><a id='capture-alibaba-own-shop' href='{A_SHOP}'>o</a><p id='capture-alibaba-introduction'>We sew</p>",
+    "FACTORY": f"<p id='capture-alibaba-company-name'>Acme Co</p><a id='capture-alibaba-own-shop' href='{A_SHOP}'>o</a><div id='capture-alibaba-company-claims'><dl><dt>Year established</dt><dd>2011</dd></dl><dl><dt>Total employees</dt><dd>120</dd></dl></div>",
 }
 
 
@@ -153,7 +153,7 @@ def test_alibaba_bundles(spark):
         None: alibaba(), "OFFER_MISMATCH": with_product(offer_id="1"), "CANONICAL_CONFLICT": with_product(canonical_url=A_PRODUCT.replace("1600", "1700")), "UNSUPPORTED_SHOP": with_product(shop_url="https://acme.m.en.alibaba.com/"), "COMPANY_NAMES_DIFFER": with_product(supplier_name="Other Co"),
         "UNSUPPORTED_CLAIM": with_factory(claims=[("Year established", "-")]), "FOUNDING_DATE": with_factory(claims=[("Year established", "2031")]), "NO_PRODUCT_HTML": alibaba(PRODUCT=None), "PAGE_WITHOUT_HTML": alibaba(SHOP=None), "HTML_TITLE_CONFLICT": swap("PRODUCT", "Shirt", "Hat"),
         "HTML_PRICE_CONFLICT": with_product(price_text="$9"), "HTML_TOTALS_CONFLICT": swap("PRODUCT", "1,234", "1,235"), "HTML_REVIEWS_CONFLICT": with_product(reviews=["fine", "fine"]), "HTML_ATTRIBUTES_CONFLICT": with_product(attributes=[("Fit", "wide")]), "HTML_SUPPLIER_CONFLICT": with_product(metrics=[("Years", "9 yrs")]),
-        "HTML_NAME_CONFLICT": swap("SHOP", "Acme Co", "Acme"), "HTML_NO_BACKLINK": swap("FACTORY", f"href='{A_SHOP}'", f"href='{A_PROFILE}'"), "HTML_CLAIMS_CONFLICT": swap("FACTORY", "2011", "2012"), "RAGGED_LIST": swap("FACTORY", "<dd>120</dd>", ""), "AMBIGUOUS_REGION": alibaba(SHOP=A_BODY["SHOP"] + "<p id='vct-alibaba-introduction'>b"),
+        "HTML_NAME_CONFLICT": swap("SHOP", "Acme Co", "Acme"), "HTML_NO_BACKLINK": swap("FACTORY", f"href='{A_SHOP}'", f"href='{A_PROFILE}'"), "HTML_CLAIMS_CONFLICT": swap("FACTORY", "2011", "2012"), "RAGGED_LIST": swap("FACTORY", "<dd>120</dd>", ""), "AMBIGUOUS_REGION": alibaba(SHOP=A_BODY["SHOP"] + "<p id='capture-alibaba-introduction'>b"),
         "HTML_FAULT": alibaba(SHOP=A_BODY["SHOP"] + "<a href='https://other.en.alibaba.com/'>x</a>"), "SHOP_MISMATCH": {**alibaba(), "shops": [{"source_url": A_SHOP, "company_name": None}]}, "FACTORY_MISMATCH": with_factory(shop_url=A_PROFILE), "HTML_SHOP_CONFLICT": swap("PRODUCT", f"href='{A_SHOP}'", f"href='{A_PROFILE}'"),
     }
     got = run(spark, list(cases.values()), linked.bundles_alibaba, A_SCHEMAS)
