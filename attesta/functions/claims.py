@@ -93,9 +93,14 @@ def media_fingerprint(data_url: Column) -> Column:
     return F.when(data_url.rlike(pattern), F.sha2(F.try_to_binary(F.regexp_extract(data_url, pattern, 1), F.lit("base64")), 256))
 
 
+#: Escapes that no stored JSON may hold, behind an even number of backslashes: NUL, and halves of surrogate pairs without the other half.
+_ESCAPED, _HIGH, _LOW = r"(?<!\\)(?:\\\\)*+", r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+UNSTORABLE = rf"{_ESCAPED}\\u0000|{_ESCAPED}{_HIGH}(?!{_LOW})|(?<!{_HIGH}){_ESCAPED}(?<!{_HIGH}){_LOW}"
+
+
 def storable(text: Column) -> Column:
-    """Whether a JSON text can be kept as evidence: well formed, no repeated keys, no NUL and no number that is none."""
-    return F.coalesce(F.try_parse_json(text).isNotNull() & ~F.contains(text, F.lit("\\u0000")) & ~F.contains(text, F.lit("\u0000")) & ~text.rlike(r"(?<![\"\w])(?:NaN|-?Infinity)(?![\"\w])"), F.lit(False))
+    """Whether a JSON text can be kept as evidence: well formed, no repeated keys, no NUL, no half of a surrogate pair and no number that is none."""
+    return F.coalesce(F.try_parse_json(text).isNotNull() & ~F.contains(text, F.lit("\u0000")) & ~text.rlike(UNSTORABLE) & ~text.rlike(r"(?<![\"\w])(?:NaN|-?Infinity)(?![\"\w])"), F.lit(False))
 
 
 def canonical_json(text: Column) -> Column:

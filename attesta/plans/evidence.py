@@ -60,7 +60,7 @@ def quotes_canonical(spark, d):
 @query("""select event_id, event_id % 4 = 0 as storable from events""")
 def storable_json(spark, d):
     k, v = F.col("event_id"), F.col("value").cast("string")
-    text = F.when(k % 4 == 0, F.concat(F.lit('{"a": '), v, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit('{"a": '), v, F.lit(', "a": 1}'))).when(k % 4 == 2, F.lit('{"a": "\\\\u0000"}')).otherwise(F.concat(F.lit('{"a": NaN, "b": '), v))
+    text = F.when(k % 4 == 0, F.concat(F.lit('{"a": '), v, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit('{"a": '), v, F.lit(', "a": 1}'))).when(k % 4 == 2, F.lit('{"a": "\\u0000"}')).otherwise(F.concat(F.lit('{"a": NaN, "b": '), v))
     return read_table(spark, d, "events").select("event_id", claims.storable(text).alias("storable"))
 
 

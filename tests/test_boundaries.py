@@ -95,3 +95,10 @@ def test_keyed_merge_counts_what_it_leaves_out(spark):
     mine = [r for r in got if r["owner"] == "s"]
     assert len(mine) == 20 and {r["omitted"] for r in mine} == {10} and [r["payload"] for r in mine[:10]] == [f"n{i}" for i in range(20, 30)] and mine[10]["payload"] == "o0"
     assert [(r["owner"], r["omitted"]) for r in got if r["owner"] is None] == [(None, 0)]
+
+
+def test_storable_json(spark):
+    sound = ['{"a": [1, "x"]}', '"\\ud83d\\ude00"', '"a\\\\u0000b"', '"\\\\ud800"', '"é😀"', '"NaN"', "{}"]
+    bad = ['"a\\u0000b"', '"\\ud800"', '"\\ude00"', '"\\ude00\\ud83d"', '"\\ud83dx\\ude00"', '"\\\\\\ud800"', '{"a": NaN}', '{"a": 1, "a": 2}', "{", "", None, '"a\x00"']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in sound + bad], "t string").select(claims.storable(F.col("t"))).collect()]
+    assert got == [True] * len(sound) + [False] * len(bad)
