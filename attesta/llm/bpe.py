@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 PIECE = 1 << 16
 #: Rows that a task holds encoded at a time.
-ROWS = 512
+ROWS = 128
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _LETTER, _DIGIT, _OTHER = "A-Za-z\u4e00-\u9fff", "0-9", "!-/:-@\\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
 _OPEN = _OTHER.replace("!-/", "!-&(-/")  #: the other characters without the apostrophe
@@ -77,6 +77,7 @@ def _map_column(df: DataFrame, source: str, target: str, each) -> DataFrame:
                 part = batch.slice(start, ROWS)
                 done = pa.array((each(x.as_py()) for x in part.column(source)), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), done], [*keep, target])
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
