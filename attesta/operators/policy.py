@@ -130,7 +130,8 @@ def confidence_factors(run_confidence: Column, review_reliability: Column, ident
 
 
 def material(dimension: Column, risk: Column, confidence: Column) -> Column:
-    return F.coalesce((risk >= 55) & (confidence >= 0.4) & ~dimension.isin("REVIEW_MANIPULATION"), F.lit(False))
+    """Sums of the same signals in another order differ in their last digits, so the thresholds are held against nine decimals: a risk of 55 is material however it was summed."""
+    return F.coalesce((F.round(risk, 9) >= 55) & (F.round(confidence, 9) >= 0.4) & ~dimension.isin("REVIEW_MANIPULATION"), F.lit(False))
 
 
 def matches(query: str, *columns: Column) -> Column:

@@ -232,3 +232,9 @@ def test_signals_name_the_reviews_they_rest_on(spark):
     got = {(x["supplier"], x["kind"], x["evidence_id"]) for x in rv.signal_evidence(df).collect()}
     assert got == {("s", "EXACT_DUPLICATE_TEXT", i) for i in "ab"} | {("s", "TIMING_BURST", i) for i in "abc"} | {("s", "RATING_TEXT_MISMATCH", i) for i in "ab"}
     assert {(x["evidence_id"], x["copies"], x["first_id"]) for x in rv.duplicate_members(df).collect()} == {("a", 2, "a"), ("b", 2, "a")}
+
+
+def test_a_risk_at_the_threshold_is_material_however_it_was_summed(spark):
+    rows = [("a", "PRICING", 55 - 1.5e-14, 0.4 - 1e-16), ("b", "PRICING", 55.0, 1.0), ("c", "PRICING", 54.999999, 1.0), ("d", "REVIEW_MANIPULATION", 60.0, 1.0), ("e", "PRICING", None, 1.0)]
+    got = spark.createDataFrame(rows, "k string, dimension string, risk double, confidence double").select("k", policy.material(F.col("dimension"), F.col("risk"), F.col("confidence")).alias("m"))
+    assert {r["k"]: r["m"] for r in got.collect()} == {"a": True, "b": True, "c": False, "d": False, "e": False}
