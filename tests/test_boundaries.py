@@ -31,6 +31,18 @@ def test_contained_equals_all_pairs(spark, monkeypatch, size):
     assert within == {(i, j) for i, g, a in texts for j, h, b in passages if g == h and held(a, b)}
 
 
+def test_texts_give_only_the_anchors_of_passages(spark):
+    r = random.Random(3)
+    line = "every one of these texts holds this line, and every passage begins in it, "
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} int, text string")
+    texts = frame([(i, "".join(r.choice("abcdef ") for _ in range(400)) + line + str(i)) for i in range(40)], "t")
+    passages = frame([(i, line[i:] + str(i)) for i in range(10)], "p")
+    theirs = containment._anchored(passages.withColumnRenamed("text", "passage"), ["p"], "passage", True)
+    mine = containment._anchored(texts, ["t"], "text", False, containment.TIERS, containment._bitmap(theirs))
+    assert theirs.count() == 10 and mine.count() < 40 * 20
+    assert {(x["t"], x["p"]) for x in containment.contained(texts, passages, "t", "p").collect()} == {(i, j) for i in range(40) for j in range(10) if str(i).startswith(str(j))}
+
+
 def test_outermost_passages(spark):
     texts = {1: "a full refund in 7 days", 2: "we give a full refund in 7 days and more", 3: "we give a full refund in 7 days and more", 4: "short", 5: "short", 6: "something else, no terms"}
     df = spark.createDataFrame([(i, "p", t) for i, t in texts.items()] + [(7, "q", texts[1])], "id int, page string, text string")
