@@ -18,6 +18,8 @@ from attesta.sources.scratch import cut
 
 THRESHOLD = 0.88
 BLOCK = 1024
+#: Rows of two blocks in a batch, and pairs in one that a task gives back.
+BATCH, ROWS = 8, 1 << 16
 #: Pivots, the vectors they are chosen from, and the bands that the threshold's angle is cut into.
 PIVOTS, SAMPLE, BANDS = 16, 512, 2
 
@@ -89,6 +91,33 @@ def reachable(packed: DataFrame, n: int, reach: float) -> DataFrame:
     return mine.join(theirs, ["supplier", "pivot", "band"]).where((F.col("i") <= F.col("j")) & ~apart).select("supplier", "i", "j").distinct()
 
 
+def similar_in(row, threshold: float):
+    """The similar pairs of a row of two blocks (an Arrow batch: supplier, i, j, left, right), as Arrow batches of ROWS rows at most."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def side(name):
+        rows = row.column(name)[0].values
+        m = np.asarray(rows.field("v").flatten(), np.float64).reshape(len(rows), -1)
+        return rows.field("id"), np.asarray(rows.field("copies"), np.int64), m / np.sqrt((m * m).sum(1, keepdims=True))
+
+    (ids, copies, m), (other, more, k) = side("left"), side("right")
+    found, same = np.clip(m @ k.T, -1.0, 1.0), row.column("i")[0].as_py() == row.column("j")[0].as_py()
+    left, right = np.nonzero(found >= threshold)
+    if same:  # each pair of a block once, and a representative with itself if it has copies
+        keep = (left < right) | (left == right) & (copies[left] > 1)
+        left, right = left[keep], right[keep]
+    for at in range(0, len(left), ROWS):
+        p, q = left[at : at + ROWS], right[at : at + ROWS]
+        a, b = ids.take(pa.array(p)), other.take(pa.array(q))
+        first, alone = pc.less(a, b), (p == q) & same
+        similarity = np.where(alone, 1.0, found[p, q])
+        weight = np.where(alone, copies[p] * (copies[p] - 1) // 2, copies[p] * more[q])
+        supplier = row.column("supplier").take(pa.array(np.zeros(len(p), np.int64)))
+        yield pa.RecordBatch.from_arrays([supplier, pc.if_else(first, a, b), pc.if_else(first, b, a), pa.array(similarity), pa.array(weight)], ["supplier", "a", "b", "similarity", "weight"])
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Pairs within a supplier with a cosine of at least the threshold: supplier, a, b, similarity, weight.
 
@@ -108,32 +137,20 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     packed = blocks(rows, far, reach, block)
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def side(rows):
-            m = np.array([r["v"] for r in rows], np.float64)
-            return [r["id"] for r in rows], np.array([r["copies"] for r in rows], np.int64), m / np.sqrt((m * m).sum(1, keepdims=True))
-
         for batch in batches:
-            for supplier, i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("supplier", "i", "j", "left", "right")), strict=True):
-                (ids, copies, m), (other, more, k) = side(x), side(y)
-                found = np.clip(m @ k.T, -1.0, 1.0)
-                out = []
-                for p, q in zip(*np.nonzero(found >= threshold), strict=True):
-                    if i != j or ids[p] < other[q]:
-                        out.append((supplier, min(ids[p], other[q]), max(ids[p], other[q]), float(found[p, q]), int(copies[p] * more[q])))
-                    elif ids[p] == other[q] and copies[p] > 1:
-                        out.append((supplier, ids[p], ids[p], 1.0, int(copies[p] * (copies[p] - 1) // 2)))
-                if out:
-                    columns = list(zip(*out, strict=True))
-                    types = [batch.schema.field("supplier").type, None, None, pa.float64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["supplier", "a", "b", "similarity", "weight"])
+            for n in range(len(batch)):
+                yield from similar_in(batch.slice(n, 1), threshold)
 
     left = packed.select("supplier", F.col("block").alias("i"), F.col("rows").alias("left"))
     right = packed.select("supplier", F.col("block").alias("j"), F.col("rows").alias("right"))
     met = reachable(packed, len(far), reach).join(left, ["supplier", "i"]).join(right, ["supplier", "j"]).select("supplier", "i", "j", "left", "right")
-    return cut(met.mapInArrow(run, f"supplier {kind}, a {number}, b {number}, similarity double, weight bigint"))
+    conf, held = vectors.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(held)
+    conf.set(held, BATCH)  # a row is two blocks; the rows are written before this is set back
+    try:
+        return cut(met.mapInArrow(run, f"supplier {kind}, a {number}, b {number}, similarity double, weight bigint"))
+    finally:
+        conf.set(held, before)
 
 
 def clusters(pairs: DataFrame, belonging: DataFrame | None = None, rounds: int = 40) -> DataFrame:

@@ -60,3 +60,16 @@ def test_suppliers_of_different_dimensions(spark):
 def test_empty_tables(spark):
     assert similarity.similar_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     assert similarity.similar_pairs(spark.createDataFrame([("s", 1, [0.0, 0.0]), ("s", 2, None)], SCHEMA)).count() == 0
+
+
+def test_a_dense_block_leaves_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "ROWS", 100)
+    block = [{"id": 2 * n, "copies": 1 + n % 2, "v": [1.0, n / 1000]} for n in range(40)]
+    row = pa.RecordBatch.from_pylist([{"supplier": 1, "i": 0, "j": 0, "left": block, "right": block}])
+    found = list(similarity.similar_in(row, 0.5))
+    assert max(map(len, found)) <= 100
+    rows = [r for b in found for r in b.to_pylist()]
+    assert len(rows) == 40 * 39 // 2 + 20 and {(r["a"], r["b"], r["weight"]) for r in rows if r["a"] == r["b"]} == {(2 * n, 2 * n, 1) for n in range(1, 40, 2)}
+    assert sum(r["weight"] for r in rows) == 60 * 59 // 2
