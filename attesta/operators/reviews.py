@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import scalars, text as tx
+from attesta.sources.scratch import cut
 
 #: Complaint phrases by category.
 LEXICON = {
@@ -22,6 +23,8 @@ LEXICON = {
     "PACKAGING": ["package damaged", "damaged packaging", "poor packaging", "bao bì hỏng", "đóng gói kém", "包装破损", "包装差"],
 }
 WEIGHTS = {"EXACT_DUPLICATE": 0.35, "TIMING_BURST": 0.25, "RATING_TEXT_MISMATCH": 0.25, "VOLUME_INCONSISTENCY": 0.15}
+#: Texts that are folded at a time.
+BATCH = 256
 MIN_DUPLICATE_LENGTH = 8
 HIGH_RATING = 4.0
 SAMPLE = 8
@@ -64,9 +67,10 @@ def exact_duplicates(reviews: DataFrame) -> DataFrame:
 def duplicate_members(reviews: DataFrame) -> DataFrame:
     """The reviews of duplicate groups, a row each: supplier, evidence_id, copies, first_id (the group's smallest id). The largest groups with the smallest ids come first in a report.
 
-    Groups are joined by the digest of their folded text, none is collected.
+    Groups are joined by the digest of their folded text, none is collected. Texts are folded once, few at a time; digests are what is written.
     """
-    keyed = folded(reviews.select("supplier", "evidence_id", "text")).where(F.length("folded") >= MIN_DUPLICATE_LENGTH).select("supplier", "evidence_id", F.sha2("folded", 256).alias("key"))
+    digests = cut(folded(reviews.select("supplier", "evidence_id", "text")).select("supplier", "evidence_id", F.length("folded").alias("size"), F.sha2("folded", 256).alias("key")), BATCH)  # a filter here would fold twice
+    keyed = digests.where(F.col("size") >= MIN_DUPLICATE_LENGTH).drop("size")
     groups = keyed.groupBy("supplier", "key").agg(F.count("*").alias("copies"), F.min("evidence_id").alias("first_id")).where("copies >= 2")
     return keyed.join(groups, ["supplier", "key"]).select("supplier", "evidence_id", "copies", "first_id")
 

@@ -144,13 +144,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     left = packed.select("supplier", F.col("block").alias("i"), F.col("rows").alias("left"))
     right = packed.select("supplier", F.col("block").alias("j"), F.col("rows").alias("right"))
     met = reachable(packed, len(far), reach).join(left, ["supplier", "i"]).join(right, ["supplier", "j"]).select("supplier", "i", "j", "left", "right")
-    conf, held = vectors.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(held)
-    conf.set(held, BATCH)  # a row is two blocks; the rows are written before this is set back
-    try:
-        return cut(met.mapInArrow(run, f"supplier {kind}, a {number}, b {number}, similarity double, weight bigint"))
-    finally:
-        conf.set(held, before)
+    return cut(met.mapInArrow(run, f"supplier {kind}, a {number}, b {number}, similarity double, weight bigint"), BATCH)  # a row is two blocks
 
 
 def clusters(pairs: DataFrame, belonging: DataFrame | None = None, rounds: int = 40) -> DataFrame:

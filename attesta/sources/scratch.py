@@ -8,12 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints the rows where spark.checkpoint.dir points; a folder of our own is set only where the session names none, as in tests."""
-    context = df.sparkSession.sparkContext
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Checkpoints the rows where spark.checkpoint.dir points; a folder of our own is set only where the session names none, as in tests.
+
+    `batch` is the number of rows that Python tasks get at a time while these rows are made, for rows that are large; the session's own number is set back afterwards.
+    """
+    context, conf, held = df.sparkSession.sparkContext, df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-checkpoints-"))
-    return df.checkpoint()
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-checkpoints-"))
+    if batch is None:
+        return df.checkpoint()
+    before = conf.get(held)
+    conf.set(held, batch)
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(held, before)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

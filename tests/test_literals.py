@@ -238,3 +238,12 @@ def test_a_risk_at_the_threshold_is_material_however_it_was_summed(spark):
     rows = [("a", "PRICING", 55 - 1.5e-14, 0.4 - 1e-16), ("b", "PRICING", 55.0, 1.0), ("c", "PRICING", 54.999999, 1.0), ("d", "REVIEW_MANIPULATION", 60.0, 1.0), ("e", "PRICING", None, 1.0)]
     got = spark.createDataFrame(rows, "k string, dimension string, risk double, confidence double").select("k", policy.material(F.col("dimension"), F.col("risk"), F.col("confidence")).alias("m"))
     assert {r["k"]: r["m"] for r in got.collect()} == {"a": True, "b": True, "c": False, "d": False, "e": False}
+
+
+def test_members_of_duplicates_are_folded_once_in_small_batches(spark):
+    held = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(held)
+    rows = spark.createDataFrame([("s", 1, "BAD quality!!"), ("s", 2, "bad   quality"), ("s", 3, "fine things"), ("t", 4, None)], "supplier string, evidence_id int, text string")
+    got = reviews.duplicate_members(rows)
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString() and spark.conf.get(held) == before
+    assert {(r["evidence_id"], r["copies"], r["first_id"]) for r in got.collect()} == {(1, 2, 1), (2, 2, 1)}
