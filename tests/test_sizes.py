@@ -27,3 +27,14 @@ def test_a_long_chain_keeps_the_times_of_captures_that_count():
     for i in range(500):
         chain.add(f"s{i}", "2026-02-02", ("1688", "1"), {"categories": [i]})
     assert len(chain.extracted) <= 64 and chain.row()[8:10] == (["first"], "2026-01-01")
+
+
+@tables
+def test_only_pages_that_are_shown_are_folded(spark, monkeypatch):
+    from attesta.plans import captures
+
+    seen, plain = [], lineage.folded
+    monkeypatch.setattr(captures.lineage, "folded", lambda rows: seen.append(rows) or plain(rows))
+    captures.item_lineage(spark, DATA)
+    most = seen[0].select("page", F.explode("parts").alias("part")).groupBy("page").agg(F.count_distinct("part").alias("n")).agg(F.max("n")).first()[0]
+    assert most is not None and most <= 20
