@@ -69,13 +69,14 @@ def media_findings(found: DataFrame) -> DataFrame:
 
 
 def supplier_findings(runs: DataFrame) -> DataFrame:
-    """A model's positive, risk and uncertainty signals: supplier, and arrays of struct(confidence, evidence_fields) named positive, risk and uncertainty."""
-    out = None
-    for name in ("positive", "risk", "uncertainty"):
-        each = runs.select("supplier", F.posexplode(name).alias("number", "signal"))
-        part = _finding(each, _text(F.lit(f"supplier_{name}:"), F.col("number")), f"SUPPLIER_{name.upper()}", F.lit(None), F.lit(None), F.col("signal.confidence"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """A model's positive, risk and uncertainty signals: supplier, and arrays of struct(confidence, evidence_fields) named positive, risk and uncertainty. Runs are passed over once."""
+    of = lambda name: F.transform(name, lambda s, i: F.struct(F.lit(name).alias("kind"), i.alias("number"), s["confidence"].cast("double").alias("confidence")))
+    listed = map(of, ("positive", "risk", "uncertainty"))
+    each = runs.select("supplier", F.explode(F.flatten(F.array_compact(F.array(*listed)))).alias("s"))
+    return each.select(
+        "supplier", _text(F.lit("supplier_"), F.col("s.kind"), F.lit(":"), F.col("s.number")).alias("finding_key"), F.concat(F.lit("SUPPLIER_"), F.upper("s.kind")).alias("finding_type"),
+        F.lit(None).cast("string").alias("dimension"), F.lit(None).cast("double").alias("severity"), "s.confidence",
+    )
 
 
 def supplier_evidence(runs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attesta.functions import claims
 from attesta.operators import findings, platforms, policy, report, serving, similarity, workflow
 from attesta.plans.registry import query
-from attesta.sources.tables import read_table
+from attesta.sources.tables import read_table, spread
 
 NOW = "1995-06-17 00:00:00"
 
@@ -72,7 +72,7 @@ def _runs(spark, d) -> DataFrame:
     l = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("supplier"), "l_linenumber", "l_returnflag", F.col("l_discount").alias("confidence"), F.when(F.col("l_linestatus") == "F", "reviews").otherwise("rating").alias("field"))  # noqa: E741
     signal = F.struct("l_linenumber", "confidence", F.array("field").alias("evidence_fields"))
     of = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, signal))), lambda s: F.struct(s["confidence"].alias("confidence"), s["evidence_fields"].alias("evidence_fields")))
-    return l.groupBy("supplier").agg(of("A").alias("positive"), of("R").alias("risk"), of("N").alias("uncertainty"))
+    return l.repartition(spread(l), "supplier").groupBy("supplier").agg(of("A").alias("positive"), of("R").alias("risk"), of("N").alias("uncertainty"))
 
 
 @query("""with k as (select l_orderkey as supplier, case l_returnflag when 'A' then 'positive' when 'R' then 'risk' else 'uncertainty' end as kind, l_discount::double as confidence, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber, l_discount) - 1 as n from lineitem)
