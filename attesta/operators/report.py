@@ -49,9 +49,14 @@ def resolved(evidence: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("payload", F.when(F.coalesce(canonical, F.lit(False)), value).otherwise(F.col("payload"))).drop("_fields")
 
 
-def overlaid(evidence: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
-    """Stored reviews (key, ordinal, payload) over the evidence of their ids; where both state a part of the payload, the review's holds. Reviews without evidence are added."""
+def overlaid(evidence: DataFrame, reviews: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Stored reviews (key, ordinal, payload) over the evidence of their ids; where both state a part of the payload, the review's holds. Reviews without evidence are added.
+
+    Both sides are shuffled into `partitions`, or as many as the session says.
+    """
     named = reviews.select(key, F.concat(F.lit("review:"), F.col("ordinal").cast("string")).alias("evidence_id"), F.col("payload").alias("_new"))
+    if partitions:
+        evidence, named = (x.repartition(partitions, key, "evidence_id") for x in (evidence, named))
     both = evidence.join(named, [key, "evidence_id"], "full")
     kept = F.map_filter(F.coalesce("payload", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys("_new"), k))
     new = F.col("_new").isNotNull()

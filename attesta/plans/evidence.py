@@ -210,7 +210,7 @@ def evidence_overlay(spark, d):
     l = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_linestatus", "l_returnflag")  # noqa: E741
     e = l.where("n <= 3").select("k", F.concat(F.lit("review:"), F.col("n").cast("string")).alias("evidence_id"), F.lit("DERIVED").alias("source_kind"), F.lit("x").alias("source_field"), F.create_map(F.lit("text"), F.col("l_linestatus"), F.lit("pattern"), F.col("l_linestatus")).alias("payload"))
     r = l.where("n >= 2").select("k", F.col("n").alias("ordinal"), F.create_map(F.lit("text"), F.col("l_returnflag")).alias("payload"))
-    return report.overlaid(e, r, "k").select("k", "evidence_id", "source_kind", F.col("payload")["text"].alias("text"), F.col("payload")["pattern"].alias("pattern"))
+    return report.overlaid(e, r, "k", spread(l)).select("k", "evidence_id", "source_kind", F.col("payload")["text"].alias("text"), F.col("payload")["pattern"].alias("pattern"))
 
 
 @query("""with o as (select o_orderkey, o_orderkey % 2 = 0 as low, o_orderkey % 3 = 0 as miss, o_orderkey % 5 = 0 as up, o_orderkey % 7 = 0 as pages, o_orderkey % 4 = 0 as ctx, o_orderkey % 11 = 0 as html, o_orderkey % 6 = 0 as unsure, o_orderstatus = 'F' as sem from orders)
