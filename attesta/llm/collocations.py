@@ -107,7 +107,37 @@ def packed(seq) -> bytes:
 def unpacked(raw: bytes):
     import numpy as np
 
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64) - 1
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel() - np.int32(1)
+
+
+def numbered(seq, ids, parts, buckets: int):
+    """The pairs of adjacent places of seq whose entries both have ids: (places, number of the pair at each, and by number its left and right entry and its bucket).
+
+    Pairs are numbered by bucket, left and right. Buckets are of distinct pairs, and what has a row a place is held as briefly and as narrow as may be: tasks run it side by side.
+    """
+    import numpy as np
+
+    width, frequent = np.int64(len(ids)), (ids >= 0)[seq]
+    at = np.flatnonzero(frequent[:-1] & frequent[1:]).astype(np.int32)
+    del frequent
+    pair = seq[at].astype(np.int64)
+    pair *= width
+    pair += seq[at + 1]
+    order = np.argsort(pair).astype(np.int32)
+    pair = pair[order]
+    new = np.ones(len(pair), bool)
+    np.not_equal(pair[1:], pair[:-1], out=new[1:])
+    pair = pair[new]
+    number = np.empty(len(at), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del order, new
+    left, right = pair // width, pair % width
+    salt = (ids[right] ^ ids[right] >> ENTRY_BITS) % parts[left]
+    bucket = ((ids[left] ^ ids[left] >> ENTRY_BITS) + salt * 0x9E3779B1) % buckets
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return at, place[number], left[order], right[order], bucket[order]
 
 
 def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
@@ -176,6 +206,7 @@ def _next(blocks: DataFrame, named: DataFrame, k: int, pairs: bool) -> DataFrame
         import numpy as np
         import pyarrow as pa
 
+        pa.default_memory_pool().release_unused()
         names_of = (PAIR_ROWS if pairs else BLOCKS).replace(",", "").split()[::2]
         kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32())] if pairs else [pa.int64(), pa.int32(), pa.binary()]
         table = lambda columns: pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names_of)
@@ -188,23 +219,17 @@ def _next(blocks: DataFrame, named: DataFrame, k: int, pairs: bool) -> DataFrame
         entry = names.column("idx").to_numpy()
         ids[entry] = names.column("id").to_numpy()
         parts[entry] = 1 << np.ceil(np.log2(np.maximum(1, names.column("f").to_numpy() / HOT))).astype(np.int64)
-        frequent = ids[seq] >= 0
-        at = np.flatnonzero(frequent[:-1] & frequent[1:])
+        at, number, left, right, bucket = numbered(seq, ids, parts, buckets)
         if not len(at):
             return empty
-        left, right = seq[at], seq[at + 1]
-        salt = (ids[right] ^ ids[right] >> ENTRY_BITS) % parts[left]
-        mixed = (ids[left] ^ ids[left] >> ENTRY_BITS) + salt * 0x9E3779B1
-        found, number = np.unique((mixed % buckets * width + left) * width + right, return_inverse=True)
         if not pairs:
             now = np.full(len(seq) - 1, -1, np.int32)
             now[at] = number
             return table([[block], [carry], [packed(now)]])
-        counts = np.bincount(number[at + k - 1 >= carry], minlength=len(found)).astype(np.int32)
-        bucket = found // (width * width)
+        counts = np.bincount(number[at >= carry - k + 1], minlength=len(bucket)).astype(np.int32)
         start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = pa.array(np.append(start, len(found)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[found // width % width], ids[found % width], counts)]
+        ends = pa.array(np.append(start, len(bucket)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[left], ids[right], counts)]
         return table([np.full(len(start), block), start, bucket[start], *lists])
 
     return blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(run, PAIR_ROWS if pairs else BLOCKS)
