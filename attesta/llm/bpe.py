@@ -62,21 +62,26 @@ def decode_ids(enc, ids: bytes | None) -> bytes:
     return enc.decode_bytes(np.frombuffer(ids or b"", "<u4").tolist())
 
 
-def _map_column(df: DataFrame, source: str, target: str, each) -> DataFrame:
-    """Adds the binary column `target`; the other columns pass through untouched."""
+def _map_columns(df: DataFrame, steps: list[tuple], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """Adds a binary column for each of `steps` (source, target, function), a later one from earlier ones if it likes; the other columns but those `dropped` pass through untouched."""
     from pyspark.sql.types import BinaryType, StructType
 
-    schema = StructType([f for f in df.schema.fields if f.name != target]).add(target, BinaryType())
+    targets = [target for _, target, _ in steps]
+    kept = [f for f in df.schema.fields if f.name not in (*targets, *dropped)]
+    schema, keep = StructType(kept), [f.name for f in kept]
+    for target in targets:
+        schema = schema.add(target, BinaryType())
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = [n for n in batch.schema.names if n != target]
             for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                done = pa.array((each(x.as_py()) for x in part.column(source)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), done], [*keep, target])
+                part, made = batch.slice(start, ROWS), {}
+                for source, target, each in steps:
+                    column = made[source] if source in made else part.column(source)
+                    made[target] = pa.array((each(x.as_py()) for x in column), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *made.values()], [*keep, *made])
             pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
@@ -84,17 +89,24 @@ def _map_column(df: DataFrame, source: str, target: str, each) -> DataFrame:
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", ranks_path: str | None = None) -> DataFrame:
     """Adds the ids of every whole text (little-endian u32); a column of that name is replaced. Null counts as empty."""
-    return _map_column(docs, text_col, ids_col, lambda text: encode_text(encoding(ranks_path), text))
+    return _map_columns(docs, [(text_col, ids_col, lambda text: encode_text(encoding(ranks_path), text))])
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded", ranks_path: str | None = None) -> DataFrame:
     """Adds the raw bytes of every row's ids. Null ids decode to no bytes."""
-    return _map_column(tokens, ids_col, bytes_col, lambda ids: decode_ids(encoding(ranks_path), ids))
+    return _map_columns(tokens, [(ids_col, bytes_col, lambda ids: decode_ids(encoding(ranks_path), ids))])
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded", ranks_path: str | None = None) -> DataFrame:
+    """Encodes every whole text and decodes its ids: the columns of encode() and decode() without the text. One pass, so that a task needs one Python process with one tokenizer."""
+    there = (text_col, ids_col, lambda text: encode_text(encoding(ranks_path), text))
+    back = (ids_col, bytes_col, lambda ids: decode_ids(encoding(ranks_path), ids))
+    return _map_columns(docs, [there, back], (text_col,))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256. Null ids and repeated rows stay as they are."""
-    coded = decode(encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text"))
+    coded = round_trip(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return coded.select(
         F.col("doc_id").alias(id_col),
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),

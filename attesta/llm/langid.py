@@ -25,6 +25,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE_PER_LANG = 1500
 TRAIN_WINDOWS = 4
+#: Rows whose texts a task holds as Python strings, and returns, at a time.
+ROWS = 256
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 3, remainder: int = 1) -> Column:
@@ -186,9 +188,12 @@ def identify(docs: DataFrame, model: ByteConvNet, text_col: str = "text", lang_c
         import pyarrow as pa
 
         for batch in batches:
-            langs, scores = predict_texts(shared.value, batch.column(text_col).to_pylist())
             keep = [n for n in batch.schema.names if n not in (lang_col, score_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, lang_col, score_col])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                langs, scores = predict_texts(shared.value, part.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, lang_col, score_col])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

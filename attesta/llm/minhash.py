@@ -136,8 +136,8 @@ def sketches(docs: DataFrame, percent: int, k: int = WORDS, rows: int = ROWS) ->
 
         for batch in batches:
             sizes, keys, found = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
+            for text in batch.column("text"):  # one after the other: a list of them is as large as the batch
+                words = words_of(text.as_py())
                 h = shingle_hashes(words, k)
                 sizes.append(len(h))
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(h) else None)
@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
 
         held_words = lru_cache(maxsize=16)(words_of)
         for batch in batches:
-            ok = [linked(held_words(x), words_of(y), percent, k) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
+            ok = [linked(held_words(x.as_py()), words_of(y.as_py()), percent, k) for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     both = pairs.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")

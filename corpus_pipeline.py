@@ -46,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids (little-endian u32), ids_sha256 and decoded_sha256, which is the digest of the text itself."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")).drop("text"))
+    coded = bpe.round_trip(docs.select("doc_id", "text"))
     return coded.select("doc_id", (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

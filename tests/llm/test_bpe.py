@@ -45,3 +45,11 @@ def test_long_texts_of_every_kind_are_cut(text):
 def test_repeated_and_null_ids(spark):
     got = bpe.digests(spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (None, None)], "doc_id bigint, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 0), (0, 1), (1, 1), (1, 2), (1, 2)]
+
+
+def test_a_task_needs_one_python_process_for_both_directions(spark, docs):
+    coded = bpe.round_trip(docs)
+    assert coded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert bpe.digests(docs)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = bpe.decode(bpe.encode(docs).drop("text"))
+    assert coded.columns == two.columns and sorted(coded.collect(), key=str) == sorted(two.collect(), key=str)

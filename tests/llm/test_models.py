@@ -238,3 +238,20 @@ def test_image_query_on_odd_tables(spark, tmp_path):
 def test_classes_of_equal_images(spark):
     df = spark.createDataFrame([(3, b"a"), (1, b"a"), (2, b"b"), (4, None), (5, None), (None, b"a")], "vec_id bigint, image binary")
     assert {r["vec_id"]: (r["class_id"], r["class_size"]) for r in media.classes(df, "vec_id").collect()} == {3: (1, 2), 1: (1, 2), 2: (2, 1), 4: (4, 2), 5: (4, 2)}
+
+
+def test_languages_are_told_for_few_rows_at_a_time(spark, docs):
+    """A batch of many rows comes back as several, in order, so neither side holds all its texts twice."""
+    import pyarrow as pa
+
+    class Rows:
+        schema, sparkSession = docs.select("doc_id", "text").schema, spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    n = 3 * langid.ROWS + 1
+    run = langid.identify(Rows(), langid.ByteConvNet([]))
+    parts = list(run(iter([pa.record_batch({"doc_id": pa.array(range(n)), "text": pa.array(["some text"] * n)})])))
+    assert max(p.num_rows for p in parts) <= langid.ROWS
+    assert [k for p in parts for k in p.column("doc_id").to_pylist()] == list(range(n))
