@@ -52,6 +52,17 @@ def _tables():
     return lower, separator, separator | blank
 
 
+def runs(sizes, limit: int):
+    """(first, last) of the runs of documents of these sizes in bytes: as many as do not pass the limit together, or one."""
+    import numpy as np
+
+    bounds, k = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while k < len(sizes):
+        last = max(k + 1, int(np.searchsorted(bounds, bounds[k] + limit, "right")) - 1)
+        yield k, last
+        k = last
+
+
 def slices(raw, bounds, limit: int):
     """(start, stop, goes on) of the blocks of bytes of documents that begin at `bounds`: runs of whole documents, or parts of one that are cut between words."""
     import numpy as np
@@ -82,19 +93,23 @@ def words_of(raw, begins):
     lower, separator, outside = _tables()
     raw = lower[raw]
     inside = ~outside[raw]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1] | begins[1:]
-    last[:-1] &= ~inside[1:] | begins[1:]
-    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-    breaks = np.zeros(len(raw) + 1, np.int64)  # separators and beginnings of documents before each place
-    np.cumsum(separator[raw], out=breaks[1:])
-    breaks[:-1] += np.cumsum(begins)
-    breaks[-1] += int(begins.sum())
+    edge = inside.copy()
+    edge[1:] &= ~inside[:-1] | begins[1:]
+    start = np.flatnonzero(edge)
+    edge = inside.copy()
+    edge[:-1] &= ~inside[1:] | begins[1:]
+    stop = np.flatnonzero(edge) + 1
+    parts = separator[raw]  # where a piece ends, by a separator or a beginning of a document
+    parts |= begins
+    parts = np.flatnonzero(parts)
+    letters = raw[inside]
+    del raw, inside, edge
     ends = np.zeros(len(start) + 1, np.int32)
     np.cumsum(stop - start, out=ends[1:])
-    words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
-    new = breaks[start] != np.concatenate([[0], breaks[stop[:-1] - 1]])
-    return words, new, bool(len(start) and breaks[-1] != breaks[stop[-1] - 1])
+    words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    passed = np.searchsorted(parts, start, "right")  # a word may itself be at the beginning of a document
+    new = passed != np.concatenate([[0], passed[:-1]])
+    return words, new, bool(len(start) and len(parts) > passed[-1])
 
 
 def packed(seq) -> bytes:
@@ -167,28 +182,31 @@ def _word_rows(docs: DataFrame, limit: int, most_words: int) -> DataFrame:
 
         block = TaskContext.get().partitionId() << BLOCK_BITS
         for batch in batches:
+            texts = batch.column("raw")
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             for lang in pc.unique(batch.column("lang")).to_pylist():
-                rows = batch.column("raw").filter(pc.equal(batch.column("lang"), lang)).cast(pa.large_binary())
-                bounds = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
-                raw = np.frombuffer(rows.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-                bounds = bounds - bounds[0]
-                begins = np.zeros(len(raw) + 1, bool)
-                begins[bounds] = True
-                held, gaps, broken = None, None, False
-                for start, stop, goes_on in slices(raw, bounds, limit):
-                    words, new, after = words_of(raw[start:stop], begins[start:stop])
-                    if not len(words):
-                        broken |= bool(_tables()[1][raw[start:stop]].any())
-                        continue
-                    if goes_on and held is not None:
-                        new[0] |= broken
-                        words, new, carry = pa.concat_arrays([held, words]), np.concatenate([gaps, new]), len(held)
-                    else:
-                        carry = 0
-                    places = np.arange(len(words)) + np.cumsum(new)
-                    yield from block_rows(block, int(places[carry]), words, places, lang)
-                    block += 1
-                    held, gaps, broken = words[-(most_words - 1) :] if most_words > 1 else None, new[-(most_words - 1) :], after
+                of = np.flatnonzero(pc.equal(batch.column("lang"), lang).to_numpy(zero_copy_only=False))
+                for first, last in runs(sizes[of], limit):  # a batch is many blocks: only the texts of one are copied
+                    bounds = np.concatenate([[0], np.cumsum(sizes[of[first:last]])])
+                    chosen = texts.take(pa.array(of[first:last]))
+                    raw = np.frombuffer(chosen.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+                    begins = np.zeros(len(raw) + 1, bool)
+                    begins[bounds] = True
+                    held, gaps, broken = None, None, False
+                    for start, stop, goes_on in slices(raw, bounds, limit):
+                        words, new, after = words_of(raw[start:stop], begins[start:stop])
+                        if not len(words):
+                            broken |= bool(_tables()[1][raw[start:stop]].any())
+                            continue
+                        if goes_on and held is not None:
+                            new[0] |= broken
+                            words, new, carry = pa.concat_arrays([held, words]), np.concatenate([gaps, new]), len(held)
+                        else:
+                            carry = 0
+                        places = np.arange(len(words)) + np.cumsum(new)
+                        yield from block_rows(block, int(places[carry]), words, places, lang)
+                        block += 1
+                        held, gaps, broken = words[-(most_words - 1) :] if most_words > 1 else None, new[-(most_words - 1) :], after
             pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, WORD_ROWS)
