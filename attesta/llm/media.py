@@ -249,6 +249,65 @@ def _bits(rows):
     return np.ascontiguousarray(np.stack([np.asarray(rows.column(c)) for c in BITS], 1)) if rows.num_rows else np.empty((0, 4), np.int64)
 
 
+def _agreed(placed: DataFrame, inliers: int) -> DataFrame:
+    """(query_class, class_id, inliers): the most corners of a pair of images that share a cell of one of the eight grids, for pairs with `inliers` at least.
+
+    placed: query_class, class_id, x, y (a corner of the base image), and its places zoom, spin0, spin1, tx0, tx1, ty0, ty1; a grid takes one of each two. Rows
+    are sorted by images and corners and counted in one pass, which holds one corner's rows and the cells of one pair of images.
+    """
+    order = ["query_class", "class_id", "x", "y"]
+    columns = [*order, "zoom", "spin0", "spin1", "tx0", "tx1", "ty0", "ty1"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def new(m):
+            """Whether a row of a sorted array differs from the one before."""
+            return np.concatenate([np.ones(min(1, len(m)), bool), (m[1:] != m[:-1]).any(1)])
+
+        def ordered(m):
+            return m[np.lexsort(m.T[::-1])]
+
+        def added(cells):
+            """One row for each cell, with the sum of the last column."""
+            cells = ordered(cells)
+            first = np.flatnonzero(new(cells[:, :-1]))
+            return np.column_stack([cells[first, :-1], np.add.reduceat(cells[:, -1], first)])
+
+        def counted(m):
+            """(query_class, class_id, zoom, grid, spin, tx, ty, n) of whole corners."""
+            votes = np.concatenate([np.column_stack([m[:, :5], np.full(len(m), grid), m[:, 5 + (grid >> 2)], m[:, 7 + (grid >> 1 & 1)], m[:, 9 + (grid & 1)]]) for grid in range(8)])
+            votes = ordered(votes)
+            votes = votes[new(votes)]
+            return added(np.column_stack([votes[:, [0, 1, 4, 5, 6, 7, 8]], np.ones(len(votes), np.int64)]))
+
+        def best(cells):
+            first = np.flatnonzero(new(cells[:, :2]))
+            most = np.maximum.reduceat(cells[:, -1], first)
+            chosen = most >= inliers
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(cells[first[chosen], i])) for i in range(2)), pa.array(most[chosen])], ["query_class", "class_id", "inliers"])
+
+        held, cells = np.empty((0, len(columns)), np.int64), np.empty((0, 8), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = np.concatenate([held, np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in columns])])
+            corner = np.flatnonzero(new(m[:, :4]))[-1]  # the last corner may go on in the next batch
+            held, m = m[corner:], m[:corner]
+            if not len(m):
+                continue
+            cells = added(np.concatenate([cells, counted(m)]))
+            pair = np.flatnonzero(new(cells[:, :2]))[-1]
+            if pair:
+                yield best(cells[:pair])
+            cells = cells[pair:]
+        if len(held):
+            yield best(added(np.concatenate([cells, counted(held)])))
+
+    return placed.repartition("query_class", "class_id").sortWithinPartitions(*order).select(*columns).mapInArrow(run, "query_class bigint, class_id bigint, inliers bigint")
+
+
 def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inliers: int = INLIERS) -> DataFrame:
     """Pairs (query_class, class_id, inliers) of images (class_id, image) of which the query is a cropped or edited copy of the base image.
 
@@ -259,22 +318,18 @@ def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inlier
     b = materialize(descriptors(base), "descriptors")
     near = matches(b, q, distance)
     named = q.select(F.col("class_id").alias("query_class"), *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle", *BITS)))
-    pairs = materialize(near.join(named, [f"q_{c}" for c in BITS]), "pairs")
-    # fewer corners than inliers cannot agree, whatever the transform: such pairs of images propose none
-    enough = pairs.groupBy("query_class", "class_id").agg(F.count_distinct(F.round("x"), F.round("y")).alias("n")).where(F.col("n") >= inliers)
-    pairs = pairs.join(materialize(enough.select("query_class", "class_id"), "enough"), ["query_class", "class_id"])
+    pairs = near.join(named, [f"q_{c}" for c in BITS])
     turn = F.col("q_angle") - F.col("angle")
     ratio = F.col("q_scale") / F.col("scale")
     moved_x = F.col("q_x") - ratio * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y"))
     moved_y = F.col("q_y") - ratio * (F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y"))
-    twelfth = F.col("turn") / (math.pi / 6)
-    spins = [F.pmod(F.floor(twelfth + half), F.lit(12)).cast("int") for half in (0.0, 0.5)]
-    shifts = [(dx, dy) for dx in (0, 8) for dy in (0, 8)]
-    cells = [F.struct(spin.alias("spin"), F.floor((F.col("moved_x") + dx) / 16).cast("int").alias("tx"), F.floor((F.col("moved_y") + dy) / 16).cast("int").alias("ty"), F.lit(4 * i + j).alias("grid")) for i, spin in enumerate(spins) for j, (dx, dy) in enumerate(shifts)]
-    votes = pairs.select("query_class", "class_id", "x", "y", F.rint(F.log2(ratio) * 2).cast("int").alias("zoom"), turn.alias("turn"), moved_x.alias("moved_x"), moved_y.alias("moved_y"))
-    votes = votes.select("query_class", "class_id", "x", "y", "zoom", F.explode(F.array(*cells)).alias("cell"))
-    agreed = votes.groupBy("query_class", "class_id", "zoom", "cell").agg(F.count_distinct(F.round("x"), F.round("y")).alias("n")).where(F.col("n") >= inliers)
-    found = materialize(agreed.groupBy("query_class", "class_id").agg(F.max("n").alias("inliers")), "copies")
+    twelfth = turn / (math.pi / 6)
+    placed = pairs.select(
+        "query_class", "class_id", F.round("x").cast("int").alias("x"), F.round("y").cast("int").alias("y"), F.rint(F.log2(ratio) * 2).cast("int").alias("zoom"),
+        *(F.pmod(F.floor(twelfth + i / 2), F.lit(12)).cast("int").alias(f"spin{i}") for i in range(2)),
+        *(F.floor((moved + 8 * i) / 16).cast("int").alias(f"{name}{i}") for name, moved in (("tx", moved_x), ("ty", moved_y)) for i in range(2)),
+    )
+    found = materialize(_agreed(placed, inliers), "copies")
     discard(q, b)
     return found
 

@@ -224,6 +224,34 @@ def test_search_finds_every_pair_within_the_distance(spark):
         assert {(tuple(r[f"b_{c}"] for c in media.BITS), tuple(r[f"q_{c}"] for c in media.BITS)) for r in rows} == want and len(rows) == len(want) >= 200
 
 
+def test_votes_are_counted_without_a_row_for_each_cell(spark, monkeypatch):
+    """A large group of near copies: counts by pairs of images equal brute force at every batch size, and no plan expands a pair of corners into its cells."""
+    rng = np.random.default_rng(12)
+    columns = ["query_class", "class_id", "x", "y", "zoom", "spin0", "spin1", "tx0", "tx1", "ty0", "ty1"]
+    rows = [tuple(map(int, r)) for r in np.column_stack([rng.integers(0, 3, 3000), rng.integers(0, 40, 3000), rng.integers(0, 3, (3000, 2)), rng.integers(-1, 1, 3000), rng.integers(0, 2, (3000, 6))])]
+    cells = {}
+    for q, c, x, y, zoom, *places in rows:
+        for i in range(8):
+            cells.setdefault((q, c, zoom, i, places[i >> 2], places[2 + (i >> 1 & 1)], places[4 + (i & 1)]), set()).add((x, y))
+    want = {}
+    for (q, c, *_), at in cells.items():
+        want[q, c] = max(want.get((q, c), 0), len(at))
+    placed = spark.createDataFrame(rows, ", ".join(f"{c} {'bigint' if k < 2 else 'int'}" for k, c in enumerate(columns)))
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [tuple(r) for r in media._agreed(placed, 4).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len({g[:2] for g in got}) and {g[:2]: g[2] for g in got} == {k: n for k, n in want.items() if n >= 4}
+    plans, write = [], media.materialize
+    monkeypatch.setattr(media, "materialize", lambda df, *more: plans.append(df._jdf.queryExecution().toString()) or write(df, *more))
+    picture = media.render(rng.normal(0, 1, 64))
+    images = spark.createDataFrame([(1, picture), (2, picture)], "class_id bigint, image binary")
+    assert {tuple(r)[:2] for r in media.copies(images, images).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    assert plans and not any("Generate" in p for p in plans)
+
+
 def test_image_query_on_odd_tables(spark, tmp_path):
     rng = np.random.default_rng(6)
     v = rng.normal(0, 1, (4, 64)).tolist()
