@@ -95,3 +95,15 @@ def test_fan_out_over_a_stream_that_starts_again(spark, tmp_path):
         live = spark.readStream.schema(LISTS).json(f"{tmp_path}/in")
         live.writeStream.foreachBatch(fanout.fan_out(path, "analysis_id", ["runs", "findings", "evidence"])).option("checkpointLocation", f"{tmp_path}/{state}").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["analysis_id"] for r in fanout.read(spark, path, "head").collect()) == ["a", "b"] and fanout.read(spark, path, "runs").count() == 4
+
+
+def test_orders_are_fanned_out_with_whole_lines(spark, tmp_path, monkeypatch):
+    from attesta.plans import captures
+    from attesta.streaming import fanout
+
+    monkeypatch.setattr(captures, "shared_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    spark.createDataFrame([(1, "F", 2.0), (2, "O", 3.0)], "o_orderkey bigint, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 2, 7, 30.0, "A"), (1, 1, 7, 5.0, "N")], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["analysis_id"]: (r["batch"], r["lines"]) for r in captures.fanned_out(spark, str(tmp_path)).collect()} == {1: (0, 2), 2: (1, 0)}
+    lines = fanout.read(spark, f"file://{tmp_path}/fanout", "lines").orderBy("ordinal").collect()
+    assert [(r["analysis_id"], r["l_linenumber"], r["l_partkey"], r["l_quantity"]) for r in lines] == [(1, 1, 7, 5.0), (1, 2, 7, 30.0)]
