@@ -5,10 +5,12 @@ shrink by the root of two; each gets an orientation from the intensity centroid
 
 A descriptor is cut into TABLES parts of 256 / TABLES bits. Of two descriptors within DISTANCE bits one part differs in one bit at most, as
 DISTANCE < 2 TABLES; so tables of the queries' parts and all their neighbours at one bit, joined by equality with the parts of the base, find every
-such pair, and the full Hamming distance is checked before a pair leaves the join. The stated queries meet all rows in blocks: each block holds some
-BLOCK distinct descriptors, goes to the tasks as a broadcast of that size, and is joined there with the base's written descriptors, which are not
-shuffled. Distinct descriptors are joined, not corners. A pair of images is a copy if enough descriptor pairs agree on one similarity
-transform (scale, rotation, shift), found by votes over the transform that each pair proposes, in bins that overlap.
+such pair. Such a part lies in a quarter that differs in DISTANCE / 4 bits at most, and that in a half that differs in DISTANCE / 2, so most of what the
+tables offer is let go by one word; the full Hamming distance is checked before a pair leaves the join. Tests that tell much the same are dealt to
+different parts, so few descriptors share one. The stated queries meet all rows in blocks of BLOCK distinct descriptors: a task describes CHUNK corners of
+the base, holds them, sorted by part, against one block after the other, and gives only what it found; the base's descriptors are neither written nor
+shuffled. Distinct descriptors are joined, not corners. A pair of images is a copy if enough descriptor pairs agree on one similarity transform (scale,
+rotation, shift), found by votes over the transform that each pair proposes, in bins that overlap.
 
 Equal images are one class: classes are described and joined once, so groups of identical images are never expanded into pairs.
 """
@@ -31,8 +33,14 @@ TABLES = 8
 DISTANCE = 2 * TABLES - 1
 INLIERS = 4
 TURNS = 90
-#: Distinct descriptors of queries that meet the base at a time: about 32 bytes each to broadcast, and tables of 264 keys each in a task.
-BLOCK = 1 << 14
+#: Distinct descriptors of queries that meet the base at a time: tables of 264 keys each in a task.
+BLOCK = 1 << 15
+#: Blocks that go to the tasks in one broadcast, of 32 bytes a descriptor; with more of them the base is passed again.
+BLOCKS = 16
+#: Corners of the base that a task holds, looks at together, and pairs that it checks together.
+CHUNK, SLICE, PAIRS = 1 << 19, 1 << 16, 1 << 20
+#: Images described together; more of them leave the processor's cache.
+STACK = 8
 DESCRIPTOR = "x float, y float, scale float, angle float, d0 bigint, d1 bigint, d2 bigint, d3 bigint"
 
 
@@ -55,6 +63,20 @@ def pixels_of(image: bytes | None):
         return None
 
 
+def _dealt(a, b, reach: float = 4.0):
+    """An order of tests between the points a and b in which tests that tell much the same, where what lies within `reach` is alike, are in different parts."""
+    import numpy as np
+
+    like = lambda p, q: np.exp(-((p[:, None] - q) ** 2).sum(2) / (2 * reach * reach))
+    same = like(a, a) + like(b, b) - like(a, b) - like(b, a)
+    same = same**2 / np.maximum(1e-9, np.outer(same.diagonal(), same.diagonal()))
+    left, parts = list(range(len(a))), [[] for _ in range(TABLES)]
+    while left:
+        for part in parts:
+            part.append(left.pop(int(np.argmin(same[np.ix_(left, part)].sum(1)))))
+    return np.concatenate(parts)
+
+
 @lru_cache(maxsize=1)
 def _patterns():
     """The offsets of the 256 tests, turned by TURNS steps, and of the disc for the centroid."""
@@ -62,6 +84,8 @@ def _patterns():
 
     rng = np.random.default_rng(20240)
     tests = np.clip(rng.normal(0, 4.2, (512, 2)), -9, 9)
+    order = _dealt(tests[:256], tests[256:])
+    tests = np.concatenate([tests[:256][order], tests[256:][order]])
     turned = []
     for step in range(TURNS):
         a = 2 * math.pi * step / TURNS
@@ -137,112 +161,155 @@ def describe(stack):
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def part_keys(bits):
-    """(n, TABLES) keys of descriptors (n, 4): the part's number above its value."""
+def parts_of(bits, count: int = TABLES):
+    """(count, n): the first parts of descriptors (n, 4)."""
     import numpy as np
 
     width, per = 256 // TABLES, TABLES // 4
-    parts = [(bits[:, t // per].astype(np.int64).view(np.uint64) << np.uint64(t % per * width)) >> np.uint64(64 - width) for t in range(TABLES)]
-    return (np.stack(parts, 1) | (np.arange(TABLES, dtype=np.uint64) << np.uint64(width))).view(np.int64)
+    return np.stack([((bits[:, t // per].view(np.uint64) << np.uint64(t % per * width)) >> np.uint64(64 - width)).astype(np.uint32) for t in range(count)])
 
 
-def probes(keys):
-    """(n, TABLES * (width + 1)): the keys and all keys that differ from them in one bit of the value."""
+def probes(part):
+    """(n * (width + 1)): for each value of a part itself and all values that differ from it in one bit."""
     import numpy as np
 
-    flips = np.concatenate([[0], 1 << np.arange(256 // TABLES, dtype=np.int64)])
-    return (keys[:, :, None] ^ flips).reshape(len(keys), -1)
+    flips = np.concatenate([[0], 1 << np.arange(256 // TABLES, dtype=np.int64)]).astype(np.uint32)
+    return (part[:, None] ^ flips).ravel()
+
+
+def _described(batches):
+    """Batches of corners of batches of images (class_id, image)."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["class_id", "x", "y", "scale", "angle", *BITS]
+    for batch in batches:
+        for start in range(0, batch.num_rows, STACK):
+            part = batch.slice(start, STACK)
+            by_shape: dict[tuple, list] = {}
+            for key, image in zip(part.column("class_id").to_pylist(), part.column("image").to_pylist(), strict=True):
+                p = pixels_of(image)
+                if p is not None:
+                    by_shape.setdefault(p.shape, []).append((key, p))
+            for group in by_shape.values():
+                n, x, y, s, a, bits = describe(np.stack([p for _, p in group]))
+                ids = np.array([k for k, _ in group], np.int64)[n]
+                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (ids, x, y, s, a)), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4))], names)
+
+
+def _chunks(batches, rows: int):
+    """The batches put together to some `rows` rows."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def descriptors(images: DataFrame) -> DataFrame:
     """One row per corner of the images (class_id, image); images that cannot be read or have no corner give none."""
+    return images.select("class_id", "image").mapInArrow(lambda batches: _chunks(_described(batches), 1 << 12), f"class_id bigint, {DESCRIPTOR}")
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        names = ["class_id", "x", "y", "scale", "angle", *BITS]
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                by_shape: dict[tuple, list] = {}
-                for key, image in zip(part.column("class_id").to_pylist(), part.column("image").to_pylist(), strict=True):
-                    p = pixels_of(image)
-                    if p is not None:
-                        by_shape.setdefault(p.shape, []).append((key, p))
-                for group in by_shape.values():
-                    n, x, y, s, a, bits = describe(np.stack([p for _, p in group]))
-                    ids = np.array([k for k, _ in group], np.int64)[n]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (ids, x, y, s, a)), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4))], names)
 
-    return images.select("class_id", "image").mapInArrow(run, f"class_id bigint, {DESCRIPTOR}")
+BITS = ("d0", "d1", "d2", "d3")
 
 
-BITS = ("d0", "d1", "d2", "d3")
+LOW = (1 << 32) - 1
 
 
 class Tables:
-    """The Hamming tables of some descriptors (n, 4): a sorted list of probes for each part."""
+    """The Hamming tables of some descriptors (n, 4), fewer than 2 ** 32: for each part the sorted probes, each above the row that it is of."""
 
     def __init__(self, bits):
         import numpy as np
 
-        self.bits, self.parts = bits, []
-        keys, each = part_keys(bits), 256 // TABLES + 1
-        for t in range(TABLES):
-            near = probes(keys[:, t : t + 1]).ravel()
-            order = np.argsort(near, kind="stable")
-            self.parts.append((near[order], order // each))
+        self.bits = bits
+        row = np.repeat(np.arange(len(bits), dtype=np.uint64), 256 // TABLES + 1)
+        self.near = [np.sort(probes(part).astype(np.uint64) << np.uint64(32) | row) for part in parts_of(bits)]
 
     def within(self, bits, distance: int):
-        """(row of bits, row of the tables) of all pairs within the distance, at most DISTANCE, each once."""
+        """(row of bits, row of the tables) of all pairs within the distance, at most DISTANCE, each once; some PAIRS candidates are held at a time."""
+        import numpy as np
+
+        low, rows = np.uint64(LOW), np.arange(len(bits), dtype=np.uint64)
+        for t, (part, near) in enumerate(zip(parts_of(bits), self.near, strict=True)):
+            ordered = np.sort(part.astype(np.uint64) << np.uint64(32) | rows)  # searches in order stay in the cache
+            first, last = np.searchsorted(near, ordered & ~low, "left"), np.searchsorted(near, ordered | low, "right")
+            some = np.flatnonzero(last > first)
+            mine, first, n = (ordered[some] & low).astype(np.int64), first[some], (last - first)[some]
+            ends, i = np.cumsum(n), 0
+            while i < len(n):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+                k = n[i:j]
+                at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[i:j], k)
+                yield self._checked(t, bits, np.repeat(mine[i:j], k), (near[at] & low).astype(np.int64), distance)
+                i = j
+
+    def _checked(self, t: int, bits, mine, theirs, distance: int):
+        """Those of the candidates of a table that are within the distance and that no table before it offers."""
         import numpy as np
 
-        keys, found = part_keys(bits), []
-        for t, (near, row) in enumerate(self.parts):
-            low, high = np.searchsorted(near, keys[:, t], "left"), np.searchsorted(near, keys[:, t], "right")
-            n = high - low
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            found.append(np.repeat(np.arange(len(bits)), n) * len(self.bits) + row[at])
-        pairs = np.unique(np.concatenate(found))
-        mine, theirs = pairs // len(self.bits), pairs % len(self.bits)
-        apart = np.bitwise_count((bits[mine] ^ self.bits[theirs]).view(np.uint64)).sum(1)
-        return mine[apart <= distance], theirs[apart <= distance]
+        per = TABLES // 4
+        apart = np.bitwise_count((bits[mine, t // per] ^ self.bits[theirs, t // per]).view(np.uint64))
+        mine, theirs = mine[apart <= distance // 4], theirs[apart <= distance // 4]
+        differ = bits[mine] ^ self.bits[theirs]
+        words = np.bitwise_count(differ.view(np.uint64))
+        halves = words[:, ::2] + words[:, 1::2]
+        offered = np.bitwise_count(parts_of(differ[:, : t // per + 1], t + 1)).T <= 1
+        tables = np.arange(t + 1)
+        offered &= (words[:, tables // per] <= distance // 4) & (halves[:, tables // (2 * per)] <= distance // 2)
+        chosen = (words.sum(1) <= distance) & (offered.argmax(1) == t) & offered[:, t]
+        return mine[chosen], theirs[chosen]
 
 
-def matches(described: DataFrame, asked: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """The rows of described with q_d0 ... q_d3, once for each distinct descriptor of asked within `distance` bits, at most DISTANCE."""
-    spark = described.sparkSession
+def _searched(rows: DataFrame, schema, asked: DataFrame, distance: int, block: int, name: str, corners=None) -> DataFrame:
+    """The corners of rows, or those that `corners` makes of their batches, with q_d0 ... q_d3, once for each distinct descriptor of asked within `distance` bits.
+
+    schema: the fields of the corners as (name, type) pairs, BITS among them.
+    """
+    spark = rows.sparkSession
+    kept = [c for c, _ in schema if c not in BITS]
+    found_schema = ", ".join([*(f"{c} {kind}" for c, kind in schema if c in kept), *(f"q_{c} bigint" for c in BITS)])
     distinct = asked.select(*BITS).distinct()
-    blocks = max(1, math.ceil(distinct.count() / block))
-    dealt = materialize(distinct.withColumn("block", F.pmod(F.xxhash64(*BITS), F.lit(blocks))), "asked")
-    kept = [c for c in described.columns if c not in BITS]
-    schema = ", ".join([*(f"{c} {described.schema[c].dataType.simpleString()}" for c in kept), *(f"q_{c} bigint" for c in BITS)])
+    passes = max(1, math.ceil(distinct.count() / (block * BLOCKS)))
+    dealt = materialize(distinct.withColumn("pass", F.pmod(F.xxhash64(*BITS), F.lit(passes))), "asked")
     out = None
-    for k in range(blocks):
-        rows = dealt.where(F.col("block") == k).select(*BITS).toArrow()  # about `block` rows of four numbers
-        held = spark.sparkContext.broadcast(_bits(rows))
+    for k in range(passes):
+        held = spark.sparkContext.broadcast(_bits(dealt.where(F.col("pass") == k).select(*BITS).toArrow()))  # some block * BLOCKS rows of four numbers
 
         def run(batches, held=held):
             import numpy as np
             import pyarrow as pa
 
-            tables = None
-            for batch in batches:
-                if len(held.value) and tables is None:
-                    tables = Tables(held.value)
-                for start in range(0, batch.num_rows if tables else 0, 2048):
-                    part = batch.slice(start, 2048)
-                    mine, theirs = tables.within(_bits(part), distance)
-                    chosen = pa.array(mine)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(chosen) for c in kept), *(pa.array(np.ascontiguousarray(tables.bits[theirs, j])) for j in range(4))], [*kept, *(f"q_{c}" for c in BITS)])
-
-        found = materialize(described.mapInArrow(run, schema), "matches")
+            tables, at = None, None
+            for chunk in _chunks(corners(batches) if corners else batches, CHUNK):
+                bits = _bits(chunk)
+                for start in range(0, len(held.value), block):
+                    if at != start:
+                        tables = None  # one block's tables at a time
+                        tables, at = Tables(held.value[start : start + block]), start
+                    for i in range(0, len(bits), SLICE):
+                        for mine, theirs in tables.within(bits[i : i + SLICE], distance):
+                            chosen = pa.array(mine + i)
+                            yield pa.RecordBatch.from_arrays([*(chunk.column(c).take(chosen) for c in kept), *(pa.array(np.ascontiguousarray(tables.bits[theirs, j])) for j in range(4))], [*kept, *(f"q_{c}" for c in BITS)])
+
+        found = materialize(rows.mapInArrow(run, found_schema), name)
         out = found if out is None else out.unionByName(found)
     discard(dealt)
     return out
 
 
+def matches(described: DataFrame, asked: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """The rows of described with q_d0 ... q_d3, once for each distinct descriptor of asked within `distance` bits, at most DISTANCE."""
+    return _searched(described, [(f.name, f.dataType.simpleString()) for f in described.schema.fields], asked, distance, block, "matches")
+
+
 def _bits(rows):
     import numpy as np
 
@@ -315,8 +382,7 @@ def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inlier
     of images has a scale of any power of the root of two (others as far as descriptors bear them) and any rotation.
     """
     q = materialize(descriptors(queries), "query_descriptors")
-    b = materialize(descriptors(base), "descriptors")
-    near = matches(b, q, distance)
+    near = _searched(base.select("class_id", "image"), [c.split() for c in f"class_id bigint, {DESCRIPTOR}".split(", ")], q, distance, BLOCK, "matches", _described)
     named = q.select(F.col("class_id").alias("query_class"), *(F.col(c).alias(f"q_{c}") for c in ("x", "y", "scale", "angle", *BITS)))
     pairs = near.join(named, [f"q_{c}" for c in BITS])
     turn = F.col("q_angle") - F.col("angle")
@@ -330,7 +396,7 @@ def copies(queries: DataFrame, base: DataFrame, distance: int = DISTANCE, inlier
         *(F.floor((moved + 8 * i) / 16).cast("int").alias(f"{name}{i}") for name, moved in (("tx", moved_x), ("ty", moved_y)) for i in range(2)),
     )
     found = materialize(_agreed(placed, inliers), "copies")
-    discard(q, b)
+    discard(q)
     return found
 
 
@@ -396,6 +462,7 @@ def op4_image_copies(spark, sf_dir: str) -> DataFrame:
 
     def one(rows: DataFrame, ids: DataFrame, change: bool) -> DataFrame:
         first = rows.join(ids.where("vec_id = class_id").select("vec_id").distinct(), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        first = first.repartition(2 * spark.sparkContext.defaultParallelism, F.xxhash64("vec_id"))  # vectors are small and their pictures are work: even shares, whatever their bytes
         return _pictures(first, change).withColumnRenamed("vec_id", "class_id")
 
     found = copies(one(asked_of, asked_class, True), one(vectors, member, False))
