@@ -283,3 +283,19 @@ def test_languages_are_told_for_few_rows_at_a_time(spark, docs):
     parts = list(run(iter([pa.record_batch({"doc_id": pa.array(range(n)), "text": pa.array(["some text"] * n)})])))
     assert max(p.num_rows for p in parts) <= langid.ROWS
     assert [k for p in parts for k in p.column("doc_id").to_pylist()] == list(range(n))
+
+
+def test_base_is_searched_where_it_is_described(spark, monkeypatch):
+    """Descriptors of the base are not written, and tables offer each pair once, however few candidates are looked at together."""
+    names, write = [], media.materialize
+    monkeypatch.setattr(media, "materialize", lambda df, name, *more: names.append(name) or write(df, name, *more))
+    rng = np.random.default_rng(14)
+    images = spark.createDataFrame([(k, media.render(rng.normal(0, 1, 64))) for k in range(3)], "class_id bigint, image binary")
+    assert {tuple(r)[:2] for r in media.copies(images, images).collect()} >= {(k, k) for k in range(3)} and "descriptors" not in names
+    bits = np.tile(rng.integers(-(1 << 63), 1 << 63, (6, 4), dtype=np.int64), (20, 1))
+    bits[:, 0] ^= 1 << rng.integers(0, 63, 120)
+    want = {(i, j) for i in range(120) for j in range(120) if np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum() <= 15}
+    for pairs in (5, 1 << 20):
+        monkeypatch.setattr(media, "PAIRS", pairs)
+        got = [p for mine, theirs in media.Tables(bits).within(bits, 15) for p in zip(mine.tolist(), theirs.tolist(), strict=True)]
+        assert len(got) == len(want) and set(got) == want
